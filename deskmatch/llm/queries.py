@@ -36,7 +36,7 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = [kind for kind, *_ in secrets.BASE_RULES]
-    counts = [F.size(F.filter("findings", lambda f, k=kind: f["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in base]
+    counts = [secrets.of_kinds(F.col("findings"), [kind], F.size).cast("long").alias(f"n_{kind}") for kind in base]
     return found.select("doc_id", *counts, F.sha2(secrets.joined_spans(F.col("findings"), base), 256).alias("base_sha256"), secrets.joined_spans(F.col("findings")).alias("spans"), "blob")
 
 

@@ -92,9 +92,14 @@ def exists(spark, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def of_kinds(findings, kinds: list[str], f=lambda kept: kept):
+    """f of the findings of some kinds."""
+    return f(F.filter(findings, lambda x: x["kind"].isin(kinds)))
+
+
 def joined_spans(findings, kinds: list[str] | None = None):
     """kind:start:end of the findings, comma-joined."""
-    kept = findings if kinds is None else F.filter(findings, lambda f: f["kind"].isin(kinds))
+    kept = findings if kinds is None else of_kinds(findings, kinds)
     return F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f["kind"], f["at"].cast("string"), f["until"].cast("string"))), ",")
 
 

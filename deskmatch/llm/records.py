@@ -39,13 +39,13 @@ from pyspark.sql.window import Window
 
 from .bpe import tokenizer
 from .common import chunks, ragged, work_dir
-from .token_counts import vocabulary
 from .words import distinct, specials, split
 
 #: A data file is closed when it has so many bytes.
 FILE_BYTES = 32 << 20
 #: Words that a Python worker remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 800_000
+ENCODE_WORDS = 4096
 INDEX = "file string, partition int, number int, record int, offset long, bytes long, doc_id long, n_ids long, first_id long"
 
 
@@ -73,6 +73,11 @@ def unframe(data: memoryview, at: int) -> tuple[int, int | None, np.ndarray]:
     return end + 4, doc_id if has else None, np.frombuffer(payload[10:], f"<u{width}")
 
 
+@functools.cache
+def special_tokens(path: str) -> dict[bytes, int]:
+    return {t.content.encode(): i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
+
+
 @functools.cache
 def known_ids(path: str) -> dict[bytes, bytes]:
     """The ids of the words that this worker has met."""
@@ -81,14 +86,18 @@ def known_ids(path: str) -> dict[bytes, bytes]:
 
 def encode_chunk(data: np.ndarray, offsets: np.ndarray, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk, each followed by end_id, and where each text's ids begin."""
-    t, vocab, known = tokenizer(path), vocabulary(path), known_ids(path)
-    begins, ends, of = split(data, offsets, "byte", specials(data, offsets, list(vocab.specials)))
+    t, marks, known = tokenizer(path), special_tokens(path), known_ids(path)
+    begins, ends, of = split(data, offsets, "byte", specials(data, offsets, list(marks)))
     number, words = distinct(data, begins, ends)
-    if len(known) > KNOWN_WORDS:
+    if len(known) > KNOWN_WORDS or not known:
         known.clear()
+        known.update((w, np.array([i], "<u4").tobytes()) for w, i in marks.items())
     new = [w for w in words if w not in known]
-    for w, e in zip(new, t.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
+    for i in range(0, len(new), ENCODE_WORDS):  # few at a time, as the library's results are large
+        part = new[i : i + ENCODE_WORDS]
+        got = t.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+        ends = np.cumsum(4 * np.bincount(np.array(got.word_ids), minlength=len(part))).tolist()
+        known.update(zip(part, map(np.array(got.ids, "<u4").tobytes().__getitem__, map(slice, [0, *ends], ends))))
     found = [known[w] for w in words]
     table, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -111,7 +120,7 @@ def write_records(docs: DataFrame, path: str, folder: str | None = None, end_id:
         from pyspark import TaskContext
 
         partition = TaskContext.get().partitionId()
-        width = 2 if vocabulary(path).size <= 1 << 16 else 4
+        width = 2 if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         store, place = fs.FileSystem.from_uri(f"{folder}/data")
         store.create_dir(place, recursive=True)
         out, name, number, rows, size, total = None, "", -1, 0, 0, 0

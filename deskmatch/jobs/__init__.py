@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, matching
 
-MODULES = [market]
+MODULES = [market, matching]
 
 
 def queries() -> dict:

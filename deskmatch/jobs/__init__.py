@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, matching
+from . import mails, market, matching
 
-MODULES = [market, matching]
+MODULES = [market, matching, mails]
 
 
 def queries() -> dict:

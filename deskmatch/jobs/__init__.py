@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mails, market, matching
+from . import entities, mails, market, matching
 
-MODULES = [market, matching, mails]
+MODULES = [market, matching, mails, entities]
 
 
 def queries() -> dict:

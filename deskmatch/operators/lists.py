@@ -81,7 +81,7 @@ def project_list(projects: DataFrame, skills: DataFrame, roles: DataFrame, compa
     role_rows = named.groupBy("project_id").agg(F.min_by("name", F.struct(place, "sort_order")).alias("company"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "name"))), lambda x: x["name"]), ">").alias("chain"))
     newest = results.groupBy("project_id").agg(F.max_by("needs_review", F.struct("created_at", "result_id")).alias("needs_review"))
     price = F.when(F.col("unit_min").isNull() & F.col("unit_max").isNull(), "").when(F.col("unit_min") == F.col("unit_max"), F.concat("unit_max", F.lit("万円"))).otherwise(F.concat(F.coalesce(F.col("unit_min").cast("string"), F.lit("")), F.lit("〜"), F.coalesce(F.col("unit_max").cast("string"), F.lit("")), F.lit("万円")))
-    out = projects.join(skill_rows, "project_id", "left").join(role_rows, "project_id", "left").join(newest, "project_id", "left")
+    out = projects.drop("needs_review").join(skill_rows, "project_id", "left").join(role_rows, "project_id", "left").join(newest, "project_id", "left")
     return out.select("project_id", "title", "status", "company", "chain", price.alias("price_text"), "required_skills", "preferred_skills", "used_skills", F.col("needs_review").isNotNull().alias("has_result"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
 
 

@@ -69,7 +69,10 @@ def is_high_risk(predicted: Column, needs_review: Column, subject_only: Column,
 def confusion_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Per label of both sides: counts and precision, recall and F1 (1 where nothing is to divide by), and the overall accuracy; four decimals."""
     pairs = rows.groupBy(F.col(truth).cast("string").alias("t"), F.col(predicted).cast("string").alias("p")).agg(F.count("*").alias("n"))
-    long = pairs.select(F.explode(F.array(F.struct(F.col("t").alias("label"), (F.col("t") == F.col("p")).cast("long") * F.col("n"), F.lit(0).cast("long"), F.col("n")), F.struct(F.col("p"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))).alias("x")).select("x.label", F.col("x.col2").alias("hit"), F.col("x.col3").alias("said"), F.col("x.col4").alias("real"))
+    side = lambda label, hit, said, real: F.struct(label.alias("label"), hit.alias("hit"), said.alias("said"), real.alias("real"))
+    none, n = F.lit(0).cast("long"), F.col("n")
+    both = F.array(side(F.col("t"), F.when(F.col("t") == F.col("p"), n).otherwise(none), none, n), side(F.col("p"), none, n, none))
+    long = pairs.select(F.explode(both).alias("x")).select("x.*")
     by = long.groupBy("label").agg(F.sum("hit").alias("hits"), F.sum("said").alias("predicted"), F.sum("real").alias("actual"))
     total = pairs.agg(F.round(F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("accuracy"))
     share = lambda a, c: F.when(c == 0, F.lit(1.0)).otherwise(a / c)

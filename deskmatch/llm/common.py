@@ -37,6 +37,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, id_column: str, gone: DataFrame) -> DataFrame:
+    """The rows, all columns, whose id isn't in gone (one column); rows with a null id stay."""
+    name = fresh(docs, "_gone")
+    return docs.join(gone.toDF(name).distinct(), docs[id_column] == F.col(name), "left_anti")
+
+
 def whole_text(column: str = "text"):
     """The text, or the empty text for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

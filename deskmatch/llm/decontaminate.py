@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 #: Edits allowed for each character of an item, and characters of items in a block.
 EDIT_RATE = 0.05
@@ -159,5 +159,4 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_
 
 def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, all columns, in which no item occurs."""
-    gone = contaminated(docs, items, id_column=id_column, text_column=text_column).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == F.col("_gone"), "left_anti")
+    return without(docs, id_column, contaminated(docs, items, id_column=id_column, text_column=text_column).select("doc_id"))

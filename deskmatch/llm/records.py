@@ -143,6 +143,8 @@ def write_records(docs: DataFrame, path: str, folder: str | None = None, end_id:
         if out is not None:
             out.close()
 
+    data = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data")
+    data.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(data)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     rows.repartitionByRange(partitions, "id").sortWithinPartitions("id").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return folder

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, work_dir
+from .common import fresh, whole_text, work_dir
 
 #: The base rules, in order: kind, pattern, group and least length of what the group holds.
 BASE_RULES = [
@@ -105,10 +105,17 @@ def joined_spans(findings, kinds: list[str] | None = None):
 
 def redact(docs: DataFrame, mask: str = "[secret]", id_column: str = "doc_id", text_column: str = "text", ledger: str | None = None) -> DataFrame:
     """The documents, all columns, with each found span replaced by mask; overlapping spans are one. Ids must be unique."""
-    found = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column).filter(F.size("findings") > 0).select(F.col(id_column).alias("_id"), "findings")
-    joined = docs.join(found, docs[id_column] == F.col("_id"), "left")
-    # Pieces of text between the spans, told by how far the spans so far reach; a mask goes before each piece that a span cuts off.
+    key, spans = fresh(docs, "_id"), fresh(docs, "_findings")
+    found = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column).filter(F.size("findings") > 0).select(F.col(id_column).alias(key), F.col("findings").alias(spans))
+    joined = docs.join(found, docs[id_column] == F.col(key), "left")
+    # A fold over the spans keeps the text so far and how far the spans reach; a span that begins beyond that adds the text between and a mask.
     state = "struct<out:string,reach:int>"
-    step = lambda s, f: F.when(f["at"] >= s["reach"], F.struct(F.concat(s["out"], F.substring(F.col(text_column), s["reach"] + 1, f["at"] - s["reach"]), F.lit(mask)).alias("out"), f["until"].alias("reach"))).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["reach"], f["until"]).alias("reach")))
-    clean = F.aggregate("findings", F.struct(F.lit("").alias("out"), F.lit(0).alias("reach")).cast(state), lambda s, f: step(s, f).cast(state), lambda s: F.concat(s["out"], F.substring(F.col(text_column), s["reach"] + 1, F.length(text_column))))
-    return joined.withColumn(text_column, F.when(F.col("findings").isNotNull(), clean).otherwise(F.col(text_column))).select(docs.columns)
+
+    def step(s, f):
+        between = F.substring(F.col(text_column), s["reach"] + 1, f["at"] - s["reach"])
+        new = F.struct(F.concat(s["out"], between, F.lit(mask)).alias("out"), f["until"].alias("reach"))
+        return F.when(f["at"] >= s["reach"], new).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["reach"], f["until"]).alias("reach"))).cast(state)
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("reach")).cast(state)
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_column), s["reach"] + 1, F.length(text_column))))
+    return joined.withColumn(text_column, F.when(F.col(spans).isNotNull(), clean).otherwise(F.col(text_column))).select(*(f"`{c}`" for c in docs.columns))

@@ -12,7 +12,7 @@ The law kept is "bytes": a row weighs its text's UTF-8 bytes plus 1.
 
 Defined cases: null texts weigh 1 and count as empty; null ids sort first among equal texts; rows equal
 in text and id share a key, so they are never parted by a splitter; an empty table gives an empty
-result; other columns travel along, whatever their names; a text larger than a shard's share gets the
+result; other columns travel along, but for those named size, shard or slot, which the result replaces; a text larger than a shard's share gets the
 shard to itself.
 """
 
@@ -106,7 +106,8 @@ def evenly(a: int, b: int, n: int) -> list[int]:
 
 def shard(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows, all columns, with size, shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
-    rows = docs.withColumns({"_h": F.xxhash64(whole_text(text_column)), "_k": F.coalesce(F.col(id_column).cast("long"), F.lit(LOW)), "size": (F.octet_length(whole_text(text_column)) + 1).cast("long")})
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row.alias("_row"), F.xxhash64(whole_text(text_column)).alias("_h"), F.coalesce(F.col(id_column).cast("long"), F.lit(LOW)).alias("_k"), (F.octet_length(whole_text(text_column)) + 1).cast("long").alias("size"))
     keys = cut(rows.select("_h", "_k", F.col("size").alias("_bytes")), "keys")
     cuts, n = splitters(keys, shards)
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -125,7 +126,7 @@ def shard(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_col
     # pieces has at most 4 * parts + shards rows.
     moved = placed(rows).repartition("shard", "_piece")
     place = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_h", "_k")) - 1
-    return moved.withColumn("_place", place).join(F.broadcast(pieces), ["shard", "_piece"]).withColumn("slot", F.col("_start") + F.col("_place")).select(*docs.columns, "size", "shard", "slot")
+    return moved.withColumn("_place", place).join(F.broadcast(pieces), ["shard", "_piece"]).withColumn("slot", F.col("_start") + F.col("_place")).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("size", "shard", "slot")), "size", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

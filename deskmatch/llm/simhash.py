@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, without
 from .components import components
 
 #: Fingerprints of a bucket that one task compares with one another.
@@ -212,5 +212,5 @@ def one_of_each(docs: DataFrame, radius: int = 9, words: int = 5, blocks: int =
 
     Nine of 64 bits are an angle of 25 degrees, a cosine of 0.90: a Jaccard similarity of 0.82 of sets of equal size.
     """
-    kept = near_duplicates(docs, radius, words, blocks, id_column, text_column).filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(kept, docs[id_column] == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, radius, words, blocks, id_column, text_column)
+    return without(docs, id_column, found.filter(F.col(id_column) != F.col("component_id")).select(id_column))

@@ -52,7 +52,7 @@ def decoded(c: Column) -> Column:
 
     def part(x: Column) -> Column:
         number = F.coalesce(F.conv(filled(F.regexp_extract(x, code, 1)), 16, 10), filled(F.regexp_extract(x, code, 2))).cast("int")
-        utf16 = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32BE")
+        utf16 = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         return F.when(x.rlike(code) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.concat(utf16, F.regexp_replace(x, code, ""))).otherwise(F.concat(F.lit("&#"), x))
 
     joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), part), ""))

@@ -7,6 +7,8 @@ are not offered here as a join of all with all.
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +20,18 @@ FRIENDLY_PROJECT = ["remote", "full_remote", "hybrid", "リモート"]
 FRIENDLY_PERSON = ["remote", "full_remote", "hybrid", "リモート", "可"]
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, for which there is no built-in function."""
-    return s.str.normalize("NFKC")
+@functools.cache
+def _nfkc():
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return nfkc
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC, for which there is no built-in function; the helper is made when first used, as it needs a session."""
+    return _nfkc()(c)
 
 
 def plain(c: Column) -> Column:

@@ -9,7 +9,7 @@ those that begin at an anchor of equal hash.
 1. Texts are reduced to distinct ones and written, bucketed by a text key; a text with a copy goes
    whole if it has LENGTH bytes, and still counts as a partner once.
 2. Each text gives its anchors: hash, hash of the context (REACH bytes to the left, LENGTH to the
-   right, as far as the text goes), key and place. Rows meet by anchor hash. Anchors of equal context
+   right, as far as the text goes), key and place. Equal ones of a chunk go on as one, and rows meet by hash. Anchors of equal context
    are repeated as far as the context goes; unequal contexts under one hash are partners to compare.
 3. Of each such context one place is fetched from the texts. In each group the suffixes at the anchors,
    and the reversed prefixes before them, are sorted: multikey quicksort to a shallow depth, then blind
@@ -46,6 +46,8 @@ REACH = LENGTH - GRAM
 SHALLOW = 8
 #: Contexts of a group that one task sorts; up to SQUARE all pairs' common lengths are laid out in memory.
 GROUP, SQUARE = 50_000, 400
+#: Anchors of a hash that a task holds at once.
+HELD = 200_000
 CHUNK = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 TOP = np.uint64(2**64 - 1)
@@ -278,51 +280,75 @@ def distinct_texts(docs: DataFrame, text_column: str) -> tuple[DataFrame, str]:
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
+    """Anchors of all texts: h, context, key, at, n and local.
+
+    Anchors of equal hash and context in a chunk meet before the exchange: one of them goes on with their number n, the others
+    (local) need no more than to be known as repeated. So a passage that a third of all texts share is sent once a chunk.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in chunks(batch, "text", CHUNK):
                 at, h, context, text = anchors(data, offsets)
+                order = np.lexsort((context, h))
+                at, h, context, text = at[order], h[order], context[order], text[order]
+                first = np.ones(len(at), bool)
+                first[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
+                group = np.cumsum(first) - 1
+                n = np.bincount(group)[group] if len(at) else at
                 keys = part.column("key").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys), pa.array((at - offsets[text]).astype(np.int64))], names=["h", "context", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys), pa.array((at - offsets[text]).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(~first)], names=["h", "context", "key", "at", "n", "local"])
 
-    return texts.select("key", "text").mapInArrow(run, "h long, context long, key long, at long")
+    return texts.select("key", "text").mapInArrow(run, "h long, context long, key long, at long, n long, local boolean")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """Of anchors sorted by (h, context): whole (its context is repeated), and ask (one place of each context of a hash that has several)."""
+    names = ["h", "context", "key", "at", "whole", "ask"]
+
+    def close(rows: np.ndarray, several: int | None) -> pa.RecordBatch:
+        """rows: all of some hashes, or all of some contexts of the hash several, which is known to have more than one."""
+        h, c = rows[0], rows[1]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        group_h, group_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
+        count = np.bincount(group_c, weights=rows[4])[group_c]
+        contexts = np.bincount(group_h[new_c])[group_h]
+        whole, ask = count > 1, new_c & ((contexts > 1) | (h == several if several is not None else False))
+        keep = whole | ask
+        return pa.RecordBatch.from_arrays([*(pa.array(r[keep]) for r in rows[:4]), pa.array(whole[keep]), pa.array(ask[keep])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the rows of the last hash, which may go on
-        names = ["h", "context", "key", "at", "whole", "ask"]
-
-        def close(rows: np.ndarray) -> pa.RecordBatch | None:
-            h, c = rows[0], rows[1]
-            new_h = np.concatenate([[True], h[1:] != h[:-1]])
-            new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-            group_h, group_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-            count = np.bincount(group_c)[group_c]
-            contexts = np.bincount(group_h[new_c])[group_h]
-            whole, ask = count > 1, new_c & (contexts > 1)
-            keep = whole | ask
-            if not keep.any():
-                return None
-            return pa.RecordBatch.from_arrays([*(pa.array(r[keep]) for r in rows), pa.array(whole[keep]), pa.array(ask[keep])], names=names)
-
+        held, several = None, None  # rows of the last hash, which may go on; a hash of which contexts are gone on already
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in names[:4]])
+            rows = np.stack([batch.column(c).to_numpy() for c in ("h", "context", "key", "at", "n")])
             rows = rows if held is None else np.concatenate([held, rows], axis=1)
             edge = int(np.searchsorted(rows[0], rows[0, -1]))
-            held = rows[:, edge:]
             if edge:
-                done = close(rows[:, :edge])
-                if done is not None:
-                    yield done
+                yield close(rows[:, :edge], several)
+            held = rows[:, edge:]
+            if held.shape[1] > HELD:
+                last = edge_of(held[1])
+                if last:
+                    several = int(held[0, 0])
+                    yield close(held[:, :last], several)
+                    held = held[:, last:]
+                if held.shape[1] > HELD:  # all of one context, and so repeated: one of them stays for what is to come
+                    whole = np.ones(held.shape[1] - 1, bool)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(r[1:]) for r in held[:4]), pa.array(whole), pa.array(~whole)], names=names)
+                    held = held[:, :1]
+                    held[4] = 2
         if held is not None:
-            done = close(held)
-            if done is not None:
-                yield done
+            yield close(held, several)
+
+    found = rows.filter("NOT local").drop("local").repartition("h").sortWithinPartitions("h", "context").mapInArrow(run, "h long, context long, key long, at long, whole boolean, ask boolean")
+    return found.unionByName(rows.filter("local").select("h", "context", "key", "at", F.lit(True).alias("whole"), F.lit(False).alias("ask")))
+
 
-    return rows.repartition("h").sortWithinPartitions("h", "context").mapInArrow(run, "h long, context long, key long, at long, whole boolean, ask boolean")
+def edge_of(contexts: np.ndarray) -> int:
+    """Where the last run of equal values begins."""
+    other = np.flatnonzero(contexts != contexts[-1])
+    return int(other[-1]) + 1 if other.size else 0
 
 
 def fetched(texts: DataFrame, asked: DataFrame) -> DataFrame:

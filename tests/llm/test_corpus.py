@@ -220,8 +220,10 @@ def brute_repeats(pairs):
     return out
 
 
-@pytest.mark.parametrize(("group", "square"), [(50_000, 400), (50_000, 1), (4, 400)])
-def test_repeated_strings(spark, edge, monkeypatch, group, square):
+@pytest.mark.parametrize(("group", "square", "held"), [(50_000, 400, 200_000), (50_000, 1, 3), (4, 400, 200_000)])
+def test_repeated_strings(spark, edge, monkeypatch, group, square, held):
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 3000 if held == 3 else 2 << 20)
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "SQUARE", square)
     rnd = random.Random(3)

@@ -237,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "project_list": f"""WITH {b.SQL}, {COMPANIES}, k AS (SELECT project_id, coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'REQUIRED'), '') AS required_skills, coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'PREFERRED'), '') AS preferred_skills,
             coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'USED_TECHNOLOGY'), '') AS used_skills FROM project_skills WHERE trim(skill_name) <> '' GROUP BY 1),
           ro AS (SELECT project_id, o, p, (project_id * m) % 100 AS company_id FROM projects, (VALUES (0, 3, 2), (1, 7, 1), (2, 11, 0)) v(o, m, p) WHERE (project_id + o) % 4 <> 0),
-          rn AS (SELECT project_id, arg_min(name, p) AS company, string_agg(name, '>' ORDER BY o) AS chain FROM ro LEFT JOIN companies USING (company_id) GROUP BY 1),
+          rn AS (SELECT project_id, arg_min_null(name, p) AS company, coalesce(string_agg(name, '>' ORDER BY o), '') AS chain FROM ro LEFT JOIN companies USING (company_id) GROUP BY 1),
           re AS (SELECT event_id % 5000 AS project_id, arg_max(event_type = 'error', {{'a': ts, 'b': event_id}}) AS nr FROM events GROUP BY 1)
           SELECT project_id, title, status, company, chain, CASE WHEN unit_min IS NULL AND unit_max IS NULL THEN '' WHEN unit_min = unit_max THEN unit_max::VARCHAR || '万円' ELSE coalesce(unit_min::VARCHAR, '') || '〜' || coalesce(unit_max::VARCHAR, '') || '万円' END AS price_text,
           required_skills, preferred_skills, used_skills, nr IS NOT NULL AS has_result, coalesce(nr, false) AS needs_review FROM projects LEFT JOIN k USING (project_id) LEFT JOIN rn USING (project_id) LEFT JOIN re USING (project_id)""",

@@ -179,7 +179,25 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.join(replies, "target_id")
 
 
-NAMES = ["inferred_companies", "contact_candidates", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
+def validated_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as typed-in prices, months and addresses, some of them wrong."""
+    k = F.col("p_partkey")
+    rows = b.table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 6 == 0, "x1").when(k % 6 == 1, "").otherwise(F.format_string("%d,000", F.col("p_size"))).alias("price_text"), F.when(k % 7 == 0, "2026-13").otherwise("2026-07").alias("month_text"), F.when(k % 8 == 0, "no mail").when(k % 8 == 1, None).otherwise("a@x.example").alias("email"))
+    return imports.validate_entity_input(rows).select("id", "price_value", "month_value", F.array_join("errors", ",").alias("errors"))
+
+
+def import_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the sheet by the link that they give."""
+    none, strong = F.lit(None).cast("string"), F.lit("strong")
+    kind = imports.link_type(F.col("action"), F.when(F.col("same_rows") > 1, strong).otherwise(none), F.lit(False))
+    return _assessed(spark, sf_dir).groupBy(kind.alias("link_type")).agg(F.count("*").alias("n"))
+
+
+def import_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports.run_status(_assessed(spark, sf_dir))
+
+
+NAMES = ["validated_inputs", "import_links", "import_runs", "inferred_companies", "contact_candidates", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
 
 
 def queries() -> dict:
@@ -225,6 +243,10 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN known IS NOT NULL THEN 'ALREADY_EXTRACTED' WHEN same IS NOT NULL THEN 'SAME_SUBJECT_AND_SENDER' WHEN sub IS NOT NULL AND n > 1 THEN 'SAME_IN_BATCH' ELSE 'NEW' END AS reason, coalesce(known, same) AS entity_id,
           CASE WHEN known IS NULL AND same IS NULL AND sub IS NOT NULL AND n > 1 THEN f END AS same_as_mail FROM r""",
         "import_assessment": f"WITH {_SHEET} SELECT row_no, title, coalesce(len(skills), 0)::INT AS n_skills, coverage, warnings, CASE WHEN warnings <> '' OR same_rows > 1 THEN 'would_need_review' ELSE 'would_create' END AS action, same_rows FROM sheeted",
+        "validated_inputs": """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 > 1 THEN p_size * 1000 END::BIGINT AS price_value, CASE WHEN p_partkey % 7 <> 0 THEN DATE '2026-07-01' END AS month_value,
+          concat_ws(',', CASE WHEN p_partkey % 6 = 0 THEN 'PRICE' END, CASE WHEN p_partkey % 7 = 0 THEN 'MONTH' END, CASE WHEN p_partkey % 8 = 0 THEN 'EMAIL' END) AS errors FROM part""",
+        "import_links": f"WITH {_SHEET} SELECT CASE WHEN same_rows > 1 THEN 'DUPLICATE_OF' WHEN warnings <> '' THEN 'REVIEW_CANDIDATE' ELSE 'CREATED_FROM' END AS link_type, count(*) AS n FROM sheeted GROUP BY 1",
+        "import_runs": f"WITH {_SHEET} SELECT 'sheet.csv' AS source, CASE WHEN max((warnings <> '')::INT) = 1 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS status, count(*) AS n_rows FROM sheeted",
         "import_summary": f"""WITH {_SHEET} SELECT 'action' AS metric, CASE WHEN warnings <> '' THEN 'would_need_review' ELSE 'would_create' END AS key, count(*) AS n FROM sheeted GROUP BY 2 UNION ALL
           SELECT 'warning', unnest(string_split(warnings, ',')) AS key, count(*) FROM sheeted WHERE warnings <> '' GROUP BY 2 UNION ALL SELECT 'duplicate', 'same_source', count(*) FROM sheeted WHERE same_rows > 1""",
         "import_duplicates": """WITH r AS (SELECT p_partkey AS id, p_name AS t, p_brand AS c, [lower(p_type), string_split(p_name, ' ')[1]] AS k, p_partkey % 40 AS pl, p_size::DOUBLE AS pr FROM part),

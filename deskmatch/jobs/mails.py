@@ -84,7 +84,24 @@ def extracted_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mail_id", "title", "unit_min", "unit_max", "place", "prefecture", "start", "hours_min", "hours_max", "interviews", "contract", "remote", F.array_join("required_skills", ",").alias("required_skills"), "contact_email", F.array_join("missing", ",").alias("missing"), F.col("confidence").cast("double").alias("confidence"))
 
 
-NAMES = ["mails_normalized", "page_text", "redacted_mails", "classified_mails", "classification_summary", "text_search", "mail_stats", "sender_subject_groups", "extracted_projects"]
+def address_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address lists made of customers, with a comma inside a quoted name."""
+    k = F.col("c_custkey").cast("string")
+    header = F.concat(F.lit('"Desk, '), F.col("c_name"), F.lit('" <A'), k, F.lit("@x.Example>, b"), k, F.lit("@mail.y.example"))
+    rows = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mail_id"), header.alias("h"))
+    return rows.select("mail_id", F.array_join(t.addresses(F.col("h")), ";").alias("addresses"), t.first_name(F.col("h")).alias("name"), t.email_domain(F.element_at(t.addresses(F.col("h")), 2)).alias("domain"))
+
+
+def mime_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as leaves of messages: texts in base64url, an attachment that is passed over."""
+    data = F.translate(F.base64(F.encode("text", "utf-8")), "+/", "-_")
+    leaf = F.struct(F.lit("text/plain").alias("mime"), F.when(F.col("turn") == 1, "a.txt").alias("attachment"), F.regexp_replace(data, "\\s", "").alias("data"), "turn")
+    rows = b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", leaf.alias("leaf")))).alias("parts"))
+    body = t.flattened_parts(F.transform("parts", lambda p: p["leaf"]), "text/plain")
+    return rows.select("conv_id", F.length(body).alias("n_chars"), F.sha2(body, 256).alias("body_sha"))
+
+
+NAMES = ["address_headers", "mime_bodies", "mails_normalized", "page_text", "redacted_mails", "classified_mails", "classification_summary", "text_search", "mail_stats", "sender_subject_groups", "extracted_projects"]
 
 
 def queries() -> dict:
@@ -120,6 +137,9 @@ def oracle_sql() -> dict[str, str]:
         "mails_normalized": f"""WITH {MAILS} SELECT mail_id, sha256({tidy}) AS body_sha, length(trim(regexp_replace(body, '\\s+', ' ', 'g')))::INT AS search_length,
           coalesce(nullif(substring(trim(regexp_replace(regexp_replace(subject, '^\\s*(re|fw|fwd)\\s*:\\s*', '', 'i'), '\\s+', ' ', 'g')), 1, 255), ''), 'Gmail取込案件') AS subject, string_split(from_email, '@')[2] AS domain, sha256(body) AS body_hash,
           in_reply_to IS NOT NULL OR starts_with(lower(subject), 're:') AS is_reply FROM mails""",
+        "address_headers": "SELECT c_custkey AS mail_id, 'a' || c_custkey::VARCHAR || '@x.example;b' || c_custkey::VARCHAR || '@mail.y.example' AS addresses, 'Desk, ' || c_name AS name, 'mail.y.example' AS domain FROM customer",
+        "mime_bodies": f"""WITH j AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE turn <> 1 GROUP BY 1), n AS (SELECT conv_id, {tidy} AS body FROM j)
+          SELECT conv_id, length(body)::INT AS n_chars, sha256(body) AS body_sha FROM n""",
         "redacted_mails": f"""WITH {MAILS} SELECT mail_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, 'postgres(?:ql)?://\\S+', '[redacted-database-url]', 'gi'), 'Bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi'),
           '(client_secret|refresh_token|access_token|reset_token|resetToken|password|token|secret)=([^&\\s]+)', '\\1=[redacted]', 'gi'), '(DATABASE_URL)\\s*[:=]\\s*[^\\s,;]+', '\\1=[redacted]', 'gi'), '\\s+', ' ', 'g')), 1, 500) AS shown FROM mails""",
         "classified_mails": f"WITH {CLASSIFIED} SELECT mail_id, label, category, confidence::DOUBLE AS confidence, is_excluded, needs_review FROM c",

@@ -197,7 +197,41 @@ def import_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.run_status(_assessed(spark, sf_dir))
 
 
-NAMES = ["validated_inputs", "import_links", "import_runs", "inferred_companies", "contact_candidates", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).filter("source_mail_id IS NOT NULL AND source_mail_id % 5 = 0").select(F.col("source_mail_id").alias("mail_id"), "entity_id")
+
+
+def unclassified_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists.filter_unclassified(_categorized(spark, sf_dir), _entities(spark, sf_dir), _links(spark, sf_dir)).select("mail_id", "needs_review")
+
+
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails by the first reason not to extract them."""
+    e = _entities(spark, sf_dir).filter("source_mail_id % 7 = 0").select(F.col("source_mail_id").alias("mail_id"))
+    out = dedupe.skip_reason(_categorized(spark, sf_dir), e, _links(spark, sf_dir), e.filter("false"))
+    return out.select("mail_id", "skip_reason")
+
+
+def archived_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities after those with generated codes and a mail of another category were archived."""
+    e = _entities(spark, sf_dir)
+    return dedupe.archive(e, dedupe.category_mismatches(e, _categorized(spark, sf_dir), "PROJECT_INTRO"), "GMAIL-PRJ-").select("entity_id", "status")
+
+
+def search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand for searches: the newest 20 of each user and scope (a top-k report)."""
+    rows = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("scope"), F.col("ts").alias("created_at"))
+    return lists.search_history(rows).select("id", "user_id", "scope", "rank")
+
+
+def first_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of an order's lines stand for roles in its trade chain; the first by priority."""
+    role = F.when(F.col("l_returnflag") == "A", "PRIME").when(F.col("l_returnflag") == "N", "END_USER").otherwise("OTHER")
+    rows = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project_id"), role.alias("role"), F.col("l_linenumber").alias("sort_order"), F.col("l_suppkey").alias("company_id"))
+    return company.first_role(rows)
+
+
+NAMES = ["unclassified_mails", "skip_reasons", "archived_mismatches", "search_history", "first_roles", "validated_inputs", "import_links", "import_runs", "inferred_companies", "contact_candidates", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
 
 
 def queries() -> dict:
@@ -243,6 +277,13 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN known IS NOT NULL THEN 'ALREADY_EXTRACTED' WHEN same IS NOT NULL THEN 'SAME_SUBJECT_AND_SENDER' WHEN sub IS NOT NULL AND n > 1 THEN 'SAME_IN_BATCH' ELSE 'NEW' END AS reason, coalesce(known, same) AS entity_id,
           CASE WHEN known IS NULL AND same IS NULL AND sub IS NOT NULL AND n > 1 THEN f END AS same_as_mail FROM r""",
         "import_assessment": f"WITH {_SHEET} SELECT row_no, title, coalesce(len(skills), 0)::INT AS n_skills, coverage, warnings, CASE WHEN warnings <> '' OR same_rows > 1 THEN 'would_need_review' ELSE 'would_create' END AS action, same_rows FROM sheeted",
+        "unclassified_mails": f"WITH {ENTITIES}, {CATEGORIZED} SELECT mail_id, false AS needs_review FROM cm WHERE category = 'OTHER' AND NOT is_excluded AND mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL AND (status <> 'ARCHIVED' OR source_mail_id % 5 = 0))",
+        "skip_reasons": f"""WITH {ENTITIES}, {CATEGORIZED} SELECT mail_id, CASE WHEN is_excluded THEN 'MAIL_EXCLUDED' WHEN category = 'OTHER' THEN 'NOT_AN_INTRODUCTION' WHEN mail_id % 7 = 0 AND mail_id IN (SELECT source_mail_id FROM entities) THEN 'ENTITY_EXISTS'
+          WHEN mail_id % 5 = 0 AND mail_id IN (SELECT source_mail_id FROM entities) THEN 'LINK_EXISTS' WHEN trim(body) = '' THEN 'BODY_EMPTY' END AS skip_reason FROM cm""",
+        "archived_mismatches": f"WITH {ENTITIES}, {CATEGORIZED} SELECT entity_id, CASE WHEN is_excluded OR category <> 'PROJECT_INTRO' THEN 'ARCHIVED' ELSE status END AS status FROM entities LEFT JOIN cm ON source_mail_id = mail_id",
+        "search_history": "SELECT * FROM (SELECT event_id AS id, user_id, event_type AS scope, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events) WHERE rank <= 20",
+        "first_roles": """WITH r AS (SELECT l_orderkey AS project_id, CASE l_returnflag WHEN 'A' THEN 'PRIME' WHEN 'N' THEN 'END_USER' ELSE 'OTHER' END AS role, l_linenumber AS o, l_suppkey AS company_id FROM lineitem),
+          p AS (SELECT *, CASE role WHEN 'PRIME' THEN 1 WHEN 'END_USER' THEN 2 ELSE 3 END AS p FROM r) SELECT project_id, role, company_id FROM p QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY p, o, company_id) = 1""",
         "validated_inputs": """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 > 1 THEN p_size * 1000 END::BIGINT AS price_value, CASE WHEN p_partkey % 7 <> 0 THEN DATE '2026-07-01' END AS month_value,
           concat_ws(',', CASE WHEN p_partkey % 6 = 0 THEN 'PRICE' END, CASE WHEN p_partkey % 7 = 0 THEN 'MONTH' END, CASE WHEN p_partkey % 8 = 0 THEN 'EMAIL' END) AS errors FROM part""",
         "import_links": f"WITH {_SHEET} SELECT CASE WHEN same_rows > 1 THEN 'DUPLICATE_OF' WHEN warnings <> '' THEN 'REVIEW_CANDIDATE' ELSE 'CREATED_FROM' END AS link_type, count(*) AS n FROM sheeted GROUP BY 1",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmatch.llm import bpe, decontaminate, secrets, simhash, toxicity
+from deskmatch.llm import bpe, decontaminate, near_copies, secrets, toxicity
 from deskmatch.llm.common import work_dir
 from deskmatch.llm.queries import table, tokenizer_path
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("secret scans", mask_secrets),
     ("bpe encoding and decoding", encode),

@@ -36,7 +36,8 @@ SMALL = 16
 SEED = 42
 
 
-def fingerprint_chunk(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, list[int]]:
+    """XXH64 hashes of the texts' shingles of so many words, and their number in each text."""
     raw, hashes, counts = data.tobytes(), [], []
     digest = xxhash.xxh64_intdigest
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -51,11 +52,16 @@ def fingerprint_chunk(data: np.ndarray, offsets: np.ndarray, words: int) -> np.n
         starts = [0, *ends[: n - words].tolist()]
         hashes += [digest(text[s:e], SEED) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist())]
         counts.append(n - words + 1)
+    return np.array(hashes, "<u8"), counts
+
+
+def fingerprint_chunk(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+    hashes, counts = shingle_hashes(data, offsets, words)
     bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(np.diff(bounds))
     if full.size:
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, bounds[full], axis=0, dtype=np.int32)
         set_ = 2 * ones > np.diff(bounds)[full, None]
         out[full] = np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()

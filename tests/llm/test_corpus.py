@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from deskmatch.llm import bpe, decontaminate, quality_rules, records, secrets, sharding, simhash, suffix_dedup, token_counts, toxicity, words
+from deskmatch.llm import bpe, decontaminate, near_copies, quality_rules, records, secrets, sharding, simhash, suffix_dedup, token_counts, toxicity, words
 from deskmatch.llm import queries as registered
 from deskmatch.llm.components import components
 from deskmatch.llm.queries import tokenizer_path
@@ -307,6 +307,40 @@ def test_simhash_components(which, radius, blocks, request):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d in (r.doc_id for r in got) if d is None or label[d] == d}
 
 
+def brute_shingles(text, n=5):
+    found = (text or "").lower().split()
+    return frozenset(" ".join(found[i : i + n]) for i in range(max(1, len(found) - n + 1))) if found else frozenset()
+
+
+def test_near_copies_are_those_of_the_similarity(spark, edge):
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    rows = [(1000, " ".join(base))]
+    for i in range(1, 60):  # from one changed word to ten: similarities of 0.92 down to 0.4
+        copy = list(base)
+        for at in rnd.sample(range(120), 1 + i % 10):
+            copy[at] = f"x{i}"
+        rows.append((1000 + i, " ".join(copy)))
+    df = edge.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = {(r.doc_id, r.text): brute_shingles(r.text) for r in df.collect() if r.doc_id is not None}
+    label = {d: d[0] for d in sets}
+    changed = True
+    alike = [(a, b) for a in sets for b in sets if a != b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    while changed:
+        changed = False
+        for a, b in alike:
+            if label[b] < label[a]:
+                label[a], changed = label[b], True
+    got = near_copies.one_of_each(df)
+    want = [(r.doc_id, r.text) for r in df.collect() if r.doc_id is None or label[r.doc_id, r.text] == r.doc_id]
+    assert got.columns == df.columns and sorted_rows([(r.doc_id, r.text) for r in got.collect()]) == sorted_rows(want)
+    assert len(df.collect()) > len(want) + 10 and len(alike) > 20
+
+
+def test_near_copies_of_an_empty_table(none):
+    assert near_copies.one_of_each(none).collect() == []
+
+
 def test_masks_cover_the_radius():
     rnd = random.Random(1)
     for radius, blocks in ((4, 1), (9, 2)):

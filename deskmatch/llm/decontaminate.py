@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, fresh, whole_text
 
 #: Edits allowed for each character of an item, and characters of items in a block.
 EDIT_RATE = 0.05
@@ -130,20 +130,19 @@ def item_blocks(items: DataFrame, id_column: str, text_column: str, most: int) -
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each document and item that occurs in it with at most rate edits a character: doc_id, item_id, distance, at and until (characters of the normalised text)."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    out = None
+def hits(rows: DataFrame, kind: str, items: DataFrame, rate: float, item_id_column: str, item_text_column: str, block_chars: int) -> DataFrame:
+    """What contaminated gives, for rows of id (of a kind: long or string) and text."""
+    out, schema = None, HITS.replace("doc_id long", f"doc_id {kind}")
 
     def search(block: list[tuple[int | None, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Block(block, rate)
-            names = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("at", pa.int32()), ("until", pa.int32())]
+            names = [("doc_id", pa.int64() if kind == "long" else pa.string()), ("item_id", pa.int64()), ("distance", pa.int32()), ("at", pa.int32()), ("until", pa.int32())]
             for batch in batches:
                 found = [(i.as_py(), own.items[n][0], d, a, b) for i, t in zip(batch.column("id"), batch.column("text")) for n, d, a, b in own.matches(normal(t.as_py()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, (_, kind) in enumerate(names)], schema=pa.schema(names))
 
-        return rows.mapInArrow(run, HITS)
+        return rows.mapInArrow(run, schema)
 
     held = None
     for block in item_blocks(items, item_id_column, item_text_column, block_chars):
@@ -154,9 +153,17 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_
         held = found if out is None and held is None else cut(found, "hits")
     if held is not None:
         out = held if out is None else out.unionByName(held)
-    return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
+    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row for each document and item that occurs in it with at most rate edits a character: doc_id, item_id, distance, at and until (characters of the normalised text)."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    return hits(rows, "long", items, rate, item_id_column, item_text_column, block_chars)
 
 
 def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, all columns, in which no item occurs."""
-    return without(docs, id_column, contaminated(docs, items, id_column=id_column, text_column=text_column).select("doc_id"))
+    """The documents, all columns, in which no item occurs. The verdict is on the text, so null and repeated ids are judged as all others."""
+    sha, name = F.sha2(whole_text(text_column), 256), fresh(docs, "_gone")
+    found = hits(docs.select(sha.alias("id"), F.col(text_column).cast("string").alias("text")), "string", items, EDIT_RATE, "item_id", "text", BLOCK_CHARS)
+    return docs.join(found.select(F.col("doc_id").alias(name)).distinct(), sha == F.col(name), "left_anti")

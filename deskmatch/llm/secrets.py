@@ -104,10 +104,14 @@ def joined_spans(findings, kinds: list[str] | None = None):
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", id_column: str = "doc_id", text_column: str = "text", ledger: str | None = None) -> DataFrame:
-    """The documents, all columns, with each found span replaced by mask; overlapping spans are one. Ids must be unique."""
-    key, spans = fresh(docs, "_id"), fresh(docs, "_findings")
-    found = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column).filter(F.size("findings") > 0).select(F.col(id_column).alias(key), F.col("findings").alias(spans))
-    joined = docs.join(found, docs[id_column] == F.col(key), "left")
+    """The documents, all columns, with each found span replaced by mask; overlapping spans are one.
+
+    Findings meet the documents by blob, so null and repeated ids are masked as all others.
+    """
+    key, spans = fresh(docs, "_blob"), fresh(docs, "_findings")
+    found = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column).filter(F.size("findings") > 0)
+    found = found.groupBy("blob").agg(F.first("findings").alias("findings")).toDF(key, spans)
+    joined = docs.join(found, F.sha2(whole_text(text_column), 256) == F.col(key), "left")
     # A fold over the spans keeps the text so far and how far the spans reach; a span that begins beyond that adds the text between and a mask.
     state = "struct<out:string,reach:int>"
 

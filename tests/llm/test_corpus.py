@@ -158,6 +158,32 @@ def test_redaction_keeps_rows_and_columns(edge):
     assert "[secret]" in text and "abcdefgh1" not in text and not base_spans(text)
 
 
+def with_secrets(spark, edge):
+    rows = [(None, "token: abcdefgh2 a"), (None, "password = 'abcdefgh1'"), *[(50, "x token: abcdefgh3 y")] * 3, (50, "password = 'abcdefgh4' and other words")]
+    return edge.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+
+
+def test_redaction_of_null_and_repeated_ids(spark, edge):
+    def masked(text):
+        out, reach = "", 0
+        for a, _, b, _ in base_spans(text):
+            out, reach = (out + text[reach:a] + "[secret]", b) if a >= reach else (out, max(reach, b))
+        return out + text[reach:]
+
+    df = with_secrets(spark, edge)
+    want = [(r.doc_id, r.text and masked(r.text)) for r in df.collect()]
+    assert sorted_rows([(r.doc_id, r.text) for r in secrets.redact(df).collect()]) == sorted_rows(want)
+
+
+def test_decontamination_of_null_and_repeated_ids(spark, edge):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards watch from a hill"
+    rows = [(None, f"a {item}"), (None, "kept"), *[(60, f"b {item} c")] * 2, (60, "kept too")]
+    df = edge.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    kept = decontaminate.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    want = [(r.doc_id, r.text) for r in df.collect() if item not in (r.text or "")]
+    assert sorted_rows([(r.doc_id, r.text) for r in kept.collect()]) == sorted_rows(want) and len(want) == df.count() - 3
+
+
 @pytest.mark.parametrize("which", ["docs", "edge", "none"])
 def test_records_are_read_back_in_order(spark, which, request):
     df = request.getfixturevalue(which)

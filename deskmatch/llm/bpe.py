@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,22 +95,25 @@ def normalized(data: np.ndarray, offsets: np.ndarray, whole: list[bytes]) -> tup
     return np.frombuffer(b"".join(out), np.uint8), np.array(bounds), marks
 
 
-def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[bytes, list[bytes], pa.Array, np.ndarray, np.ndarray]]:
-    """Key, distinct words, document ids, words per document and word numbers of each block."""
+def blocks(batches: Iterator[pa.RecordBatch], path: str, partition: int = 0) -> Iterator[tuple[bytes, list[bytes], pa.Array, np.ndarray, np.ndarray]]:
+    """Key, distinct words, document ids, words per document and word numbers of each block.
+
+    The key is a hash of the partition, the block's number in it and its words: no two blocks share one, also not of equal words.
+    """
     whole = special_strings(path)
     table: dict[bytes, int] = {}
-    ids, sizes, numbers, held = [], [], [], 0
+    ids, sizes, numbers, held, closed = [], [], [], 0, 0
 
     def close():
         words = list(table)
-        key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+        key = hashlib.blake2b(b"%d %d " % (partition, closed) + b" ".join(words), digest_size=16).digest()
         return key, words, pa.concat_arrays(ids), np.concatenate(sizes), np.concatenate(numbers)
 
     for batch in batches:
         for part, data, offsets in chunks(batch, "text"):
             if ids and held + len(data) > BLOCK_BYTES:
                 yield close()
-                table, ids, sizes, numbers, held = {}, [], [], [], 0
+                table, ids, sizes, numbers, held, closed = {}, [], [], [], 0, closed + 1
             data, offsets, marks = normalized(data, offsets, whole)
             begins, ends, of = split(data, offsets, "word", marks)
             number, words = distinct(data, begins, ends)
@@ -134,7 +138,7 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def word_lists(batches):
-        for key, words, *_ in blocks(batches, path):
+        for key, words, *_ in blocks(batches, path, TaskContext.get().partitionId()):
             parts: dict[int, list[bytes]] = {}
             for w in words:
                 parts.setdefault(zlib.crc32(w) % buckets, []).append(w)
@@ -156,7 +160,7 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([bucket], pa.int32()), pa.array([zstandard.compress(sizes + b"".join(found), 3)], pa.binary())], names=["block", "bucket", "ids"])
 
     def numbered(batches):
-        for key, words, ids, sizes, numbers in blocks(batches, path):
+        for key, words, ids, sizes, numbers in blocks(batches, path, TaskContext.get().partitionId()):
             in_bucket = np.array([zlib.crc32(w) % buckets for w in words], np.uint32)
             payload = b"".join(np.ascontiguousarray(x, "<u4").tobytes() for x in (sizes, in_bucket, numbers))
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([zstandard.compress(payload, 3)], pa.binary())], names=["block", "n_words", "doc_ids", "numbers"])

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -125,6 +126,14 @@ def test_bpe_round_trip(which, request):
     assert sorted_rows(got) == sorted_rows(want)
 
 
+def test_blocks_of_equal_words_have_keys_of_their_own(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 10)
+    batch = pa.record_batch([pa.array([None, 1, 1], pa.int64()), pa.array(["the same words"] * 3)], names=["id", "text"])
+    found = list(bpe.blocks(iter([batch] * 3), WORD))
+    assert len(found) > 1 and len({key for key, *_ in found}) == len(found)
+    assert {key for key, *_ in found}.isdisjoint(key for key, *_ in bpe.blocks(iter([batch] * 3), WORD, 1))
+
+
 def base_spans(text):
     found = []
     for n, (kind, pattern, group, least) in enumerate((("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))):

@@ -1,19 +1,21 @@
 """Exact token counts of texts and of all their prefixes.
 
 Byte-level BPE never merges across the words of its splitting rule, so a prefix of a text holds whole
-words and at most one cut word. For each distinct word a dynamic program over its bytes stores the last
+words and at most one cut word. For each distinct word a dynamic program over its bytes gives the last
 token and the token count of every prefix: the encoding of a prefix that ends in token t is the
 encoding of what stands before t, then t, and t fits exactly if BPE leaves the pair (last token before
-t, t) alone. Counts at word ends are running sums. Truncation and budget questions are answered from
-these numbers; no text is encoded.
+t, t) alone. Counts at word ends are running sums. Where a prefix splits into other words than the
+whole text does, its count is that of its own words: at the end of a run of white space, within a
+contraction, and within the string of a special token.
+
+The counts of all prefixes are written as a table, which answers truncation and budget questions for
+any limit later on: no text is read or encoded again.
 
 Work per text is linear, nothing is shuffled, and a task keeps a bounded number of words.
 
 Defined cases: null and empty texts have 0 tokens and 0 bytes; repeated rows each get their row; a null
 id stays null; an empty table gives an empty result; other columns of the input are ignored whatever
-their names; a special token's string is one token, of which no part counts before its end. A prefix
-that ends within a run of white space or within a contraction counts its words as the whole text
-splits them.
+their names; only prefixes that end with a whole character count; a special token's string is one token.
 """
 
 from __future__ import annotations
@@ -28,12 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, ragged, sums
-from .words import distinct, specials, split
+from .common import chunks, ragged, work_dir
+from .words import SPACE, classes, code_points, distinct, specials, split
 
 #: Words that a Python worker remembers; then it forgets all and starts anew.
 KNOWN_WORDS = 300_000
 NEVER = 1 << 60
+#: In place of a step: no character ends at this byte.
+INSIDE = -(1 << 15)
+#: Words that a prefix of two bytes splits in two.
+LONG_CONTRACTIONS = (b"'re", b"'ve", b"'ll")
+TABLE = "id long, n_bytes long, n_tokens long, steps binary"
 
 
 @functools.cache
@@ -130,6 +137,8 @@ class PrefixCounts:
             counts = known.get(w)
             if counts is None:
                 counts = [0] * len(w) + [1] if w in vocab.specials else vocab.prefixes(w)[0]
+                if w in LONG_CONTRACTIONS:
+                    counts[2] = 2
                 counts = known[w] = np.array(counts, np.uint32).tobytes()
             parts.append(counts)
         return np.frombuffer(b"".join(parts), np.uint32), np.cumsum([0, *(len(p) // 4 for p in parts)])
@@ -140,58 +149,119 @@ def prefix_counts(path: str) -> PrefixCounts:
     return PrefixCounts(path)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int, id_column: str = "doc_id", text_column: str = "text", prefixes: bool = False) -> DataFrame:
-    """Per text: n_bytes, n_tokens and bytes_within_limit, the longest prefix in bytes that ends with a character and has at most limit tokens.
-
-    path: a byte-level BPE file, at the same place on all executors. prefixes: also word_ends and
-    word_counts (byte position and token count of the prefix at each word end) and inner_counts (the
-    count at every byte prefix, as 32-bit integers in a binary); they answer later questions, see
-    count_at and bytes_within.
+def counts_of_chunk(data: np.ndarray, offsets: np.ndarray, table: PrefixCounts) -> tuple[np.ndarray, np.ndarray]:
+    """Token count of each text, and the count of its prefix up to each byte."""
+    marks = specials(data, offsets, list(table.vocab.specials))
+    begins, ends, of = split(data, offsets, "byte", marks)
+    number, words = distinct(data, begins, ends)
+    inner, starts = table.of(words)
+    full = inner[starts[1:] - 1] if words else np.zeros(0, np.uint32)
+    total = np.concatenate([[0], np.cumsum(full[number], dtype=np.int64)])
+    before = total[:-1] - np.repeat(total[of[:-1]], np.diff(of))  # tokens of the text's earlier words
+    sizes = ends - begins
+    every = inner[ragged(starts[number] + 1, sizes)] + np.repeat(before, sizes) if words else np.zeros(0, np.int64)
+    at, runs_end = white_runs(data, begins, ends, of)
+    if at.size:  # a prefix that ends with a run of white space has the run as one word
+        run, found = distinct(data, begins[at], runs_end)
+        counts, bounds = table.of(found)
+        every[runs_end - 1] = before[at] + counts[bounds[1:] - 1][run]
+    for a, b in marks:
+        partly_special(data, begins, of, before, every, a, b, table)
+    return total[of[1:]] - total[of[:-1]], every
+
+
+def white_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of white space whose run goes on with the next word's first character, and where that character ends."""
+    if len(begins) < 2:
+        return begins[:0], begins[:0]
+    cp, places = code_points(data)
+    white = classes()[cp] == SPACE
+    place = (lambda x: x) if places is None else (lambda x: np.searchsorted(places, x))
+    first, last = white[place(begins)], white[place(ends) - 1]
+    inner = np.ones(len(begins), bool)
+    inner[of[1:-1][of[1:-1] < len(begins)]] = False  # the first word of a text goes on with nothing
+    at = np.flatnonzero(last[:-1] & first[1:] & inner[1:])
+    after = place(begins[at + 1]) + 1
+    return at, after if places is None else np.append(places, len(data))[after]
+
+
+def partly_special(data: np.ndarray, begins: np.ndarray, of: np.ndarray, before: np.ndarray, every: np.ndarray, a: int, b: int, table: PrefixCounts) -> None:
+    """Sets the counts within a special token's string, which is plain text until it is whole: words are split anew from two words before it."""
+    w = int(np.searchsorted(begins, a))
+    first, low = int(of[np.searchsorted(of, w, "right") - 1]), w
+    while low > max(first, w - 2) and data[begins[low - 1] : begins[low]].tobytes() not in table.vocab.specials:
+        low -= 1
+    for end in range(a + 1, b):
+        part = data[begins[low] : end]
+        x, y, _ = split(part, np.array([0, len(part)]), "byte")
+        number, words = distinct(part, x, y)
+        counts, bounds = table.of(words)
+        every[end - 1] = before[low] + int(counts[bounds[1:] - 1][number].sum())
+
+
+def prefix_counts_of(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per text its id, n_bytes, n_tokens and steps: for each byte, as signed 16-bit little-endian integers, how the prefix up to it changes the count of the one before, or INSIDE.
+
+    path: a byte-level BPE file, at the same place on all executors.
     """
-    schema = "id long, n_bytes long, n_tokens long, bytes_within_limit long" + (", word_ends array<int>, word_counts array<int>, inner_counts binary" if prefixes else "")
-    arrow = {"id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "bytes_within_limit": pa.int64()} | ({"word_ends": pa.list_(pa.int32()), "word_counts": pa.list_(pa.int32()), "inner_counts": pa.binary()} if prefixes else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_counts(path)
-        marks = list(table.vocab.specials)
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text"):
-                begins, ends, of = split(data, offsets, "byte", specials(data, offsets, marks))
-                number, words = distinct(data, begins, ends)
-                inner, starts = table.of(words)
-                full = inner[starts[1:] - 1] if words else np.zeros(0, np.uint32)
-                counts = full[number].astype(np.int64)
-                total = np.concatenate([[0], np.cumsum(counts)])
-                n_tokens = total[of[1:]] - total[of[:-1]]
-                within = offsets[1:] - offsets[:-1]
-                for k in np.flatnonzero(n_tokens > limit):
-                    left = limit + total[of[k]]
-                    w = int(np.searchsorted(total, left, "right")) - 1  # the word that passes the limit
-                    row = inner[starts[number[w]] : starts[number[w] + 1]]
-                    word = words[number[w]]
-                    fits = [i for i in range(len(word)) if row[i] <= left - total[w] and (word[i] & 0xC0) != 0x80]
-                    within[k] = begins[w] + max(fits, default=0) - offsets[k]
-                columns = [part.column("id"), pa.array(offsets[1:] - offsets[:-1]), pa.array(n_tokens), pa.array(within)]
-                if prefixes:
-                    lists = pa.array(of.astype(np.int32))
-                    at = np.repeat(np.arange(len(within)), of[1:] - of[:-1])
-                    word_ends, word_counts = ends - offsets[at], total[1:] - total[of[at]]
-                    sizes = ends - begins
-                    every = inner[ragged(starts[number] + 1, sizes)] + np.repeat(total[:-1] - total[of[at]], sizes)
-                    columns += [pa.ListArray.from_arrays(lists, pa.array(word_ends.astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(word_counts.astype(np.int32))), pa.array([every[a:b].astype("<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(arrow))
+            for part, data, offsets in chunks(batch, "text", 2 << 20):
+                n_tokens, every = counts_of_chunk(data, offsets, table)
+                whole = np.ones(len(data), bool)
+                whole[:-1] = (data[1:] & 0xC0) != 0x80
+                at = np.flatnonzero(whole)
+                counts = np.diff(every[at], prepend=0)
+                first = np.searchsorted(at, offsets[:-1][np.diff(offsets) > 0])
+                counts[first] = every[at][first]
+                if counts.size and np.abs(counts).max() >= -INSIDE:
+                    raise ValueError("a prefix changes the count by more than a step holds")
+                steps = np.full(len(data), INSIDE, "<i2")
+                steps[at] = counts
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array([steps[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "n_bytes", "n_tokens", "steps"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(run, TABLE)
+
+
+def write_prefix_counts(docs: DataFrame, path: str, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The table of all prefixes, written below folder (default: a new one in the shared folder) and read back."""
+    spark = docs.sparkSession
+    folder = folder or work_dir(spark, "prefixes")
+    prefix_counts_of(docs, path, id_column, text_column).write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(TABLE).parquet(folder)
+
+
+def counts_from(steps: bytes) -> np.ndarray:
+    """The token count of the prefix up to each byte; at bytes that end no character, that of the prefix before."""
+    own = np.frombuffer(steps, "<i2").astype(np.int64)
+    return np.cumsum(np.where(own == INSIDE, 0, own))
 
 
-def count_at(inner_counts, n_bytes):
-    """Token count of the prefix of n_bytes bytes, from the stored counts (columns or literals)."""
-    four = F.reverse(F.substring(inner_counts, (4 * (n_bytes - 1) + 1).cast("int"), F.lit(4)))
-    return F.when(n_bytes <= 0, F.lit(0)).otherwise(F.conv(F.hex(four), 16, 10).cast("long"))
+def longest_within(steps: bytes, limit: int) -> int:
+    """Bytes of the longest prefix of whole characters with at most limit tokens."""
+    fits = np.flatnonzero((counts_from(steps) <= limit) & (np.frombuffer(steps, "<i2") != INSIDE))
+    return int(fits[-1]) + 1 if fits.size else 0
+
+
+def within_limit(table: DataFrame, limit: int) -> DataFrame:
+    """Adds bytes_within_limit, the longest prefix in bytes of at most limit tokens, to id, n_bytes and n_tokens of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [n if steps is None else longest_within(steps.as_buffer(), limit) for n, steps in zip(batch.column("n_bytes").to_pylist(), (x if x.is_valid else None for x in batch.column("steps")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n_bytes", "n_tokens")), pa.array(found, pa.int64())], names=["id", "n_bytes", "n_tokens", "bytes_within_limit"])
+
+    over = table.select("id", "n_bytes", "n_tokens", F.when(F.col("n_tokens") > limit, F.col("steps")).alias("steps"))
+    return over.mapInArrow(run, "id long, n_bytes long, n_tokens long, bytes_within_limit long")
 
 
-def bytes_within(word_ends, word_counts, budget):
-    """Bytes of the longest run of whole words from the start with at most budget tokens."""
-    fits = F.size(F.filter(word_counts, lambda c: c <= budget))
-    return F.when(fits > 0, F.element_at(word_ends, fits)).otherwise(F.lit(0)).cast("long")
+def count_at(steps, n_bytes):
+    """Token count of the prefix of n_bytes bytes, from the stored steps (columns or literals), in built-in functions."""
+    have = F.least(n_bytes, F.floor(F.length(steps) / 2)).cast("int")
+    low = lambda i: F.conv(F.hex(F.reverse(F.substring(steps, 2 * i + 1, F.lit(2)))), 16, 10).cast("int")
+    step = lambda x: F.when(x == INSIDE + (1 << 16), 0).when(x >= 1 << 15, x - (1 << 16)).otherwise(x)
+    every = F.transform(F.sequence(F.lit(0), F.greatest(have - 1, F.lit(0))), lambda i: step(low(i)))
+    return F.when(have <= 0, F.lit(0).cast("long")).otherwise(F.aggregate(every, F.lit(0).cast("long"), lambda s, x: s + x))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,11 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir, or a new one where it is unset and driver and executors are one process (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="deskmatch-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -45,12 +48,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, id_column: str, gone: DataFrame) -> DataFrame:
-    """The rows, all columns, whose id isn't in gone (one column); rows with a null id stay."""
-    name = fresh(docs, "_gone")
-    return docs.join(gone.toDF(name).distinct(), docs[id_column] == F.col(name), "left_anti")
-
-
 def whole_text(column: str = "text"):
     """The text, or the empty text for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, without
+from .common import chunks, cut
 from .components import components
 
 #: Fingerprints of a bucket that one task compares with one another.
@@ -55,15 +55,27 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
     return np.array(hashes, "<u8"), counts
 
 
+#: The bits of each byte in eight lanes of eight bits.
+LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of 64 bits for each run of hashes between neighbouring bounds, none empty: which bits are set in over half of them."""
+    sizes = np.diff(bounds)
+    parts = -(-sizes // 255)  # a lane counts to 255
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(bounds[:-1] - 255 * first, parts) + 255 * np.arange(parts.sum())
+    lanes = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], starts, axis=0)
+    ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
+    return 2 * ones > sizes[:, None]
+
+
 def fingerprint_chunk(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
     hashes, counts = shingle_hashes(data, offsets, words)
-    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    out = np.zeros(len(counts), np.uint64)
-    full = np.flatnonzero(np.diff(bounds))
-    if full.size:
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, bounds[full], axis=0, dtype=np.int32)
-        set_ = 2 * ones > np.diff(bounds)[full, None]
+    sizes = np.array(counts, np.int64)
+    out, full = np.zeros(len(counts), np.uint64), sizes > 0
+    if full.any():
+        set_ = majority(hashes, np.concatenate([[0], np.cumsum(sizes[full])]))
         out[full] = np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
@@ -79,18 +91,11 @@ def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", tex
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def masks(radius: int, blocks: int = 1) -> list[int]:
-    """The masks of the tables, as signed 64-bit integers; the vectors of the bit positions run through all nonzero ones in turn.
-
-    With several blocks, one of them has at most radius // blocks differing bits, and each has tables of its own.
-    """
-    within = radius // blocks
-    all_, found = (1 << within + 1) - 1, []
-    for k in range(blocks):
-        bits = range(64 * k // blocks, 64 * (k + 1) // blocks)
-        vectors = [1 + i % all_ for i in range(len(bits))]
-        found += [sum(1 << i for i, m in zip(bits, vectors) if (m & v).bit_count() % 2) for v in range(1, all_ + 1)]
-    return [m - (1 << 64) if m >> 63 else m for m in found]
+def masks(radius: int, bits: int = 64) -> list[int]:
+    """The masks of the tables; the vectors of the bit positions run through all nonzero ones in turn."""
+    all_ = (1 << radius + 1) - 1
+    vectors = [1 + i % all_ for i in range(bits)]
+    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, all_ + 1)]
 
 
 def linked(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -195,12 +200,12 @@ def block_links(big: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, blocks: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document its id, fp (long) and component_id, the smallest id that links of at most radius bits reach."""
     found = cut(fingerprints(docs, words, id_column, text_column), "fingerprints")
     nodes = cut(found.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     # A bucket's key is a hash of the table's number and the masked fingerprint; where two buckets share a key, more pairs are compared, no fewer.
-    keys = F.array(*(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m))) for n, m in enumerate(masks(radius, blocks))))
+    keys = F.array(*(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for n, m in enumerate(masks(radius))))
     table = nodes.select(F.explode(keys).alias("bucket"), "fp", "node").repartition("bucket").sortWithinPartitions("bucket")
     rows = cut(link_buckets(table, radius), "links")
     pairs = rows.filter("a is not null").select("a", "b")
@@ -212,11 +217,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, blocks: in
     joined = found.join(of, "fp", "left")
     return joined.select(F.col("id").alias(id_column), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
-
-def one_of_each(docs: DataFrame, radius: int = 9, words: int = 5, blocks: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, all columns, that name their component; all rows with a null id stay.
-
-    Nine of 64 bits are an angle of 25 degrees, a cosine of 0.90: a Jaccard similarity of 0.82 of sets of equal size.
-    """
-    found = near_duplicates(docs, radius, words, blocks, id_column, text_column)
-    return without(docs, id_column, found.filter(F.col(id_column) != F.col("component_id")).select(id_column))

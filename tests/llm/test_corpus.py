@@ -82,18 +82,43 @@ def library_ids(path, pairs):
 def test_token_counts(which, request):
     df = request.getfixturevalue(which)
     want = [(d, len(x.encode()), len(ids)) for (d, x), (_, ids) in zip(texts(df), library_ids(BYTE, texts(df)))]
-    got = token_counts.count_tokens(df, BYTE, 1024).collect()
-    assert sorted_rows([(r.doc_id, r.n_bytes, r.n_tokens) for r in got]) == sorted_rows(want)
+    got = token_counts.within_limit(token_counts.write_prefix_counts(df, BYTE), 100).collect()
+    assert sorted_rows([(r.id, r.n_bytes, r.n_tokens) for r in got]) == sorted_rows(want)
     t = bpe.tokenizer(BYTE)
     by = {d: x for d, x in texts(df)}
     for r in got:
-        if r.n_tokens > 1024 and r.doc_id is not None:
-            cut = by[r.doc_id].encode()[: r.bytes_within_limit].decode()
-            assert len(t.encode(cut, add_special_tokens=False).ids) <= 1024
+        if r.n_tokens > 100 and r.id is not None:
+            raw = by[r.id].encode()
+            assert len(t.encode(raw[: r.bytes_within_limit].decode(), add_special_tokens=False).ids) <= 100
+            assert len(t.encode(raw[: r.bytes_within_limit + 4].decode("utf-8", "ignore"), add_special_tokens=False).ids) > 100 or len(raw) <= r.bytes_within_limit + 4
         else:
             assert r.bytes_within_limit == r.n_bytes
 
 
+@given(st.lists(st.lists(st.sampled_from(["'", "re", "ll", "s", " ", "\n", "\t", "the", "hello", "12", "!", "漢", "é", "\u3000", "\x85", "<|endoftext|>", "<|endo", "x're"]), max_size=12).map("".join), max_size=3))
+@settings(max_examples=150, deadline=None)
+def test_every_prefix_counts_as_the_library_counts_it(parts):
+    data = np.frombuffer("".join(parts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(p.encode()) for p in parts)])
+    total, every = token_counts.counts_of_chunk(data, offsets, token_counts.prefix_counts(BYTE))
+    for k, p in enumerate(parts):
+        want = [len(e.ids) for e in bpe.tokenizer(BYTE).encode_batch([p[:i] for i in range(len(p) + 1)], add_special_tokens=False)]
+        assert total[k] == want[-1]
+        assert [int(every[offsets[k] + len(p[:i].encode()) - 1]) for i in range(1, len(p) + 1)] == want[1:]
+
+
+def test_words_that_share_a_hash_stay_apart():
+    low = int.from_bytes(b"abcdefgh", "little")
+    factor, other, whole = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 1 << 64
+    mixed = lambda w: (int.from_bytes(w[:8], "little") * factor % whole) ^ ((int.from_bytes(w[8:], "little") | len(w) << 56) * other % whole)
+    first = b"abcdefghijkl"
+    second = next(w for w in ((((mixed(first) ^ (high | 12 << 56) * other % whole) * pow(factor, -1, whole) % whole).to_bytes(8, "little") + high.to_bytes(4, "little")) for high in range(1, 100)))
+    assert mixed(first) == mixed(second) and first != second and low
+    data = np.frombuffer(first + second + first, np.uint8)
+    number, found = words.distinct(data, np.array([0, 12, 24]), np.array([12, 24, 36]))
+    assert [found[n] for n in number] == [first, second, first]
+
+
 def test_prefix_counts_of_words_are_those_of_the_library():
     v, t, random_ = token_counts.vocabulary(BYTE), bpe.tokenizer(BYTE), random.Random(5)
     for _ in range(300):
@@ -108,13 +133,13 @@ def test_prefix_counts_of_words_are_those_of_the_library():
 
 
 def test_stored_prefixes_answer_questions(docs):
-    rows = token_counts.count_tokens(docs.limit(20), BYTE, 10**9, prefixes=True)
-    got = rows.select("doc_id", token_counts.count_at(F.col("inner_counts"), F.lit(9)).alias("at9"), token_counts.bytes_within(F.col("word_ends"), F.col("word_counts"), 5).alias("five")).collect()
+    table = token_counts.write_prefix_counts(docs.limit(20), BYTE)
     t, by = bpe.tokenizer(BYTE), dict(texts(docs))
-    for r in got:
-        raw = by[r.doc_id].encode()
-        assert r.at9 == len(t.encode(raw[:9].decode("utf-8", "ignore"), add_special_tokens=False).ids) or raw[:9].decode("utf-8", "ignore").encode() != raw[:9] or raw[8:9].isspace()
-        assert len(t.encode(raw[: r.five].decode(), add_special_tokens=False).ids) <= 5
+    for r in table.select("id", "steps", token_counts.count_at(F.col("steps"), F.lit(9)).alias("at9"), token_counts.count_at(F.col("steps"), F.lit(0)).alias("at0"), token_counts.count_at(F.col("steps"), F.lit(10**6)).alias("all")).collect():
+        text = by[r.id]
+        assert r.at9 == len(t.encode(text.encode()[:9].decode("utf-8", "ignore"), add_special_tokens=False).ids) and r.at0 == 0
+        assert r["all"] == len(t.encode(text, add_special_tokens=False).ids)
+        assert len(t.encode(text.encode()[: token_counts.longest_within(r.steps, 5)].decode(), add_special_tokens=False).ids) <= 5
 
 
 @pytest.mark.parametrize("which", ["docs", "edge", "none"])
@@ -329,17 +354,15 @@ def brute_components(nodes, radius):
     return label
 
 
-@pytest.mark.parametrize(("which", "radius", "blocks"), [("docs", 4, 1), ("docs", 9, 2), ("edge", 4, 1), ("none", 4, 1)])
-def test_simhash_components(which, radius, blocks, request):
+@pytest.mark.parametrize("which", ["docs", "edge", "none"])
+def test_simhash_components(which, request):
     df = request.getfixturevalue(which)
-    got = simhash.near_duplicates(df, radius, 4, blocks).collect()
+    got = simhash.near_duplicates(df, 4, 4).collect()
     want = [(d, brute_fingerprint(t, 4)) for d, t in texts(df)]
     assert sorted_rows([(r.doc_id, r.fp & 2**64 - 1) for r in got]) == sorted_rows(want)
-    label = brute_components({d: f for d, f in want if d is not None}, radius)
+    label = brute_components({d: f for d, f in want if d is not None}, 4)
     for r in got:
         assert r.component_id == label.get(r.doc_id)
-    kept = simhash.one_of_each(df, radius, 4, blocks)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d in (r.doc_id for r in got) if d is None or label[d] == d}
 
 
 def brute_shingles(text, n=5):
@@ -372,19 +395,44 @@ def test_near_copies_are_those_of_the_similarity(spark, edge):
     assert len(df.collect()) > len(want) + 10 and len(alike) > 20
 
 
+@pytest.mark.parametrize(("held", "small"), [(3, 2), (20_000, 2)])
+def test_large_buckets_of_near_copies(spark, edge, monkeypatch, held, small):
+    monkeypatch.setattr(near_copies, "HELD", held)
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    test_near_copies_are_those_of_the_similarity(spark, edge)
+
+
 def test_near_copies_of_an_empty_table(none):
     assert near_copies.one_of_each(none).collect() == []
 
 
 def test_masks_cover_the_radius():
     rnd = random.Random(1)
-    for radius, blocks in ((4, 1), (9, 2)):
-        found = simhash.masks(radius, blocks)
+    for radius, bits in ((4, 64), (1, 30)):
+        found = simhash.masks(radius, bits)
         for _ in range(500):
-            diff = sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, radius)))
+            diff = sum(1 << b for b in rnd.sample(range(bits), rnd.randint(1, radius)))
             assert any(diff & m == 0 for m in found)
 
 
+def test_wide_fingerprints_are_majorities_and_meet_at_the_similarity():
+    rnd = np.random.default_rng(3)
+    met = {0.8: 0, 0.9: 0}
+    for similarity in met:
+        for _ in range(150):
+            n = int(rnd.integers(30, 600))
+            common = round(2 * n * similarity / (1 + similarity))
+            own = rnd.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+            both = near_copies.fingerprints(np.concatenate([own[:n], own[n - common :]]), np.array([0, n, 2 * n]))
+            keys = near_copies.table_keys(both)
+            met[similarity] += bool((keys[0] == keys[1]).any())
+    assert met[0.8] >= 144 and met[0.9] == 150
+    hashes = rnd.integers(0, 1 << 63, 700, dtype=np.uint64)
+    for bounds in ([0, 1, 3, 700], [0, 400, 700]):
+        for row, a, b in zip(simhash.majority(hashes, np.array(bounds)), bounds, bounds[1:]):
+            assert [2 * sum(int(h) >> j & 1 for h in hashes[a:b]) > b - a for j in range(64)] == row.tolist()
+
+
 def test_large_buckets_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 8)
     rnd = random.Random(2)

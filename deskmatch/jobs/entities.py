@@ -11,22 +11,38 @@ from ..sources import tables
 from .mails import MAILS, mails
 
 
+def letters(k):
+    """Ten letters made of a number, as names stand in for those of companies and people."""
+    return F.translate(F.substring(F.md5(k.cast("string").cast("binary")), 1, 10), "0123456789", "ghijklmnop")
+
+
+def _letters(k: str) -> str:
+    return f"translate(substring(md5(({k})::VARCHAR), 1, 10), '0123456789', 'ghijklmnop')"
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers stand for companies; names have legal words, domains a number."""
+    """Suppliers stand for companies; some names have legal words, two companies share a domain."""
     k = F.col("s_suppkey")
-    return b.table(spark, sf_dir, "supplier").select(k.alias("company_id"), F.concat(F.regexp_replace("s_name", "#", " "), F.when(k % 4 == 0, " Co., Ltd.").otherwise("")).alias("name"), F.when(k % 3 != 0, F.concat(F.lit("mail"), (k % 50).cast("string"), F.lit(".example-corp.com"))).alias("domain"))
+    return b.table(spark, sf_dir, "supplier").select(k.alias("company_id"), F.concat(letters(k), F.when(k % 4 == 0, " Co., Ltd.").otherwise("")).alias("name"), F.when(k % 3 != 0, F.concat(F.lit("mail"), F.floor(k / 2).cast("string"), F.lit(".example-corp.com"))).alias("domain"), F.when(k % 5 == 0, "NG").when(k % 5 < 3, "OK").otherwise("UNKNOWN").alias("trade_status"))
 
 
-COMPANIES = """companies AS (SELECT s_suppkey AS company_id, replace(s_name, '#', ' ') || CASE WHEN s_suppkey % 4 = 0 THEN ' Co., Ltd.' ELSE '' END AS name,
-  CASE WHEN s_suppkey % 3 <> 0 THEN 'mail' || (s_suppkey % 50)::VARCHAR || '.example-corp.com' END AS domain FROM supplier)"""
+COMPANIES = f"""companies AS (SELECT s_suppkey AS company_id, {_letters("s_suppkey")} || CASE WHEN s_suppkey % 4 = 0 THEN ' Co., Ltd.' ELSE '' END AS name,
+  CASE WHEN s_suppkey % 3 <> 0 THEN 'mail' || (s_suppkey // 2)::VARCHAR || '.example-corp.com' END AS domain,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'NG' WHEN s_suppkey % 5 < 3 THEN 'OK' ELSE 'UNKNOWN' END AS trade_status FROM supplier)"""
 
 
 def customer_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers stand for senders: by number with a company's domain, its name as label, a free-mail domain or nothing."""
+    """Customers stand for senders: with a company's domain, a free-mail domain, another domain, a company's name as label, or a company's name in their own name or signature."""
     k = F.col("c_custkey")
-    domain = F.when(k % 5 == 0, F.concat(F.lit("a.mail"), (k % 60).cast("string"), F.lit(".example-corp.com"))).when(k % 5 == 1, "gmail.com").when(k % 5 == 2, F.concat(F.lit("big-desk"), (k % 10).cast("string"), F.lit(".example.jp")))
-    label = F.when(k % 5 == 3, F.format_string("Supplier %09d KK", k % 150))
-    return b.table(spark, sf_dir, "customer").select(k.alias("mail_id"), F.concat(F.lit("x@"), domain).alias("from_email"), F.lit(None).cast("string").alias("from_name"), label.alias("label"), F.lit(None).cast("string").alias("signature"))
+    domain = F.when(k % 5 == 0, F.concat(F.lit("a.mail"), F.floor(k / 25).cast("string"), F.lit(".example-corp.com"))).when(k % 5 == 1, "gmail.com").when(k % 5 == 2, F.concat(F.lit("big-desk"), (k % 10).cast("string"), F.lit(".example.jp")))
+    name = F.when(k % 5 == 3, F.concat(letters(F.floor(k / 15)), F.lit(" desk"))).when(k % 10 == 4, F.concat(letters(k + 5000000), F.lit(" Systems | Taro Yamada")))
+    signature = F.when(k % 10 == 9, F.concat(F.lit("Taro\n"), letters(k + 6000000), F.lit(" Holdings\ntel 03-1234-5678")))
+    return b.table(spark, sf_dir, "customer").select(k.alias("mail_id"), F.concat(F.lit("x@"), domain).alias("from_email"), name.alias("from_name"), F.when(k % 5 == 3, F.concat(letters(F.floor(k / 15)), F.lit(" KK"))).alias("label"), signature.alias("signature"))
+
+
+CUSTOMER_MAILS = f"""cmail AS (SELECT c_custkey AS mail_id, CASE c_custkey % 5 WHEN 0 THEN 'a.mail' || (c_custkey // 25)::VARCHAR || '.example-corp.com' WHEN 1 THEN 'gmail.com' WHEN 2 THEN 'big-desk' || (c_custkey % 10)::VARCHAR || '.example.jp' END AS domain,
+  CASE WHEN c_custkey % 5 = 3 THEN {_letters("c_custkey // 15")} || ' desk' WHEN c_custkey % 10 = 4 THEN {_letters("c_custkey + 5000000")} || ' Systems | Taro Yamada' END AS from_name,
+  CASE WHEN c_custkey % 5 = 3 THEN {_letters("c_custkey // 15")} || ' KK' END AS label, CASE WHEN c_custkey % 10 = 9 THEN 'Taro' || chr(10) || {_letters("c_custkey + 6000000")} || ' Holdings' || chr(10) || 'tel 03-1234-5678' END AS signature FROM customer)"""
 
 
 def inferred_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,25 +51,53 @@ def inferred_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mail_id", "company_id", "company_name", "source", "confidence", "score", "eligible")
 
 
+def sender_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return company.sender_company(customer_mails(spark, sf_dir), companies(spark, sf_dir))
+
+
 def contact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best contacts (suppliers) for each of the customers (a top-k report)."""
+    """The three best contacts (of suppliers) for each of the customers (a top-k report): exact, close and contained names, addresses, domains."""
     k = F.col("s_suppkey")
-    contacts = b.table(spark, sf_dir, "supplier").select(k.alias("contact_id"), F.regexp_replace("s_name", "#", " ").alias("company"), F.concat(F.lit("mail"), (k % 50).cast("string"), F.lit(".example-corp.com")).alias("domain"), F.concat(F.lit("p"), k.cast("string"), F.lit("@mail"), (k % 50).cast("string"), F.lit(".example-corp.com")).alias("email"), F.lit(None).cast("string").alias("contact"))
+    domain = F.concat(F.lit("mail"), F.floor(k / 2).cast("string"), F.lit(".example-corp.com"))
+    person = F.concat_ws(" ", letters(k + 1000000), letters(k + 2000000))
+    contacts = b.table(spark, sf_dir, "supplier").select(k.alias("contact_id"), letters(k).alias("company"), domain.alias("domain"), F.concat(F.lit("p"), k.cast("string"), F.lit("@"), domain).alias("email"), person.alias("contact"))
     j = F.col("c_custkey")
-    entities = b.table(spark, sf_dir, "customer").select(j.alias("entity_id"), F.when(j % 2 == 0, F.format_string("Supplier %09d", j % 200)).alias("company"), F.when(j % 3 == 0, F.concat(F.lit("p"), (j % 120).cast("string"), F.lit("@mail"), (j % 60).cast("string"), F.lit(".example-corp.com"))).alias("email"), F.lit(None).cast("string").alias("contact"))
-    return company.contact_candidates(entities, contacts, 3)
+    n = F.floor(j / 15)
+    name = F.when(j % 6 == 0, F.concat(F.substring(letters(n), 1, 9), F.lit("z"))).when(j % 8 == 2, F.concat(letters(n), F.lit("japan"))).when(j % 2 == 0, letters(n))
+    mail = F.when(j % 3 == 0, F.concat(F.lit("p"), F.floor(j / 12).cast("string"), F.lit("@mail"), F.floor(j / 24).cast("string"), F.lit(".example-corp.com")))
+    who = F.when(j % 5 == 0, F.concat_ws(" ", letters(n + 2000000), letters(n + 1000000))).when(j % 5 == 1, F.concat_ws(" ", letters(n + 1000000), letters(n + 2000000))).when(j % 5 == 2, F.concat_ws(" ", letters(n + 1000000), F.concat(F.substring(letters(n + 2000000), 1, 9), F.lit("z"))))
+    return company.contact_candidates(b.table(spark, sf_dir, "customer").select(j.alias("entity_id"), name.alias("company"), mail.alias("email"), who.alias("contact")), contacts, 3)
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders stand for entities of mails: the source mail is a document, some twice."""
+    """Orders stand for entities: every fourth has a source mail (a document of even number, so some mails have several), others a code made from a mail's number."""
     k = F.col("o_orderkey")
-    return b.table(spark, sf_dir, "orders").select(k.alias("entity_id"), k.alias("id"), F.when(k % 4 == 0, k % 700).alias("source_mail_id"), F.concat(F.lit("GMAIL-PRJ-"), (k % 900).cast("string")).alias("code"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "ARCHIVED").otherwise("OPEN").alias("status"), F.when(k % 2 == 0, "PROJECT").otherwise("PERSON").alias("entity_type"))
+    code = F.when(k % 4 == 1, F.floor(k / 45) * 3).otherwise(-k)
+    return b.table(spark, sf_dir, "orders").select(k.alias("entity_id"), k.alias("id"), F.when(k % 4 == 0, F.floor(k / 30) * 2).alias("source_mail_id"), F.concat(F.lit("GMAIL-PRJ-"), code.cast("string")).alias("code"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "ARCHIVED").otherwise("OPEN").alias("status"), F.when(k % 2 == 0, "PROJECT").otherwise("PERSON").alias("entity_type"))
 
 
-ENTITIES = """entities AS (SELECT o_orderkey AS entity_id, o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 700 END AS source_mail_id, 'GMAIL-PRJ-' || (o_orderkey % 900)::VARCHAR AS code, o_orderdate AS created_at,
+ENTITIES = """entities AS (SELECT o_orderkey AS entity_id, o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey // 30 * 2 END AS source_mail_id, 'GMAIL-PRJ-' || (CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey // 45 * 3 ELSE -o_orderkey END)::VARCHAR AS code, o_orderdate AS created_at,
   CASE WHEN o_orderstatus = 'F' THEN 'ARCHIVED' ELSE 'OPEN' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'PROJECT' ELSE 'PERSON' END AS entity_type FROM orders)"""
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of small parts stand for links between the mail of the part's number and the order."""
+    lines, parts = b.table(spark, sf_dir, "lineitem"), b.table(spark, sf_dir, "part").filter("p_size <= 10")
+    rows = lines.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).join(b.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("l_partkey").alias("mail_id"), F.col("l_orderkey").alias("entity_id"), F.when(F.col("l_returnflag") == "R", "REVIEW_CANDIDATE").otherwise("EXTRACTED").alias("link_type"), F.col("o_orderdate").alias("created_at"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events stand for extraction results of the mail of their number."""
+    rows = b.table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return rows.select(F.col("event_id").alias("mail_id"), F.col("user_id").alias("entity_id"), F.col("ts").alias("created_at"), F.when(F.col("value") > 50, "PROJECT").otherwise("PERSON").alias("target"))
+
+
+LINKS = """links AS (SELECT l_partkey AS mail_id, l_orderkey AS entity_id, CASE WHEN l_returnflag = 'R' THEN 'REVIEW_CANDIDATE' ELSE 'EXTRACTED' END AS link_type, o_orderdate AS created_at
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_size <= 10),
+results AS (SELECT event_id AS mail_id, user_id AS entity_id, ts AS created_at, CASE WHEN value > 50 THEN 'PROJECT' ELSE 'PERSON' END AS target FROM events WHERE event_type = 'error')"""
+
+
 def _categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("mail_id")
     return mails(spark, sf_dir).withColumns({"category": F.when(k % 3 == 0, "PROJECT_INTRO").when(k % 3 == 1, "PERSON_INTRO").otherwise("OTHER"), "is_excluded": k % 10 == 0})
@@ -75,14 +119,23 @@ def unlinked_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.unlinked_mails(_categorized(spark, sf_dir), links).select("mail_id", "category")
 
 
-def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan of a run over all mails: some known by source mail or code, some by subject and sender of older ones."""
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mails with senders by language, what is known of them, and the mails of open entities."""
     m = _categorized(spark, sf_dir).withColumn("from_email", F.concat(F.lit("x@"), F.col("lang"), F.lit(".example.com")))
     e = _entities(spark, sf_dir)
-    none = e.filter("false").select(F.col("entity_id").alias("mail_id"), "entity_id", "created_at", F.lit("EXTRACTED").alias("link_type"))
-    known = dedupe.resolve_existing(m, e.filter("entity_id < 400 OR entity_id % 97 = 0"), none, none, "GMAIL-PRJ-")
-    prior = m.filter("mail_id % 31 = 0").select("subject", "from_email", (F.col("mail_id") + 100000).alias("entity_id"), F.col("received_at").alias("created_at"))
-    return dedupe.plan_extraction(m, known, prior)
+    known = dedupe.resolve_existing(m, e, _links(spark, sf_dir), _results(spark, sf_dir), "GMAIL-PRJ-")
+    open_ = e.filter("status != 'ARCHIVED'").select(F.col("source_mail_id").alias("mail_id"), "entity_id", "created_at")
+    return m, known, open_.join(m.select("mail_id", "subject", "from_email"), "mail_id").drop("mail_id")
+
+
+def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan of a run over all mails: known by source mail, link, result or code, or by subject and sender of open entities' mails."""
+    return dedupe.plan_extraction(*_planned(spark, sf_dir))
+
+
+def resolved_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of each mail and how it is known."""
+    return _planned(spark, sf_dir)[1]
 
 
 def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +158,11 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of even number against those of odd number: by title and company, or two skills with a near price or the place."""
+    """Each two parts, the later against the earlier: by title and company, or two skills with a near price or the place."""
     p = b.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     rows = p.select(k.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.array(F.col("p_type"), F.split("p_name", " ")[0]).alias("skill_list"), F.concat(F.lit("p"), (k % 40).cast("string")).alias("place"), F.col("p_size").cast("double").alias("price_value"))
-    return imports.db_duplicates(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
+    return imports.db_duplicates(rows, rows, F.col("r_id") < F.col("e_id"))
 
 
 def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,16 +170,17 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of all documents (some twice) merged into a table of the even ones, bodies refreshed."""
+    """A batch of all documents (each twice) merged into a table of those with a label, bodies refreshed."""
     m = mails(spark, sf_dir).select(F.lit(1).alias("account_id"), F.col("mail_id").alias("external_id"), F.length("body").alias("n_body"), F.lit("OTHER").alias("category"))
-    known = m.filter("external_id % 2 = 0").withColumns({"n_body": F.lit(0), "category": F.lit("PROJECT_INTRO")})
+    known = m.join(b.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("external_id")).distinct(), "external_id", "left_semi").withColumns({"n_body": F.lit(0), "category": F.lit("PROJECT_INTRO")})
     return tables.merge_batch(known, m.unionByName(m), ["account_id", "external_id"], ["n_body"], {"category": F.lit("NEEDS_REVIEW")})
 
 
 def appended_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a second append of all links to a table that has a third of them."""
-    links = _entities(spark, sf_dir).filter("source_mail_id IS NOT NULL").select("source_mail_id", "entity_type")
-    fresh, counts = tables.append_if_absent(links.filter("source_mail_id % 3 = 0"), links, ["source_mail_id", "entity_type"])
+    """Counts of an append of all entities' links to a table that has those of archived ones."""
+    e = _entities(spark, sf_dir).filter("source_mail_id IS NOT NULL")
+    links = e.select("source_mail_id", "entity_type")
+    _, counts = tables.append_if_absent(e.filter("status = 'ARCHIVED'").select("source_mail_id", "entity_type"), links, ["source_mail_id", "entity_type"])
     return counts
 
 
@@ -134,7 +188,7 @@ def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide rows of all projects with roles from suppliers and results from events."""
     p, k = b.projects(spark, sf_dir), F.col("project_id")
     roles = p.select("project_id", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(i).alias("sort_order"), ((k * m) % 100).alias("company_id")) for i, (r, m) in enumerate((("END_USER", 3), ("PRIME", 7), ("UPPER", 11)))))).alias("x")).select("project_id", "x.*").filter("(project_id + sort_order) % 4 != 0")
-    results = b.table(spark, sf_dir, "events").select((F.col("event_id") % 5000).alias("project_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("result_id"), (F.col("event_type") == "error").alias("needs_review"))
+    results = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("project_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("result_id"), (F.col("event_type") == "error").alias("needs_review"))
     return lists.project_list(p, b.project_skills(spark, sf_dir).filter("trim(skill_name) != ''"), roles, companies(spark, sf_dir), results)
 
 
@@ -155,9 +209,12 @@ def quality_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entities(spark, sf_dir)
-    links = e.filter("source_mail_id IS NOT NULL").select((F.col("source_mail_id") * 2).alias("mail_id"), F.col("entity_type").alias("link_type"))
-    return reports.source_inventory(_categorized(spark, sf_dir), links, e.select(F.col("entity_type").alias("target")))
+    return reports.source_inventory(_categorized(spark, sf_dir), _links(spark, sf_dir), _results(spark, sf_dir), _entities(spark, sf_dir))
+
+
+def mail_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 newest mails with their links (a sample of the newest is the feature)."""
+    return reports.relationship_sample(mails(spark, sf_dir), _links(spark, sf_dir), 30)
 
 
 def sensitive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,18 +254,14 @@ def import_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.run_status(_assessed(spark, sf_dir))
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entities(spark, sf_dir).filter("source_mail_id IS NOT NULL AND source_mail_id % 5 = 0").select(F.col("source_mail_id").alias("mail_id"), "entity_id")
-
-
 def unclassified_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.filter_unclassified(_categorized(spark, sf_dir), _entities(spark, sf_dir), _links(spark, sf_dir)).select("mail_id", "needs_review")
 
 
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails by the first reason not to extract them."""
-    e = _entities(spark, sf_dir).filter("source_mail_id % 7 = 0").select(F.col("source_mail_id").alias("mail_id"))
-    out = dedupe.skip_reason(_categorized(spark, sf_dir), e, _links(spark, sf_dir), e.filter("false"))
+    e = _entities(spark, sf_dir).filter("source_mail_id IS NOT NULL").select(F.col("source_mail_id").alias("mail_id"))
+    out = dedupe.skip_reason(_categorized(spark, sf_dir), e, _links(spark, sf_dir), _results(spark, sf_dir))
     return out.select("mail_id", "skip_reason")
 
 
@@ -231,14 +284,17 @@ def first_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return company.first_role(rows)
 
 
-NAMES = ["unclassified_mails", "skip_reasons", "archived_mismatches", "search_history", "first_roles", "validated_inputs", "import_links", "import_runs", "inferred_companies", "contact_candidates", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
+NAMES = ["unclassified_mails", "skip_reasons", "archived_mismatches", "search_history", "first_roles", "validated_inputs", "import_links", "import_runs", "inferred_companies", "sender_companies", "contact_candidates", "resolved_mails", "mail_relations", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
 
 
 def queries() -> dict:
     return {n: globals()[n] for n in NAMES}
 
 
-_KEY = "regexp_replace(regexp_replace(lower({}), '\\b(co|company|corp|corporation|inc|incorporated|kk|limited|llc|ltd)\\b', '', 'g'), '[^0-9a-z]+', '', 'g')"
+KNOWN = """sm AS (SELECT source_mail_id AS mail_id, arg_min(entity_id, {'a': created_at, 'b': entity_id}) AS x FROM entities WHERE source_mail_id IS NOT NULL GROUP BY 1), li AS (SELECT mail_id, arg_min(entity_id, {'a': created_at, 'b': entity_id}) AS x FROM links WHERE link_type = 'EXTRACTED' GROUP BY 1),
+  re AS (SELECT mail_id, arg_min(entity_id, {'a': created_at, 'b': entity_id}) AS x FROM results GROUP BY 1), cd AS (SELECT code, arg_min(entity_id, {'a': created_at, 'b': entity_id}) AS x FROM entities GROUP BY 1),
+  kn AS (SELECT mail_id, coalesce(sm.x, li.x, re.x, cd.x) AS entity_id, CASE WHEN sm.x IS NOT NULL THEN 'source_mail' WHEN li.x IS NOT NULL THEN 'link' WHEN re.x IS NOT NULL THEN 'result' WHEN cd.x IS NOT NULL THEN 'generated_code' END AS way
+    FROM cm LEFT JOIN sm USING (mail_id) LEFT JOIN li USING (mail_id) LEFT JOIN re USING (mail_id) LEFT JOIN cd ON cd.code = 'GMAIL-PRJ-' || substring(cm.mail_id::VARCHAR, 1, 8))"""
 _SHEET = """sheet AS (SELECT p_partkey, p_partkey + 2 AS row_no, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS title, p_brand AS company, CASE WHEN p_partkey % 13 <> 0 THEN 'work ' || p_type END AS work,
   CASE WHEN p_partkey % 7 <> 0 THEN [p_type, p_brand] END AS skills, CASE WHEN p_partkey % 5 = 0 THEN 'abc' ELSE p_size::VARCHAR || '万円' END AS price, CASE WHEN p_partkey % 17 = 0 THEN 'soon' ELSE '2026-07' END AS start FROM part),
 rated AS (SELECT *, round((4 + (title IS NOT NULL)::INT + (work IS NOT NULL)::INT + (skills IS NOT NULL)::INT - 1) / 7, 4)::DOUBLE AS coverage FROM sheet),
@@ -248,38 +304,45 @@ sheeted AS (SELECT *, count(*) OVER (PARTITION BY lower(coalesce(title, '')), st
 
 
 def oracle_sql() -> dict[str, str]:
-    customers = """cmail AS (SELECT c_custkey AS mail_id, CASE c_custkey % 5 WHEN 0 THEN 'a.mail' || (c_custkey % 60)::VARCHAR || '.example-corp.com' WHEN 1 THEN 'gmail.com' WHEN 2 THEN 'big-desk' || (c_custkey % 10)::VARCHAR || '.example.jp' END AS domain,
-      CASE WHEN c_custkey % 5 = 3 THEN printf('Supplier %09d KK', c_custkey % 150) END AS label FROM customer)"""
+    sign_key = "regexp_replace(lower({}), '[株式会社有限会社合同会社合資会社（）()\\[\\]【】\"''`.,、。・\\s_-]', '', 'g')"
     return {
-        "inferred_companies": f"""WITH {COMPANIES}, {customers}, d AS (SELECT domain, min({{'i': company_id, 'n': name}}) AS x FROM companies WHERE domain IS NOT NULL GROUP BY 1),
-          a AS (SELECT mail_id, max({{'l': length(k), 'o': -company_id, 'i': company_id, 'n': name}}) AS x FROM (SELECT *, {_KEY.format('name')} AS k FROM companies) JOIN cmail ON contains({_KEY.format("coalesce(label, '')")}, k) GROUP BY 1),
+        "inferred_companies": f"""WITH {COMPANIES}, {CUSTOMER_MAILS}, d AS (SELECT domain, min({{'i': company_id, 'n': name}}) AS x FROM companies WHERE domain IS NOT NULL GROUP BY 1),
+          a AS (SELECT mail_id, max({{'l': length(k), 'o': -company_id, 'i': company_id, 'n': name}}) AS x FROM (SELECT *, {sign_key.format('name')} AS k FROM companies) JOIN cmail ON contains({sign_key.format("concat_ws(' ', label, from_name, signature)")}, k) GROUP BY 1),
           j AS (SELECT c.*, d.x AS dx, a.x AS ax FROM cmail c LEFT JOIN d ON c.domain = 'a.' || d.domain LEFT JOIN a USING (mail_id)),
-          s AS (SELECT *, CASE WHEN dx IS NOT NULL THEN 'known_main_email_domain' WHEN ax IS NOT NULL THEN 'known_alias' WHEN label IS NOT NULL THEN 'body_label' WHEN domain = 'gmail.com' THEN 'generic_domain' WHEN domain IS NOT NULL THEN 'sender_domain' ELSE 'none' END AS source FROM j)
-          SELECT mail_id, coalesce(dx.i, ax.i) AS company_id, CASE source WHEN 'known_main_email_domain' THEN dx.n WHEN 'known_alias' THEN ax.n WHEN 'body_label' THEN label WHEN 'sender_domain' THEN CASE WHEN domain LIKE 'a.mail%' THEN 'Example Corp' ELSE 'Example' END END AS company_name, source,
-          CASE source WHEN 'known_main_email_domain' THEN 'HIGH' WHEN 'known_alias' THEN 'HIGH' WHEN 'body_label' THEN 'HIGH' WHEN 'none' THEN 'NONE' ELSE 'LOW' END AS confidence,
-          CASE source WHEN 'known_main_email_domain' THEN 0.92 WHEN 'known_alias' THEN 0.88 WHEN 'body_label' THEN 0.86 WHEN 'generic_domain' THEN 0.2 WHEN 'sender_domain' THEN 0.42 ELSE 0 END::DOUBLE AS score, source LIKE 'known%' AS eligible FROM s""",
-        "contact_candidates": """WITH c AS (SELECT s_suppkey AS contact_id, lower(replace(s_name, '#', '')) AS k, 'mail' || (s_suppkey % 50)::VARCHAR || '.example-corp.com' AS domain, 'p' || s_suppkey::VARCHAR || '@mail' || (s_suppkey % 50)::VARCHAR || '.example-corp.com' AS email FROM supplier),
-          e AS (SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 2 = 0 THEN printf('supplier%09d', c_custkey % 200) ELSE '' END AS k, CASE WHEN c_custkey % 3 = 0 THEN 'mail' || (c_custkey % 60)::VARCHAR || '.example-corp.com' END AS domain,
-            CASE WHEN c_custkey % 3 = 0 THEN 'p' || (c_custkey % 120)::VARCHAR || '@mail' || (c_custkey % 60)::VARCHAR || '.example-corp.com' END AS email FROM customer),
-          s AS (SELECT entity_id, contact_id, c.k, e.k = c.k AS x, e.k <> '' AND e.k <> c.k AND 1 - levenshtein(e.k, c.k) / greatest(length(e.k), length(c.k)) >= 0.82 AS v, coalesce(e.email = c.email, false) AS m, coalesce(e.domain = c.domain, false) AS d FROM e, c),
-          t AS (SELECT *, least(100, 46 * x::INT + 28 * v::INT + 62 * m::INT + 34 * d::INT)::INT AS score, concat_ws(',', CASE WHEN x THEN 'company_name_exact' END, CASE WHEN v THEN 'company_name_variant' END, CASE WHEN m THEN 'contact_email_match' END, CASE WHEN d THEN 'email_domain_match' END) AS reasons FROM s)
+          s AS (SELECT *, CASE WHEN dx IS NOT NULL THEN 'known_main_email_domain' WHEN ax IS NOT NULL THEN 'known_alias' WHEN label IS NOT NULL THEN 'body_label' WHEN from_name IS NOT NULL THEN 'from_name' WHEN signature IS NOT NULL THEN 'signature_company'
+            WHEN domain = 'gmail.com' THEN 'generic_domain' WHEN domain IS NOT NULL THEN 'sender_domain' ELSE 'none' END AS source FROM j)
+          SELECT mail_id, coalesce(dx.i, ax.i) AS company_id, CASE source WHEN 'known_main_email_domain' THEN dx.n WHEN 'known_alias' THEN ax.n WHEN 'body_label' THEN label WHEN 'from_name' THEN string_split(from_name, ' |')[1] WHEN 'signature_company' THEN string_split(signature, chr(10))[2]
+            WHEN 'sender_domain' THEN CASE WHEN domain LIKE 'a.mail%' THEN 'Example Corp' ELSE 'Example' END END AS company_name, source,
+          CASE WHEN source IN ('known_main_email_domain', 'known_alias', 'body_label') THEN 'HIGH' WHEN source IN ('from_name', 'signature_company') THEN 'MEDIUM' WHEN source = 'none' THEN 'NONE' ELSE 'LOW' END AS confidence,
+          CASE source WHEN 'known_main_email_domain' THEN 0.92 WHEN 'known_alias' THEN 0.88 WHEN 'body_label' THEN 0.86 WHEN 'from_name' THEN 0.72 WHEN 'signature_company' THEN 0.68 WHEN 'generic_domain' THEN 0.2 WHEN 'sender_domain' THEN 0.42 ELSE 0 END::DOUBLE AS score, source LIKE 'known%' AS eligible FROM s""",
+        "sender_companies": f"""WITH {COMPANIES}, {CUSTOMER_MAILS}, m AS (SELECT mail_id, domain, lower(replace(coalesce(from_name, '') || coalesce('x@' || domain, ''), ' ', '')) AS t FROM cmail),
+          d AS (SELECT mail_id, min({{'i': company_id, 'n': name}}) AS x FROM m JOIN companies c ON m.domain = c.domain OR m.domain = 'a.' || c.domain GROUP BY 1), n AS (SELECT mail_id, min({{'i': company_id, 'n': name}}) AS x FROM m JOIN companies c ON contains(t, lower(replace(name, ' ', ''))) GROUP BY 1)
+          SELECT mail_id, coalesce(d.x, n.x).i AS company_id, coalesce(d.x, n.x).n AS company_name FROM m LEFT JOIN d USING (mail_id) LEFT JOIN n USING (mail_id)""",
+        "contact_candidates": f"""WITH c AS (SELECT s_suppkey AS contact_id, {_letters("s_suppkey")} AS k, 'mail' || (s_suppkey // 2)::VARCHAR || '.example-corp.com' AS domain, 'p' || s_suppkey::VARCHAR || '@mail' || (s_suppkey // 2)::VARCHAR || '.example-corp.com' AS email, {_letters("s_suppkey + 1000000")} AS p, {_letters("s_suppkey + 2000000")} AS q FROM supplier),
+          f AS (SELECT *, {_letters("c_custkey // 15")} AS l, {_letters("c_custkey // 15 + 1000000")} AS p0, {_letters("c_custkey // 15 + 2000000")} AS q0 FROM customer),
+          e AS (SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 6 = 0 THEN substring(l, 1, 9) || 'z' WHEN c_custkey % 8 = 2 THEN l || 'japan' WHEN c_custkey % 2 = 0 THEN l ELSE '' END AS k, CASE WHEN c_custkey % 3 = 0 THEN 'mail' || (c_custkey // 24)::VARCHAR || '.example-corp.com' END AS domain,
+            CASE WHEN c_custkey % 3 = 0 THEN 'p' || (c_custkey // 12)::VARCHAR || '@mail' || (c_custkey // 24)::VARCHAR || '.example-corp.com' END AS email, CASE c_custkey % 5 WHEN 0 THEN q0 WHEN 1 THEN p0 WHEN 2 THEN p0 END AS p, CASE c_custkey % 5 WHEN 0 THEN p0 WHEN 1 THEN q0 WHEN 2 THEN substring(q0, 1, 9) || 'z' END AS q FROM f),
+          s AS (SELECT entity_id, contact_id, c.k, e.k = c.k AS x, e.k <> '' AND e.k <> c.k AND (contains(e.k, c.k) OR contains(c.k, e.k) OR 1 - levenshtein(e.k, c.k) / greatest(length(e.k), length(c.k)) >= 0.82) AS v, coalesce(e.email = c.email, false) AS m, coalesce(e.domain = c.domain, false) AS d,
+            coalesce(e.p || e.q = c.p || c.q, false) AS y, coalesce(e.p || e.q <> c.p || c.q AND (least(e.p, e.q) || greatest(e.p, e.q) = least(c.p, c.q) || greatest(c.p, c.q) OR 1 - levenshtein(e.p || e.q, c.p || c.q) / 20 >= 0.84), false) AS z FROM e, c),
+          t AS (SELECT *, least(100, 46 * x::INT + 28 * v::INT + 62 * m::INT + 34 * d::INT + 40 * y::INT + 22 * z::INT)::INT AS score, concat_ws(',', CASE WHEN x THEN 'company_name_exact' END, CASE WHEN v THEN 'company_name_variant' END, CASE WHEN m THEN 'contact_email_match' END, CASE WHEN d THEN 'email_domain_match' END,
+            CASE WHEN y THEN 'contact_name_exact' END, CASE WHEN z THEN 'contact_name_variant' END) AS reasons FROM s)
           SELECT entity_id, contact_id, score, reasons, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, len(string_split(reasons, ',')) DESC, k, contact_id)::INT AS rank FROM t WHERE score > 0) WHERE rank <= 3""",
         "duplicate_rows": f"WITH {ENTITIES}, w AS (SELECT *, count(*) OVER (PARTITION BY source_mail_id, entity_type) AS n_rows, row_number() OVER (PARTITION BY source_mail_id, entity_type ORDER BY created_at, id)::INT AS row_no FROM entities WHERE source_mail_id IS NOT NULL) SELECT id, source_mail_id, entity_type, n_rows, row_no, row_no = 1 AS keep FROM w WHERE n_rows > 1",
         "category_mismatches": f"WITH {ENTITIES}, {CATEGORIZED} SELECT entity_id, source_mail_id, CASE WHEN is_excluded THEN 'MAIL_EXCLUDED' ELSE 'CATEGORY_DIFFERS' END AS reason FROM entities JOIN cm ON source_mail_id = mail_id WHERE status <> 'ARCHIVED' AND (is_excluded OR category <> 'PROJECT_INTRO')",
         "unlinked_mails": f"WITH {ENTITIES}, {CATEGORIZED} SELECT mail_id, category FROM cm WHERE category <> 'OTHER' AND NOT is_excluded AND mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL)",
-        "extraction_plan": f"""WITH {ENTITIES}, {CATEGORIZED}, e AS (SELECT * FROM entities WHERE entity_id < 400 OR entity_id % 97 = 0),
-          sm AS (SELECT source_mail_id AS mail_id, arg_min(entity_id, {{'a': created_at, 'b': entity_id}}) AS x FROM e WHERE source_mail_id IS NOT NULL GROUP BY 1), cd AS (SELECT code, arg_min(entity_id, {{'a': created_at, 'b': entity_id}}) AS x FROM e GROUP BY 1),
+        "resolved_mails": f"WITH {ENTITIES}, {LINKS}, {CATEGORIZED}, {KNOWN} SELECT * FROM kn",
+        "extraction_plan": f"""WITH {ENTITIES}, {LINKS}, {CATEGORIZED}, {KNOWN},
           k AS (SELECT cm.*, nullif(lower(trim(regexp_replace(regexp_replace(subject, '^\\s*(re|fw|fwd)\\s*:\\s*', '', 'i'), '\\s+', ' ', 'g'))), '') AS sub, lang || '.example.com' AS snd FROM cm),
-          pr AS (SELECT sub, snd, arg_min(mail_id + 100000, {{'a': received_at, 'b': mail_id}}) AS same FROM k WHERE mail_id % 31 = 0 AND sub IS NOT NULL GROUP BY 1, 2),
-          j AS (SELECT k.*, coalesce(sm.x, cd.x) AS known, same FROM k LEFT JOIN sm USING (mail_id) LEFT JOIN cd ON cd.code = 'GMAIL-PRJ-' || k.mail_id::VARCHAR LEFT JOIN pr ON k.sub = pr.sub AND k.snd = pr.snd),
+          pr AS (SELECT sub, snd, arg_min(e.entity_id, {{'a': e.created_at, 'b': e.entity_id}}) AS same FROM entities e JOIN k ON e.source_mail_id = k.mail_id WHERE e.status <> 'ARCHIVED' AND sub IS NOT NULL GROUP BY 1, 2),
+          j AS (SELECT k.*, kn.entity_id AS known, same FROM k JOIN kn USING (mail_id) LEFT JOIN pr ON k.sub = pr.sub AND k.snd = pr.snd),
           r AS (SELECT *, row_number() OVER w AS n, first_value(mail_id) OVER w AS f FROM j WINDOW w AS (PARTITION BY sub, snd, known IS NULL AND same IS NULL ORDER BY received_at DESC, mail_id))
           SELECT mail_id, CASE WHEN known IS NOT NULL THEN 'skipped' WHEN same IS NOT NULL THEN 'linked' WHEN sub IS NOT NULL AND n > 1 THEN 'linked' ELSE 'created' END AS action,
           CASE WHEN known IS NOT NULL THEN 'ALREADY_EXTRACTED' WHEN same IS NOT NULL THEN 'SAME_SUBJECT_AND_SENDER' WHEN sub IS NOT NULL AND n > 1 THEN 'SAME_IN_BATCH' ELSE 'NEW' END AS reason, coalesce(known, same) AS entity_id,
           CASE WHEN known IS NULL AND same IS NULL AND sub IS NOT NULL AND n > 1 THEN f END AS same_as_mail FROM r""",
         "import_assessment": f"WITH {_SHEET} SELECT row_no, title, coalesce(len(skills), 0)::INT AS n_skills, coverage, warnings, CASE WHEN warnings <> '' OR same_rows > 1 THEN 'would_need_review' ELSE 'would_create' END AS action, same_rows FROM sheeted",
-        "unclassified_mails": f"WITH {ENTITIES}, {CATEGORIZED} SELECT mail_id, false AS needs_review FROM cm WHERE category = 'OTHER' AND NOT is_excluded AND mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL AND (status <> 'ARCHIVED' OR source_mail_id % 5 = 0))",
-        "skip_reasons": f"""WITH {ENTITIES}, {CATEGORIZED} SELECT mail_id, CASE WHEN is_excluded THEN 'MAIL_EXCLUDED' WHEN category = 'OTHER' THEN 'NOT_AN_INTRODUCTION' WHEN mail_id % 7 = 0 AND mail_id IN (SELECT source_mail_id FROM entities) THEN 'ENTITY_EXISTS'
-          WHEN mail_id % 5 = 0 AND mail_id IN (SELECT source_mail_id FROM entities) THEN 'LINK_EXISTS' WHEN trim(body) = '' THEN 'BODY_EMPTY' END AS skip_reason FROM cm""",
+        "unclassified_mails": f"WITH {ENTITIES}, {LINKS}, {CATEGORIZED} SELECT mail_id, false AS needs_review FROM cm WHERE category = 'OTHER' AND NOT is_excluded AND mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL AND status <> 'ARCHIVED') AND mail_id NOT IN (SELECT mail_id FROM links)",
+        "skip_reasons": f"""WITH {ENTITIES}, {LINKS}, {CATEGORIZED} SELECT mail_id, CASE WHEN is_excluded THEN 'MAIL_EXCLUDED' WHEN category = 'OTHER' THEN 'NOT_AN_INTRODUCTION' WHEN mail_id IN (SELECT source_mail_id FROM entities) THEN 'ENTITY_EXISTS'
+          WHEN mail_id IN (SELECT mail_id FROM links) THEN 'LINK_EXISTS' WHEN mail_id IN (SELECT mail_id FROM results) THEN 'RESULT_EXISTS' WHEN trim(body) = '' THEN 'BODY_EMPTY' END AS skip_reason FROM cm""",
         "archived_mismatches": f"WITH {ENTITIES}, {CATEGORIZED} SELECT entity_id, CASE WHEN is_excluded OR category <> 'PROJECT_INTRO' THEN 'ARCHIVED' ELSE status END AS status FROM entities LEFT JOIN cm ON source_mail_id = mail_id",
         "search_history": "SELECT * FROM (SELECT event_id AS id, user_id, event_type AS scope, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events) WHERE rank <= 20",
         "first_roles": """WITH r AS (SELECT l_orderkey AS project_id, CASE l_returnflag WHEN 'A' THEN 'PRIME' WHEN 'N' THEN 'END_USER' ELSE 'OTHER' END AS role, l_linenumber AS o, l_suppkey AS company_id FROM lineitem),
@@ -291,17 +354,17 @@ def oracle_sql() -> dict[str, str]:
         "import_summary": f"""WITH {_SHEET} SELECT 'action' AS metric, CASE WHEN warnings <> '' THEN 'would_need_review' ELSE 'would_create' END AS key, count(*) AS n FROM sheeted GROUP BY 2 UNION ALL
           SELECT 'warning', unnest(string_split(warnings, ',')) AS key, count(*) FROM sheeted WHERE warnings <> '' GROUP BY 2 UNION ALL SELECT 'duplicate', 'same_source', count(*) FROM sheeted WHERE same_rows > 1""",
         "import_duplicates": """WITH r AS (SELECT p_partkey AS id, p_name AS t, p_brand AS c, [lower(p_type), string_split(p_name, ' ')[1]] AS k, p_partkey % 40 AS pl, p_size::DOUBLE AS pr FROM part),
-          j AS (SELECT a.id, b.id AS existing_id, a.t = b.t AND a.c = b.c AS same, len(list_intersect(a.k, b.k)) >= 2 AS two, a.pl = b.pl AS place, abs(a.pr - b.pr) <= 5 AS near FROM r a, r b WHERE a.id % 2 = 0 AND b.id % 2 = 1)
+          j AS (SELECT a.id, b.id AS existing_id, a.t = b.t AND a.c = b.c AS same, len(list_intersect(a.k, b.k)) >= 2 AS two, a.pl = b.pl AS place, abs(a.pr - b.pr) <= 5 AS near FROM r a JOIN r b ON a.id < b.id)
           SELECT id, existing_id, CASE WHEN same OR (two AND place AND near) THEN 'strong' ELSE 'weak' END AS strength FROM j WHERE same OR (two AND (place OR near))""",
         "field_coverage": f"WITH {_SHEET}, f AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {e} AS has FROM sheet" for f, e in {"title": "title IS NOT NULL", "company": "company IS NOT NULL", "work": "work IS NOT NULL", "skills": "skills IS NOT NULL", "price": "true", "start": "true", "place": "false"}.items()) + ") SELECT field, count(*) FILTER (has) AS present, count(*) FILTER (NOT has) AS missing, round(count(*) FILTER (has) / count(*), 4)::DOUBLE AS ratio FROM f GROUP BY 1",
-        "merged_mails": "SELECT 1 AS account_id, doc_id AS external_id, length(text)::INT AS n_body, CASE WHEN doc_id % 2 = 0 THEN 'PROJECT_INTRO' ELSE 'NEEDS_REVIEW' END AS category FROM documents",
-        "appended_links": f"""WITH {ENTITIES}, l AS (SELECT source_mail_id, entity_type, row_number() OVER (PARTITION BY source_mail_id, entity_type) AS n FROM entities WHERE source_mail_id IS NOT NULL)
-          SELECT CASE WHEN n > 1 OR source_mail_id % 3 = 0 THEN 'skipped' ELSE 'created' END AS action, count(*) AS n FROM l GROUP BY 1""",
+        "merged_mails": "SELECT 1 AS account_id, doc_id AS external_id, length(text)::INT AS n_body, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'PROJECT_INTRO' ELSE 'NEEDS_REVIEW' END AS category FROM documents",
+        "appended_links": f"""WITH {ENTITIES}, l AS (SELECT source_mail_id, entity_type, row_number() OVER w AS n, bool_or(status = 'ARCHIVED') OVER (PARTITION BY source_mail_id, entity_type) AS known FROM entities WHERE source_mail_id IS NOT NULL WINDOW w AS (PARTITION BY source_mail_id, entity_type))
+          SELECT CASE WHEN n > 1 OR known THEN 'skipped' ELSE 'created' END AS action, count(*) AS n FROM l GROUP BY 1""",
         "project_list": f"""WITH {b.SQL}, {COMPANIES}, k AS (SELECT project_id, coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'REQUIRED'), '') AS required_skills, coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'PREFERRED'), '') AS preferred_skills,
             coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'USED_TECHNOLOGY'), '') AS used_skills FROM project_skills WHERE trim(skill_name) <> '' GROUP BY 1),
           ro AS (SELECT project_id, o, p, (project_id * m) % 100 AS company_id FROM projects, (VALUES (0, 3, 2), (1, 7, 1), (2, 11, 0)) v(o, m, p) WHERE (project_id + o) % 4 <> 0),
           rn AS (SELECT project_id, arg_min_null(name, p) AS company, coalesce(string_agg(name, '>' ORDER BY o), '') AS chain FROM ro LEFT JOIN companies USING (company_id) GROUP BY 1),
-          re AS (SELECT event_id % 5000 AS project_id, arg_max(event_type = 'error', {{'a': ts, 'b': event_id}}) AS nr FROM events GROUP BY 1)
+          re AS (SELECT event_id AS project_id, arg_max(event_type = 'error', {{'a': ts, 'b': event_id}}) AS nr FROM events GROUP BY 1)
           SELECT project_id, title, status, company, chain, CASE WHEN unit_min IS NULL AND unit_max IS NULL THEN '' WHEN unit_min = unit_max THEN unit_max::VARCHAR || '万円' ELSE coalesce(unit_min::VARCHAR, '') || '〜' || coalesce(unit_max::VARCHAR, '') || '万円' END AS price_text,
           required_skills, preferred_skills, used_skills, nr IS NOT NULL AS has_result, coalesce(nr, false) AS needs_review FROM projects LEFT JOIN k USING (project_id) LEFT JOIN rn USING (project_id) LEFT JOIN re USING (project_id)""",
         "project_page": f"""WITH {b.SQL}, f AS (SELECT project_id, unit_max AS price FROM projects WHERE contains(lower(title), 'urgent') AND (start_month IS NULL OR strftime(start_month, '%Y-%m') >= '1997-01') AND unit_max >= 40 AND is_focus AND status = 'OPEN')
@@ -313,10 +376,13 @@ def oracle_sql() -> dict[str, str]:
         "quality_counters": f"""WITH {b.SQL}, n AS (SELECT count(*) AS n FROM project_skills WHERE trim(skill_name) <> '' GROUP BY project_id)
           SELECT 'skills' AS metric, CASE WHEN n <= 0 THEN '0' WHEN n <= 3 THEN '1-3' WHEN n <= 6 THEN '4-6' WHEN n <= 10 THEN '7-10' WHEN n <= 15 THEN '11-15' ELSE '16+' END AS key, count(*) AS n FROM n GROUP BY 2 UNION ALL
           SELECT 'score', CASE WHEN n <= 0 THEN '0' WHEN n <= 2 THEN '1-2' WHEN n <= 5 THEN '3-5' WHEN n <= 9 THEN '6-9' ELSE '10+' END, count(*) FROM n GROUP BY 2""",
-        "source_inventory": f"""WITH {ENTITIES}, {CATEGORIZED}, l AS (SELECT source_mail_id * 2 AS mail_id, entity_type FROM entities WHERE source_mail_id IS NOT NULL)
-          SELECT 'mail_category' AS metric, category AS key, count(*) AS n FROM cm GROUP BY 2 UNION ALL SELECT 'link_type', entity_type, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'result_target', entity_type, count(*) FROM entities GROUP BY 2
-          UNION ALL SELECT 'mails_with_links', '', count(*) FROM cm WHERE mail_id IN (SELECT mail_id FROM l) UNION ALL SELECT 'orphan_links', '', count(*) FROM l WHERE mail_id NOT IN (SELECT mail_id FROM cm)""",
-        "sensitive_documents": "SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}|https?://|(?i:(bearer\\s+[a-z0-9._-]+|postgres(ql)?://|(secret|password|token|api_?key)\\s*[:=]))|[A-Za-z]:\\\\\\\\|/(home|users|var)/')",
+        "source_inventory": f"""WITH {ENTITIES}, {LINKS}, {CATEGORIZED}
+          SELECT 'mail_category' AS metric, category AS key, count(*) AS n FROM cm GROUP BY 2 UNION ALL SELECT 'mail_excluded', is_excluded::VARCHAR, count(*) FROM cm GROUP BY 2 UNION ALL SELECT 'link_type', link_type, count(*) FROM links GROUP BY 2 UNION ALL SELECT 'result_target', target, count(*) FROM results GROUP BY 2
+          UNION ALL SELECT 'entity_type', entity_type || ':' || status, count(*) FROM entities GROUP BY 2 UNION ALL SELECT 'entity_source', CASE WHEN source_mail_id IS NULL THEN 'without_mail' ELSE 'with_mail' END, count(*) FROM entities GROUP BY 2 UNION ALL SELECT 'mail_derived', entity_type, count(*) FROM entities WHERE starts_with(code, 'GMAIL-') GROUP BY 2
+          UNION ALL SELECT 'mails_with_links', '', count(*) FROM cm WHERE mail_id IN (SELECT mail_id FROM links) UNION ALL SELECT 'mails_with_results', '', count(*) FROM cm WHERE mail_id IN (SELECT mail_id FROM results) UNION ALL SELECT 'mails_with_entities', '', count(*) FROM cm WHERE mail_id IN (SELECT source_mail_id FROM entities)
+          UNION ALL SELECT 'orphan_links', '', count(*) FROM links WHERE mail_id NOT IN (SELECT mail_id FROM cm) UNION ALL SELECT 'orphan_results', '', count(*) FROM results WHERE mail_id NOT IN (SELECT mail_id FROM cm)""",
+        "mail_relations": f"""WITH {LINKS}, {MAILS} SELECT mail_id, received_at, count(link_type) AS n_links, coalesce(string_agg(DISTINCT link_type, ',' ORDER BY link_type), '') AS link_types FROM (SELECT * FROM mails ORDER BY received_at DESC, mail_id DESC LIMIT 30) LEFT JOIN links USING (mail_id) GROUP BY 1, 2""",
+        "sensitive_documents": "SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}|https?://|(?i:(bearer\\s+[a-z0-9._-]+|(postgres(ql)?|mysql|sqlserver)://|(secret|password|token|api_?key)\\s*[:=]))|[A-Za-z]:\\\\|/(home|users|var)/|-----BEGIN [A-Z ]*PRIVATE KEY-----')",
         "sync_runs": "SELECT user_id AS run_id, max(ts) AS at, count(*) FILTER (event_type = 'view') AS fetched, count(*) FILTER (event_type = 'click') AS created, count(*) FILTER (event_type = 'purchase') AS updated, count(*) FILTER (event_type = 'signup') AS skipped, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
         "threads": "SELECT conv_id AS target_id, max(turn) AS turn, arg_max(role, turn) AS role, length(arg_max(text, turn))::INT AS n_chars, count(*) FILTER (turn > 0) AS n_replies FROM conversations GROUP BY 1",
     }

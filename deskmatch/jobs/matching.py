@@ -13,9 +13,8 @@ VERSION = "v1"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates between the projects that start within a year and all persons: the whole tables, cut by a filter on the month."""
-    p = b.projects(spark, sf_dir).filter("start_month BETWEEN '1998-01-01' AND '1998-03-01'")
-    return matching.match_candidates(p, b.project_skills(spark, sf_dir), b.persons(spark, sf_dir), b.person_skills(spark, sf_dir), MIN_SCORE)
+    """Candidates between all projects and all persons that are not archived."""
+    return matching.match_candidates(b.projects(spark, sf_dir), b.project_skills(spark, sf_dir), b.persons(spark, sf_dir), b.person_skills(spark, sf_dir), MIN_SCORE)
 
 
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +89,7 @@ def queries() -> dict:
 CANDIDATES = f"""WITH {b.SQL},
 pr AS (SELECT *, nullif(unit_min, 0) AS pmin, nullif(unit_max, 0) AS pmax, year(start_month) * 12 + month(start_month) AS pmonth, lower(remote_type) AS premote,
   list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^a-z0-9+#.]+', ' ', 'g'), ' +'), lambda t: length(t) >= 3)) AS prole
-  FROM projects WHERE status <> 'ARCHIVED' AND start_month BETWEEN '1998-01-01' AND '1998-03-01'),
+  FROM projects WHERE status <> 'ARCHIVED'),
 pe AS (SELECT *, status AS qstatus, place AS qplace, nullif(desired, 0) AS rate, year(available) * 12 + month(available) AS qmonth, lower(coalesce(remote_wish, '')) AS qremote,
   list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(summary), '[^a-z0-9+#.]+', ' ', 'g'), ' +'), lambda t: length(t) >= 3)) AS qrole FROM persons WHERE status <> 'ARCHIVED'),
 ps AS (SELECT project_id, k, max((skill_type = 'REQUIRED')::INT) AS a, max((skill_type = 'PREFERRED')::INT) AS b, max((skill_type = 'USED_TECHNOLOGY')::INT) AS c

@@ -17,6 +17,13 @@ LEGAL_MARKERS = ["株式会社", "有限会社", "合同会社", "合資会社",
 LEGAL_WORDS = ["co", "company", "corp", "corporation", "inc", "incorporated", "kk", "limited", "llc", "ltd", "株", "有", "同"]
 POINTS = {"contact_email_match": 62, "company_name_exact": 46, "contact_name_exact": 40, "email_domain_match": 34, "company_name_variant": 28, "contact_name_variant": 22}
 CLOSE_COMPANY, CLOSE_CONTACT = 0.82, 0.84
+#: Free-mail domains where a company is inferred from a mail, signs that its keys leave out, and words of company names.
+WEAK_DOMAINS = ["gmail.com", "googlemail.com", "yahoo.co.jp", "yahoo.com", "ymail.ne.jp", "outlook.com", "hotmail.com", "live.com", "icloud.com", "me.com", "mac.com", "aol.com", "proton.me", "protonmail.com", "zoho.com", "gmx.com", "mail.com", "example.com", "example.net", "example.org", "example.test", "localhost"]
+KEY_LEAVES_OUT = "[株式会社有限会社合同会社合資会社（）()\\[\\]【】\"'`.,、。・\\s_-]"
+COMPANY_WORDS = r"(?i)\b(?:inc|inc\.|ltd|ltd\.|llc|corp|corporation|co\.,?\s*ltd\.?|company|systems|solutions|technologies|technology|partners|consulting|group|holdings|labs|studio)\b|(?:株式会社|有限会社|合同会社|合資会社|（株）|\(株\)|㈱)"
+PHONE = r"(?i)\b(?:tel|phone|fax)\b|(?:\+?\d[\d\s().-]{7,}\d)"
+LINK = r"(?i)(?:https?://|www\.)\S+"
+SIGNATURE_START = r"(?im)(?:^|\n)(?:--\s*$|Regards,?|Best regards,?|Sincerely,?|Thank you,?|敬具|以上)"
 
 
 def company_key(c: Column) -> Column:
@@ -26,6 +33,11 @@ def company_key(c: Column) -> Column:
     return F.array_join(words, "")
 
 
+def company_sign_key(c: Column) -> Column:
+    """Lower case without legal words' signs, brackets, points and blanks."""
+    return F.regexp_replace(F.lower(plain(F.coalesce(c, F.lit("")))), KEY_LEAVES_OUT, "")
+
+
 def compact_company_key(c: Column) -> Column:
     """The shorter form: trimmed, lower-case, without blanks."""
     return F.regexp_replace(F.lower(trimmed(c)), "\\s+", "")
@@ -67,39 +79,126 @@ def is_variant(a: Column, b: Column) -> Column:
 
 def grams(c: Column, n: int) -> Column:
     """The distinct runs of n characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    return F.array_distinct(all_grams(c, n))
 
 
-def infer_company(mails: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Per mail (mail_id, from_email, from_name, label, signature): company_id, company_name, source, confidence, score.
+def all_grams(c: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
 
-    companies: company_id, name, domain; aliases: company_id, alias. Steps: the sender's domain or a parent of it is a company's;
-    the longest alias of at least three characters stands in label, name or signature; a label; the domain's own word.
-    The alias join broadcasts aliases only if Spark's size limit allows; beyond it, it goes by four-character runs.
+
+def numbered_grams(c: Column, n: int) -> Column:
+    """The runs of n characters, each with the number of the same ones up to it."""
+    runs = all_grams(c, n)
+    return F.transform(runs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def rarest(names: DataFrame, runs: DataFrame, counts: DataFrame, most: Column) -> DataFrame:
+    """name and g: of each name (name, g in runs) the rarest runs by counts (g, n), as many as most says; ties by the run."""
+    ranked = runs.join(counts, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("all"))  # no more than the name's characters
+    return ranked.join(names, "name").select("name", F.explode(F.slice("all", F.lit(1), most)).alias("x")).select("name", "x.g")
+
+
+def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text and name: distinct texts that hold a name. Both meet by the name's rarest run of four characters, or by the whole of a shorter name."""
+    texts, names = texts.select(F.col(texts.columns[0]).alias("text")).distinct(), names.select(F.col(names.columns[0]).alias("name")).distinct()
+    met = []
+    for n in (1, 2, 3, 4):
+        own = names.filter((F.length("name") == n) if n < 4 else (F.length("name") >= n))
+        held = texts.filter(F.length("text") >= n).select("text", F.explode(grams(F.col("text"), n)).alias("g"))
+        if n == 4:
+            runs = own.select("name", F.explode(grams(F.col("name"), n)).alias("g"))
+            own = rarest(own, runs, held.groupBy("g").agg(F.count("*").alias("n")), F.lit(1))
+        else:
+            own = own.withColumn("g", F.col("name"))
+        met.append(held.join(own, "g").filter(F.contains("text", "name")).select("text", "name"))
+    return reduce(DataFrame.unionByName, met)
+
+
+def close_names(left: DataFrame, right: DataFrame, least: float, shortest: int = 1) -> DataFrame:
+    """a and b: different names whose edit similarity is at least a value.
+
+    Such names differ in k edits at most, and an edit changes two runs of two characters, so they share one of the 2 k + 1 rarest runs of each.
     """
-    domain = email_domain(F.col("from_email"))
-    base = mails.withColumns({"_domain": domain, "_text": company_key(F.concat_ws(" ", "label", "from_name", "signature"))})
+    left, right = (df.select(F.col(df.columns[0]).alias("name")).filter(F.length("name") >= shortest).distinct() for df in (left, right))
+    runs = [df.select("name", F.explode(numbered_grams(F.col("name"), 2)).alias("g")) for df in (left, right)]
+    counts = runs[0].unionByName(runs[1]).groupBy("g").agg(F.count("*").alias("n"))
+    edits = F.floor(F.length("name") * ((1 - least) / least) + 1e-9)
+    a, b = (rarest(df, r, counts, (2 * edits + 1).cast("int")).select(F.col("name").alias(c), "g") for df, r, c in ((left, runs[0], "a"), (right, runs[1], "b")))
+    fits = (F.col("a") != F.col("b")) & (F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b")) - 1e-9)
+    return a.join(b, "g").filter(fits).select("a", "b").distinct().filter(similarity(F.col("a"), F.col("b")) >= least)
+
+
+def company_name(c: Column) -> Column:
+    """A company's name out of a text: without tags, addresses, links, phone numbers, quotes and signs at its ends; null if nothing is left."""
+    bare = replaced(c, ("\\r", ""), ("<[^>]*>", " "), (EMAIL, " "), (LINK, " "), (PHONE, " "), ("[\"'<>]", " "), ("\\s+", " "), ("^[\\s/|,;:-]+|[\\s/|,;:-]+$", ""))
+    return F.substring(filled(trimmed(bare)), 1, 255)
+
+
+def name_segment(from_name: Column) -> Column:
+    """The first part of a sender's name that has a word of company names."""
+    parts = F.transform(F.split(company_name(from_name), r"\s*(?:[|/｜／]| - | – | — )\s*"), company_name)
+    return F.get(F.filter(parts, lambda p: p.rlike(COMPANY_WORDS)), F.lit(0))
+
+
+def signature_part(signature: Column, body: Column) -> Column:
+    """The signature, or the body from a closing word on, or its last twelve lines."""
+    lines = F.split(body, "\n")
+    tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 11, F.lit(1)), 12), "\n")
+    at = F.regexp_instr(body, F.lit(SIGNATURE_START))
+    return F.coalesce(filled(trimmed(signature)), F.when(at > 0, F.substring(body, at, F.length(body))).otherwise(tail))
+
+
+def signature_company(signature: Column) -> Column:
+    names = F.transform(F.split(signature, "\n"), company_name)
+    return F.get(F.filter(names, lambda x: x.rlike(COMPANY_WORDS)), F.lit(0))
+
+
+def by_sender_domain(rows: DataFrame, companies: DataFrame, generic: list[str]) -> DataFrame:
+    """mail_id and _by_domain (company_id, name): the first company whose domain is the sender's (_domain) or a parent of it."""
     known = companies.filter("domain IS NOT NULL").select(F.lower(F.trim("domain")).alias("_d"), F.struct("company_id", "name").alias("_c"))
     first = known.groupBy("_d").agg(F.min("_c").alias("_c"))
-    by_domain = base.filter(~is_generic(F.col("_domain"))).select("mail_id", F.explode(parent_domains(F.col("_domain"))).alias("_d")).join(first, "_d").groupBy("mail_id").agg(F.min("_c").alias("_by_domain"))
-    named = aliases.select("company_id", company_key(F.col("alias")).alias("_key")).filter(F.length("_key") >= 3).join(companies.select("company_id", "name"), "company_id")
-    short, long = named.filter(F.length("_key") < 4), named.filter(F.length("_key") >= 4)
-    texts = base.select("mail_id", "_text").filter("_text != ''")
-    pick = F.struct(F.length("_key").alias("n"), (-F.col("company_id")).alias("o"), "company_id", "name")
-    runs = lambda rows, of, n: rows.withColumn("_g", F.explode(grams(F.col(of), n)))
-    hits = runs(texts, "_text", 4).join(long.withColumn("_g", F.substring("_key", 1, 4)), "_g").unionByName(runs(texts, "_text", 3).join(short.withColumn("_g", F.col("_key")), "_g"))
-    by_alias = hits.filter(F.contains("_text", "_key")).groupBy("mail_id").agg(F.max(pick).alias("_by_alias"))
-    out = base.join(by_domain, "mail_id", "left").join(by_alias, "mail_id", "left")
+    senders = rows.filter(~F.col("_domain").isin(generic)).select("mail_id", F.explode(parent_domains(F.col("_domain"))).alias("_d"))
+    return senders.join(first, "_d").groupBy("mail_id").agg(F.min("_c").alias("_by_domain"))
+
+
+def sender_company(mails: DataFrame, companies: DataFrame) -> DataFrame:
+    """mail_id, company_id, company_name of the sender (from_name, from_email): by domain, or the first company whose compact name stands in name and address; null if none does."""
+    base = mails.select("mail_id", email_domain(F.col("from_email")).alias("_domain"), compact_company_key(F.concat_ws(" ", "from_name", "from_email")).alias("_text"))
+    named = companies.select("company_id", "name", compact_company_key(F.col("name")).alias("_key")).filter("_key != ''")
+    held = contained(base.select("_text").filter("_text != ''"), named.select("_key"))
+    first = named.groupBy("_key").agg(F.min(F.struct("company_id", "name")).alias("_c"))
+    by_name = held.join(first, held["name"] == first["_key"]).groupBy(F.col("text").alias("_text")).agg(F.min("_c").alias("_by_name"))
+    out = base.join(by_sender_domain(base, companies, []), "mail_id", "left").join(by_name, "_text", "left")
+    return out.select("mail_id", F.coalesce("_by_domain", "_by_name").alias("c")).select("mail_id", "c.company_id", F.col("c.name").alias("company_name"))
+
+
+def infer_company(mails: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Per mail (mail_id, from_email, from_name, label, signature and, if there, body): company_id, company_name, source, confidence, score.
+
+    companies: company_id, name, domain; aliases: company_id, alias. Steps: the sender's domain or a parent of it is a company's;
+    the longest alias of at least three characters stands in label, name or signature; the label; a part of the sender's name or a line
+    of the signature with a word of company names; the domain's own word.
+    """
+    body = F.col("body") if "body" in mails.columns else F.lit(None).cast("string")
+    base = mails.withColumns({"_domain": email_domain(F.col("from_email")), "_signature": signature_part(F.col("signature"), body)})
+    base = base.withColumn("_text", company_sign_key(F.concat_ws(" ", "label", "from_name", "_signature")))
+    named = aliases.select("company_id", company_sign_key(F.col("alias")).alias("_key")).filter(F.length("_key") >= 3).join(companies.select("company_id", "name"), "company_id")
+    first = named.groupBy("_key").agg(F.min(F.struct("company_id", "name")).alias("_c"))
+    held = contained(base.select("_text").filter("_text != ''"), named.select("_key"))
+    pick = F.struct(F.length("_key").alias("n"), (-F.col("_c.company_id")).alias("o"), F.col("_c.company_id").alias("company_id"), F.col("_c.name").alias("name"))
+    by_alias = held.join(first, held["name"] == first["_key"]).groupBy(F.col("text").alias("_text")).agg(F.max(pick).alias("_by_alias"))
+    out = base.join(by_sender_domain(base, companies, WEAK_DOMAINS), "mail_id", "left").join(by_alias, "_text", "left")
     labels = F.split("_domain", "\\.")
-    root = F.element_at(labels, F.when(F.col("_domain").rlike(r"(co|ne|or|ac|go|ed|gr)\.jp$"), -3).otherwise(-2))
-    own = F.when((F.length(root) > 2) & ~root.rlike("^(mail|smtp|mx|email|corp)$"), F.initcap(F.regexp_replace(root, "[-_]+", " ")))
-    d, a, label = F.col("_by_domain").isNotNull(), F.col("_by_alias").isNotNull(), filled(trimmed(F.col("label")))
-    generic = is_generic(F.col("_domain"))
-    way = F.when(d, "known_main_email_domain").when(a, "known_alias").when(label.isNotNull(), "body_label").when(generic, "generic_domain").when(own.isNotNull(), "sender_domain").otherwise("none")
-    out = out.withColumns({"source": way, "company_id": F.when(d, F.col("_by_domain.company_id")).when(a, F.col("_by_alias.company_id")), "company_name": F.when(d, F.col("_by_domain.name")).when(a, F.col("_by_alias.name")).when(label.isNotNull(), label).when(generic, None).otherwise(own)})
-    sure = F.create_map(*(F.lit(x) for p in {"known_main_email_domain": 0.92, "known_alias": 0.88, "body_label": 0.86, "generic_domain": 0.2, "sender_domain": 0.42, "none": 0.0}.items() for x in p))
+    root = F.element_at(labels, F.when(F.col("_domain").rlike(r"(^|\.)(co|ne|or|ac|go|ed|gr)\.jp$") & (F.size(labels) > 2), -3).when(F.size(labels) > 1, -2).otherwise(-1))
+    own = F.when((F.length(root) > 2) & ~root.rlike("^(mail|smtp|mx|email|corp|co|ne|or|ac|go)$"), F.initcap(F.regexp_replace(root, "[-_]+", " ")))
+    out = out.withColumns({"_label": company_name(F.col("label")), "_segment": name_segment(F.col("from_name")), "_line": signature_company(F.col("_signature")), "_own": own, "_weak": F.coalesce(F.col("_domain").isin(WEAK_DOMAINS), F.lit(False))})
+    d, a = F.col("_by_domain").isNotNull(), F.col("_by_alias").isNotNull()
+    way = F.when(d, "known_main_email_domain").when(a, "known_alias").when(F.col("_label").isNotNull(), "body_label").when(F.col("_segment").isNotNull(), "from_name").when(F.col("_line").isNotNull(), "signature_company").when(F.col("_weak"), "generic_domain").when(F.col("_own").isNotNull(), "sender_domain").otherwise("none")
+    name = F.when(d, F.col("_by_domain.name")).when(a, F.col("_by_alias.name")).otherwise(F.coalesce("_label", "_segment", "_line", F.when(~F.col("_weak"), F.col("_own"))))
+    out = out.withColumns({"source": way, "company_id": F.when(d, F.col("_by_domain.company_id")).when(a, F.col("_by_alias.company_id")), "company_name": name})
+    sure = F.create_map(*(F.lit(x) for p in {"known_main_email_domain": 0.92, "known_alias": 0.88, "body_label": 0.86, "from_name": 0.72, "signature_company": 0.68, "generic_domain": 0.2, "sender_domain": 0.42, "none": 0.0}.items() for x in p))
     score = F.element_at(sure, F.col("source"))
-    return out.select("mail_id", "company_id", "company_name", "source", F.when(score >= 0.86, "HIGH").when(score > 0.5, "MEDIUM").when(score > 0, "LOW").otherwise("NONE").alias("confidence"), score.alias("score"), generic.alias("is_generic"))
+    return out.select("mail_id", "company_id", "company_name", "source", F.when(score >= 0.86, "HIGH").when(score > 0.5, "MEDIUM").when(score > 0, "LOW").otherwise("NONE").alias("confidence"), score.alias("score"), F.col("_weak").alias("is_generic"))
 
 
 def auto_apply(candidates: DataFrame) -> DataFrame:
@@ -114,7 +213,7 @@ def contact_candidates(entities: DataFrame, contacts: DataFrame, most: int) -> D
     """Ranked contacts for each entity (entity_id, company, email, contact) among contacts (contact_id, company, domain, email, contact).
 
     A pair counts if it agrees in an e-mail, a domain or parent, a company key, or a contact key, or if a company name holds the
-    other or is close to it. Close names share a run of three characters, contained ones the shorter's first four.
+    other or is close to it. Close and contained names are looked for among distinct names, by rare runs of characters.
     """
     side = lambda rows, p: rows.select(F.col(rows.columns[0]).alias(f"{p}id"), company_key(F.col("company")).alias(f"{p}company"), F.lower(F.regexp_extract("email", f"({EMAIL})", 1)).alias(f"{p}email"), contact_key(F.col("contact")).alias(f"{p}contact"), contact_keys(F.col("contact")).alias(f"{p}keys"), F.coalesce(F.lower("domain") if "domain" in rows.columns else F.lit(None), email_domain(F.col("email"))).alias(f"{p}domain"))
     e, c = side(entities, "e_"), side(contacts, "c_")
@@ -126,12 +225,15 @@ def contact_candidates(entities: DataFrame, contacts: DataFrame, most: int) -> D
         (F.explode("e_keys"), F.explode("c_keys")),
         (F.explode(parent_domains(F.when(~is_generic(F.col("e_domain")), F.col("e_domain")))), F.when(~is_generic(F.col("c_domain")), F.col("c_domain"))),
         (F.when(~is_generic(F.col("e_domain")), F.col("e_domain")), F.explode(parent_domains(F.when(~is_generic(F.col("c_domain")), F.col("c_domain"))))),
-        (F.explode(grams(F.col("e_company"), 4)), F.substring("c_company", 1, 4)),
-        (F.substring("e_company", 1, 4), F.explode(grams(F.col("c_company"), 4))),
-        (F.explode(grams(F.when(F.length("e_company") >= 6, F.col("e_company")), 3)), F.explode(grams(F.when(F.length("c_company") >= 6, F.col("c_company")), 3))),
-        (F.explode(grams(F.when(F.length("e_contact") >= 3, F.col("e_contact")), 3)), F.explode(grams(F.when(F.length("c_contact") >= 3, F.col("c_contact")), 3))),
     ):
         pairs.append(block(e, "e_", ek).join(block(c, "c_", ck), "k").select("e_id", "c_id").distinct())
+    names = lambda side, c: side.select(c).filter(f"{c} != ''")
+    companies, others = names(e, "e_company"), names(c, "c_company")
+    holds = contained(companies, others.filter(F.length("c_company") >= 4)).toDF("e_company", "c_company").unionByName(contained(others, companies.filter(F.length("e_company") >= 4)).toDF("c_company", "e_company"))
+    near = holds.unionByName(close_names(companies, others, CLOSE_COMPANY, 6).toDF("e_company", "c_company")).distinct()
+    pairs.append(e.select("e_id", "e_company").join(near, "e_company").join(c.select("c_id", "c_company"), "c_company").select("e_id", "c_id").distinct())
+    people = close_names(names(e, "e_contact"), names(c, "c_contact"), CLOSE_CONTACT).toDF("e_contact", "c_contact")
+    pairs.append(e.select("e_id", "e_contact").join(people, "e_contact").join(c.select("c_id", "c_contact"), "c_contact").select("e_id", "c_id").distinct())
     both = reduce(DataFrame.unionByName, pairs).distinct().join(e, "e_id").join(c, "c_id")
     ec, cc, en, cn = (F.col(x) for x in ("e_company", "c_company", "e_contact", "c_contact"))
     ends = lambda a, b: F.col(a).endswith(F.concat(F.lit("."), F.col(b)))

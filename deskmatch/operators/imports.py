@@ -84,8 +84,8 @@ def source_duplicates(assessed: DataFrame) -> DataFrame:
     return assessed.withColumn("same_rows", F.when(live, F.sum(live.cast("int")).over(Window.partitionBy("duplicate_key"))).otherwise(0))
 
 
-def db_duplicates(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """row key (id), existing_id, strength: strong for the same title and company; with two common skills, strong for the same place and a near price, weak for one of them.
+def db_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = None) -> DataFrame:
+    """row key (id), existing_id, strength, of the pairs that which holds for (r_id, e_id; default: all): strong for the same title and company; with two common skills, strong for the same place and a near price, weak for one of them.
 
     Both sides: id, title, company, skill_list, place, price_value. Candidates come from equal (title, company) and from skills
     joined by (skill, place) and by (skill, price range), so a popular skill alone meets no one.
@@ -93,15 +93,15 @@ def db_duplicates(rows: DataFrame, existing: DataFrame) -> DataFrame:
     clean = lambda c: F.lower(trimmed(plain(F.coalesce(c, F.lit("")))))
     side = lambda df, p: df.select(F.col("id").alias(f"{p}id"), clean(F.col("title")).alias(f"{p}title"), clean(F.col("company")).alias(f"{p}company"), F.array_distinct(F.transform("skill_list", lambda s: F.lower(s))).alias(f"{p}skills"), clean(F.col("place")).alias(f"{p}place"), F.col("price_value").alias(f"{p}price"))
     r, e = side(rows, "r_"), side(existing, "e_")
-    same = r.join(e, (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "")).select("r_id", "e_id")
+    same = r.join(e, (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "")).select("r_id", "e_id")
     skilled = lambda df, p, *more: df.withColumn("k", F.explode(f"{p}skills")).select(f"{p}id", "k", *more)
     place = skilled(r.filter("r_place != ''"), "r_", F.col("r_place").alias("b")).join(skilled(e, "e_", F.col("e_place").alias("b")), ["k", "b"])
     cell = F.floor(F.col("r_price") / PRICE_SLACK).cast("long")
     near = skilled(r.filter("r_price IS NOT NULL"), "r_", F.explode(F.array(cell - 1, cell, cell + 1)).alias("b")).join(skilled(e, "e_", F.floor(F.col("e_price") / PRICE_SLACK).cast("long").alias("b")), ["k", "b"])
     two = lambda df: df.groupBy("r_id", "e_id").agg(F.count_distinct("k").alias("n")).filter("n >= 2").select("r_id", "e_id")
-    pairs = same.unionByName(two(place)).unionByName(two(near)).distinct().join(r, "r_id").join(e, "e_id")
+    pairs = same.unionByName(two(place)).unionByName(two(near)).distinct().filter(F.lit(True) if which is None else which).join(r, "r_id").join(e, "e_id")
     common = F.size(F.array_intersect("r_skills", "e_skills")) >= 2
-    title = (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "")
+    title = (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "")
     at, priced = (F.col("r_place") == F.col("e_place")) & (F.col("r_place") != ""), F.coalesce(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK, F.lit(False))
     strength = F.when(title | (common & at & priced), "strong").when(common & (at | priced), "weak")
     return pairs.withColumn("strength", strength).filter("strength IS NOT NULL").select(F.col("r_id").alias("id"), F.col("e_id").alias("existing_id"), "strength")

@@ -1,8 +1,14 @@
 """Project and person matching: compatibilities, scores, candidates, distributions and review pages.
 
-Pairs come from a join on skills. A pair without a common skill scores 45 at most (rate 15, date 10,
-place 10, role 10), so for a least score over 45 the join loses nothing; lower ones need every pair and
-are not offered here as a join of all with all.
+A pair without a common skill scores 45 at most (rate 15, date 10, place 10, role 10), so for a least score
+over 45 only pairs with a common skill count; lower ones need every pair and are not offered here as a join
+of all with all. Pairs are found by classes:
+
+1. Projects and persons are reduced to the distinct sets of their skills. The points of a common set are
+   worked out once for each two sets that share a skill, and sets with too few points for the least score go.
+2. Persons of one set, place, remote wish, status and role words form a cell. Place, role and status points of a
+   project and a cell are worked out once, and cells go that rate and date can't lift to the least score.
+3. Only then do the projects meet the persons of the cells that are left, with rate and date in the join.
 """
 
 from __future__ import annotations
@@ -14,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The best score of a pair without a common skill, and bands.
-NO_SKILL_BEST = 45
+#: The best score of a pair without a common skill, the best of rate and date, and words of remote work.
+NO_SKILL_BEST, RATE_AND_DATE_BEST = 45, 25
 FRIENDLY_PROJECT = ["remote", "full_remote", "hybrid", "リモート"]
 FRIENDLY_PERSON = ["remote", "full_remote", "hybrid", "リモート", "可"]
 
@@ -35,8 +41,8 @@ def nfkc(c: Column) -> Column:
 
 
 def plain(c: Column) -> Column:
-    """NFKC only where a text isn't ASCII."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(c)).otherwise(c)
+    """NFKC. All rows pass by the helper, but ASCII texts, which it would leave as they are, go there as nulls."""
+    return F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def skill_key(c: Column) -> Column:
@@ -94,24 +100,68 @@ def score_band(score: Column, review: Column) -> Column:
     return F.when(review | (score < 35), "REVIEW").when(score >= 75, "HIGH").when(score >= 55, "MEDIUM").otherwise("LOW")
 
 
-def overlaps(project_skills: DataFrame, person_skills: DataFrame) -> DataFrame:
-    """project_id, person_id and common skills: required, preferred, other (types) and distinct over all."""
+def keyed_skills(skills: DataFrame) -> DataFrame:
+    """The rows with k, the key of skill_name: each spelling is normalised once and joined back; rows without a key go."""
+    names = skills.select("skill_name").distinct().withColumn("k", skill_key(F.col("skill_name"))).filter("k != ''")
+    return skills.join(names, "skill_name")
+
+
+def project_sets(skills: DataFrame) -> DataFrame:
+    """project_id and set: the sorted skills (k, and whether required, preferred or of another type)."""
     kind = F.upper(F.coalesce("skill_type", F.lit("OTHER")))
-    ps = project_skills.select("project_id", skill_key(F.col("skill_name")).alias("k"), kind.alias("t")).filter("k != ''")
-    own = ps.groupBy("project_id", "k").agg(*(F.max((F.col("t") == t).cast("int")).alias(n) for t, n in (("REQUIRED", "req"), ("PREFERRED", "pre"))), F.max((~F.col("t").isin("REQUIRED", "PREFERRED")).cast("int")).alias("oth"))
-    qs = person_skills.select("person_id", skill_key(F.col("skill_name")).alias("k")).filter("k != ''").distinct()
-    return own.join(qs, "k").groupBy("project_id", "person_id").agg(F.sum("req").alias("n_required"), F.sum("pre").alias("n_preferred"), F.sum("oth").alias("n_technology"), F.count("*").alias("n_skills"))
+    typed = keyed_skills(skills).select("project_id", "k", kind.alias("t"))
+    flag = lambda test: F.max(test.cast("int"))
+    own = typed.groupBy("project_id", "k").agg(flag(F.col("t") == "REQUIRED").alias("req"), flag(F.col("t") == "PREFERRED").alias("pre"), flag(~F.col("t").isin("REQUIRED", "PREFERRED")).alias("oth"))
+    return own.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("k", "req", "pre", "oth"))).alias("p_set"))  # no more than there are keys
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Adds states, score, band, warnings and reasons (codes joined by ',') to pairs that share a skill."""
-    staged = pairs.withColumns({"rate_state": rate_state(), "date_state": date_state(), "place_state": place_state(), "role_match": F.size(F.array_intersect("p_role", "q_role")) >= 2})
-    missing = sum((c.cast("int") for c in (F.col("p_min").isNull() & F.col("p_max").isNull(), F.col("p_month").isNull(), (F.col("p_place") == "") & (F.col("p_remote") == ""), F.col("q_rate").isNull(), F.col("q_month").isNull(), (F.col("q_place") == "") & (F.col("q_remote") == ""))), F.lit(0))
-    staged = staged.withColumn("low_coverage", missing >= 3)
+def person_sets(skills: DataFrame) -> DataFrame:
+    return keyed_skills(skills).groupBy("person_id").agg(F.sort_array(F.collect_set("k")).alias("q_set"))
+
+
+def skill_points() -> Column:
     some = lambda n, most, base, each: F.when(F.col(n) > 0, F.least(F.lit(most), base + each * F.col(n))).otherwise(0)
-    total = some("n_required", 35, 18, 7) + some("n_preferred", 15, 8, 3) + some("n_technology", 10, 0, 3) + points(F.col("rate_state"), 15, 4) + points(F.col("date_state"), 10, 3) + points(F.col("place_state"), 10, 3) + 10 * F.col("role_match").cast("int")
-    total = total - 8 * F.col("low_coverage").cast("int") - F.when(F.col("p_status") == "DRAFT", 4).otherwise(0) - F.when(F.col("q_status") != "AVAILABLE", 8).otherwise(0)
-    staged = staged.withColumn("score", F.least(F.greatest(total, F.lit(0)), F.lit(100)).cast("int"))
+    return some("n_required", 35, 18, 7) + some("n_preferred", 15, 8, 3) + some("n_technology", 10, 0, 3)
+
+
+def set_overlaps(p_sets: DataFrame, q_sets: DataFrame) -> DataFrame:
+    """p_key, q_key and the common skills of distinct sets: required, preferred, other (types) and distinct over all."""
+    left = p_sets.dropDuplicates(["p_key"]).select("p_key", F.explode("p_set").alias("x")).select("p_key", "x.*")
+    right = q_sets.dropDuplicates(["q_key"]).select("q_key", F.explode("q_set").alias("k"))
+    return left.join(right, "k").groupBy("p_key", "q_key").agg(F.sum("req").alias("n_required"), F.sum("pre").alias("n_preferred"), F.sum("oth").alias("n_technology"), F.count("*").alias("n_skills"))
+
+
+def shared_words(rows: DataFrame, key: str, words: str, others: DataFrame, other_words: str) -> DataFrame:
+    """The rows with only those of their words that any of the others has; fewer than two can't make a match and become none."""
+    known = others.select(F.explode(other_words).alias("w")).distinct()
+    kept = rows.select(key, F.explode(words).alias("w")).join(known, "w").groupBy(key).agg(F.sort_array(F.collect_set("w")).alias("_kept"))
+    none = F.array().cast("array<string>")
+    return rows.join(kept, key, "left").withColumn(words, F.when(F.size("_kept") >= 2, F.col("_kept")).otherwise(none)).drop("_kept")
+
+
+def low_coverage() -> Column:
+    tests = (F.col("p_min").isNull() & F.col("p_max").isNull(), F.col("p_month").isNull(), (F.col("p_place") == "") & (F.col("p_remote") == ""), F.col("q_rate").isNull(), F.col("q_month").isNull(), (F.col("q_place") == "") & (F.col("q_remote") == ""))
+    return sum((t.cast("int") for t in tests), F.lit(0)) >= 3
+
+
+def role_match() -> Column:
+    return F.size(F.array_intersect("p_role", "q_role")) >= 2
+
+
+def class_points() -> Column:
+    """Points that a project and a cell of persons fix: place, role and both states."""
+    return points(F.col("place_state"), 10, 3) + 10 * F.col("role_match").cast("int") - F.when(F.col("p_status") == "DRAFT", 4).otherwise(0) - F.when(F.col("q_status") != "AVAILABLE", 8).otherwise(0)
+
+
+def pair_points() -> Column:
+    """Points that rate and date add, less those for missing fields."""
+    return points(rate_state(), 15, 4) + points(date_state(), 10, 3) - 8 * low_coverage().cast("int")
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """Adds score, band, warnings and reasons (codes joined by ',') to pairs that have their states and skill counts."""
+    total = skill_points() + class_points() + pair_points()
+    staged = pairs.withColumns({"rate_state": rate_state(), "date_state": date_state(), "low_coverage": low_coverage(), "score": F.least(F.greatest(total, F.lit(0)), F.lit(100)).cast("int")})
     reasons = [(F.col("n_required") > 0, "MATCH_SKILL_REQUIRED_OVERLAP"), (F.col("n_preferred") > 0, "MATCH_SKILL_NICE_TO_HAVE_OVERLAP"), *((F.col("rate_state") == s, f"MATCH_RATE_{c}") for s, c in (("match", "COMPATIBLE"), ("unknown", "UNKNOWN"), ("mismatch", "MISMATCH"))), *((F.col(f"{x}_state") == s, f"MATCH_{n}_{c}") for x, n in (("date", "START"), ("place", "LOCATION")) for s, c in (("match", "COMPATIBLE"), ("unknown", "UNKNOWN"))), (F.col("role_match"), "MATCH_ROLE_COMPATIBLE")]
     codes = lambda tests: F.concat_ws(",", *(F.when(c, code) for c, code in tests))
     return staged.withColumns({"band": score_band(F.col("score"), F.col("low_coverage")), "reasons": codes(reasons), "warnings": codes([(F.col("low_coverage"), "MATCH_LOW_FIELD_COVERAGE"), (F.col("low_coverage"), "MATCH_REVIEW_REQUIRED")])})
@@ -124,10 +174,18 @@ def match_candidates(projects: DataFrame, project_skills: DataFrame, persons: Da
     """All pairs of at least min_score, which is over NO_SKILL_BEST, among rows that are not archived."""
     if min_score <= NO_SKILL_BEST:
         raise ValueError(f"min_score has to be over {NO_SKILL_BEST}: pairs without a common skill may have less")
-    p = match_projects(projects.filter("status != 'ARCHIVED'"))
-    q = match_persons(persons.filter("status != 'ARCHIVED'"))
-    shared = overlaps(project_skills.join(p.select("project_id"), "project_id"), person_skills.join(q.select("person_id"), "person_id"))
-    return scored(shared.join(p, "project_id").join(q, "person_id")).filter(F.col("score") >= min_score).select(*RESULT)
+    named = lambda rows, key, columns: rows.withColumn(key, F.sha2(F.to_json(F.struct(*columns)), 256))
+    p = named(match_projects(projects.filter("status != 'ARCHIVED'")).join(project_sets(project_skills), "project_id"), "p_key", ["p_set"])
+    q = named(match_persons(persons.filter("status != 'ARCHIVED'")).join(person_sets(person_skills), "person_id"), "q_key", ["q_set"])
+    p, q = shared_words(p, "project_id", "p_role", q, "q_role"), shared_words(q, "person_id", "q_role", p, "p_role")
+    cell = ["q_key", "q_place", "q_remote", "q_status", "q_role"]
+    q = named(q, "cell", cell)
+    sets = set_overlaps(p.select("p_key", "p_set"), q.select("q_key", "q_set")).withColumn("skill_points", skill_points()).filter(F.col("skill_points") >= min_score - NO_SKILL_BEST)
+    cells = q.select("cell", *cell).dropDuplicates(["cell"])
+    met = p.drop("p_set").join(sets, "p_key").join(cells, "q_key").withColumns({"place_state": place_state(), "role_match": role_match()})
+    met = met.withColumn("so_far", F.col("skill_points") + class_points()).filter(F.col("so_far") >= min_score - RATE_AND_DATE_BEST)
+    people = q.select("person_id", "q_rate", "q_month", F.col("cell").alias("own_cell"))
+    return scored(met.join(people, (F.col("cell") == F.col("own_cell")) & (F.col("so_far") + pair_points() >= min_score))).select(*RESULT)
 
 
 def top_matches(candidates: DataFrame, most: int, key: str | None = None) -> DataFrame:

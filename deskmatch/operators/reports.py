@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_subject
 
 #: Patterns that no report may show.
-SENSITIVE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"https?://", r"(?i)(bearer\s+[a-z0-9._-]+|postgres(ql)?://|(secret|password|token|api_?key)\s*[:=])", r"[A-Za-z]:\\\\|/(home|users|var)/"]
+SENSITIVE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"https?://", r"(?i)(bearer\s+[a-z0-9._-]+|(postgres(ql)?|mysql|sqlserver)://|(secret|password|token|api_?key)\s*[:=])", r"[A-Za-z]:\\|/(home|users|var)/", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"]
 
 
 def mail_stats(mails: DataFrame, since: str) -> DataFrame:
@@ -80,13 +80,27 @@ def confusion_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return by.join(F.broadcast(total)).select("label", "hits", "predicted", "actual", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)), 4).alias("f1"), "accuracy")
 
 
-def source_inventory(mails: DataFrame, links: DataFrame, results: DataFrame) -> DataFrame:
-    """Counts by kind: mails by category, links by type, results by target, mails with links, and links without a mail."""
+def source_inventory(mails: DataFrame, links: DataFrame, results: DataFrame, entities: DataFrame) -> DataFrame:
+    """Counts by kind: mails by category and exclusion, links by type, results by target, entities by type and state, with and without a mail and made from mails; mails with links, results, entities; links and results without a mail."""
     of = lambda rows, metric, key: rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "key", "n")
     one = lambda rows, metric: rows.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), F.lit("").alias("key"), "n")
-    linked = mails.join(links.select("mail_id").distinct(), "mail_id", "left_semi")
-    orphans = links.join(mails.select("mail_id"), "mail_id", "left_anti")
-    return reduce(DataFrame.unionByName, [of(mails, "mail_category", F.col("category")), of(links, "link_type", F.col("link_type")), of(results, "result_target", F.col("target")), one(linked, "mails_with_links"), one(orphans, "orphan_links")])
+    ids = mails.select("mail_id")
+    sources = entities.select(F.col("source_mail_id").alias("mail_id")).filter("mail_id IS NOT NULL")
+    with_ = lambda rows: ids.join(rows.select("mail_id").distinct(), "mail_id", "left_semi")
+    orphans = lambda rows: rows.join(ids, "mail_id", "left_anti")
+    counts = [
+        of(mails, "mail_category", F.col("category")), of(mails, "mail_excluded", F.col("is_excluded").cast("string")), of(links, "link_type", F.col("link_type")), of(results, "result_target", F.col("target")),
+        of(entities, "entity_type", F.concat_ws(":", "entity_type", "status")), of(entities, "entity_source", F.when(F.col("source_mail_id").isNull(), "without_mail").otherwise("with_mail")), of(entities.filter(F.col("code").startswith("GMAIL-")), "mail_derived", F.col("entity_type")),
+        one(with_(links), "mails_with_links"), one(with_(results), "mails_with_results"), one(with_(sources), "mails_with_entities"), one(orphans(links), "orphan_links"), one(orphans(results), "orphan_results"),
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def relationship_sample(mails: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """The newest mails with the number and the types of their links."""
+    newest = mails.select("mail_id", "received_at").orderBy(F.desc("received_at"), F.desc("mail_id")).limit(most)
+    own = links.join(F.broadcast(newest.select("mail_id")), "mail_id").groupBy("mail_id").agg(F.count("*").alias("n_links"), F.array_join(F.array_sort(F.collect_set("link_type")), ",").alias("link_types"))  # most rows
+    return newest.join(own, "mail_id", "left").select("mail_id", "received_at", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("link_types", F.lit("")).alias("link_types"))
 
 
 def sync_run_summary(steps: DataFrame) -> DataFrame:

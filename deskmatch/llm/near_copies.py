@@ -9,10 +9,11 @@ the tests), one above it with more. Each candidate pair is then held against the
 0.8 or more become links; groups are the components of the links.
 
 A table's key has 20 bits, so of n distinct sets n / 2**20 meet by chance; they are told apart within the bucket
-by NEAR further bits. For over a billion distinct sets take wider parts, and more of them.
+by NEAR further bits, and by all bits of the fingerprints. For over a billion distinct sets take wider parts, and more of them.
 
-Documents of one set are one node, so exact copies never meet. In a bucket, all first meet one member,
-again and again while that joins groups; what then still lies in different groups of a bucket meets in pairs.
+Documents of one set are one node, so exact copies never meet. In a bucket, all first meet one member; what
+then still lies in different groups of a bucket is compared within the bucket, where only links leave the
+task. A bucket of more than BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out as pairs of blocks of that size.
 
 Defined cases: null texts are empty; texts of fewer words than a shingle are one shingle; texts without
 words are copies of each other; documents with a null id stay and link nothing; rows of one id with
@@ -39,12 +40,10 @@ SIMILAR = (4, 5)
 #: Bits of a fingerprint in the tables, bits of a part and orders of the bits, differing bits that a part's masks cover, and bits that tell chance meetings apart.
 BITS, PART, ARRANGEMENTS, WITHIN, NEAR = 510, 30, 3, 1, 128
 PARTS = BITS // PART
-#: NEAR bits of a pair at a similarity of 0.8 differ in 19.4 of 128 on average, with a deviation of 4.1; of strangers in 64, with one of 5.7.
-MOST_DIFFERING = 38
-#: Rounds in which the members of a bucket meet one of them, before the rest meets in pairs.
-ROUNDS = 3
-#: Rows of a bucket that a task holds.
-HELD = 20_000
+#: Most differing bits of a pair, of NEAR and of all: at a similarity of 0.8 they are 19 and 97 on average, with deviations of 4.1 and 9.1; of strangers 64 and 319, with 5.7 and 12.6.
+MOST_NEAR, MOST_DIFFERING = 38, 133
+#: Rows of a bucket that a task holds while it looks for partners; sets and hashes of a block.
+HELD, BLOCK_ROWS, BLOCK_HASHES = 20_000, 2_000, 4_000_000
 WORDS = -(-(BITS + NEAR) // 64)
 #: Odd factors, one for each 64 bits of a fingerprint, and the orders of its bits.
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,15 +102,15 @@ def sketches(docs: DataFrame, words: int, id_column: str, text_column: str) -> D
                         seen.add(key)
                         new[i] = True
                 at = np.flatnonzero(new)
-                found: list[bytes | None] = [None] * len(own)
+                found: list[np.ndarray | None] = [None] * len(own)
                 if at.size:
                     bounds = np.cumsum([0, *(len(own[i]) for i in at)])
                     for i, row in zip(at, fingerprints(np.concatenate([own[i] for i in at]), bounds)):
-                        found[i] = row.tobytes()
-                columns = [part.column("id"), part.column("sha"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([len(s) if x else None for s, x in zip(own, new)], pa.int32()), pa.array(found, pa.binary())]
+                        found[i] = row.view(np.int64)
+                columns = [part.column("id"), part.column("sha"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([len(s) if x else None for s, x in zip(own, new)], pa.int32()), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "sha", "key", "n", "fp"])
 
-    return texts(docs, id_column, text_column).mapInArrow(run, "id long, sha string, key long, n int, fp binary")
+    return texts(docs, id_column, text_column).mapInArrow(run, "id long, sha string, key long, n int, fp array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
@@ -127,17 +126,18 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int, id_column: str, text_
     return rows.mapInArrow(run, "key long, hashes binary").dropDuplicates(["key"])
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    over, under = SIMILAR
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return under * both >= over * (len(x) + len(y) - both)
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar."""
-    over, under = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(under * both >= over * (len(x) + len(y) - both))
+            keep = [alike(*(np.frombuffer(s.as_buffer(), np.uint64) for s in row)) for row in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
@@ -155,7 +155,7 @@ def partnered(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     for lag in range(1, int(sizes[small].max(initial=0))):
         here = here[here + lag < ends[here - bounds[0]]]
         there = here + lag
-        close = np.bitwise_count(near[:, here] ^ near[:, there]).sum(axis=0) <= MOST_DIFFERING
+        close = np.bitwise_count(near[:, here] ^ near[:, there]).sum(axis=0) <= MOST_NEAR
         close &= under * np.minimum(n[here], n[there]) >= over * np.maximum(n[here], n[there])
         keep[here[close] - bounds[0]] = True
         keep[there[close] - bounds[0]] = True
@@ -163,13 +163,13 @@ def partnered(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, key, n, near_a, near_b: what the tables' buckets hold that may have a partner there, of nodes (key, n, fp)."""
+    """bucket, key, n, fp: what the tables' buckets hold that may have a partner there, of nodes (key, n, fp)."""
     names = ["bucket", "key", "n", "near_a", "near_b"]
     near = WORDS - NEAR // 64
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(-1, WORDS)
+            prints = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
             keys = table_keys(prints).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * len(TABLES)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([lists, batch.column("key"), batch.column("n").cast(pa.int64()), *(pa.array(prints[:, near + k].astype("<u8").view(np.int64)) for k in range(2))], names=["buckets", *names[1:]])
@@ -199,37 +199,104 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
     lists = nodes.select("key", "n", "fp").mapInArrow(keyed, "buckets array<long>, key long, n long, near_a long, near_b long")
     rows = lists.select(F.explode("buckets").alias("bucket"), *names[1:]).repartition("bucket").sortWithinPartitions("bucket")
-    return cut(rows.mapInArrow(shared, "bucket long, key long, n long, near_a long, near_b long"), "buckets")
+    met = rows.mapInArrow(shared, "bucket long, key long, n long, near_a long, near_b long").select("bucket", "key")
+    return cut(met.join(nodes.select("key", "n", "fp"), "key").select("bucket", "key", "n", "fp"), "buckets")
+
+
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: each member of a bucket with one of its members, where sizes and fingerprints allow for similar sets."""
+    over, under = SIMILAR
+    one = rows.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "fp"), F.xxhash64("key")).alias("one")).select("bucket", "one.*").toDF("bucket", "other", "m", "other_fp")
+    differing = F.aggregate(F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("key") != F.col("other")) & (differing <= MOST_DIFFERING)
+    return rows.join(one, "bucket").filter(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def partners(groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row and those after it that are of another group and by size and fingerprint may be similar."""
+    over, under = SIMILAR
+    for i in range(len(groups) - 1):
+        rest = slice(i + 1, None)
+        near = (groups[rest] != groups[i]) & (under * np.minimum(sizes[rest], sizes[i]) >= over * np.maximum(sizes[rest], sizes[i]))
+        at = np.flatnonzero(near) + i + 1
+        yield i, at[np.bitwise_count(prints[at] ^ prints[i]).sum(axis=1) <= MOST_DIFFERING]
+
+
+def linked_sets(keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different groups, until those that similar sets join are one."""
+    head, out = {}, []
+
+    def top(g: int) -> int:
+        while head.get(g, g) != g:
+            g = head[g]
+        return g
+
+    for i, at in partners(groups, sizes, prints):
+        for j in at.tolist():
+            g, h = top(int(groups[i])), top(int(groups[j]))
+            if g != h and alike(sets[i], sets[j]):
+                head[max(g, h)] = min(g, h)
+                out.append((int(keys[i]), int(keys[j])))
+    return out
+
+
+def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of each part (rows sorted by part), with group, n and fp as arrays."""
+    held: list[pa.RecordBatch] = []
+    at = None
+
+    def close():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        prints = np.array(rows.column("fp").to_pylist(), np.int64).view(np.uint64)
+        return rows, rows.column("group").to_numpy(), rows.column("n").to_numpy(), prints
+
+    for batch in batches:
+        parts = batch.column("part").to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else []
+        for a, b in zip(bounds, bounds[1:]):
+            if parts[a] != at:
+                if held:
+                    yield close()
+                held, at = [], parts[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield close()
+
+
+def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between groups within each bucket (bucket, key, n, fp, group). Only sets that by their fingerprints may have a partner are fetched."""
+    blocks = live.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    own = live.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "key", "group", "n", "fp")
+    sorted_ = lambda rows: rows.repartition("part").sortWithinPartitions("part")
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, *known in whole_parts(batches):
+            keep = np.zeros(len(rows), bool)
+            for i, at in partners(*known):
+                keep[at] = True
+                keep[i] |= bool(len(at))
+            yield from rows.filter(pa.array(keep)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, *known in whole_parts(batches):
+            found = linked_sets(rows.column("key").to_numpy(), *known, [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    met = cut(sorted_(dealt).mapInArrow(with_partner, dealt.schema), "met")
+    return sorted_(met.join(sets.select("key", "hashes"), "key").select("part", "key", "group", "n", "fp", "hashes")).mapInArrow(run, "a long, b long")
 
 
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: pairs of similar keys whose components are those of all similar pairs that share a bucket."""
-    over, under = SIMILAR
-    tried, found, group, last = None, None, None, False
-    for k in range(ROUNDS + 1):
-        live = rows.withColumn("group", F.col("key"))
-        if group is not None:
-            live = rows.join(group, rows["key"] == group["node"], "left").select("bucket", "key", "n", "near_a", "near_b", F.coalesce("component", "key").alias("group"))
-            several = live.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("bucket")
-            live = cut(live.join(several, "bucket"), "live")
-        if not last:
-            one = live.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "near_a", "near_b", "group"), F.xxhash64("key", F.lit(k))).alias("one")).select("bucket", "one.*")
-        else:  # all but the largest group of each bucket meet the whole bucket
-            counts = live.groupBy("bucket", "group").agg(F.count("*").alias("size"))
-            largest = counts.groupBy("bucket").agg(F.max_by("group", F.struct("size", "group")).alias("largest"))
-            one = live.join(largest, "bucket").filter("group != largest").select("bucket", "key", "n", "near_a", "near_b", "group")
-        one = one.toDF("bucket", "other", "m", "other_a", "other_b", "other_group")
-        differing = F.bit_count(F.col("near_a").bitwiseXOR(F.col("other_a"))) + F.bit_count(F.col("near_b").bitwiseXOR(F.col("other_b")))
-        fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("group") != F.col("other_group")) & (differing <= MOST_DIFFERING)
-        pairs = live.join(one, "bucket").filter(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = cut(similar(pairs, sets), "links")
-        tried, found = (pairs, new) if tried is None else (tried.unionByName(pairs), found.unionByName(new))
-        if last:
-            break
-        last = k + 1 == ROUNDS or new.isEmpty()
-        group = group if new.isEmpty() else components(found)
-    return found
+    found = cut(similar(cut(first_pairs(rows), "pairs"), sets), "links")
+    group = components(found)
+    live = rows.join(group, rows["key"] == group["node"], "left").select("bucket", "key", "n", "fp", F.coalesce("component", "key").alias("group"))
+    several = live.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("bucket")
+    live = cut(live.join(several, "bucket"), "live")
+    return found.unionByName(cut(bucket_links(live, sets), "links"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

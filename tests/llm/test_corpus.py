@@ -395,10 +395,11 @@ def test_near_copies_are_those_of_the_similarity(spark, edge):
     assert len(df.collect()) > len(want) + 10 and len(alike) > 20
 
 
-@pytest.mark.parametrize(("held", "small"), [(3, 2), (20_000, 2)])
-def test_large_buckets_of_near_copies(spark, edge, monkeypatch, held, small):
+@pytest.mark.parametrize(("held", "small", "block"), [(3, 2, 2_000), (20_000, 2, 4)])
+def test_large_buckets_of_near_copies(spark, edge, monkeypatch, held, small, block):
     monkeypatch.setattr(near_copies, "HELD", held)
     monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
     test_near_copies_are_those_of_the_similarity(spark, edge)
 
 

@@ -29,8 +29,8 @@ def trimmed(c: Column) -> Column:
 
 
 def filled(c: Column) -> Column:
-    """Null for an empty text."""
-    return F.nullif(c, F.lit(""))
+    """Null for an empty text. NULLIF would work c out twice, and what it is made of again and again."""
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
 
 
 def body_text(c: Column) -> Column:
@@ -160,8 +160,8 @@ def clean_subject(c: Column, otherwise: str = "Gmail取込案件") -> Column:
     return F.coalesce(filled(F.substring(text, 1, 255)), F.lit(otherwise))
 
 
-def redacted(c: Column, most: int) -> Column:
-    """Database links, bearer tokens and secret=value pairs masked, blanks collapsed, cut."""
+def redacted(c: Column, most: int | None = None) -> Column:
+    """Database links, bearer tokens and secret=value pairs masked, blanks collapsed, cut to most characters if given."""
     text = replaced(
         F.coalesce(c, F.lit("")),
         ("(?i)postgres(?:ql)?://\\S+", "[redacted-database-url]"),
@@ -170,7 +170,7 @@ def redacted(c: Column, most: int) -> Column:
         ("(?i)(DATABASE_URL)\\s*[:=]\\s*[^\\s,;]+", "$1=[redacted]"),
         (f"{WHITE}+", " "),
     )
-    return F.substring(trimmed(text), 1, most)
+    return trimmed(text) if most is None else F.substring(trimmed(text), 1, most)
 
 
 def subject_mark(c: Column) -> Column:

@@ -34,14 +34,18 @@ def mails_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of HTML pages; entities are decoded, for which SQL has no short form."""
-    pages = b.table(spark, sf_dir, "pages").withColumn("page_text", t.html_text(F.col("html")))
-    body, source = t.best_body(F.lit(None).cast("string"), F.col("page_text"))
-    return pages.select("page_id", "page_text", F.length("page_text").alias("n_chars"), source.alias("source"), t.site_domain(F.col("url")).alias("domain"))
+    """Text of HTML pages, and the body of mails that hold a page beside a text, a mere link or nothing."""
+    k = F.col("page_id")
+    plain = F.when(k % 3 == 0, F.concat(F.lit("こちら https://x.example/"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("See page "), k.cast("string"), F.lit(" of the list.")))
+    pages = b.table(spark, sf_dir, "pages").withColumns({"page_text": t.html_text(F.col("html")), "plain": plain})
+    body, source = t.best_body(F.col("plain"), F.col("page_text"))
+    return pages.select("page_id", F.sha2("page_text", 256).alias("text_sha"), F.length("page_text").alias("n_chars"), F.sha2(body, 256).alias("body_sha"), source.alias("source"), t.site_domain(F.col("url")).alias("domain"))
 
 
 def redacted_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mails(spark, sf_dir).select("mail_id", t.redacted(F.col("body"), 500).alias("shown"))
+    """Digest and length of the whole masked text, and the mark that stands for the subject."""
+    shown = mails(spark, sf_dir).select("mail_id", "subject", t.redacted(F.col("body")).alias("shown"))
+    return shown.select("mail_id", F.sha2("shown", 256).alias("shown_sha"), F.length("shown").alias("n_chars"), t.subject_mark(F.col("subject")).alias("subject_mark"))
 
 
 def classified_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +53,8 @@ def classified_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary of mails that no person classified, received on two days in Japan."""
-    rows = classify.to_classify(mails(spark, sf_dir), "2024-01-01", "2024-01-02")
+    """Summary of all mails that no person classified."""
+    rows = classify.to_classify(mails(spark, sf_dir))
     return classify.classification_summary(classify.classify_mails(rows, RULES, STRONG))
 
 
@@ -137,14 +141,21 @@ def oracle_sql() -> dict[str, str]:
         "mails_normalized": f"""WITH {MAILS} SELECT mail_id, sha256({tidy}) AS body_sha, length(trim(regexp_replace(body, '\\s+', ' ', 'g')))::INT AS search_length,
           coalesce(nullif(substring(trim(regexp_replace(regexp_replace(subject, '^\\s*(re|fw|fwd)\\s*:\\s*', '', 'i'), '\\s+', ' ', 'g')), 1, 255), ''), 'Gmail取込案件') AS subject, string_split(from_email, '@')[2] AS domain, sha256(body) AS body_hash,
           in_reply_to IS NOT NULL OR starts_with(lower(subject), 're:') AS is_reply FROM mails""",
+        "page_text": f"""WITH s AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--[\\s\\S]*?-->', ' ', 'g'), '<style[\\s\\S]*?</style>', ' ', 'gi'), '<script[\\s\\S]*?</script>', ' ', 'gi'),
+            '<br\\s*/?>', chr(10), 'gi'), '</(p|div|li|tr|h[1-6]|section|article|table)>', chr(10), 'gi'), '<li[^>]*>', chr(10) || '- ', 'gi'), '<[^>]+>', ' ', 'g') AS h FROM pages),
+          n AS (SELECT *, string_split(h, '&#')[1] || array_to_string(list_transform(string_split(h, '&#')[2:], lambda x: CASE WHEN regexp_matches(x, '^[0-9]{{1,7}};') THEN chr(regexp_extract(x, '^([0-9]+);', 1)::INT) || regexp_replace(x, '^[0-9]+;', '') ELSE '&#' || x END), '') AS d FROM s),
+          e AS (SELECT *, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '&apos;', chr(39), 'gi'), '&gt;', '>', 'gi'), '&lt;', '<', 'gi'), '&nbsp;', ' ', 'gi'), '&quot;', '"', 'gi'), '&amp;', '&', 'gi'), chr(160), ' ') AS body FROM n),
+          p AS (SELECT *, {tidy} AS t FROM e)
+          SELECT page_id, sha256(t) AS text_sha, length(t)::INT AS n_chars, CASE WHEN page_id % 3 = 1 THEN sha256('See page ' || page_id::VARCHAR || ' of the list.') ELSE sha256(t) END AS body_sha, CASE WHEN page_id % 3 = 1 THEN 'text/plain' ELSE 'text/html' END AS source,
+            regexp_extract(lower(url), '^(?:https?://)?(?:www\\.)?([^/?#:]*)', 1) AS domain FROM p""",
         "address_headers": "SELECT c_custkey AS mail_id, 'a' || c_custkey::VARCHAR || '@x.example;b' || c_custkey::VARCHAR || '@mail.y.example' AS addresses, 'Desk, ' || c_name AS name, 'mail.y.example' AS domain FROM customer",
         "mime_bodies": f"""WITH j AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE turn <> 1 GROUP BY 1), n AS (SELECT conv_id, {tidy} AS body FROM j)
           SELECT conv_id, length(body)::INT AS n_chars, sha256(body) AS body_sha FROM n""",
-        "redacted_mails": f"""WITH {MAILS} SELECT mail_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, 'postgres(?:ql)?://\\S+', '[redacted-database-url]', 'gi'), 'Bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi'),
-          '(client_secret|refresh_token|access_token|reset_token|resetToken|password|token|secret)=([^&\\s]+)', '\\1=[redacted]', 'gi'), '(DATABASE_URL)\\s*[:=]\\s*[^\\s,;]+', '\\1=[redacted]', 'gi'), '\\s+', ' ', 'g')), 1, 500) AS shown FROM mails""",
+        "redacted_mails": f"""WITH {MAILS} SELECT mail_id, sha256(shown) AS shown_sha, length(shown)::INT AS n_chars, CASE WHEN subject = '' THEN '(no subject)' ELSE '[redacted-subject len=' || length(subject)::VARCHAR || ' hash=' || substring(sha256(subject), 1, 12) || ']' END AS subject_mark FROM (SELECT mail_id, subject, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, 'postgres(?:ql)?://\\S+', '[redacted-database-url]', 'gi'), 'Bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi'),
+          '(client_secret|refresh_token|access_token|reset_token|resetToken|password|token|secret)=([^&\\s]+)', '\\1=[redacted]', 'gi'), '(DATABASE_URL)\\s*[:=]\\s*[^\\s,;]+', '\\1=[redacted]', 'gi'), '\\s+', ' ', 'g')) AS shown FROM mails)""",
         "classified_mails": f"WITH {CLASSIFIED} SELECT mail_id, label, category, confidence::DOUBLE AS confidence, is_excluded, needs_review FROM c",
         "classification_summary": f"""WITH {CLASSIFIED} SELECT label, count(*) AS n_mails, count(*) FILTER (is_excluded) AS n_excluded, count(*) FILTER (needs_review) AS n_review FROM c
-          WHERE classified_by IS DISTINCT FROM 'MANUAL' AND received_at >= TIMESTAMP '2023-12-31 15:00:00' AND received_at < TIMESTAMP '2024-01-02 15:00:00' GROUP BY 1""",
+          WHERE classified_by IS DISTINCT FROM 'MANUAL' GROUP BY 1""",
         "text_search": f"""WITH {MAILS}, h AS (SELECT mail_id, lower(trim(subject || ' ' || body)) AS h FROM mails), r AS (SELECT mail_id, regexp_matches(h, '(^|[^a-z0-9])ed([^a-z0-9]|$)') AS has_ed, contains(h, 'tion') AS has_tion,
           regexp_matches(h, '(^|[^a-z0-9])sql([^a-z0-9]|$)') OR len(list_filter(regexp_extract_all(h, '[a-z0-9][a-z0-9.+#-]*'), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g') IN ('mysql', 'postgresql', 'mssql', 'plsql', 'tsql', 'sqlserver'))) > 0 AS has_sql FROM h)
           SELECT * FROM r WHERE has_ed OR has_tion OR has_sql""",

@@ -36,9 +36,9 @@ def match_review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestions_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggestions that a second run adds to those of a first run over the projects with an even id."""
+    """Suggestions that a run adds to those of an earlier one that saved only the best band."""
     found = _candidates(spark, sf_dir)
-    first, _ = review.save_suggestions(found.filter("project_id % 2 = 0"), found.select(F.lit(None).cast("string").alias("suggestion_key")).filter("false"), VERSION)
+    first, _ = review.save_suggestions(found.filter("band = 'HIGH'"), found.select(F.lit(None).cast("string").alias("suggestion_key")).filter("false"), VERSION)
     second, events = review.save_suggestions(found, first, VERSION)
     return second.join(events, "suggestion_key").select("project_id", "person_id", "score", "status", "action", "to_status")
 
@@ -127,7 +127,7 @@ def oracle_sql() -> dict[str, str]:
         "match_distribution": f"""{CANDIDATES} SELECT kind, code, count(*) AS n FROM (SELECT 'band' AS kind, band AS code FROM c UNION ALL SELECT 'reason', unnest(string_split(reasons, ',')) FROM c UNION ALL
           SELECT 'warning', unnest(string_split(warnings, ',')) FROM c WHERE warnings <> '') GROUP BY 1, 2""",
         "match_review_page": f"{CANDIDATES} SELECT project_id, person_id, score, band, attention FROM r WHERE rate_state = 'match' ORDER BY attention = 'NEEDS_REVIEW' DESC, score DESC, project_id, person_id LIMIT 20 OFFSET 20",
-        "suggestions_saved": f"{CANDIDATES} SELECT project_id, person_id, score, status, 'CREATED' AS action, status AS to_status FROM (SELECT *, CASE WHEN warnings <> '' OR band = 'REVIEW' THEN 'NEEDS_REVIEW' ELSE 'SUGGESTED' END AS status FROM c WHERE project_id % 2 <> 0)",
+        "suggestions_saved": f"{CANDIDATES} SELECT project_id, person_id, score, status, 'CREATED' AS action, status AS to_status FROM (SELECT *, CASE WHEN warnings <> '' OR band = 'REVIEW' THEN 'NEEDS_REVIEW' ELSE 'SUGGESTED' END AS status FROM c WHERE band <> 'HIGH')",
         "review_state": f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id ORDER BY ts, event_id) AS i FROM e),
           s AS (SELECT DISTINCT suggestion_id, 0::BIGINT AS i, 'SUGGESTED' AS status, 0 AS applied, NULL::TIMESTAMP AS seen FROM n
             UNION ALL SELECT s.suggestion_id, s.i + 1, {_NEXT}, s.applied + ({_NEXT} <> s.status)::INT, CASE WHEN {_NEXT} <> s.status THEN n.ts ELSE s.seen END FROM s JOIN n ON n.suggestion_id = s.suggestion_id AND n.i = s.i + 1)

@@ -11,7 +11,8 @@ THRESHOLD by a shift of the logit, and each language gets a threshold of its own
 rows. Language never enters a score.
 
 Defined cases: null texts are empty, and an empty text gets the score of no word at all; a null id is
-never held out; rows without a label are scored only; of several labels of an id the toxic one counts;
+never held out; rows without a label are scored only; of several labels of an id the toxic one counts, of
+several texts of an id the least one is learned from;
 with no labels of both kinds all scores are 0; an empty table gives an empty result; other columns are
 ignored whatever their names; repeated rows each get their row.
 """
@@ -85,7 +86,10 @@ class Model:
             own = every[:, j * FILTERS : (j + 1) * FILTERS]
             own[:] = got[:, at : at + FILTERS]
             for k in range(1, w):
-                own[: len(own) - k] += got[k:, at + k * FILTERS : at + (k + 1) * FILTERS]
+                more = got[k:, at + k * FILTERS : at + (k + 1) * FILTERS].copy()
+                beyond = (bounds[1:-1, None] - np.arange(1, k + 1)).ravel()  # places whose k-th next word is another text's
+                more[beyond[beyond >= 0]] = 0
+                own[: len(own) - k] += more
             at += w * FILTERS
         pooled = np.maximum.reduceat(every, bounds[:-1], axis=0)
         return np.maximum(pooled + self.bias, 0), every
@@ -152,10 +156,9 @@ def train(texts: list[str], labels: np.ndarray, languages: list[str | None], see
                 best = np.stack([bounds[k] + answers[bounds[k] : bounds[k + 1]].argmax(axis=0) for k in range(len(batch))])
                 grads[w] = np.zeros_like(model.filters[w])
                 for k in range(w):
-                    place = np.minimum(best + k, len(own) - 1)
-                    seen = words_now[own[place]]
-                    grads[w][k] = np.einsum("bfe,bf->ef", seen, mine)
-                    np.add.at(grad_words, own[place], mine[:, :, None] * model.filters[w][k].T[None])
+                    place = np.where(best + k < bounds[1:, None], own[np.minimum(best + k, len(own) - 1)], len(used))
+                    grads[w][k] = np.einsum("bfe,bf->ef", words_now[place], mine)
+                    np.add.at(grad_words, place, mine[:, :, None] * model.filters[w][k].T[None])
             touched = np.flatnonzero(np.abs(grad_words[:-1]).sum(axis=1))
             step("out", pooled.T @ error / len(batch))
             step("bias", back.sum(axis=0))
@@ -221,7 +224,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_colum
     picked = known.filter("_toxic").orderBy(order, "_id").limit(MOST_TOXIC).unionByName(known.filter("not _toxic").orderBy(order, "_id").limit(MOST_CLEAN))
     lang = F.col(lang_column) if lang_column in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_column).alias("_id"), whole_text(text_column).alias("_text"), lang.cast("string").alias("_lang"))
-    rows = texts.join(F.broadcast(picked), "_id").select("_id", "_text", F.col("_toxic").cast("int"), "_lang")  # at most MOST_TOXIC + MOST_CLEAN rows
+    rows = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min(F.struct("_text", F.col("_toxic").cast("int").alias("_toxic"), "_lang")).alias("x")).select("_id", "x.*")  # at most MOST_TOXIC + MOST_CLEAN rows
     found = {r[0]: r[1:] for r in rows.toLocalIterator()}
     return [found[k] for k in sorted(found, key=lambda k: (zlib.crc32(str(k).encode()), k))]
 

@@ -12,7 +12,7 @@ of over BUCKET fingerprints is dealt out as pairs of blocks, each a task of boun
 
 Defined cases: null texts are empty; texts without words have fingerprint 0 and are linked as any other;
 repeated rows each get their row; documents with a null id get a fingerprint and a null component and
-link nothing; an empty table gives an empty result; other columns are ignored whatever their names;
+link nothing; rows of one id with different texts are linked each by its own; an empty table gives an empty result; other columns are ignored whatever their names;
 long texts are taken whole. The smallest id names a component, so ties can't arise.
 """
 
@@ -203,17 +203,18 @@ def block_links(big: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document its id, fp (long) and component_id, the smallest id that links of at most radius bits reach."""
     found = cut(fingerprints(docs, words, id_column, text_column), "fingerprints")
-    nodes = cut(found.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+    nodes = cut(found.filter("id is not null").groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     # A bucket's key is a hash of the table's number and the masked fingerprint; where two buckets share a key, more pairs are compared, no fewer.
     keys = F.array(*(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for n, m in enumerate(masks(radius))))
-    table = nodes.select(F.explode(keys).alias("bucket"), "fp", "node").repartition("bucket").sortWithinPartitions("bucket")
+    table = nodes.select(F.explode(keys).alias("bucket"), "fp", F.col("fp").alias("node")).repartition("bucket").sortWithinPartitions("bucket")
     rows = cut(link_buckets(table, radius), "links")
     pairs = rows.filter("a is not null").select("a", "b")
     big = rows.filter("a is null").select("bucket", "fp", "node")
     if not big.isEmpty():
         pairs = pairs.unionByName(block_links(big, radius))
     named = components(pairs)
-    of = nodes.join(named, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    of = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    of = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     joined = found.join(of, "fp", "left")
     return joined.select(F.col("id").alias(id_column), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 

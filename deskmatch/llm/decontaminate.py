@@ -5,8 +5,9 @@ between them. An item that occurs with at most k edits, cut into k + 1 pieces, h
 unedited. An Aho-Corasick automaton of all pieces finds the exact piece hits in a pass over each text;
 a window around each hit is verified with Myers' bit-parallel edit distance.
 
-Items come in blocks of bounded size; each block is a pass of its own over the documents, so what a
-task holds does not grow with the number of items. Nothing is shuffled.
+Items are dealt by hash to blocks of about BLOCK_CHARS characters, written to the shared folder, where each
+task reads its block, so neither a task nor the driver holds more than a block. All blocks are searched in
+one job, each over all documents. Nothing is shuffled but the items.
 
 Defined cases: null texts are empty; items without a normalised character, or null, match nothing;
 repeated items and repeated documents give a row each; a null document or item id stays null; empty
@@ -18,12 +19,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, whole_text
+from .common import cut, fresh, whole_text, work_dir
 
 #: Edits allowed for each character of an item, and characters of items in a block.
 EDIT_RATE = 0.05
@@ -86,6 +88,8 @@ class Block:
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """Number of the item, distance, start and end of the best place of each item within its budget."""
+        if not self.items:
+            return []
         starts: dict[int, set[int]] = {}
         for end, (size, found) in self.automaton.iter(text):
             for n, at in found:
@@ -116,27 +120,42 @@ def windows(starts: list[int], size: int, edits: int, end: int) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def item_blocks(items: DataFrame, id_column: str, text_column: str, most: int) -> Iterator[list[tuple[int | None, str]]]:
-    block, size = [], 0
-    for row in items.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).toLocalIterator():
-        item = normal(row[1])
-        if item:
-            if block and size + len(item) > most:
-                yield block
-                block, size = [], 0
-            block.append((row[0], item))
-            size += len(item)
-    if block:
-        yield block
+def item_blocks(items: DataFrame, id_column: str, text_column: str, most: int) -> tuple[str, int]:
+    """Writes the normalised items, in a folder for each block, and returns where, and the number of blocks."""
+    spark, folder = items.sparkSession, work_dir(items.sparkSession, "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            item = [normal(x) for x in batch.column("text").to_pylist()]
+            rows = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(item, pa.string())], names=["id", "item"])
+            yield rows.filter(pa.array([bool(x) for x in item], pa.bool_()))
+
+    rows = cut(items.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "id long, item string"), "normal")
+    blocks = -(-(rows.agg(F.sum(F.length("item"))).first()[0] or 0) // most)
+    if blocks:
+        rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
+
+
+def block_items(folder: str, block: int) -> list[tuple[int | None, str]]:
+    """The items of a block, read in a task."""
+    from pyarrow import dataset, fs
+
+    store, place = fs.FileSystem.from_uri(f"{folder}/block={block}")
+    if store.get_file_info(place).type == fs.FileType.NotFound:
+        return []
+    rows = dataset.dataset(place, filesystem=store, format="parquet").to_table(["id", "item"])
+    return sorted(zip(rows.column("id").to_pylist(), rows.column("item").to_pylist()), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
 
 
 def hits(rows: DataFrame, kind: str, items: DataFrame, rate: float, item_id_column: str, item_text_column: str, block_chars: int) -> DataFrame:
     """What contaminated gives, for rows of id (of a kind: long or string) and text."""
-    out, schema = None, HITS.replace("doc_id long", f"doc_id {kind}")
+    schema = HITS.replace("doc_id long", f"doc_id {kind}")
+    folder, blocks = item_blocks(items, item_id_column, item_text_column, block_chars)
 
-    def search(block: list[tuple[int | None, str]]) -> DataFrame:
+    def search(block: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Block(block, rate)
+            own = Block(block_items(folder, block), rate)
             names = [("doc_id", pa.int64() if kind == "long" else pa.string()), ("item_id", pa.int64()), ("distance", pa.int32()), ("at", pa.int32()), ("until", pa.int32())]
             for batch in batches:
                 found = [(i.as_py(), own.items[n][0], d, a, b) for i, t in zip(batch.column("id"), batch.column("text")) for n, d, a, b in own.matches(normal(t.as_py()))]
@@ -144,16 +163,7 @@ def hits(rows: DataFrame, kind: str, items: DataFrame, rate: float, item_id_colu
 
         return rows.mapInArrow(run, schema)
 
-    held = None
-    for block in item_blocks(items, item_id_column, item_text_column, block_chars):
-        if held is not None:  # more than one block: each pass is written before the next
-            out = held if out is None else out.unionByName(held)
-            held = None
-        found = search(block)
-        held = found if out is None and held is None else cut(found, "hits")
-    if held is not None:
-        out = held if out is None else out.unionByName(held)
-    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, map(search, range(blocks))) if blocks else rows.sparkSession.createDataFrame([], schema)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, whole_text
+from .common import chunks, cut, whole_text, work_dir
 
 #: Bytes of a string that must not repeat, bytes of an anchor, and bytes before an anchor that a string may begin.
 LENGTH, GRAM = 200, 64
@@ -196,9 +196,13 @@ def stretches(lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray, np.n
 # ---- anchors -----------------------------------------------------------------
 
 
-@functools.cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64, and the value of each byte."""
+    """The first n powers of the base and of its inverse, modulo 2**64; those of a chunk are remembered, those of a longer text are not."""
+    return chunk_powers(CHUNK + 1) if n <= CHUNK + 1 else chunk_powers.__wrapped__(n)
+
+
+@functools.lru_cache(2)
+def chunk_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, pow(BASE, -1, 1 << 64)):
         row, done = np.ones(n, np.uint64), 1
@@ -237,7 +241,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     long = np.flatnonzero(np.diff(offsets) >= LENGTH)
     if not long.size:
         return none, none.view(np.uint64), none.view(np.uint64), none
-    up, down = powers(max(CHUNK + 1, n + 1))
+    up, down = powers(n + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(byte_values()[data] * down[:n], dtype=np.uint64)])
     h = mix((total[GRAM:] - total[:-GRAM]) * up[: n - GRAM + 1])
     h[h == 0] = 1
@@ -264,14 +268,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def distinct_texts(docs: DataFrame, text_column: str) -> tuple[DataFrame, str]:
-    """key, text (binary), copies, sha: one row for each distinct text, in a table bucketed by key; and the table's name."""
+    """key, text (binary), copies, sha: one row for each distinct text, in a table of the shared folder that is bucketed by key; and the table's name in the catalog."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.sha2(F.col(text_column), 256).alias("sha"), F.col(text_column).cast("binary").alias("text"))
     for seed in range(5):
         name = f"distinct_texts_{uuid.uuid4().hex}"
         found = rows.withColumn("key", F.xxhash64("sha", F.lit(seed))).groupBy("key", "sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-        found.repartition(parts, "key").write.bucketBy(parts, "key").option("compression", "zstd").saveAsTable(name)
+        found.repartition(parts, "key").write.bucketBy(parts, "key").option("compression", "zstd").option("path", work_dir(spark, "texts")).saveAsTable(name)
         table = spark.table(name)
         if table.groupBy("key").count().filter("count > 1").isEmpty():
             return table, name
@@ -457,7 +461,7 @@ def stripped(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """key, low, high: stretches of bytes in strings that occur again, of all distinct texts of at least LENGTH bytes."""
-    marked = cut(repeated_anchors(anchor_rows(texts.filter(F.length("text") >= LENGTH))), "anchors")
+    marked = cut(repeated_anchors(cut(anchor_rows(texts.filter(F.length("text") >= LENGTH)), "places")), "anchors")
     contexts = fetched(texts, marked.filter("ask").select("h", "key", "at", "whole"))
     groups = cut(sorted_groups(contexts), "stretches")
     whole = marked.filter("whole").select("key", F.greatest(F.col("at") - REACH, F.lit(0)).alias("low"), (F.col("at") + LENGTH).alias("high"))
@@ -470,6 +474,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: its id, n_bytes, n_removed, n_spans (removed runs) and kept (binary: the remaining bytes)."""
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-    texts, _ = distinct_texts(rows, "text")
+    texts, name = distinct_texts(rows, "text")
     result = stripped(texts, repeated_spans(texts))
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # its files stay where the result reads them
     return rows.select("id", F.sha2("text", 256).alias("sha")).join(result, "sha").drop("sha").withColumnRenamed("id", id_column)

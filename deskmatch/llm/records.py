@@ -46,6 +46,8 @@ FILE_BYTES = 32 << 20
 #: Words that a Python worker remembers.
 KNOWN_WORDS = 800_000
 ENCODE_WORDS = 4096
+#: Bytes that are read in one piece, and bytes of a file that one task reads.
+READ_BYTES, RUN_BYTES = 4 << 20, 8 << 20
 INDEX = "file string, partition int, number int, record int, offset long, bytes long, doc_id long, n_ids long, first_id long"
 
 
@@ -157,25 +159,61 @@ def file_starts(index: DataFrame) -> DataFrame:
     return sizes.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("file_start"))
 
 
-def read_records(spark: SparkSession, folder: str, texts: bool = False) -> DataFrame:
-    """The records of the files that the index names, checks verified: doc_id, start (ids of all documents before it), n_ids, ids_crc32 and, if asked for, ids (binary, unsigned 32-bit)."""
-    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
-    fields = [("file", pa.string()), ("record", pa.int32()), ("doc_id", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if texts else [])
+def spans(offsets: list[int], sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring records (first and one past the last), of READ_BYTES at most or one record."""
+    first = 0
+    for k in range(1, len(offsets) + 1):
+        if k == len(offsets) or offsets[k] != offsets[k - 1] + sizes[k - 1] or offsets[k] + sizes[k] - offsets[first] > READ_BYTES:
+            yield first, k
+            first = k
+
+
+def pick_records(wanted: DataFrame, folder: str, *others: str, texts: bool = True) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, if asked for ids (binary, unsigned 32-bit), and other columns of the wanted rows of the index, in their order.
+
+    Each task opens the files that its rows name and reads no bytes but those of its records, neighbours in
+    one piece; checks are verified, and a record that is not the index's is an error.
+    """
+    fields = [("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if texts else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(f"{folder}/data")
+        name, source = None, None
         for batch in batches:
-            for file, content in zip(batch.column("file"), batch.column("content")):
-                data, at, rows, total = memoryview(content.as_buffer()), 0, [], 0
-                while at < len(data):
-                    at, doc_id, ids = unframe(data, at)
-                    raw = ids.astype("<u4").tobytes()
-                    rows.append((file.as_py(), len(rows), doc_id, len(ids), total, zlib.crc32(raw), raw)[: len(fields)])
-                    total += len(ids)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
-
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.rec").load(f"{folder}/data")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInArrow(run, "file string, record int, doc_id long, n_ids long, first_id long, ids_crc32 long" + ", ids binary" * texts)
-    named = rows.join(index.select("file", "record"), ["file", "record"]).join(file_starts(index), "file")
-    return named.select("doc_id", (F.col("file_start") + F.col("first_id")).alias("start"), "n_ids", "ids_crc32", *(["ids"] if texts else []))
+            files, offsets, sizes, ids_of = (batch.column(c).to_pylist() for c in ("file", "offset", "bytes", "doc_id"))
+            edges = [0, *(k for k in range(1, len(files)) if files[k] != files[k - 1]), len(files)] if files else []
+            rows = []
+            for a, b in zip(edges, edges[1:]):
+                if files[a] != name:
+                    name, source = files[a], store.open_input_file(f"{place}/{files[a]}")
+                for x, y in spans(offsets[a:b], sizes[a:b]):
+                    start = offsets[a + x]
+                    data = memoryview(source.read_at(offsets[a + y - 1] + sizes[a + y - 1] - start, start))
+                    for k in range(a + x, a + y):
+                        end, doc_id, ids = unframe(data, offsets[k] - start)
+                        if end != offsets[k] - start + sizes[k] or doc_id != ids_of[k]:
+                            raise ValueError(f"the index and the record at {offsets[k]} of {name} differ")
+                        raw = ids.astype("<u4").tobytes()
+                        rows.append((doc_id, len(ids), zlib.crc32(raw), raw)[: len(fields)])
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, (_, k) in zip(zip(*rows), fields)), *(batch.column(c) for c in others)], names=[*(n for n, _ in fields), *others])
+
+    kinds = dict(wanted.dtypes)
+    schema = "doc_id long, n_ids long, ids_crc32 long" + ", ids binary" * texts + "".join(f", {c} {kinds[c]}" for c in others)
+    return wanted.select("file", "offset", "bytes", "doc_id", *others).mapInArrow(run, schema)
+
+
+def read_records(spark: SparkSession, folder: str, texts: bool = False) -> DataFrame:
+    """All records that the index names, file by file: doc_id, start (ids of all documents before it), n_ids, ids_crc32 and, if asked for, ids (binary, unsigned 32-bit)."""
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    placed = index.join(file_starts(index), "file").withColumn("start", F.col("file_start") + F.col("first_id"))
+    dealt = placed.withColumn("_run", F.floor(F.col("offset") / RUN_BYTES)).repartition("file", "_run").sortWithinPartitions("file", "offset")
+    return pick_records(dealt, folder, "start", texts=texts).select("doc_id", "start", "n_ids", "ids_crc32", *(["ids"] if texts else []))
+
+
+def shuffled_records(spark: SparkSession, folder: str, seed: int) -> DataFrame:
+    """All records in an order that the seed sets: place (position in that order by hash), doc_id, n_ids, ids_crc32, ids."""
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index").withColumn("place", F.xxhash64("partition", "number", "record", F.lit(seed)))
+    return pick_records(index.repartitionByRange("place").sortWithinPartitions("place"), folder, "place")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task handles at once; a longer text forms a chunk of its own.
@@ -48,6 +48,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Parts that the rows of one key are dealt to in a spread join.
+SPREAD = 16
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows left join found (one row for each key) on a key that a third of all rows may share: rows are dealt to SPREAD parts by a hash, and found goes to each part."""
+    part = fresh(rows, "_part")
+    each = found.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn(part, F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(each, [key, part], "left").drop(part)
+
+
 def whole_text(column: str = "text"):
     """The text, or the empty text for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -4,7 +4,8 @@ Each text is measured: words, characters, symbols, repeated lines, words in repe
 document fails a rule by these measures alone; the failures are added up by host, each host's rate is
 shrunk towards the rate of all hosts by a beta prior whose two parameters come from the hosts' own
 rates (moments), and a host whose shrunk rate is over HOST_LIMIT is turned down with all its documents.
-Verdicts come back by a join on the host; a host with a third of all rows meets in map-side sums.
+Verdicts come back by a join on the host; a host with a third of all rows meets in map-side sums, and its
+rows are spread over parts in the join.
 
 Defined cases: null texts have no words; an empty text fails; documents with a null host are judged by
 their own rules alone; repeated rows each get their row and each count for the host; a null id stays
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, sums
+from .common import chunks, cut, spread_join, sums
 from .words import distinct
 
 #: Blanks between words, and symbols.
@@ -115,14 +116,12 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """Per row: id, host, measures, base_failed, failed, host_rate and kept."""
-    from .common import cut
-
     n = F.col("n_words")
     base = (n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MOST_REPEATED) * n)
     more = (100 * F.col("n_symbols") > int(100 * MOST_SYMBOLS) * n) | (100 * F.col("n_dup_lines") > int(100 * MOST_DUP_LINES) * F.col("n_lines"))
     judged = cut(measures(docs, id_column, text_column, host_column).withColumn("base_failed", base).withColumn("failed", base | more), "measures")
     verdicts = host_verdicts(judged)
-    out = judged.join(verdicts, "host", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= HOST_LIMIT))
+    out = spread_join(judged, verdicts, "host", F.col("id")).withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= HOST_LIMIT))
     return out.withColumnRenamed("id", id_column)
 
 

@@ -5,8 +5,10 @@ or where the caller keeps it) has one row for each blob and rule version that wa
 without findings. A run dedupes its texts by blob, drops the pairs that the ledger has, scans the rest
 once each, appends them, and joins the ledger back to every path (document) by blob.
 
+Rows may be versions of paths over time: history() tells in which versions of a path a finding stands.
+
 Copies meet in map-side aggregation before the exchange, so a blob that a third of all paths share is
-sent once from each task.
+sent once from each task, and its paths are spread over parts when its findings come back.
 
 Defined cases: null texts are empty blobs without findings; an empty table gives an empty result and
 adds nothing; repeated rows each get their row; a null id stays null; other columns are ignored
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, whole_text, work_dir
+from .common import fresh, spread_join, whole_text, work_dir
 
 #: The base rules, in order: kind, pattern, group and least length of what the group holds.
 BASE_RULES = [
@@ -84,7 +86,23 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: list[tuple]
     blobs.mapInArrow(run, schema).write.mode("append").option("compression", "zstd").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger).filter(F.col("rule_version") == version).groupBy("blob").agg(F.first("findings").alias("findings"))
     found = known.filter(F.size("findings") > 0)
-    return paths.select("id", "blob").join(found, "blob", "left").select(F.col("id").alias(id_column), "blob", F.coalesce("findings", F.from_json(F.lit("[]"), FINDINGS)).alias("findings"))
+    back = spread_join(paths.select("id", "blob"), found, "blob", F.col("id"))
+    return back.select(F.col("id").alias(id_column), "blob", F.coalesce("findings", F.from_json(F.lit("[]"), FINDINGS)).alias("findings"))
+
+
+def history(versions: DataFrame, ledger: str | None = None, path_column: str = "path", version_column: str = "version", text_column: str = "text") -> DataFrame:
+    """path, kind and secret (SHA-256 of the found string) with the first and last version (of any ordered type) that hold it, how many do, and whether the path's newest version still does.
+
+    versions: one row for each version of each path; its text is scanned once, whatever number of versions and paths share it.
+    """
+    name = fresh(versions, "_row")
+    rows = versions.select(F.struct(F.col(path_column).alias("path"), F.col(version_column).alias("version")).alias(name), F.col(text_column).alias("text"))
+    found = scan_secrets(rows, ledger, id_column=name).filter(F.size("findings") > 0).select(F.col(f"{name}.*"), "blob", F.explode("findings").alias("f"))
+    texts = rows.select(F.sha2(whole_text(), 256).alias("blob"), whole_text().alias("text")).dropDuplicates(["blob"])
+    each = found.join(texts, "blob").select("path", "version", "f.kind", F.sha2(F.substring(F.col("text"), F.col("f.at") + 1, F.col("f.until") - F.col("f.at")), 256).alias("secret"))
+    newest = versions.groupBy(F.col(path_column).alias("path")).agg(F.max(version_column).alias("newest"))
+    seen = each.groupBy("path", "kind", "secret").agg(F.min("version").alias("first_version"), F.max("version").alias("last_version"), F.count_distinct("version").alias("n_versions"))
+    return seen.join(newest, seen["path"].eqNullSafe(newest["path"])).select(seen["path"], "kind", "secret", "first_version", "last_version", "n_versions", (F.col("last_version") == F.col("newest")).alias("still_there"))
 
 
 def exists(spark, path: str) -> bool:
@@ -111,7 +129,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", id_column: str = "doc_id", t
     key, spans = fresh(docs, "_blob"), fresh(docs, "_findings")
     found = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column).filter(F.size("findings") > 0)
     found = found.groupBy("blob").agg(F.first("findings").alias("findings")).toDF(key, spans)
-    joined = docs.join(found, F.sha2(whole_text(text_column), 256) == F.col(key), "left")
+    joined = spread_join(docs.withColumn(key, F.sha2(whole_text(text_column), 256)), found, key, F.col(id_column))
     # A fold over the spans keeps the text so far and how far the spans reach; a span that begins beyond that adds the text between and a mask.
     state = "struct<out:string,reach:int>"
 

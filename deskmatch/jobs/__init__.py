@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entities, mails, market, matching
+from . import desk, entities, mails, market, matching
 
-MODULES = [market, matching, mails, entities]
+MODULES = [market, matching, mails, entities, desk]
 
 
 def queries() -> dict:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,41 @@ from .matching import plain
 #: Headers of each field, in order (a later one wins), and limits.
 PROJECT_HEADERS = {"title": ["案件名", "タイトル", "title"], "company": ["会社名", "上位会社", "company"], "work": ["作業内容", "業務内容", "work"], "skills": ["必須スキル", "スキル", "skills"], "price": ["単価", "price"], "start": ["開始月", "稼働開始", "start"], "place": ["勤務地", "作業場所", "place"]}
 PERSON_HEADERS = {"name": ["氏名", "名前", "name"], "initials": ["イニシャル", "initials"], "skills": ["スキル", "skills"], "role": ["職種", "role"], "start": ["稼働開始", "稼働可能日", "start"], "price": ["希望単価", "price"], "company": ["所属会社", "所属", "company"], "place": ["最寄駅", "place"]}
+#: Fields of exported tables with header weight, kind of value and headers, in order.
+PROJECT_TABLE = {
+    "title": (3, None, ["案件名", "案件タイトル", "プロジェクト名", "title", "project title", "projectName", "name"]),
+    "workDescription": (2, None, ["作業内容", "案件内容", "内容", "workDescription", "workContent", "description", "work"]),
+    "businessDescription": (2, None, ["業務内容", "業務概要", "businessDescription", "businessContent", "business"]),
+    "unitPrice": (1.5, "amount", ["単価", "金額", "amount", "unitPrice", "price", "rate", "月額", "予算"]),
+    "upperAmount": (1, "amount", ["上位金額", "上位単価", "上位額", "upperAmount", "upperPrice"]),
+    "workLocation": (1.5, None, ["勤務地", "場所", "location", "workLocation", "site", "最寄", "最寄駅"]),
+    "skills": (1, "skills", ["スキル", "必須スキル", "必要スキル", "技術", "skills", "skill", "requiredSkills", "technology", "technologies"]),
+    "startMonth": (1, "date", ["開始", "開始月", "稼働開始", "参画時期", "start", "startMonth", "availableFrom"]),
+    "commercialFlow": (2, None, ["商流", "商流制限", "flow", "commercialFlow"]),
+    "upperCompany": (2, None, ["上位会社", "上位", "会社名", "company", "upperCompany"]),
+    "endClient": (2, None, ["エンド", "エンドユーザー", "エンド会社", "end", "endClient", "endUser"]),
+    "primeCompany": (2, None, ["元請", "元請会社", "プライム", "prime", "primeCompany", "primeContractor"]),
+    "status": (0.5, None, ["ステータス", "状態", "status"]),
+    "focus": (0.5, "focus", ["注力", "注力案件", "focus", "isFocus"]),
+}
+PERSON_TABLE = {
+    "name": (3, None, ["氏名", "名前", "要員名", "人材名", "name", "personName"]),
+    "initials": (2.5, None, ["イニシャル", "initial", "initials"]),
+    "skills": (1, "skills", ["スキル", "保有スキル", "skill", "skills", "technology", "technologies"]),
+    "desiredUnitPrice": (2, "amount", ["希望単価", "単価", "金額", "amount", "desiredUnitPrice", "rate", "price"]),
+    "ownerCompany": (1.5, None, ["所属", "所属会社", "会社", "会社名", "company", "ownerCompany"]),
+    "availableFrom": (1.5, "date", ["稼働開始", "開始", "参画可能", "availableFrom", "availability", "start"]),
+    "nationality": (2, None, ["国籍", "nationality"]),
+    "age": (2, "age", ["年齢", "age"]),
+    "status": (0.5, None, ["ステータス", "状態", "status"]),
+    "focusNote": (0.5, "focus", ["注力", "注力要員", "focus"]),
+    "roleHeadline": (1, None, ["職種", "役割", "ロール", "role", "roleHeadline", "position"]),
+}
+#: What a cell may not show, the longest cell, the least coverage, and texts that put a value off.
+SENSITIVE_CELL = [r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", r"(?i)\b(?:postgres(?:ql)?|mysql|sqlserver)://", r"(?i)\b(?:DATABASE_URL|DIRECT_URL|SMTP_PASSWORD|GMAIL_REFRESH_TOKEN|API[_-]?KEY|TOKEN|PASSWORD|SECRET)\b", r"(?i)\bBearer\s+[A-Za-z0-9._-]+", "-----BEGIN [A-Z ]+KEY-----", r"(?i)[A-Z]:[\\/]", r"[\\/](?:Users|home)[\\/]"]
+LONG_CELL, TABLE_COVERAGE = 180, 0.35
+PUT_OFF = {"amount": r"(?i)^(応相談|要相談|未定|調整|ASK|TBD)\z", "date": r"(?i)^(即日|随時|応相談|要相談|未定|調整|ASAP|TBD)\z"}
+READ = {"date": r"^\d{4}[-/]\d{1,2}([-/]\d{1,2})?\z|^\d{4}年\d{1,2}月(\d{1,2}日)?\z|^\d{1,2}月(\d{1,2}日)?\z", "focus": r"(?i)^(true|false|yes|no|1|0|該当|非該当|あり|なし|有|無|注力)\z"}
 REQUIRED = {"project": ["title", "work", "skills"], "person": ["name", "skills"]}
 MOST_SKILLS, LEAST_COVERAGE, PRICE_SLACK = 15, 0.5, 5
 
@@ -107,6 +145,110 @@ def db_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = N
     return pairs.withColumn("strength", strength).filter("strength IS NOT NULL").select(F.col("r_id").alias("id"), F.col("e_id").alias("existing_id"), "strength")
 
 
+def db_person_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = None) -> DataFrame:
+    """id, existing_id, strength: strong for the same identity and owner; with two common skills, strong for a near price and the same availability, weak for one of them.
+
+    Both sides: id, identity, owner, skill_list, available, price_value; joined as db_duplicates joins projects.
+    """
+    rename = {"identity": "title", "owner": "company", "available": "place"}
+    return db_duplicates(rows.withColumnsRenamed(rename), existing.withColumnsRenamed(rename), which)
+
+
+def header_form(header: str) -> str:
+    return re.sub(r"[\s_\-./\\:|()\[\]{}\"'`、。・･／（）［］【】「」『』:：〜~]+", "", unicodedata.normalize("NFKC", header.strip()).lower())
+
+
+def table_fields(headers: list[str], fields: dict) -> dict[str, str]:
+    """The field of each header that has one."""
+    known = {header_form(name): field for field, (_, _, names) in fields.items() for name in (field, *names)}
+    return {h: known[header_form(h)] for h in headers if header_form(h) in known}
+
+
+def detect_table_type(headers: list[str]) -> dict:
+    """kind (project or person), detected (or review, if headers leave it open), confidence and both scores of a table with these headers."""
+    project, person = (sum(fields[f][0] for f in table_fields(headers, fields).values()) for fields in (PROJECT_TABLE, PERSON_TABLE))
+    kind = "project" if project >= person else "person"
+    open_ = not project + person or (project > 0 and person > 0 and abs(project - person) < 2)
+    return {"kind": kind, "detected": "review" if open_ else kind, "confidence": round(max(project, person) / (project + person), 4) if project + person else 0.0, "project_score": project, "person_score": person}
+
+
+def signal(kind: str, c: Column) -> Column:
+    """not_provided, parsed, deferred or needs_review of a cell."""
+    text = trimmed(plain(F.coalesce(c, F.lit(""))))
+    if kind == "amount":
+        compact = F.regexp_replace(text, "[,\\s]", "")
+        out = F.when(text.rlike(PUT_OFF[kind]), "deferred").when(compact.rlike("\\d") & compact.rlike(r"^[0-9.万円kK〜~\-以上以下前後税込税別]+\z"), "parsed").otherwise("needs_review")
+    elif kind == "date":
+        out = F.when(text.rlike(PUT_OFF[kind]), "deferred").when(text.rlike(READ[kind]), "parsed").otherwise("needs_review")
+    elif kind == "age":
+        years = F.regexp_extract(F.regexp_replace(text, "[歳才\\s]", ""), r"^(\d{1,3})\z", 1).try_cast("int")
+        out = F.when(years.between(16, 85), "parsed").otherwise("needs_review")
+    elif kind == "skills":
+        out = F.when(F.size(split_skills(text)) > 0, "parsed").otherwise("not_provided")
+    else:
+        out = F.when(text.rlike(READ["focus"]), "parsed").otherwise("deferred")
+    return F.when(text == "", "not_provided").otherwise(out)
+
+
+def assess_table_rows(rows: DataFrame, extra: str | None = None) -> DataFrame:
+    """source, row_no, detected, action, reasons, coverage, n_skills and signals (field:signal) of the rows of an exported table.
+
+    The table's kind comes from its headers. extra: a column of cells beyond the header (array of texts), if the reader keeps them.
+    """
+    headers = [c for c in rows.columns if c not in ("source", "row_no", extra)]
+    found = detect_table_type(headers)
+    fields = PROJECT_TABLE if found["kind"] == "project" else PERSON_TABLE
+    of = table_fields(headers, fields)
+    cell = lambda h: filled(trimmed(F.col(f"`{h}`").cast("string")))
+    cells = F.array(*map(cell, headers))
+    values = {f: F.coalesce(*(cell(h) for h in headers if of.get(h) == f)) for f in dict.fromkeys(of.values())}
+    staged = rows.withColumns({"_cells": cells, **{f"_v_{f}": v for f, v in values.items()}})
+    value = lambda f: F.col(f"_v_{f}") if f in values else F.lit(None).cast("string")
+    n_skills = F.size(split_skills(value("skills")))
+    lacking = ((value("title").isNull() | (value("workDescription").isNull() & value("businessDescription").isNull())) if found["kind"] == "project" else (value("name").isNull() & value("initials").isNull())) | (n_skills == 0)
+    given = sum((value(f).isNotNull().cast("int") for f in values), F.lit(0))
+    coverage = F.round(given / max(1, len(values)), 4)
+    kinds = {f: kind for f, (_, kind, _) in fields.items() if kind}
+    signals = {f: signal(kind, value(f)) for f, kind in kinds.items()}
+    wrong = lambda kind: sum(((signals[f] == "needs_review").cast("int") for f, k in kinds.items() if k == kind), F.lit(0)) > 0
+    unmapped = F.exists(F.array(*(cell(h) for h in headers if h not in of), F.lit(None).cast("string")), lambda x: x.isNotNull())
+    wide = F.size(F.filter(F.col(extra), lambda x: F.coalesce(x, F.lit("")) != "")) > 0 if extra else F.lit(False)
+    sensitive = "|".join(f"(?:{p})" for p in SENSITIVE_CELL)
+    tests = [
+        (F.lit(found["detected"] == "review"), "TYPE_AMBIGUOUS"), (wide, "ROW_TOO_WIDE"), (F.lit(not of), "NO_MAPPED_COLUMNS"), (F.exists("_cells", lambda x: F.coalesce(x.rlike(sensitive), F.lit(False))), "SENSITIVE_VALUE"), (F.exists("_cells", lambda x: F.coalesce(F.length(x) > LONG_CELL, F.lit(False))), "LONG_TEXT"),
+        (lacking, "MISSING_REQUIRED_FIELD"), ((coverage > 0) & (coverage < TABLE_COVERAGE), "LOW_COVERAGE"), (unmapped, "UNMAPPED_VALUE"), (wrong("amount"), "INVALID_AMOUNT"), (wrong("date"), "INVALID_DATE"), (wrong("age"), "INVALID_AGE"), (value("focusNote").isNotNull(), "PERSON_FOCUS"),
+    ]
+    empty = ~F.exists("_cells", lambda x: x.isNotNull())
+    reasons = F.when(empty, F.array(F.lit("EMPTY_ROW"))).otherwise(F.array_compact(F.array(*(F.when(t, c) for t, c in tests))))
+    staged = staged.withColumn("reasons", reasons)
+    action = F.when(empty, "would_skip").when(F.array_contains("reasons", "ROW_TOO_WIDE"), "would_fail").when(F.size("reasons") > 0, "would_need_review").otherwise("would_create")
+    shown = F.concat_ws(",", *(F.concat(F.lit(f"{f}:"), s) for f, s in signals.items()))
+    return staged.select("source", "row_no", F.lit(found["detected"]).alias("detected"), action.alias("action"), "reasons", F.when(empty, 0.0).otherwise(coverage).alias("coverage"), F.when(empty, 0).otherwise(n_skills).alias("n_skills"), F.when(empty, "").otherwise(shown).alias("signals"))
+
+
+def import_runs(runs: DataFrame, records: DataFrame, links: DataFrame, source_type: str | None = None, mode: str | None = None, status: str | None = None) -> DataFrame:
+    """Runs (run_id, source_type, mode, status, created_at), filtered, with the numbers of their records (record_id, run_id) and of the records' links (record_id)."""
+    for column, value in (("source_type", source_type), ("mode", mode), ("status", status)):
+        runs = runs.filter(F.col(column) == value) if value else runs
+    linked = links.groupBy("record_id").agg(F.count("*").alias("n"))
+    counts = records.select("record_id", "run_id").join(linked, "record_id", "left").groupBy("run_id").agg(F.count("*").alias("n_records"), F.sum(F.coalesce("n", F.lit(0))).alias("n_links"))
+    return runs.join(counts, "run_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_records", "n_links")})
+
+
+def source_record_list(records: DataFrame, links: DataFrame, record_type: str | None = None, status: str | None = None, run_id: int | None = None, link_type: str | None = None, review_needed: bool | None = None, warnings_present: bool | None = None) -> DataFrame:
+    """Records (record_id, run_id, record_type, status, warnings), filtered, with the number of their links (record_id, link_type); link_type: at least one of that type."""
+    for column, value in (("record_type", record_type), ("status", status), ("run_id", run_id)):
+        records = records.filter(F.col(column) == value) if value is not None else records
+    if review_needed is not None:
+        records = records.filter((F.col("status") == "NEEDS_REVIEW") == review_needed)
+    if warnings_present is not None:
+        records = records.filter((F.coalesce(F.size("warnings"), F.lit(0)) > 0) == warnings_present)
+    if link_type:
+        records = records.join(links.filter(F.col("link_type") == link_type).select("record_id").distinct(), "record_id", "left_semi")
+    counts = links.groupBy("record_id").agg(F.count("*").alias("n_links"))
+    return records.join(counts, "record_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
 def finalize_action(action: Column, duplicated: Column) -> Column:
     return F.when(duplicated & (action == "would_create"), "would_need_review").otherwise(action)
 
@@ -125,6 +267,12 @@ def detect_row_type(rows: DataFrame) -> DataFrame:
     return out.withColumns({"row_type": F.when(p + q == 0, "unknown").when(p >= q, "project").otherwise("person"), "type_conflict": conflict, "type_confidence": F.when(p + q == 0, 0.0).otherwise(F.round(F.greatest(p, q) / (p + q), 4))})
 
 
+def coverage_summary(assessed: DataFrame) -> DataFrame:
+    """Rows, average coverage, rows of weak coverage and rows without warnings of each source."""
+    weak = F.col("coverage") < LEAST_COVERAGE
+    return assessed.groupBy("source").agg(F.count("*").alias("n_rows"), F.round(F.avg("coverage"), 4).alias("average_coverage"), F.count_if(weak).alias("n_weak"), F.count_if(F.size("warnings") == 0).alias("n_clean"))
+
+
 def import_summary(assessed: DataFrame) -> DataFrame:
     """Long table (metric, key, n): actions, warnings, duplicates."""
     found = F.concat(F.array(F.struct(F.lit("action").alias("metric"), F.col("action").alias("key"))), F.transform("warnings", lambda w: F.struct(F.lit("warning").alias("metric"), w.alias("key"))), F.when(F.col("same_rows") > 1, F.array(F.struct(F.lit("duplicate").alias("metric"), F.lit("same_source").alias("key")))).otherwise(F.array().cast("array<struct<metric:string,key:string>>")))

@@ -13,40 +13,67 @@ def search_text(*columns: str):
     return F.lower(F.concat_ws(" ", *columns))
 
 
-def filter_projects(rows: DataFrame, text: str = "", exclude: str = "", month_from: str | None = None, month_to: str | None = None, skill: str | None = None, price_from: int | None = None, price_to: int | None = None, remote: str | None = None, focus: bool = False, recruiting: bool = False) -> DataFrame:
-    """Project rows (title, place, skills, start_month, price, remote_type, status, is_focus): a missing start month passes a month range."""
-    hay = search_text("title", "place", "skills")
+def text_filters(rows: DataFrame, hay, text: str, exclude: str, ids: str, created_from: str | None, created_to: str | None, id_column: str) -> DataFrame:
+    """What both lists filter by: a text, a text to leave out, a part of the id, a range of days of creation."""
     out = rows.filter(matches_term(hay, text))
-    if exclude:
-        out = out.filter(~matches_term(hay, exclude))
+    out = out.filter(~matches_term(hay, exclude)) if exclude else out
+    out = out.filter(F.contains(F.lower(F.col(id_column).cast("string")), F.lit(ids.lower()))) if ids else out
+    out = out.filter(F.col("created_at") >= F.lit(created_from).cast("timestamp")) if created_from else out
+    return out.filter(F.col("created_at") < F.date_add(F.lit(created_to).cast("date"), 1).cast("timestamp")) if created_to else out
+
+
+def filter_projects(rows: DataFrame, text: str = "", exclude: str = "", ids: str = "", created_from: str | None = None, created_to: str | None = None, month_from: str | None = None, month_to: str | None = None, skill: str | None = None, price_from: int | None = None, price_to: int | None = None, price_open: bool = False,
+                    prefecture: str | None = None, remote: str | None = None, work_days: list[str] | None = None, trade_result: bool = False, no_trade_ng: bool = False, no_foreign: bool = False, ages: list[str] | None = None, mine: str | None = None, focus: bool = False, recruiting: bool = False) -> DataFrame:
+    """Project rows (project_id, title, place, skills, start_month, price, remote_type, status, is_focus, created_at and, where asked for, prefecture, work_days, has_result, has_trade_ng, foreign_policy, age_condition, created_by).
+
+    A missing start month passes a month range; price_open: rows without a price; ages: decades such as 50, of which the age condition has to name one.
+    """
+    out = text_filters(rows, search_text("title", "place", "skills"), text, exclude, ids, created_from, created_to, "project_id")
     if month_from:
         out = out.filter(F.col("start_month").isNull() | (F.date_format("start_month", "yyyy-MM") >= month_from))
     if month_to:
         out = out.filter(F.col("start_month").isNull() | (F.date_format("start_month", "yyyy-MM") <= month_to))
     if skill:
         out = out.filter(matches_term(F.col("skills"), skill))
+    if price_open:
+        out = out.filter("price IS NULL OR price = 0")
     if price_from is not None:
         out = out.filter(F.col("price") >= price_from)
     if price_to is not None:
         out = out.filter(F.col("price") <= price_to)
-    if remote:
-        out = out.filter(F.col("remote_type") == remote)
-    if focus:
-        out = out.filter("is_focus")
+    for column, value in (("prefecture", prefecture), ("remote_type", remote), ("created_by", mine)):
+        out = out.filter(F.col(column) == value) if value else out
+    if work_days:
+        out = out.filter(F.col("work_days").isin(work_days))
+    if ages:
+        out = out.filter(F.col("age_condition").rlike("|".join(f"{a}(代|歳)" for a in ages)))
+    for asked, test in ((trade_result, "has_result"), (no_trade_ng, "NOT has_trade_ng"), (no_foreign, "foreign_policy = 'NOT_ACCEPTABLE'"), (focus, "is_focus")):
+        out = out.filter(test) if asked else out
     return out.filter("status = 'OPEN'") if recruiting else out
 
 
-def filter_persons(rows: DataFrame, text: str = "", statuses: list[str] | None = None, age_from: int | None = None, age_to: int | None = None, price_to: int | None = None, available: bool = False) -> DataFrame:
-    out = rows.filter(matches_term(search_text(*(c for c in ("name", "place", "skills", "summary") if c in rows.columns)), text))
+def filter_persons(rows: DataFrame, text: str = "", exclude: str = "", ids: str = "", created_from: str | None = None, created_to: str | None = None, skill: str | None = None, statuses: list[str] | None = None, age_from: int | None = None, age_to: int | None = None, price_from: int | None = None, price_to: int | None = None, price_open: bool = False,
+                   month_to: str | None = None, remote: list[str] | None = None, trade_result: bool = False, no_trade_ng: bool = False, foreign: bool = False, mine: str | None = None, available: bool = False) -> DataFrame:
+    """Person rows (person_id, name, place, skills, summary, age, desired, available, status, created_at and, where asked for, remote_wish, nationality, has_result, has_trade_ng, created_by); remote: any of the texts; foreign: not of Japan."""
+    out = text_filters(rows, search_text(*(c for c in ("name", "place", "skills", "summary") if c in rows.columns)), text, exclude, ids, created_from, created_to, "person_id")
+    if skill:
+        out = out.filter(matches_term(F.col("skills"), skill))
     if statuses:
         out = out.filter(F.col("status").isin(statuses))
-    if age_from is not None:
-        out = out.filter(F.col("age") >= age_from)
-    if age_to is not None:
-        out = out.filter(F.col("age") <= age_to)
-    if price_to is not None:
-        out = out.filter(F.col("desired") <= price_to)
-    return out.filter("status = 'AVAILABLE'") if available else out
+    if month_to:
+        out = out.filter(F.col("available").isNull() | (F.date_format("available", "yyyy-MM") <= month_to))
+    if price_open:
+        out = out.filter("desired IS NULL OR desired = 0")
+    for column, low, high in (("age", age_from, age_to), ("desired", price_from, price_to)):
+        out = out.filter(F.col(column) >= low) if low is not None else out
+        out = out.filter(F.col(column) <= high) if high is not None else out
+    if remote:
+        out = out.filter(F.exists(F.array(*map(F.lit, remote)), lambda w: F.contains("remote_wish", w)))
+    if mine:
+        out = out.filter(F.col("created_by") == mine)
+    for asked, test in ((trade_result, "has_result"), (no_trade_ng, "NOT has_trade_ng"), (foreign, "nationality != '' AND NOT nationality RLIKE '日本'"), (available, "status = 'AVAILABLE'")):
+        out = out.filter(test) if asked else out
+    return out
 
 
 def filter_unclassified(mails: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
@@ -85,6 +112,22 @@ def project_list(projects: DataFrame, skills: DataFrame, roles: DataFrame, compa
     return out.select("project_id", "title", "status", "company", "chain", price.alias("price_text"), "required_skills", "preferred_skills", "used_skills", F.col("needs_review").isNotNull().alias("has_result"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
 
 
+def person_list(persons: DataFrame, skills: DataFrame, companies: DataFrame, contacts: DataFrame, results: DataFrame) -> DataFrame:
+    """One wide row a person (person_id, name, initials, company_id, contact_id, ...): skills, owner, contact, price text, trade flags and what the newest result says. Children are reduced to one row before joins."""
+    skill_rows = skills.groupBy("person_id").agg(F.array_join(F.array_sort(F.collect_set("skill_name")), " / ").alias("skills"))
+    fields = [c for c in ("needs_review", "name_confidence", "role_headline", "review_status") if c in results.columns]
+    newest = results.groupBy("person_id").agg(F.max_by(F.struct(*fields), F.struct("created_at", "result_id")).alias("r"))
+    owners = companies.select("company_id", F.col("name").alias("company"), "trade_status")
+    out = persons.join(skill_rows, "person_id", "left").join(owners, "company_id", "left").join(contacts.select("contact_id", F.col("name").alias("contact")), "contact_id", "left").join(newest, "person_id", "left")
+    status = F.coalesce("trade_status", F.lit("UNKNOWN"))
+    text = lambda c, other: F.coalesce(F.col(c), F.lit(other))
+    return out.select(
+        "person_id", "name", "status", text("company", "未入力").alias("company"), text("contact", "未入力").alias("contact"), F.when(F.coalesce("desired", F.lit(0)) != 0, F.concat(F.col("desired").cast("string"), F.lit("万円"))).otherwise("未定").alias("price_text"),
+        F.coalesce("desired", F.lit(0)).alias("price_value"), F.coalesce(F.date_format("available", "yyyy-MM-dd"), F.lit("未入力")).alias("available_text"), text("skills", "未入力").alias("skills"), (status == "OK").alias("has_result"), status.isin("NG", "SUSPENDED").alias("has_trade_ng"),
+        *(F.coalesce(F.col(f"r.{c}"), F.lit(False) if c == "needs_review" else F.lit("")).alias(c) for c in fields),
+    )
+
+
 def search_history(rows: DataFrame, most: int = 20) -> DataFrame:
     """The newest searches of each user and scope."""
     order = Window.partitionBy("user_id", "scope").orderBy(F.desc("created_at"), F.desc("id"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +121,57 @@ def sensitive_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.exists(F.array(*texts), lambda x: F.coalesce(x.rlike("|".join(f"(?:{p})" for p in SENSITIVE)), F.lit(False))))
 
 
+#: Keys and texts that a report's JSON may show, keys that it may not, and its limits.
+SAFE_KEY = r"^[A-Za-z][A-Za-z0-9_:-]{0,63}$"
+HIDDEN_KEY = r"(?i)(body|company|customer|email|file|mail|name|normalized|path|payload|person|raw|secret|subject|text|token|url|value)"
+SAFE_TEXT = r"^(?:[A-Z0-9_:-]{2,96}|[a-z][a-z0-9_:-]{1,96})$"
+DEEPEST, MOST_ITEMS = 4, 20
+
+
+def safe_json(value, depth: int = 0):
+    """A JSON value without keys that may not be shown, unsafe texts masked, deep parts masked, lists cut."""
+    if depth > DEEPEST:
+        return "[redacted]"
+    if isinstance(value, dict):
+        return {k: safe_json(v, depth + 1) for k, v in value.items() if re.search(SAFE_KEY, k) and not re.search(HIDDEN_KEY, k)}
+    if isinstance(value, list):
+        return [safe_json(v, depth + 1) for v in value[:MOST_ITEMS]]
+    if isinstance(value, str):
+        return value if re.search(SAFE_TEXT, value) and not any(re.search(p, value) for p in SENSITIVE) else "[redacted]"
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
+def sanitized_json(c: Column) -> Column:
+    """safe_json of JSON texts of any shape, for which built-in functions have no form; broken JSON gives null."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(safe_json(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return clean(c)
+
+
+def quality_audit(scored: DataFrame) -> DataFrame:
+    """Counter maps of scored mails (predicted_type, project_score, person_score, excluded_score, subject_only, body_derived, quality_review, warnings, n_skills, needs_review) as one long table (metric, key, n), with what a run would create or skip and the mails at high risk."""
+    risk = is_high_risk(F.col("predicted_type"), F.col("needs_review"), F.col("subject_only"), F.col("warnings"))
+    outcome = F.when(F.col("predicted_type").isin("other", "excluded"), "would_skip").when(F.col("needs_review"), "would_create_for_review").otherwise("would_create")
+    scores = {k: score_bucket(F.col(k)) for k in ("project_score", "person_score", "excluded_score")}
+    single = counters(scored, predicted_type=F.col("predicted_type"), **scores, margin=score_bucket(F.col("margin")), skills=skill_bucket(F.col("n_skills")), subject_only=F.col("subject_only"), body_derived=F.col("body_derived"), quality_review=F.col("quality_review"), needs_review=F.col("needs_review"), outcome=outcome, high_risk=risk)
+    warned = scored.select(F.explode("warnings").alias("key")).groupBy("key").agg(F.count("*").alias("n")).select(F.lit("warning").alias("metric"), "key", "n")
+    return single.unionByName(warned)
+
+
+def high_risk_sample(scored: DataFrame, most: int = 20) -> DataFrame:
+    risk = is_high_risk(F.col("predicted_type"), F.col("needs_review"), F.col("subject_only"), F.col("warnings"))
+    return scored.filter(risk).select("mail_id", "predicted_type", F.array_join("warnings", ",").alias("warnings")).orderBy("mail_id").limit(most)
+
+
 def short_id(c: Column, length: int = 8) -> Column:
     return F.substring(c.cast("string"), 1, length)
 

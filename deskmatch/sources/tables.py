@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,17 @@ from pyspark.sql.window import Window
 RESULT_JSON = "struct<name:string,name_confidence:string,role_headline:string,review_reasons:array<string>,needs_review:boolean>"
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where it is unset and all is one process (tests), in a new temporary folder."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="deskmatch-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None, where: Column | None = None, newest: int | None = None, by: str = "created_at") -> DataFrame:
     """A Parquet table of a declared schema; columns and filter reach the scan."""
     rows = spark.read.schema(schema).parquet(path)

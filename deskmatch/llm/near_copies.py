@@ -11,9 +11,10 @@ the tests), one above it with more. Each candidate pair is then held against the
 A table's key has 20 bits, so of n distinct sets n / 2**20 meet by chance; they are told apart within the bucket
 by NEAR further bits, and by all bits of the fingerprints. For over a billion distinct sets take wider parts, and more of them.
 
-Documents of one set are one node, so exact copies never meet. In a bucket, all first meet one member; what
-then still lies in different groups of a bucket is compared within the bucket, where only links leave the
-task. A bucket of more than BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out as pairs of blocks of that size.
+Documents of one set are one node, so exact copies never meet. In a third of the buckets, all first meet one
+member; what then still lies in different groups of any bucket is compared within the bucket, where only links
+leave the task. A bucket of more than BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out as pairs of blocks of
+that size.
 
 Defined cases: null texts are empty; texts of fewer words than a shingle are one shingle; texts without
 words are copies of each other; documents with a null id stay and link nothing; rows of one id with
@@ -30,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, cut, fresh, whole_text
 from .components import components
@@ -44,6 +46,8 @@ PARTS = BITS // PART
 MOST_NEAR, MOST_DIFFERING = 38, 133
 #: Rows of a bucket that a task holds while it looks for partners; sets and hashes of a block.
 HELD, BLOCK_ROWS, BLOCK_HASHES = 20_000, 2_000, 4_000_000
+#: One of so many buckets (by their hash) takes part in the first meeting; all take part in the second.
+FIRST = 3
 WORDS = -(-(BITS + NEAR) // 64)
 #: Odd factors, one for each 64 bits of a fingerprint, and the orders of its bits.
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,8 +208,9 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def first_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: each member of a bucket with one of its members, where sizes and fingerprints allow for similar sets."""
+    """a, b: each member of a bucket with one of its members, in one of FIRST buckets, where sizes and fingerprints allow for similar sets."""
     over, under = SIMILAR
+    rows = rows.filter(F.pmod("bucket", F.lit(FIRST)) == 0)
     one = rows.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "fp"), F.xxhash64("key")).alias("one")).select("bucket", "one.*").toDF("bucket", "other", "m", "other_fp")
     differing = F.aggregate(F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("key") != F.col("other")) & (differing <= MOST_DIFFERING)
@@ -240,13 +245,15 @@ def linked_sets(keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints:
     return out
 
 
-def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of each part (rows sorted by part), with group, n and fp as arrays."""
+def whole_parts(batches: Iterator[pa.RecordBatch], bounded: bool = True) -> Iterator[tuple]:
+    """Rows of each part (rows sorted by part), with group, n and fp as arrays; bounded: of a part that grows too large its rows in pieces, after a None."""
     held: list[pa.RecordBatch] = []
-    at = None
+    at, size, hashes, large = None, 0, 0, False
 
     def close():
         rows = pa.Table.from_batches(held).combine_chunks()
+        if large:
+            return None, rows
         prints = np.array(rows.column("fp").to_pylist(), np.int64).view(np.uint64)
         return rows, rows.column("group").to_numpy(), rows.column("n").to_numpy(), prints
 
@@ -257,45 +264,69 @@ def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
             if parts[a] != at:
                 if held:
                     yield close()
-                held, at = [], parts[a]
+                held, at, size, hashes, large = [], parts[a], 0, 0, False
             held.append(batch.slice(a, b - a))
+            size += b - a
+            hashes += int(held[-1].column("n").to_numpy().sum())
+            if bounded and (size > 2 * BLOCK_ROWS or (hashes > 2 * BLOCK_HASHES and size > 2)):
+                large = True
+                yield close()
+                held = []
     if held:
         yield close()
 
 
-def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links between groups within each bucket (bucket, key, n, fp, group). Only sets that by their fingerprints may have a partner are fetched."""
-    blocks = live.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    own = live.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "key", "group", "n", "fp")
-    sorted_ = lambda rows: rows.repartition("part").sortWithinPartitions("part")
-
-    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, *known in whole_parts(batches):
-            keep = np.zeros(len(rows), bool)
-            for i, at in partners(*known):
-                keep[at] = True
-                keep[i] |= bool(len(at))
-            yield from rows.filter(pa.array(keep)).to_batches()
+def sorted_parts(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part")
+
+
+def with_partner(live: DataFrame) -> DataFrame:
+    """Rows (part, key, group, n, fp) that have a partner in their part; of parts too large for a task all rows, marked."""
+    schema = T.StructType([*live.schema.fields, T.StructField("large", T.BooleanType())])
+    names = live.columns
+
+    def marked(rows: pa.Table, large: bool) -> Iterator[pa.RecordBatch]:
+        yield from rows.append_column("large", pa.array(np.full(len(rows), large))).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, *known in whole_parts(batches):
+            if rows is None:
+                yield from marked(known[0], True)
+            elif (known[0] != known[0][0]).any():
+                keep = np.zeros(len(rows), bool)
+                for i, at in partners(*known):
+                    keep[at] = True
+                    keep[i] |= bool(len(at))
+                yield from marked(rows.filter(pa.array(keep)), False)
+
+    return sorted_parts(live.select(*names)).mapInArrow(run, schema)
+
+
+def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between groups within each bucket (part, key, group, n, fp). Only sets that by their fingerprints may have a partner are fetched."""
+    found = cut(with_partner(live), "met")
+    met, large = found.filter("NOT large").drop("large"), found.filter("large").drop("large")
+    if not large.isEmpty():
+        blocks = large.groupBy("part").agg(F.ceil(F.greatest(F.count("*") * 2 / BLOCK_ROWS, F.sum("n") * 2 / BLOCK_HASHES)).cast("int").alias("blocks"))
+        own = large.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("part", F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))).select(large.columns)
+        met = met.unionByName(cut(with_partner(dealt), "met").drop("large"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, *known in whole_parts(batches, bounded=False):
             found = linked_sets(rows.column("key").to_numpy(), *known, [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    met = cut(sorted_(dealt).mapInArrow(with_partner, dealt.schema), "met")
-    return sorted_(met.join(sets.select("key", "hashes"), "key").select("part", "key", "group", "n", "fp", "hashes")).mapInArrow(run, "a long, b long")
+    return sorted_parts(met.join(sets.select("key", "hashes"), "key").select("part", "key", "group", "n", "fp", "hashes")).mapInArrow(run, "a long, b long")
 
 
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: pairs of similar keys whose components are those of all similar pairs that share a bucket."""
     found = cut(similar(cut(first_pairs(rows), "pairs"), sets), "links")
     group = components(found)
-    live = rows.join(group, rows["key"] == group["node"], "left").select("bucket", "key", "n", "fp", F.coalesce("component", "key").alias("group"))
-    several = live.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("bucket")
-    live = cut(live.join(several, "bucket"), "live")
+    live = rows.join(group, rows["key"] == group["node"], "left").select(F.col("bucket").alias("part"), "key", F.coalesce("component", "key").alias("group"), "n", "fp")
     return found.unionByName(cut(bucket_links(live, sets), "links"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mail_rules
 from ..functions import text as t
-from ..operators import classify, dedupe, extract, imports, lists, reports
+from ..operators import classify, company, dedupe, extract, imports, lists, reports
 from ..plans import binding as b
 from ..sources import tables
 from ..streaming import streams
@@ -96,6 +96,28 @@ def reviewed_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mail_id", "target", "needs_review", F.array_join("missing", ",").alias("missing"))
 
 
+def created_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a run over the projects' mails adds to each table."""
+    from functools import reduce
+
+    from .mails import project_mails
+
+    m = project_mails(spark, sf_dir)
+    known = m.select("mail_id", F.lit(None).cast("long").alias("entity_id"))
+    prior = m.filter("false").select("subject", "from_email", F.col("mail_id").alias("entity_id"), F.lit(None).cast("timestamp").alias("created_at"))
+    plan = dedupe.plan_extraction(m.withColumn("received_at", F.lit("2024-01-01").cast("timestamp")), known, prior)
+    rows = dedupe.created_rows(plan, extract.extract_projects(m, "1998-06-15"), "GMAIL-PRJ-", "2024-01-01")
+    return reduce(DataFrame.unionByName, (r.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, r in rows.items()))
+
+
+def made_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts that customers add to those of the suppliers."""
+    k, j = F.col("s_suppkey"), F.col("c_custkey")
+    contacts = b.table(spark, sf_dir, "supplier").select(k.alias("company_id"), e.letters(k).alias("name"), F.concat(F.lit("p"), k.cast("string"), F.lit("@x.example")).alias("email"))
+    people = b.table(spark, sf_dir, "customer").select(F.floor(j / 15).alias("company_id"), e.letters(F.floor(j / F.when(j % 2 == 0, 15).otherwise(5))).alias("name"), F.when(j % 3 == 0, F.concat(F.lit("P"), F.floor(j / 5).cast("string"), F.lit("@x.example"))).alias("email"))
+    return company.find_or_create_contacts(people, contacts).select("company_id", "name", "email")
+
+
 def unlinked_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, known, prior = e._planned(spark, sf_dir)
     return dedupe.unlinked_plan(m, e._entities(spark, sf_dir), e._links(spark, sf_dir), e._results(spark, sf_dir), m.select("mail_id", (F.length("body") < 400).alias("needs_review")), known, prior)
@@ -308,7 +330,7 @@ def _finished(spark: SparkSession, rows: DataFrame, name: str, mode: str, schema
     return (found.join(last, keys).filter("batch = _last") if mode == "update" else found.join(F.broadcast(last), F.col("batch") == F.col("_last"))).drop("batch", "_last")  # last: one row
 
 
-NAMES = ["ruled_mails", "classification_audit", "quality_scores", "quality_audit", "high_risk_mails", "extracted_persons", "reviewed_persons", "unlinked_plan", "remediated_persons", "paged_updates", "unclassified_by_hand", "signatures", "event_times", "event_props", "declared_orders", "written_reports", "read_sheets", "table_assessment", "person_duplicates", "import_run_list", "source_record_list", "row_types", "import_records", "import_coverage", "safe_props", "anonymous_events", "person_list", "person_page", "named_persons", "searched_projects", "streamed_counts", "streamed_mails", "streamed_states"]
+NAMES = ["ruled_mails", "classification_audit", "quality_scores", "quality_audit", "high_risk_mails", "extracted_persons", "reviewed_persons", "created_rows", "made_contacts", "unlinked_plan", "remediated_persons", "paged_updates", "unclassified_by_hand", "signatures", "event_times", "event_props", "declared_orders", "written_reports", "read_sheets", "table_assessment", "person_duplicates", "import_run_list", "source_record_list", "row_types", "import_records", "import_coverage", "safe_props", "anonymous_events", "person_list", "person_page", "named_persons", "searched_projects", "streamed_counts", "streamed_mails", "streamed_states"]
 
 
 def queries() -> dict:
@@ -353,6 +375,11 @@ def oracle_sql() -> dict[str, str]:
           coalesce(name, initials, '氏名未取得（GMAIL-' || substring(mail_id::VARCHAR, 1, 8) || '）') AS display_name, initials, skills, desired, age, nationality, place, missing FROM py""",
         "reviewed_persons": f"""WITH {people}, {e.ENTITIES}, {e.LINKS} SELECT mail_id, 'PERSON' AS target, true AS needs_review, concat_ws(',', nullif(missing, ''), 'manual_classification', CASE WHEN name IS NULL THEN 'PERSON_EXTRACTION_AMBIGUOUS' END) AS missing FROM py
           WHERE mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL) AND mail_id NOT IN (SELECT mail_id FROM links)""",
+        "created_rows": "SELECT t AS table, count(*) * n AS n FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('entities', 1), ('conditions', 1), ('skills', 4), ('roles', 0), ('links', 1), ('results', 1)) v(t, n) GROUP BY t, n",
+        "made_contacts": f"""WITH p AS (SELECT c_custkey // 15 AS company_id, CASE WHEN c_custkey % 2 = 0 THEN {e._letters("c_custkey // 15")} ELSE {e._letters("c_custkey // 5")} END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'P' || (c_custkey // 5)::VARCHAR || '@x.example' END AS email FROM customer),
+          c AS (SELECT s_suppkey AS company_id, {_letters_of_supplier()} AS name, 'p' || s_suppkey::VARCHAR || '@x.example' AS email FROM supplier),
+          n AS (SELECT *, coalesce(lower(email), name) AS k FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.company_id = p.company_id AND (c.name IN (p.name, coalesce(lower(p.email), p.name)) OR c.email = coalesce(lower(p.email), p.name))))
+          SELECT company_id, min({{'n': name, 'e': email}}).n AS name, min({{'n': name, 'e': email}}).e AS email FROM n GROUP BY company_id, k""",
         "unlinked_plan": f"""WITH {e.ENTITIES}, {e.LINKS}, {e.CATEGORIZED}, {e.KNOWN},
           k AS (SELECT cm.*, nullif(lower(trim(regexp_replace(regexp_replace(subject, '^\\s*(re|fw|fwd)\\s*:\\s*', '', 'i'), '\\s+', ' ', 'g'))), '') AS sub, lang || '.example.com' AS snd, CASE WHEN category = 'PROJECT_INTRO' THEN 'PROJECT' ELSE 'PERSON' END AS target FROM cm),
           pr AS (SELECT sub, snd, arg_min(e.entity_id, {{'a': e.created_at, 'b': e.entity_id}}) AS same FROM entities e JOIN k ON e.source_mail_id = k.mail_id WHERE e.status <> 'ARCHIVED' AND sub IS NOT NULL GROUP BY 1, 2),
@@ -404,6 +431,10 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def _letters_of_supplier() -> str:
+    return e._letters("s_suppkey")
+
+
 def _states() -> str:
     from .matching import oracle_sql as matching
 

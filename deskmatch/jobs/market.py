@@ -71,6 +71,17 @@ def market_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.market_summary(*_active(spark, sf_dir), "1998-01-01")
 
 
+def alert_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.alert_total(quality_alerts(spark, sf_dir))
+
+
+def skilled_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects of the three months up to a day that ask for a skill."""
+    first, last = market.last_months(AS_OF)
+    rows = market.filtered(market.market_projects(b.projects(spark, sf_dir)), first, last)
+    return market.with_skill(rows, b.project_skills(spark, sf_dir), "project_id", "java").select("project_id", "price_band")
+
+
 def skill_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     (p, q), (ps, qs) = _active(spark, sf_dir), _skills(spark, sf_dir)
     return market.skill_examples(skill_ranking(spark, sf_dir), p, ps, q, qs)
@@ -81,7 +92,7 @@ def market_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.market_projects(b.projects(spark, sf_dir)).select("project_id", "price", "price_band", "region", "work_style", "start_month", "contract_type", "heads", "quality")
 
 
-NAMES = ["skill_market", "skill_ranking", "price_band_market", "region_market", "market_cells", "focus_insights", "quality_alerts", "market_filtered", "period_summary", "market_summary", "skill_examples", "market_normal_forms"]
+NAMES = ["skill_market", "skill_ranking", "price_band_market", "region_market", "market_cells", "focus_insights", "quality_alerts", "market_filtered", "period_summary", "market_summary", "skill_examples", "market_normal_forms", "alert_totals", "skilled_projects"]
 
 
 def queries() -> dict:
@@ -174,6 +185,8 @@ def oracle_sql() -> dict[str, str]:
         "quality_alerts": f"""{_with(MARKET)}, a AS ({_ALERT_ROWS}), k AS ({_KINDS})
           SELECT code, severity, target, n AS count, ids AS sample_ids FROM (SELECT code, count(*) AS n FROM a GROUP BY 1) JOIN k USING (code)
           JOIN (SELECT code, string_agg(id::VARCHAR, ',' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY side, id) AS r FROM a) WHERE r <= 5 GROUP BY 1) USING (code)""",
+        "alert_totals": f"""{_with(MARKET)}, a AS ({_ALERT_ROWS}), k AS ({_KINDS}) SELECT severity, count(*) AS n_alerts FROM a JOIN k USING (code) GROUP BY 1""",
+        "skilled_projects": f"""{_with(MARKET)} SELECT project_id, price_band FROM p WHERE created_at >= '1998-04-01' AND created_at < '1998-07-01' AND project_id IN (SELECT project_id FROM pk WHERE lower(skill) = 'java')""",
         "market_filtered": f"""{_with(MARKET)} SELECT 'project' AS side, project_id AS id, price_band, region, work_style FROM p WHERE is_focus AND {picked.format('price_band')}
           UNION ALL SELECT 'person', person_id, price_band, region, work_style FROM q WHERE {picked.format('price_band')}""",
         "period_summary": f"""{_with(MARKET)}, a AS (SELECT 'projects' AS side, strftime(created_at, '%Y-%m') AS month FROM p UNION ALL SELECT 'persons', strftime(created_at, '%Y-%m') FROM q)

@@ -71,7 +71,8 @@ def suggestion_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.suggestion_counts(_suggestions(spark, sf_dir), _events(spark, sf_dir))
+    evidence = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("suggestion_id"))
+    return review.suggestion_counts(_suggestions(spark, sf_dir), _events(spark, sf_dir), evidence)
 
 
 def newest_review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +132,9 @@ def oracle_sql() -> dict[str, str]:
         "review_state": f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id ORDER BY ts, event_id) AS i FROM e),
           s AS (SELECT DISTINCT suggestion_id, 0::BIGINT AS i, 'SUGGESTED' AS status, 0 AS applied, NULL::TIMESTAMP AS seen FROM n
             UNION ALL SELECT s.suggestion_id, s.i + 1, {_NEXT}, s.applied + ({_NEXT} <> s.status)::INT, CASE WHEN {_NEXT} <> s.status THEN n.ts ELSE s.seen END FROM s JOIN n ON n.suggestion_id = s.suggestion_id AND n.i = s.i + 1)
-          SELECT suggestion_id, status, applied::INT AS n_applied, i::INT AS n_events, seen AS reviewed_at FROM s QUALIFY row_number() OVER (PARTITION BY suggestion_id ORDER BY i DESC) = 1""",
+          SELECT suggestion_id, status, applied::INT AS n_applied, i::INT AS n_events, seen AS reviewed_at, CASE WHEN status = 'ARCHIVED' THEN seen END AS archived_at FROM s QUALIFY row_number() OVER (PARTITION BY suggestion_id ORDER BY i DESC) = 1""",
         "review_queue": f"WITH {_SUGGESTIONS} SELECT suggestion_id, segment, score, created_at FROM (SELECT *, CASE WHEN status = 'NEEDS_REVIEW' THEN 1 WHEN status = 'SUGGESTED' THEN 2 WHEN n_warnings > 0 THEN 3 END::INT AS segment FROM g) WHERE segment IS NOT NULL",
         "suggestion_page": f"WITH {_SUGGESTIONS} SELECT * FROM g WHERE score BETWEEN 20 AND 90 AND status = 'SUGGESTED' ORDER BY score DESC, created_at DESC, suggestion_id LIMIT 20 OFFSET 40",
-        "suggestion_counts": f"WITH {_EVENTS}, {_SUGGESTIONS} SELECT suggestion_id, count(event_id) AS n_events FROM g LEFT JOIN e USING (suggestion_id) GROUP BY 1",
+        "suggestion_counts": f"WITH {_EVENTS}, {_SUGGESTIONS} SELECT suggestion_id, coalesce(a, 0) AS n_events, coalesce(b, 0) AS n_evidence FROM g LEFT JOIN (SELECT suggestion_id, count(*) AS a FROM e GROUP BY 1) USING (suggestion_id) LEFT JOIN (SELECT o_custkey AS suggestion_id, count(*) AS b FROM orders GROUP BY 1) USING (suggestion_id)",
         "newest_review_events": f"WITH {_EVENTS} SELECT suggestion_id, event_id, action, rank FROM (SELECT *, row_number() OVER (PARTITION BY suggestion_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM e) WHERE rank <= 50",
     }

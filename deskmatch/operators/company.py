@@ -258,6 +258,16 @@ def find_or_create(names: DataFrame, companies: DataFrame) -> DataFrame:
     return fresh.select(F.sha2("key", 256).alias("company_id"), "key", "name")
 
 
+def find_or_create_contacts(people: DataFrame, contacts: DataFrame) -> DataFrame:
+    """contact_id, company_id, name, email of people (company_id, name, email) that contacts lack: one for each company and e-mail, or name without one, with an id made from them."""
+    key = lambda df: df.withColumn("_key", F.coalesce(filled(F.lower(trimmed(F.col("email")))), contact_key(F.col("name")))).filter("_key != ''")
+    known = key(contacts).select("company_id", "_key").unionByName(contacts.select("company_id", contact_key(F.col("name")).alias("_key"))).distinct()
+    named = key(people).withColumn("_name", contact_key(F.col("name")))
+    fresh = named.join(known, ["company_id", "_key"], "left_anti").join(known.withColumnRenamed("_key", "_name"), ["company_id", "_name"], "left_anti")
+    once = fresh.groupBy("company_id", "_key").agg(F.min(F.struct("name", "email")).alias("x"))
+    return once.select(F.sha2(F.concat_ws("|", F.col("company_id").cast("string"), "_key"), 256).alias("contact_id"), "company_id", "x.name", "x.email")
+
+
 def first_role(roles: DataFrame) -> DataFrame:
     """Of each project (project_id, role, sort_order, company_id) the role UPPER, else PRIME, else END_USER, else the first by order."""
     place = F.when(F.col("role") == "UPPER", 0).when(F.col("role") == "PRIME", 1).when(F.col("role") == "END_USER", 2).otherwise(3)

@@ -67,7 +67,7 @@ def base_metrics(joined: DataFrame) -> DataFrame:
 def ranked(metrics: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:
     """In ranking order: heads, gap, median price, all falling, then keys."""
     out = metrics.orderBy(F.desc("recruiting_count"), F.desc("demand_supply_gap"), F.desc(F.coalesce("project_median_price", F.lit(0.0))), *keys)
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.limit(max(1, min(limit, rules.RANKING_LIMIT)))
 
 
 def skill_market(projects: DataFrame, project_skills: DataFrame, persons: DataFrame, person_skills: DataFrame) -> DataFrame:
@@ -102,8 +102,8 @@ CELL = ["skill", "price_band", "region", "work_style"]
 def market_cells(projects: DataFrame, project_skills: DataFrame, persons: DataFrame, person_skills: DataFrame, as_of: str) -> DataFrame:
     """One row a (skill, band, region, style, start month, contract): demand, the supply that is free by then, and the sales priority.
 
-    Supply is added up by (four keys, month) first, with a histogram of prices, and summed up over months
-    in a window: a popular cell costs a row for each month and price, not for each pair of rows.
+    Supply is added up by (four keys, month) first, with a histogram of prices; each wanted month of a cell then takes the
+    months up to it: a popular cell costs a row for each two months and price, not for each pair of rows.
     """
     wanted = demand(unique_skills(project_skills, "project_id").select("project_id", "skill").distinct().join(market_projects(projects), "project_id"), *CELL, "start_month", "contract_type")
     offered = unique_skills(person_skills, "person_id").select("person_id", "skill").distinct().join(market_persons(persons), "person_id")
@@ -180,6 +180,17 @@ def filtered(rows: DataFrame, first_month: str | None = None, last_month: str |
     return out
 
 
+def last_months(as_of: str, n: int = 3) -> tuple[str, str]:
+    """First and last of the n months up to that of a day (yyyy-MM-dd): the span that filters take by default."""
+    last = int(as_of[:4]) * 12 + int(as_of[5:7]) - 1
+    return tuple(f"{m // 12:04d}-{m % 12 + 1:02d}" for m in (last - n + 1, last))
+
+
+def with_skill(rows: DataFrame, skills: DataFrame, key: str, skill: str) -> DataFrame:
+    """The rows of which a skill, whatever its spelling, is the given one."""
+    return rows.join(unique_skills(skills, key).filter(F.lower("skill") == skill.lower()).select(key).distinct(), key, "left_semi")
+
+
 def period_summary(projects: DataFrame, persons: DataFrame) -> DataFrame:
     """First and last created month of all, projects and persons."""
     rows = projects.select(F.lit("projects").alias("side"), "created_at").unionByName(persons.select(F.lit("persons").alias("side"), "created_at"))
@@ -188,6 +199,11 @@ def period_summary(projects: DataFrame, persons: DataFrame) -> DataFrame:
     return rows.select(sides.alias("side"), month.alias("month")).groupBy("side").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
 
 
+def alert_total(alerts: DataFrame) -> DataFrame:
+    """Alerts over all codes, and how many of them are of each severity."""
+    return alerts.groupBy("severity").agg(F.sum("count").alias("n_alerts"))
+
+
 def market_summary(projects: DataFrame, persons: DataFrame, since: str) -> DataFrame:
     """Counts of both sides: rows, focus, made since a day."""
     one = lambda rows, side, focus: rows.agg(F.lit(side).alias("side"), F.count("*").alias("n_rows"), F.count_if(focus).alias("n_focus"), F.count_if(F.col("created_at") >= F.to_timestamp(F.lit(since))).alias("n_since"))

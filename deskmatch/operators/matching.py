@@ -208,11 +208,17 @@ def attention(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("attention", state)
 
 
-def match_review(candidates: DataFrame, sort: str = "score_desc", page: int = 1, size: int = 20, **states: str) -> DataFrame:
-    """A page of candidates (filters by column value) in one of four orders: score_desc, score_asc, review_first, newest."""
+def review_rows(candidates: DataFrame, overlap: bool | None = None, **states: str) -> DataFrame:
+    """Candidates with their attention, filtered by column values and by whether a required or preferred skill is common; match_distribution of them is that of a filtered page."""
     out = attention(candidates)
     for column, value in states.items():
         out = out.filter(F.col(column) == value)
+    return out if overlap is None else out.filter((F.col("n_required") + F.col("n_preferred") > 0) == overlap)
+
+
+def match_review(candidates: DataFrame, sort: str = "score_desc", page: int = 1, size: int = 20, overlap: bool | None = None, **states: str) -> DataFrame:
+    """A page of review_rows in one of four orders: score_desc, score_asc, review_first, newest."""
+    out = review_rows(candidates, overlap, **states)
     ids = ["project_id", "person_id"]
     orders = {"score_desc": [F.desc("score"), *ids], "score_asc": ["score", *ids], "review_first": [F.desc(F.col("attention") == "NEEDS_REVIEW"), F.desc("score"), *ids], "newest": [F.desc("project_id"), F.desc("person_id")]}
     return out.orderBy(*orders[sort]).offset((page - 1) * size).limit(size)

@@ -16,6 +16,9 @@ ACTIONS = {
     "RESTORE": (["ARCHIVED"], "NEEDS_REVIEW"),
 }
 FIRST_STATE = "SUGGESTED"
+STATES = ["SUGGESTED", "NEEDS_REVIEW", "APPROVED", "REJECTED", "ARCHIVED"]
+#: Events of a suggestion that are folded at once.
+CHUNK = 1000
 
 
 def suggestion_key(*parts: Column) -> Column:
@@ -32,12 +35,16 @@ def initial_status(given: Column, warnings: Column, band: Column, attention: Col
 
 
 def save_suggestions(candidates: DataFrame, saved: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
-    """New suggestions, and their CREATED events; a key that is saved already, or comes twice, is passed over, so that a second run adds nothing."""
+    """New suggestions, and their CREATED events; a key, or a pair of the same version and snapshot, that is saved already or comes twice is passed over, so that a second run adds nothing."""
     snapshot = snapshot_hash("score", "band", "reasons", "warnings")
     n_warnings = F.size(F.filter(F.split("warnings", ","), lambda w: w != ""))
     keyed = candidates.withColumns({"version": F.lit(version), "snapshot": snapshot, "status": initial_status(F.lit(None).cast("string"), n_warnings, F.col("band"), F.lit(""))})
     keyed = keyed.withColumn("suggestion_key", suggestion_key(*map(F.col, ("project_id", "person_id", "version", "snapshot"))))
-    fresh = keyed.dropDuplicates(["suggestion_key"]).join(saved.select("suggestion_key"), "suggestion_key", "left_anti").select("suggestion_key", "project_id", "person_id", "version", "snapshot", "score", "band", "warnings", "status")
+    fresh = keyed.dropDuplicates(["suggestion_key"]).join(saved.select("suggestion_key"), "suggestion_key", "left_anti")
+    pair = ["project_id", "person_id", "version", "snapshot"]
+    if set(pair) <= {*saved.columns}:
+        fresh = fresh.join(saved.select(*pair), pair, "left_anti")
+    fresh = fresh.select("suggestion_key", "project_id", "person_id", "version", "snapshot", "score", "band", "warnings", "status")
     events = fresh.select("suggestion_key", F.lit("CREATED").alias("action"), F.lit(None).cast("string").alias("from_status"), F.col("status").alias("to_status"))
     return fresh, events
 
@@ -51,18 +58,32 @@ def next_state(state: Column, action: Column) -> Column:
 
 
 def fold_review_events(events: DataFrame) -> DataFrame:
-    """suggestion_id, status, n_applied (events that changed the state), n_events, reviewed_at (last change), in order of ts and event_id."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "action")))
-    start = F.struct(F.lit(FIRST_STATE).alias("status"), F.lit(0).alias("n"), F.lit(None).cast("timestamp").alias("at"))
+    """suggestion_id, status, n_applied (events that changed the state), n_events, reviewed_at (last change), archived_at (of archived ones), in order of ts and event_id.
+
+    An event with an expected_status, if there is such a column, counts only in that state. Runs of CHUNK events are folded once for
+    each state that they may start from, then the runs one after the other, so that no array holds all events of a suggestion.
+    """
+    expected = F.col("expected_status") if "expected_status" in events.columns else F.lit(None).cast("string")
+    number = F.row_number().over(Window.partitionBy("suggestion_id").orderBy("ts", "event_id")) - 1
+    rows = events.select("suggestion_id", "ts", "event_id", "action", expected.alias("expected")).withColumn("chunk", F.floor(number / CHUNK))
+    chunks = rows.groupBy("suggestion_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "action", "expected"))).alias("events"))
+    at_type = dict(events.dtypes)["ts"]
 
     def step(s: Column, e: Column) -> Column:
-        to = next_state(s["status"], e["action"])
+        to = F.when(F.coalesce(e["expected"] != s["status"], F.lit(False)), s["status"]).otherwise(next_state(s["status"], e["action"]))
         moved = to != s["status"]
         return F.struct(to.alias("status"), (s["n"] + moved.cast("int")).alias("n"), F.when(moved, e["ts"]).otherwise(s["at"]).alias("at"))
 
-    folded = events.groupBy("suggestion_id").agg(ordered.alias("events"))
-    out = folded.withColumn("s", F.aggregate("events", start, step))
-    return out.select("suggestion_id", F.col("s.status").alias("status"), F.col("s.n").alias("n_applied"), F.size("events").alias("n_events"), F.col("s.at").alias("reviewed_at"))
+    start = lambda state: F.struct(F.lit(state).alias("status"), F.lit(0).alias("n"), F.lit(None).cast(at_type).alias("at"))
+    ends = F.create_map(*(x for state in STATES for x in (F.lit(state), F.aggregate("events", start(state), step))))
+    folded = chunks.select("suggestion_id", "chunk", F.size("events").alias("m"), ends.alias("ends")).groupBy("suggestion_id").agg(F.sum("m").cast("int").alias("n_events"), F.array_sort(F.collect_list(F.struct("chunk", F.map_entries("ends").alias("ends")))).alias("chunks"))
+
+    def over(s: Column, c: Column) -> Column:
+        end = F.element_at(F.map_from_entries(c["ends"]), s["status"])
+        return F.struct(end["status"].alias("status"), (s["n"] + end["n"]).alias("n"), F.coalesce(end["at"], s["at"]).alias("at"))
+
+    out = folded.withColumn("s", F.aggregate("chunks", start(FIRST_STATE), over))
+    return out.select("suggestion_id", F.col("s.status").alias("status"), F.col("s.n").alias("n_applied"), "n_events", F.col("s.at").alias("reviewed_at"), F.when(F.col("s.status") == "ARCHIVED", F.col("s.at")).alias("archived_at"))
 
 
 def list_suggestions(rows: DataFrame, sort: str = "newest", page: int = 1, size: int = 20, low: int = 0, high: int = 100, **equal: str) -> DataFrame:
@@ -79,9 +100,13 @@ def review_queue(rows: DataFrame) -> DataFrame:
     return rows.withColumn("segment", segment).filter("segment IS NOT NULL").orderBy("segment", F.desc("score"), F.desc("created_at"), "suggestion_id")
 
 
-def suggestion_counts(suggestions: DataFrame, events: DataFrame) -> DataFrame:
-    counts = events.groupBy("suggestion_id").agg(F.count("*").alias("n"))
-    return suggestions.join(counts, "suggestion_id", "left").select("suggestion_id", F.coalesce("n", F.lit(0)).alias("n_events"))
+def suggestion_counts(suggestions: DataFrame, events: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """The numbers of each suggestion's events and, if given, of its pieces of evidence."""
+    out = suggestions.select("suggestion_id")
+    for name, rows in (("n_events", events), ("n_evidence", evidence)):
+        if rows is not None:
+            out = out.join(rows.groupBy("suggestion_id").agg(F.count("*").alias(name)), "suggestion_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
 
 
 def newest_events(events: DataFrame, most: int = 50) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+#: The same signs, one by one.
+WHITE_SIGNS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: Named entities, marks of signatures in order, and compounds that a search for sql finds.
 ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"'}
@@ -25,7 +27,7 @@ def replaced(c: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return replaced(c, (f"^{WHITE}+|{WHITE}+\\z", ""))
+    return F.btrim(c, F.lit(WHITE_SIGNS))
 
 
 def filled(c: Column) -> Column:

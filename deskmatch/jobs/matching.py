@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, review
 from ..plans import binding as b
+from ..sources import tables
 
 MIN_SCORE = 60
 VERSION = "v1"
@@ -37,7 +38,7 @@ def match_review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggestions_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions that a run adds to those of an earlier one that saved only the best band."""
-    found = _candidates(spark, sf_dir)
+    found = tables.written(_candidates(spark, sf_dir), "candidates")
     first, _ = review.save_suggestions(found.filter("band = 'HIGH'"), found.select(F.lit(None).cast("string").alias("suggestion_key")).filter("false"), VERSION)
     second, events = review.save_suggestions(found, first, VERSION)
     return second.join(events, "suggestion_key").select("project_id", "person_id", "score", "status", "action", "to_status")

@@ -25,6 +25,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder: what is used several times is worked out once, and survives lost executors."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None, where: Column | None = None, newest: int | None = None, by: str = "created_at") -> DataFrame:
     """A Parquet table of a declared schema; columns and filter reach the scan."""
     rows = spark.read.schema(schema).parquet(path)

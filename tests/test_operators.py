@@ -17,7 +17,10 @@ def test_skill_join_loses_no_pair(spark, small):
     ps, qs = binding.project_skills(spark, small), binding.person_skills(spark, small)
     fast = {(r.project_id, r.person_id, r.score) for r in matching.match_candidates(p, ps, q, qs, 46).collect()}
     pm, qm = matching.match_projects(p.filter("status != 'ARCHIVED'")), matching.match_persons(q.filter("status != 'ARCHIVED'"))
-    every = pm.crossJoin(qm).join(matching.overlaps(ps, qs), ["project_id", "person_id"], "left").na.fill(0, ["n_required", "n_preferred", "n_technology", "n_skills"])
+    own = matching.project_sets(ps).select("project_id", F.explode("p_set").alias("x")).select("project_id", "x.*")
+    common = own.join(matching.person_sets(qs).select("person_id", F.explode("q_set").alias("k")), "k").groupBy("project_id", "person_id").agg(F.sum("req").alias("n_required"), F.sum("pre").alias("n_preferred"), F.sum("oth").alias("n_technology"), F.count("*").alias("n_skills"))
+    every = pm.crossJoin(qm).join(common, ["project_id", "person_id"], "left").na.fill(0, ["n_required", "n_preferred", "n_technology", "n_skills"])
+    every = every.withColumns({"place_state": matching.place_state(), "role_match": matching.role_match()})
     slow = {(r.project_id, r.person_id, r.score) for r in matching.scored(every).filter("score >= 46").collect()}
     assert fast == slow and fast
     with pytest.raises(ValueError):

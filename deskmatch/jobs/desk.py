@@ -399,7 +399,7 @@ def oracle_sql() -> dict[str, str]:
         "declared_orders": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",
         "written_reports": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
         "read_sheets": "SELECT p_partkey AS id, sha256('a \"' || p_name || '\", or' || chr(10) || 'b') AS title_sha, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS 会社名 FROM part",
-        "table_assessment": f"""WITH r AS (SELECT *, concat_ws(',', CASE WHEN p_partkey % 23 = 0 THEN 'ROW_TOO_WIDE' END, CASE WHEN p_partkey % 19 = 0 THEN 'SENSITIVE_VALUE' END, CASE WHEN p_partkey % 19 = 1 THEN 'LONG_TEXT' END, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 7 = 0 THEN 'MISSING_REQUIRED_FIELD' END,
+        "table_assessment": f"""WITH r AS (SELECT *, concat_ws(',', CASE WHEN p_partkey % 23 = 0 THEN 'ROW_TOO_WIDE' END, CASE WHEN p_partkey % 19 = 0 THEN 'SENSITIVE_VALUE' END, CASE WHEN p_partkey % 19 = 1 THEN 'LONG_TEXT' END, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 7 = 0 THEN 'MISSING_REQUIRED_FIELD' END, CASE WHEN p_partkey % 1001 = 0 AND p_partkey % 2 = 1 THEN 'LOW_COVERAGE' END,
             CASE WHEN p_partkey % 19 < 2 THEN 'UNMAPPED_VALUE' END, CASE WHEN p_partkey % 5 = 0 THEN 'INVALID_AMOUNT' END, CASE WHEN p_partkey % 17 = 0 THEN 'INVALID_DATE' END) AS reasons FROM part)
           SELECT p_partkey + 2 AS row_no, 'project' AS detected, CASE WHEN p_partkey % 23 = 0 THEN 'would_fail' WHEN reasons <> '' THEN 'would_need_review' ELSE 'would_create' END AS action, reasons,
           round((2 + (p_partkey % 11 <> 0)::INT + (p_partkey % 13 <> 0)::INT + (p_partkey % 7 <> 0)::INT + (p_partkey % 2 = 0)::INT) / 6, 4)::DOUBLE AS coverage, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 2 END AS n_skills, {signals} AS signals FROM r""",

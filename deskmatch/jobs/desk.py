@@ -371,6 +371,10 @@ def oracle_sql() -> dict[str, str]:
         "classification_audit": f"WITH {ORDER_MAILS} SELECT lower(CASE WHEN subject = 'Re: 打ち合わせ' THEN '打ち合わせ' ELSE subject END) AS pattern, count(*) AS n_mails, count(DISTINCT from_email) AS n_domains, max(received_at) AS newest FROM om GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
         "quality_scores": f"WITH {QUALITY} SELECT mail_id, project_score, person_score, excluded_score, abs(project_score - person_score) AS margin, subject_only, CASE WHEN category = 'PERSON_INTRO' AND project_score > person_score AND project_score >= 3 THEN 'PERSON_SUBJECT_LOOKS_LIKE_PROJECT' WHEN category = 'PROJECT_INTRO' AND person_score > project_score AND person_score >= 3 THEN 'PROJECT_SUBJECT_LOOKS_LIKE_PERSON' END AS mismatch FROM sc",
         "quality_audit": f"WITH {QUALITY}, k AS (" + " UNION ALL ".join([*(f"SELECT '{c}' AS metric, {_bucket(v, [0, 2, 5, 9])} AS key FROM sc" for c, v in (("project_score", "project_score"), ("person_score", "person_score"), ("excluded_score", "excluded_score"), ("margin", "abs(project_score - person_score)"))), "SELECT 'subject_only', subject_only::VARCHAR FROM sc", "SELECT 'skills', CASE WHEN contains(s, 'java') OR mail_id % 3 = 0 THEN '1-3' ELSE '0' END FROM sc"]) + ") SELECT metric, key, count(*) AS n FROM k GROUP BY 1, 2",
+        "high_risk_mails": f"""WITH {QUALITY}, r AS (SELECT *, b <> '' AND b <> s AS has_body, abs(project_score - person_score) AS margin, greatest(project_score, person_score) AS most, least(project_score, person_score) AS low, {_hits("b", mail_rules.PROJECT_CORE)} AS core_project, {_hits("b", mail_rules.PERSON_CORE)} AS core_person FROM sc),
+          f AS (SELECT *, (low >= 3 AND margin <= 1) OR (s_project > s_person AND b_person > b_project AND b_person >= 2) OR (s_person > s_project AND b_project > b_person AND b_project >= 2) AS conflict, most >= 3 OR (subject_only AND most >= 2) AS enough,
+            CASE WHEN project_score > person_score THEN has_body AND (core_project = 0 OR regexp_matches(b, 'ありません|なし|実体がない|別途共有')) ELSE has_body AND core_person = 0 AND person_score < 4 END AS bare, has_body AND b_project = 0 AND b_person = 0 AND (s_project > 0 OR s_person > 0) AS weak FROM r)
+          SELECT mail_id FROM f WHERE excluded_score >= 2 OR conflict OR NOT enough OR bare OR subject_only OR weak ORDER BY mail_id LIMIT 20""",
         "extracted_persons": f"""WITH {people} SELECT mail_id, name, CASE WHEN name IS NOT NULL THEN 'body_labeled_field' ELSE 'subject_candidate' END AS name_source, CASE WHEN name IS NOT NULL THEN 'HIGH' ELSE 'LOW' END AS name_confidence,
           coalesce(name, initials, '氏名未取得（GMAIL-' || substring(mail_id::VARCHAR, 1, 8) || '）') AS display_name, initials, skills, desired, age, nationality, place, missing FROM py""",
         "reviewed_persons": f"""WITH {people}, {e.ENTITIES}, {e.LINKS} SELECT mail_id, 'PERSON' AS target, true AS needs_review, concat_ws(',', nullif(missing, ''), 'manual_classification', CASE WHEN name IS NULL THEN 'PERSON_EXTRACTION_AMBIGUOUS' END) AS missing FROM py

@@ -294,3 +294,21 @@ def test_powers_of_long_texts_are_not_kept():
     up, down = suffix_dedup.powers(suffix_dedup.CHUNK + 1000)
     assert len(up) == suffix_dedup.CHUNK + 1000 and suffix_dedup.chunk_powers.cache_info().currsize == kept
     assert int(up[5]) * int(down[5]) % 2**64 == 1 and int(up[-1]) * int(down[-1]) % 2**64 == 1
+
+
+def test_op13(spark, folder):
+    from test_runs import all_runs, collapsed
+
+    want = []
+    for d, t in pairs(spark, folder):
+        words = re.findall("[^\x20\x09-\x0d]+", t)
+        h, n = zlib.crc32(str(d).encode()) if d is not None else 1, len(words)
+        if h % 10 == 0 and n:
+            a, g = h // 10 % n, h // 10
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        found = all_runs(words)
+        s, m, q = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        want.append((d, len(found), s, m, q, 1000 * m // q if found else None, sha("".join(f"{a},{b},{c}\n" for a, b, c in found)), sha(collapsed(words, found))))
+    types = {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint", "runs_sha256": "string", "collapsed_sha256": "string"}
+    check(query("op13", spark, folder), types, want)

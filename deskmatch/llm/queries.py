@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lloyd, quality_rules, records, runs, secrets, sharding, simhash, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, language_model, lloyd, quality_rules, records, runs, secrets, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 #: Tokens that a text may have before it counts as over the limit.
 TOKEN_LIMIT = 1024
@@ -79,6 +79,10 @@ def op11_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.with_inertia(*lloyd.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op12_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runs.collapse_runs(runs.with_planted_runs(table(spark, sf_dir, "documents")))
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))

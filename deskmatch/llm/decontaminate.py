@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are normalised: lower case, runs of letters, digits and underscores, one blank
-between them. An item that occurs with at most k edits, cut into k + 1 pieces, has a piece that occurs
+between them and at both ends, so that an item meets whole words: the blanks at its ends count as its other
+characters do, and a short item never stands inside a word. An item that occurs with at most k edits, cut into k + 1 pieces, has a piece that occurs
 unedited. An Aho-Corasick automaton of all pieces finds the exact piece hits in a pass over each text;
 a window around each hit is verified with Myers' bit-parallel edit distance.
 
@@ -39,7 +40,13 @@ def normal(text: str | None) -> str:
     return " ".join(re.findall(r"\w+", (text or "").lower()))
 
 
+def edged(words: str) -> str:
+    """Normalised words with a blank at either end."""
+    return f" {words} "
+
+
 def budget(item: str, rate: float) -> int:
+    """Edits that a normalised item, without blanks at its ends, may have."""
     return int(len(item) * rate) if len(item) >= LEAST_CHARS else 0
 
 
@@ -76,10 +83,10 @@ class Block:
     def __init__(self, items: list[tuple[int | None, str]], rate: float):
         import ahocorasick
 
-        self.items, self.rate = items, rate
+        self.items, self.edits = items, [budget(item, rate) for _, item in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, item) in enumerate(items):
-            for at, piece in cut_pieces(item, budget(item, rate)):
+            for at, piece in cut_pieces(edged(item), self.edits[n]):
                 places.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
@@ -87,24 +94,24 @@ class Block:
         self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """Number of the item, distance, start and end of the best place of each item within its budget."""
+        """Number of the item, distance, start and end of the best place of each item within its budget in a normalised text."""
         if not self.items:
             return []
-        starts: dict[int, set[int]] = {}
+        text, starts = edged(text), {}
         for end, (size, found) in self.automaton.iter(text):
             for n, at in found:
                 starts.setdefault(n, set()).add(end + 1 - size - at)
         out = []
         for n, found in starts.items():
-            item = self.items[n][1]
-            edits, best, reach = budget(item, self.rate), None, -1
+            item, edits, best = edged(self.items[n][1]), self.edits[n], None
             for a, b in windows(sorted(found), len(item), edits, len(text)):
                 distance, end = best_end(item, text[a:b])
                 if distance <= edits and (best is None or distance < best[0]):
                     back = best_end(item[::-1], text[a : a + end][::-1])[1]
                     best = distance, a + end - back, a + end
             if best:
-                out.append((n, *best))
+                distance, a, b = best
+                out.append((n, distance, a + (text[a] == " ") - 1, b - (text[b - 1] == " ") - 1))
         return sorted(out)
 
 

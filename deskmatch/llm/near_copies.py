@@ -9,7 +9,7 @@ the tests), one above it with more. Each candidate pair is then held against the
 0.8 or more become links; groups are the components of the links.
 
 A table's key has 20 bits, so of n distinct sets n / 2**20 meet by chance; they are told apart within the bucket
-by NEAR further bits, and by all bits of the fingerprints. For over a billion distinct sets take wider parts, and more of them.
+by NEAR further bits, and by all bits of the fingerprints: a pair of any bucket is a candidate if it passes both. For over a billion distinct sets take wider parts, and more of them.
 
 Documents of one set are one node, so exact copies never meet. In a third of the buckets, all first meet one
 member; what then still lies in different groups of any bucket is compared within the bucket, where only links
@@ -49,6 +49,8 @@ HELD, BLOCK_ROWS, BLOCK_HASHES = 20_000, 2_000, 4_000_000
 #: One of so many buckets (by their hash) takes part in the first meeting; all take part in the second.
 FIRST = 3
 WORDS = -(-(BITS + NEAR) // 64)
+#: Words of a fingerprint before those of NEAR.
+TABLE_WORDS = WORDS - NEAR // 64
 #: Odd factors, one for each 64 bits of a fingerprint, and the orders of its bits.
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDERS = [np.random.default_rng(SEED + k).permutation(BITS) for k in range(ARRANGEMENTS)]
@@ -149,7 +151,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def partnered(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which rows (bucket, key, n, two of near) of the buckets between neighbouring bounds may have a partner; of larger buckets all."""
+    """Which rows (bucket, key, n, two of near) of the buckets between neighbouring bounds may have a partner; of larger buckets all, whose pairs get the same test later."""
     sizes = np.diff(bounds)
     small = sizes <= SMALL
     keep = np.repeat(~small, sizes)
@@ -169,14 +171,13 @@ def partnered(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def buckets(nodes: DataFrame) -> DataFrame:
     """bucket, key, n, fp: what the tables' buckets hold that may have a partner there, of nodes (key, n, fp)."""
     names = ["bucket", "key", "n", "near_a", "near_b"]
-    near = WORDS - NEAR // 64
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
             keys = table_keys(prints).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * len(TABLES)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([lists, batch.column("key"), batch.column("n").cast(pa.int64()), *(pa.array(prints[:, near + k].astype("<u8").view(np.int64)) for k in range(2))], names=["buckets", *names[1:]])
+            yield pa.RecordBatch.from_arrays([lists, batch.column("key"), batch.column("n").cast(pa.int64()), *(pa.array(prints[:, TABLE_WORDS + k].astype("<u8").view(np.int64)) for k in range(2))], names=["buckets", *names[1:]])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None  # rows of the bucket that may go on; the bucket that is being passed on
@@ -212,8 +213,9 @@ def first_pairs(rows: DataFrame) -> DataFrame:
     over, under = SIMILAR
     rows = rows.filter(F.pmod("bucket", F.lit(FIRST)) == 0)
     one = rows.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "fp"), F.xxhash64("key")).alias("one")).select("bucket", "one.*").toDF("bucket", "other", "m", "other_fp")
-    differing = F.aggregate(F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("key") != F.col("other")) & (differing <= MOST_DIFFERING)
+    differing = F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    most = lambda counts, n: F.aggregate(counts, F.lit(0), lambda s, x: s + x) <= n
+    fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("key") != F.col("other")) & most(differing, MOST_DIFFERING) & most(F.slice(differing, TABLE_WORDS + 1, NEAR // 64), MOST_NEAR)
     return rows.join(one, "bucket").filter(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
@@ -224,7 +226,8 @@ def partners(groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> Itera
         rest = slice(i + 1, None)
         near = (groups[rest] != groups[i]) & (under * np.minimum(sizes[rest], sizes[i]) >= over * np.maximum(sizes[rest], sizes[i]))
         at = np.flatnonzero(near) + i + 1
-        yield i, at[np.bitwise_count(prints[at] ^ prints[i]).sum(axis=1) <= MOST_DIFFERING]
+        differing = np.bitwise_count(prints[at] ^ prints[i])
+        yield i, at[(differing.sum(axis=1) <= MOST_DIFFERING) & (differing[:, TABLE_WORDS:].sum(axis=1) <= MOST_NEAR)]
 
 
 def linked_sets(keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:

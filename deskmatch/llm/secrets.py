@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ BASE_RULES = [
 #: Rules of our own, which add spans.
 MORE_RULES = [
     ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 ]
 #: Words of which each match of "assign" has one, whatever their case.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -129,15 +130,25 @@ def redact(docs: DataFrame, mask: str = "[secret]", id_column: str = "doc_id", t
     key, spans = fresh(docs, "_blob"), fresh(docs, "_findings")
     found = scan_secrets(docs, ledger, id_column=id_column, text_column=text_column).filter(F.size("findings") > 0)
     found = found.groupBy("blob").agg(F.first("findings").alias("findings")).toDF(key, spans)
-    joined = spread_join(docs.withColumn(key, F.sha2(whole_text(text_column), 256)), found, key, F.col(id_column))
-    # A fold over the spans keeps the text so far and how far the spans reach; a span that begins beyond that adds the text between and a mask.
-    state = "struct<out:string,reach:int>"
-
-    def step(s, f):
-        between = F.substring(F.col(text_column), s["reach"] + 1, f["at"] - s["reach"])
-        new = F.struct(F.concat(s["out"], between, F.lit(mask)).alias("out"), f["until"].alias("reach"))
-        return F.when(f["at"] >= s["reach"], new).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["reach"], f["until"]).alias("reach"))).cast(state)
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("reach")).cast(state)
-    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_column), s["reach"] + 1, F.length(text_column))))
-    return joined.withColumn(text_column, F.when(F.col(spans).isNotNull(), clean).otherwise(F.col(text_column))).select(*(f"`{c}`" for c in docs.columns))
+    joined = spread_join(docs.withColumn(key, F.sha2(whole_text(text_column), 256)), found, key, F.col(id_column)).select(*(f"`{c}`" for c in docs.columns), spans)
+    at, names = docs.columns.index(text_column), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists, columns = batch.column(at), batch.column(len(names)), batch.columns[: len(names)]
+            if lists.null_count < len(lists):
+                own = [masked(t, f, mask) for t, f in zip(texts.filter(lists.is_valid()).to_pylist(), lists.drop_null().to_pylist())]
+                columns[at] = pc.replace_with_mask(texts, lists.is_valid(), pa.array(own, texts.type))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def masked(text: str, findings: list[dict], mask: str) -> str:
+    """The text with a mask for each stretch of findings that overlap or touch none before; the findings come by start."""
+    pieces, reach = [], 0
+    for f in findings:
+        if f["at"] >= reach:
+            pieces += [text[reach : f["at"]], mask]
+        reach = max(reach, f["until"])
+    return "".join([*pieces, text[reach:]])

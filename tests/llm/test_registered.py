@@ -262,7 +262,7 @@ def test_decontamination_finds_what_all_positions_find(spark):
         return text
 
     docs = [(i, " ".join(word() for _ in range(12)) + " " + spoiled(items[i % 12][1], i // 12) + " " + " ".join(word() for _ in range(12))) for i in range(60)]
-    want = {(d, i): best for d, t in docs for i, item in items if (best := brute_least(decontaminate.normal(item), decontaminate.normal(t))) <= decontaminate.budget(decontaminate.normal(item), decontaminate.EDIT_RATE)}
+    want = {(d, i): best for d, t in docs for i, item in items if (best := brute_least(decontaminate.edged(decontaminate.normal(item)), decontaminate.edged(decontaminate.normal(t)))) <= decontaminate.budget(decontaminate.normal(item), decontaminate.EDIT_RATE)}
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for size in (decontaminate.BLOCK_CHARS, 100):
         assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, items, block_chars=size).collect()} == want
@@ -312,3 +312,35 @@ def test_op13(spark, folder):
         want.append((d, len(found), s, m, q, 1000 * m // q if found else None, sha("".join(f"{a},{b},{c}\n" for a, b, c in found)), sha(collapsed(words, found))))
     types = {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint", "runs_sha256": "string", "collapsed_sha256": "string"}
     check(query("op13", spark, folder), types, want)
+
+
+def test_short_items_meet_whole_words_alone(spark):
+    docs = [(1, "Yesterday we went home"), (2, "He said: yes!"), (3, "yes"), (4, "a-b yes_no"), (5, None), (6, "Eyes, YES; eyes")]
+    items = [(1, "yes"), (2, "a"), (3, "we went"), (4, "e w")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.at, r.until) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 3): (0, 10, 17), (2, 1): (0, 8, 11), (3, 1): (0, 0, 3), (4, 2): (0, 0, 1), (6, 1): (0, 5, 8)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [5]
+
+
+def test_secret_rules_and_masks_are_linear():
+    import time
+
+    rules = [(kind, re.compile(pattern), group, least) for kind, pattern, group, least in secrets.BASE_RULES + secrets.MORE_RULES]
+    token = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10
+    start = time.time()
+    for text in ("eyJ" * 3_500_000, "eyJaaaaaaaaa." * 800_000, "AKIA" * 2_500_000, "password " * 1_000_000, "-----BEGIN " * 900_000, "ab" * 5_000_000):
+        secrets.scan(text, rules)
+    assert time.time() - start < 60
+    assert [text[3] for text in secrets.scan(f"x {token} y", rules)] == ["jwt"] and [x[:3:2] for x in secrets.scan(f"({token})", rules)] == [(1, 1 + len(token))]
+    text = f"{token} some words " * 50_000
+    found = [{"at": a, "until": b, "kind": k} for a, _, b, k in secrets.scan(text, rules)]
+    start = time.time()
+    assert len(found) == 50_000 and secrets.masked(text, found, "[secret]") == "[secret] some words " * 50_000 and time.time() - start < 5
+
+
+def test_masks_of_overlapping_spans(spark):
+    text = "password = 'abcdefgh1' 漢 token: " + "0f" * 20 + " end"
+    df = spark.createDataFrame([(1, text, "a"), (None, text, "b"), (2, "clean", None), (3, None, "x")], "doc_id long, text string, findings string")
+    got = {(r.doc_id, r.text, r.findings) for r in secrets.redact(df).collect()}
+    assert got == {(1, "[secret]' 漢 [secret] end", "a"), (None, "[secret]' 漢 [secret] end", "b"), (2, "clean", None), (3, None, "x")}

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, review
+from ..operators import matching, pair_counts, review
 from ..plans import binding as b
 from ..sources import tables
 
 MIN_SCORE = 60
+#: A least score that pairs without a common skill may have.
+LOW_SCORE = 30
 VERSION = "v1"
 
 
@@ -31,6 +33,12 @@ def match_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_distribution(_candidates(spark, sf_dir))
 
 
+def match_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands, reasons and warnings of all pairs, whatever their scores, and the pairs of at least LOW_SCORE."""
+    pairs = pair_counts.pair_histogram(b.projects(spark, sf_dir), b.project_skills(spark, sf_dir), b.persons(spark, sf_dir), b.person_skills(spark, sf_dir))
+    return pair_counts.all_pairs_distribution(pairs, LOW_SCORE)
+
+
 def match_review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of candidates with a matching rate, attention first (a page is the feature)."""
     return matching.match_review(_candidates(spark, sf_dir), "review_first", 2, 20, rate_state="match").select("project_id", "person_id", "score", "band", "attention")
@@ -81,7 +89,7 @@ def newest_review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.newest_events(_events(spark, sf_dir)).select("suggestion_id", "event_id", "action", "rank")
 
 
-NAMES = ["match_candidates", "match_top", "match_distribution", "match_review_page", "suggestions_saved", "review_state", "review_queue", "suggestion_page", "suggestion_counts", "newest_review_events"]
+NAMES = ["match_candidates", "match_top", "match_distribution", "match_all_pairs", "match_review_page", "suggestions_saved", "review_state", "review_queue", "suggestion_page", "suggestion_counts", "newest_review_events"]
 
 
 def queries() -> dict:
@@ -115,6 +123,24 @@ c AS (SELECT project_id, person_id, score, CASE WHEN low OR score < 35 THEN 'REV
   CASE WHEN low THEN 'MATCH_LOW_FIELD_COVERAGE,MATCH_REVIEW_REQUIRED' ELSE '' END AS warnings FROM t WHERE score >= {MIN_SCORE}),
 r AS (SELECT *, CASE WHEN warnings <> '' OR band = 'REVIEW' THEN 'NEEDS_REVIEW' WHEN band = 'HIGH' THEN 'HIGH_SCORE' ELSE 'STANDARD' END AS attention FROM c)
 """
+#: All pairs of rows that are not archived with their codes.
+ALL_PAIRS = CANDIDATES[: CANDIDATES.index("s AS (SELECT o.*")] + """
+s AS (SELECT coalesce(n_required, 0) AS n_required, coalesce(n_preferred, 0) AS n_preferred, coalesce(n_technology, 0) AS n_technology, pr.status AS pstatus, qstatus, x.project_id IS NULL AS pbare, y.person_id IS NULL AS qbare,
+  CASE WHEN rate IS NULL OR (pmin IS NULL AND pmax IS NULL) THEN 'unknown' WHEN rate > pmax THEN 'mismatch' WHEN rate < floor(pmin * 0.75) THEN 'mismatch' ELSE 'match' END AS rate_state,
+  CASE WHEN pmonth IS NULL OR qmonth IS NULL THEN 'unknown' WHEN qmonth <= pmonth + 1 THEN 'match' ELSE 'mismatch' END AS date_state,
+  CASE WHEN (contains(premote, 'remote') OR contains(premote, 'hybrid')) AND (contains(qremote, 'リモート') OR contains(qremote, '可')) THEN 'match' WHEN contains(qplace, pr.place) THEN 'match' ELSE 'mismatch' END AS place_state,
+  len(list_intersect(prole, qrole)) >= 2 AS role_match, (pmin IS NULL AND pmax IS NULL)::INT + (pmonth IS NULL)::INT + (rate IS NULL)::INT + (qmonth IS NULL)::INT >= 3 AS low
+  FROM pr CROSS JOIN pe LEFT JOIN o USING (project_id, person_id) LEFT JOIN (SELECT DISTINCT project_id FROM project_skills) x USING (project_id) LEFT JOIN (SELECT DISTINCT person_id FROM person_skills) y USING (person_id)),
+t AS (SELECT *, greatest(least(CASE WHEN n_required > 0 THEN least(35, 18 + 7 * n_required) ELSE 0 END + CASE WHEN n_preferred > 0 THEN least(15, 8 + 3 * n_preferred) ELSE 0 END + least(10, 3 * n_technology)
+  + CASE rate_state WHEN 'match' THEN 15 WHEN 'unknown' THEN 4 ELSE 0 END + CASE date_state WHEN 'match' THEN 10 WHEN 'unknown' THEN 3 ELSE 0 END + CASE place_state WHEN 'match' THEN 10 ELSE 0 END
+  + 10 * role_match::INT - 8 * low::INT - CASE WHEN pstatus = 'DRAFT' THEN 4 ELSE 0 END - CASE WHEN qstatus <> 'AVAILABLE' THEN 8 ELSE 0 END - 18 * pbare::INT - 18 * qbare::INT, 100), 0)::INT AS score FROM s),
+h AS (SELECT score, low, n_required > 0 AS a, n_preferred > 0 AS b, rate_state, date_state, place_state, role_match, pbare, qbare, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT n, unnest(['band:' || CASE WHEN low OR score < 35 THEN 'REVIEW' WHEN score >= 75 THEN 'HIGH' WHEN score >= 55 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN a THEN 'reason:MATCH_SKILL_REQUIRED_OVERLAP' END, CASE WHEN b THEN 'reason:MATCH_SKILL_NICE_TO_HAVE_OVERLAP' END,
+  'reason:MATCH_RATE_' || CASE rate_state WHEN 'match' THEN 'COMPATIBLE' ELSE upper(rate_state) END, CASE date_state WHEN 'match' THEN 'reason:MATCH_START_COMPATIBLE' WHEN 'unknown' THEN 'reason:MATCH_START_UNKNOWN' END, CASE place_state WHEN 'match' THEN 'reason:MATCH_LOCATION_COMPATIBLE' END,
+  CASE WHEN role_match THEN 'reason:MATCH_ROLE_COMPATIBLE' END, CASE WHEN pbare THEN 'warning:MATCH_MISSING_PROJECT_SKILLS' END, CASE WHEN qbare THEN 'warning:MATCH_MISSING_PERSON_SKILLS' END, CASE WHEN low THEN 'warning:MATCH_LOW_FIELD_COVERAGE' END, CASE WHEN low THEN 'warning:MATCH_REVIEW_REQUIRED' END,
+  CASE WHEN score >= LEAST THEN 'candidates:LEAST+' END]) AS c FROM h)
+SELECT split_part(c, ':', 1) AS kind, split_part(c, ':', 2) AS code, sum(n)::BIGINT AS n FROM k WHERE c IS NOT NULL GROUP BY 1, 2
+""".replace("LEAST", str(LOW_SCORE))
 _EVENTS = """e AS (SELECT user_id AS suggestion_id, ts, event_id, CASE event_type WHEN 'view' THEN 'KEEP_SUGGESTED' WHEN 'click' THEN 'REQUEST_REVIEW' WHEN 'purchase' THEN 'APPROVE' WHEN 'error' THEN 'REJECT'
   ELSE CASE WHEN event_id % 2 = 0 THEN 'ARCHIVE' ELSE 'RESTORE' END END AS action FROM events)"""
 _SUGGESTIONS = """g AS (SELECT c_custkey AS suggestion_id, (c_custkey * 37 % 101)::INT AS score, CASE WHEN c_custkey % 5 = 0 THEN 'NEEDS_REVIEW' WHEN c_custkey % 5 < 3 THEN 'SUGGESTED' WHEN c_custkey % 5 = 3 THEN 'APPROVED' ELSE 'REJECTED' END AS status,
@@ -128,6 +154,7 @@ def oracle_sql() -> dict[str, str]:
         "match_top": f"{CANDIDATES} SELECT * FROM (SELECT project_id, person_id, score, band, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, person_id)::INT AS rank FROM c) WHERE rank <= 3",
         "match_distribution": f"""{CANDIDATES} SELECT kind, code, count(*) AS n FROM (SELECT 'band' AS kind, band AS code FROM c UNION ALL SELECT 'reason', unnest(string_split(reasons, ',')) FROM c UNION ALL
           SELECT 'warning', unnest(string_split(warnings, ',')) FROM c WHERE warnings <> '') GROUP BY 1, 2""",
+        "match_all_pairs": ALL_PAIRS,
         "match_review_page": f"{CANDIDATES} SELECT project_id, person_id, score, band, attention FROM r WHERE rate_state = 'match' ORDER BY attention = 'NEEDS_REVIEW' DESC, score DESC, project_id, person_id LIMIT 20 OFFSET 20",
         "suggestions_saved": f"{CANDIDATES} SELECT project_id, person_id, score, status, 'CREATED' AS action, status AS to_status FROM (SELECT *, CASE WHEN warnings <> '' OR band = 'REVIEW' THEN 'NEEDS_REVIEW' ELSE 'SUGGESTED' END AS status FROM c WHERE band <> 'HIGH')",
         "review_state": f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id ORDER BY ts, event_id) AS i FROM e),

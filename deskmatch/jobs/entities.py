@@ -300,7 +300,7 @@ _SHEET = """sheet AS (SELECT p_partkey, p_partkey + 2 AS row_no, CASE WHEN p_par
 rated AS (SELECT *, round((4 + (title IS NOT NULL)::INT + (work IS NOT NULL)::INT + (skills IS NOT NULL)::INT - 1) / 7, 4)::DOUBLE AS coverage FROM sheet),
 warned AS (SELECT *, concat_ws(',', CASE WHEN title IS NULL THEN 'MISSING_TITLE' END, CASE WHEN work IS NULL THEN 'MISSING_WORK' END, CASE WHEN skills IS NULL THEN 'MISSING_SKILLS' END, CASE WHEN coverage < 0.5 THEN 'LOW_COVERAGE' END,
   CASE WHEN price = 'abc' THEN 'INVALID_PRICE' END, CASE WHEN start = 'soon' THEN 'INVALID_DATE' END, CASE WHEN length(title) < 4 THEN 'LOW_CONFIDENCE' END) AS warnings FROM rated),
-sheeted AS (SELECT *, count(*) OVER (PARTITION BY lower(coalesce(title, '')), start, company, coalesce(list_sort(skills), [])) AS same_rows FROM warned)"""
+sheeted AS (SELECT *, CASE WHEN title IS NULL AND skills IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY regexp_replace(lower(coalesce(title, '')), '[\\s_\\-/.,]', '', 'g'), start, lower(company), lower(coalesce(array_to_string(skills, '|'), '')), title IS NULL AND skills IS NULL) END AS same_rows FROM warned)"""
 
 
 def oracle_sql() -> dict[str, str]:

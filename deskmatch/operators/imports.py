@@ -50,14 +50,26 @@ SENSITIVE_CELL = [r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", r"(?i)\b(?:postg
 LONG_CELL, TABLE_COVERAGE = 180, 0.35
 PUT_OFF = {"amount": r"(?i)^(応相談|要相談|未定|調整|ASK|TBD)\z", "date": r"(?i)^(即日|随時|応相談|要相談|未定|調整|ASAP|TBD)\z"}
 READ = {"date": r"^\d{4}[-/]\d{1,2}([-/]\d{1,2})?\z|^\d{4}年\d{1,2}月(\d{1,2}日)?\z|^\d{1,2}月(\d{1,2}日)?\z", "focus": r"(?i)^(true|false|yes|no|1|0|該当|非該当|あり|なし|有|無|注力)\z"}
+#: Fixed value: what the token form of a cell or header leaves out.
+TOKEN_SIGNS = r"[\s\uFEFF_\-ー・･/／|:：()（）［］\[\]【】「」『』,，.．]"
 REQUIRED = {"project": ["title", "work", "skills"], "person": ["name", "skills"]}
 MOST_SKILLS, LEAST_COVERAGE, PRICE_SLACK = 15, 0.5, 5
 
 
+def token_text(text: str) -> str:
+    """The token form of a header: what token() gives of a cell."""
+    return re.sub(TOKEN_SIGNS, "", unicodedata.normalize("NFKC", text.strip().lower()))
+
+
+def token(c: Column) -> Column:
+    """The form in which cells are compared: trimmed, lower case, NFKC, without blanks and signs; null and blank are empty."""
+    return F.regexp_replace(plain(F.lower(trimmed(F.coalesce(c.cast("string"), F.lit(""))))), TOKEN_SIGNS.replace(r"\s", r"\s\p{Z}"), "")
+
+
 def map_headers(headers: list[str], fields: dict[str, list[str]]) -> tuple[dict[str, list[str]], list[str]]:
-    """Columns of each field, in the order of its synonyms, and the headers that no field takes."""
-    clean = {h: "".join(h.split()).lower() for h in headers}
-    known = {field: [h for s in synonyms for h in headers if clean[h] == s.lower()] for field, synonyms in fields.items()}
+    """Columns of each field, in the order of its synonyms, and the headers that no field takes. Headers and synonyms meet in their token form; of fields that share a synonym the later one takes it."""
+    owner = {token_text(s): field for field, synonyms in fields.items() for s in synonyms}
+    known = {field: [h for s in dict.fromkeys(map(token_text, synonyms)) if owner[s] == field for h in headers if token_text(h) == s] for field, synonyms in fields.items()}
     used = {h for columns in known.values() for h in columns}
     return known, [h for h in headers if h not in used]
 
@@ -96,8 +108,16 @@ def low_confidence_name(name: Column, initials: Column) -> Column:
     return initials.isNull() & (name.isNull() | name.rlike("(?i)未定|不明|サンプル|test|テスト|要員|人材") | (F.length(name) < 2))
 
 
-def duplicate_key(*parts: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("\n", *(F.lower(plain(F.coalesce(p, F.lit("")))) for p in parts)), 256), 1, 12)
+def duplicate_key(kind: str, who: Column, skills: Column, *more: Column) -> Column:
+    """Twelve digits of the hash of a row's kind, title or identity, further cells and first eight skills (an array), in their token form; null for a row with neither title nor skill."""
+    name, listed = token(who), token_list(F.slice(skills, 1, 8))
+    key = F.substring(F.sha2(F.concat_ws("\n", F.lit(kind), name, *map(token, more), F.array_join(listed, "|")), 256), 1, 12)
+    return F.when((name != "") | (F.array_join(listed, "") != ""), key)
+
+
+def token_list(skills: Column) -> Column:
+    """Token forms of an array of texts. All pass the helper for NFKC as one text, as it takes no arrays; no text may hold a line break."""
+    return F.transform(F.split(plain(F.array_join(F.transform(skills, lambda s: F.lower(trimmed(s))), "\n")), "\n"), lambda s: F.regexp_replace(s, TOKEN_SIGNS.replace(r"\s", r"\s\p{Z}"), ""))
 
 
 def assess_rows(rows: DataFrame, kind: str) -> DataFrame:
@@ -112,37 +132,45 @@ def assess_rows(rows: DataFrame, kind: str) -> DataFrame:
     tests += [(F.col("coverage") < LEAST_COVERAGE, "LOW_COVERAGE"), (~valid_price(F.col("price")), "INVALID_PRICE"), (~valid_date(F.col("start")), "INVALID_DATE"), (weak & who.isNotNull(), "LOW_CONFIDENCE"), (F.size("skill_list") > MOST_SKILLS, "TOO_MANY_SKILLS")]
     out = out.withColumn("warnings", F.array_compact(F.array(*(F.when(t, c) for t, c in tests))))
     action = F.when(F.col("n_filled") == 0, "would_skip").when(F.size("warnings") > 0, "would_need_review").otherwise("would_create")
-    keys = [F.lit(kind), who, F.col("start"), F.col("company"), F.array_join(F.slice(F.array_sort("skill_list"), 1, 8), "|")]
-    return out.withColumns({"action": action, "duplicate_key": duplicate_key(*keys)}).drop("n_filled")
+    more = [F.col("start")] if kind == "person" else [F.col("start"), F.col("company")]
+    return out.withColumns({"action": action, "duplicate_key": duplicate_key(kind, who, F.col("skill_list"), *more)}).drop("n_filled")
 
 
 def source_duplicates(assessed: DataFrame) -> DataFrame:
-    """Adds same_rows: rows of the same key that are not skipped."""
-    live = F.col("action") != "would_skip"
-    return assessed.withColumn("same_rows", F.when(live, F.sum(live.cast("int")).over(Window.partitionBy("duplicate_key"))).otherwise(0))
+    """Adds same_rows: rows of the same key that are not skipped; none for rows without a key."""
+    counted = (F.col("action") != "would_skip") & F.col("duplicate_key").isNotNull()
+    key = F.coalesce("duplicate_key", F.concat_ws(":", "source", "row_no"))  # rows without a key don't meet
+    return assessed.withColumn("same_rows", F.when(counted, F.sum(counted.cast("int")).over(Window.partitionBy(key))).otherwise(0))
+
+
+def skill_pairs(skills: Column) -> Column:
+    """Each two of a sorted array's tokens, as one text."""
+    return F.flatten(F.transform(skills, lambda s, i: F.transform(F.slice(skills, i + 2, F.size(skills)), lambda t: F.concat_ws(" ", s, t))))
 
 
 def db_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = None) -> DataFrame:
     """row key (id), existing_id, strength, of the pairs that which holds for (r_id, e_id; default: all): strong for the same title and company; with two common skills, strong for the same place and a near price, weak for one of them.
 
-    Both sides: id, title, company, skill_list, place, price_value. Candidates come from equal (title, company) and from skills
-    joined by (skill, place) and by (skill, price range), so a popular skill alone meets no one.
+    Both sides: id, title, company, skill_list, place, price_value; texts and skills meet in their token form, skills of one
+    character don't count. Two skills must agree, so rows are joined by (two skills, place) and by (two skills, price range):
+    what meets by place is a duplicate, what meets by price is one in about two of three cases.
     """
-    clean = lambda c: F.lower(trimmed(plain(F.coalesce(c, F.lit("")))))
-    side = lambda df, p: df.select(F.col("id").alias(f"{p}id"), clean(F.col("title")).alias(f"{p}title"), clean(F.col("company")).alias(f"{p}company"), F.array_distinct(F.transform("skill_list", lambda s: F.lower(s))).alias(f"{p}skills"), clean(F.col("place")).alias(f"{p}place"), F.col("price_value").alias(f"{p}price"))
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}id"), *(token(F.col(c)).alias(f"{p}{c}") for c in ("title", "company", "place")), F.array_sort(F.array_distinct(F.filter(token_list(F.col("skill_list")), lambda s: F.length(s) >= 2))).alias(f"{p}skills"), F.col("price_value").alias(f"{p}price"))
     r, e = side(rows, "r_"), side(existing, "e_")
-    same = r.join(e, (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "")).select("r_id", "e_id")
-    skilled = lambda df, p, *more: df.withColumn("k", F.explode(f"{p}skills")).select(f"{p}id", "k", *more)
-    place = skilled(r.filter("r_place != ''"), "r_", F.col("r_place").alias("b")).join(skilled(e, "e_", F.col("e_place").alias("b")), ["k", "b"])
+    test = F.lit(True) if which is None else which
+    same = r.join(e, (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "") & test).select("r_id", "e_id")
+    paired = lambda df, p, *more: df.select(f"{p}id", F.explode(skill_pairs(F.col(f"{p}skills"))).alias("k"), *more)
+    meet = lambda x, y: x.join(y, ["k", "b"]).filter(test)
+    place = meet(paired(r.filter("r_place != ''"), "r_", F.col("r_place").alias("b")), paired(e, "e_", F.col("e_place").alias("b"))).select("r_id", "e_id")
     cell = F.floor(F.col("r_price") / PRICE_SLACK).cast("long")
-    near = skilled(r.filter("r_price IS NOT NULL"), "r_", F.explode(F.array(cell - 1, cell, cell + 1)).alias("b")).join(skilled(e, "e_", F.floor(F.col("e_price") / PRICE_SLACK).cast("long").alias("b")), ["k", "b"])
-    two = lambda df: df.groupBy("r_id", "e_id").agg(F.count_distinct("k").alias("n")).filter("n >= 2").select("r_id", "e_id")
-    pairs = same.unionByName(two(place)).unionByName(two(near)).distinct().filter(F.lit(True) if which is None else which).join(r, "r_id").join(e, "e_id")
+    cells = paired(r.filter("r_price IS NOT NULL"), "r_", "r_price", F.array(cell - 1, cell, cell + 1).alias("cells")).withColumn("b", F.explode("cells")).drop("cells")
+    near = meet(cells, paired(e, "e_", "e_price", F.floor(F.col("e_price") / PRICE_SLACK).cast("long").alias("b"))).filter(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK).select("r_id", "e_id")
+    pairs = same.unionByName(place).unionByName(near).distinct().join(r, "r_id").join(e, "e_id")
     common = F.size(F.array_intersect("r_skills", "e_skills")) >= 2
     title = (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "")
     at, priced = (F.col("r_place") == F.col("e_place")) & (F.col("r_place") != ""), F.coalesce(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK, F.lit(False))
     strength = F.when(title | (common & at & priced), "strong").when(common & (at | priced), "weak")
-    return pairs.withColumn("strength", strength).filter("strength IS NOT NULL").select(F.col("r_id").alias("id"), F.col("e_id").alias("existing_id"), "strength")
+    return pairs.withColumn("strength", strength).select(F.col("r_id").alias("id"), F.col("e_id").alias("existing_id"), "strength")
 
 
 def db_person_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = None) -> DataFrame:

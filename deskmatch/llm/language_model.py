@@ -7,8 +7,8 @@ and no table of words is gathered. Words are compared exactly: as their bytes up
 128-bit hash.
 
 Model. The log-probability of a token after its context is that of its class and that of the token
-within it, each a softmax over hashed features of the context: the words one, two and three before, the
-pair before, and the skip of one (with a bias from counts). The CLASSES - 1 classes of PER_CLASS words
+within it, each a softmax over hashed features of the context: the word before, the word before that (a
+skip of one) and, for the class, the pair of them, with a bias from counts. The CLASSES - 1 classes of PER_CLASS words
 each hold the most frequent words by count, the end among them; the last class holds all other words, and
 gives each its share of the class's training count, smoothed as in the base score. The probabilities of
 all words, with one for any unseen word, add up to 1.
@@ -248,7 +248,7 @@ class Model:
 
 
 def contexts(low: np.ndarray, high: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class weights (a column for each feature) and hashes for the word weights, of each token."""
+    """Rows of the class weights (a row of the result for each feature) and hashes for the word weights, of each token."""
     h = mixed(low, high)
     place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
 
@@ -258,28 +258,39 @@ def contexts(low: np.ndarray, high: np.ndarray, bounds: np.ndarray) -> tuple[np.
         out[place < k] = ODD[3]
         return out
 
-    one, two, three = (before(k) for k in (1, 2, 3))
-    seeds = np.arange(1, 5, dtype=np.uint64)[:, None]
-    features = [mixed(one, seeds[0]), mixed(two, seeds[1]), mixed(one + two * ODD[1], seeds[2]), mixed(three, seeds[3])]
-    rows = np.column_stack([(f >> np.uint64(40)).astype(np.int64) % CLASS_ROWS for f in features])
-    return rows, np.column_stack(features[:3])
+    one, two = before(1), before(2)
+    seeds = np.arange(1, 4, dtype=np.uint64)[:, None]
+    features = np.stack([mixed(one, seeds[0]), mixed(two, seeds[1]), mixed(one + two * ODD[1], seeds[2])])
+    return ((features >> np.uint64(40)) % np.uint64(CLASS_ROWS)).astype(np.int64), features[:2]
 
 
 def word_rows_of(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return ((mixed(features, classes[:, None].astype(np.uint64) + np.uint64(17)) >> np.uint64(40)) % np.uint64(WORD_ROWS)).astype(np.int64)
+    return ((mixed(features, classes.astype(np.uint64) + np.uint64(17)) >> np.uint64(40)) % np.uint64(WORD_ROWS)).astype(np.int64)
+
+
+def gathered(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Sums of a bias and the weights' rows, within +-60. Sums over columns here and below are products with ones, which numpy does several times as fast."""
+    out, more = np.empty((rows.shape[1], weights.shape[1]), np.float32), np.empty((rows.shape[1], weights.shape[1]), np.float32)
+    np.take(weights, rows[0], axis=0, out=out, mode="clip")
+    for own in rows[1:]:
+        np.take(weights, own, axis=0, out=more, mode="clip")
+        out += more
+    out += bias
+    return np.clip(out, -60, 60, out=out)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
-    """Log-probabilities of each row."""
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    """Probabilities of each row, in place."""
+    np.exp(logits, out=logits)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
+    return logits
 
 
-def gathered(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
-    return out
+def log_softmax(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The log-probability of one column of each row."""
+    own = logits[np.arange(len(logits)), column]
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 def score_tokens(model: Model, low: np.ndarray, high: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,29 +300,27 @@ def score_tokens(model: Model, low: np.ndarray, high: np.ndarray, bounds: np.nda
     out = np.empty(len(low), np.float64)
     for a in range(0, len(low), BATCH):
         own, k = slice(a, a + BATCH), rank[a : a + BATCH] // PER_CLASS
-        logs = softmax(gathered(model.class_rows, rows[own]) + model.class_bias)
-        out[own] = logs[np.arange(len(k)), k]
+        out[own] = log_softmax(gathered(model.class_rows, rows[:, own], model.class_bias), k)
         near = np.flatnonzero(k < CLASSES - 1)
         if near.size:
-            logs = softmax(gathered(model.word_rows, word_rows_of(features[own][near], k[near])) + model.word_bias[k[near]])
-            out[a + near] += logs[np.arange(len(near)), rank[own][near] % PER_CLASS]
+            at = word_rows_of(features[:, own][:, near], k[near])
+            out[a + near] += log_softmax(gathered(model.word_rows, at, model.word_bias[k[near]]), rank[own][near] % PER_CLASS)
     return out, rank == (CLASSES - 1) * PER_CLASS
 
 
-def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, logs: np.ndarray, target: np.ndarray, random: np.random.Generator) -> None:
+def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray, target: np.ndarray, random: np.random.Generator) -> None:
     """An Adagrad step. The gradient of a token is 1 - p at its target and p at all other columns; of these, one drawn by p stands for all, with their whole weight, so that two columns change in each row and the mean is that of the gradient."""
-    p = np.exp(logs)
-    p[np.arange(len(p)), target] = 0
-    up_to = np.cumsum(p, axis=1)
+    n, width = p.shape
+    p[np.arange(n), target] = 0
+    up_to = p @ np.triu(np.ones((width, width), np.float32))
     grad = np.ascontiguousarray(up_to[:, -1])
-    other = np.minimum((up_to < (random.random(len(p), np.float32) * grad)[:, None]).sum(axis=1), p.shape[1] - 1)
+    beyond = (up_to < (random.random(n, np.float32) * grad)[:, None]).astype(np.float32) @ np.ones(width, np.float32)
+    other = np.minimum(beyond.astype(np.int64), width - 1)
     flat, seen, square = weights.reshape(-1), squares.reshape(-1), grad * grad
-    for k in range(rows.shape[1]):
-        at = rows[:, k] * p.shape[1]
-        for column, sign in ((target, 1), (other, -1)):
-            own = at + column
-            np.add.at(seen, own, square)
-            np.add.at(flat, own, np.float32(sign * RATE) * grad / np.sqrt(seen[own] + np.float32(1e-6)))
+    for own in rows:
+        for at, sign in ((own * width + target, 1), (own * width + other, -1)):
+            np.add.at(seen, at, square)
+            np.add.at(flat, at, np.float32(sign * RATE) * grad / np.sqrt(seen[at] + np.float32(1e-6)))
 
 
 class Learner:
@@ -320,8 +329,9 @@ class Learner:
     def __init__(self, model: Model, seed: int):
         self.model, self.random = model, np.random.default_rng(seed)
         self.start = model.class_rows, model.word_rows
-        model.class_rows, model.word_rows = model.class_rows.copy(), model.word_rows.copy()
-        self.squares = [np.zeros_like(w) for w in self.start]
+        # Copies of the type as such: pickled arrays have one of their own, which is equal but makes np.add.at take ten times as long.
+        model.class_rows, model.word_rows = (w.astype(np.float32) for w in self.start)
+        self.squares = [np.zeros(w.shape, np.float32) for w in self.start]
         self.touches = [np.zeros(len(w), np.float32) for w in self.start]
 
     def learn(self, low: np.ndarray, high: np.ndarray, bounds: np.ndarray) -> None:
@@ -330,13 +340,13 @@ class Learner:
         rows, features = contexts(low, high, bounds)
         for a in range(0, len(low), BATCH):
             own, k = slice(a, a + BATCH), rank[a : a + BATCH] // PER_CLASS
-            descend(m.class_rows, self.squares[0], rows[own], softmax(gathered(m.class_rows, rows[own]) + m.class_bias), k, self.random)
-            self.touches[0] += np.bincount(rows[own].ravel(), minlength=CLASS_ROWS)
+            descend(m.class_rows, self.squares[0], rows[:, own], softmax(gathered(m.class_rows, rows[:, own], m.class_bias)), k, self.random)
             near = np.flatnonzero(k < CLASSES - 1)
             if near.size:
-                at = word_rows_of(features[own][near], k[near])
-                descend(m.word_rows, self.squares[1], at, softmax(gathered(m.word_rows, at) + m.word_bias[k[near]]), rank[own][near] % PER_CLASS, self.random)
-                self.touches[1] += np.bincount(at.ravel(), minlength=WORD_ROWS)
+                at = word_rows_of(features[:, own][:, near], k[near])
+                descend(m.word_rows, self.squares[1], at, softmax(gathered(m.word_rows, at, m.word_bias[k[near]])), rank[own][near] % PER_CLASS, self.random)
+                np.add.at(self.touches[1], at.ravel(), np.float32(1))
+        self.touches[0] += np.bincount(rows.ravel(), minlength=CLASS_ROWS)
 
     def moves(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Shard, touches of its rows and weighted moves of those touched."""

@@ -120,10 +120,11 @@ def test_probabilities_after_a_context_add_up_to_one():
 def test_step_has_the_mean_of_the_gradient():
     rnd = np.random.default_rng(0)
     logits = rnd.normal(0, 1, (1, 8)).astype(np.float32)
-    logs, target = lm.softmax(np.repeat(logits, 40000, axis=0)), np.full(40000, 3)
+    p, target = lm.softmax(np.repeat(logits, 40000, axis=0)), np.full(40000, 3)
+    assert np.allclose(p[0], np.exp(logits) / np.exp(logits).sum()) and np.allclose(lm.log_softmax(logits.copy(), np.array([3])), np.log(p[0, 3]))
     weights, squares = np.zeros((1, 8), np.float32), np.full((1, 8), 1e12, np.float32)  # steps of equal size
-    lm.descend(weights, squares, np.zeros((40000, 1), np.int64), logs.copy(), target, rnd)
-    want = -np.exp(logs[0])
+    want = -p[0].copy()
+    lm.descend(weights, squares, np.zeros((1, 40000), np.int64), p, target, rnd)
     want[3] += 1
     got = weights[0] * 1e6 / lm.RATE / 40000
     assert np.abs(got - want).max() < 0.02

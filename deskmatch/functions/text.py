@@ -194,12 +194,6 @@ def matches_term(text: Column, term: str) -> Column:
     return found
 
 
-def flattened_parts(parts: Column, mime: str) -> Column:
-    """Texts of the leaves of a type without attachment, decoded from base64url, in order, joined by an empty line. parts: array of struct(mime, attachment, data)."""
-    kept = F.filter(parts, lambda p: (p["mime"] == mime) & filled(p["attachment"]).isNull() & p["data"].isNotNull())
-    return body_text(F.array_join(F.transform(kept, lambda p: F.decode(F.unbase64(F.translate(p["data"], "-_", "+/")), "UTF-8")), "\n\n"))
-
-
 def epoch_time(ms: Column, header_date: Column) -> Column:
     """Milliseconds since 1970, or a header's date; null if neither can be read."""
     date = F.regexp_replace(header_date, r"^\w{3},\s*|\s*\(.*\)$", "")

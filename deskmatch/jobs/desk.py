@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..plans import binding as b
 from ..sources import tables
 from ..streaming import streams
 from . import entities as e
-from .mails import MAILS, mails
+from .mails import EXTRACTED, MAILS, mails, project_mails
 
 #: Subjects of mails by an order's number, and what the fixed rules say of each: label, category, confidence, excluded, rules.
 SUBJECTS = ["【案件】Java開発 単価80万円", "要員のご紹介です", "セミナーのご招待", "今週の市場動向レポート", "広告キャンペーン", "Re: 打ち合わせ", "お世話になっております", "リモート 開発 支援 面談1回"]
@@ -24,7 +26,7 @@ PERSON_SKILLS = ["Java, AWS", "PHP", "Python、SQL、C#", ""]
 def order_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     none = F.lit(None).cast("string")
-    return b.table(spark, sf_dir, "orders").select(k.alias("mail_id"), b.choice(k % 8, SUBJECTS).alias("subject"), F.lit("").alias("body"), none.alias("in_reply_to"), none.alias("references_header"), F.col("o_orderdate").alias("received_at"), F.concat(F.lit("x@d"), F.floor(k / 100).cast("string"), F.lit(".example.jp")).alias("from_email"), F.when(k % 2 == 0, "PROJECT_INTRO").otherwise("PERSON_INTRO").alias("category"))
+    return b.dealt_out(b.table(spark, sf_dir, "orders")).select(k.alias("mail_id"), b.choice(k % 8, SUBJECTS).alias("subject"), F.lit("").alias("body"), none.alias("in_reply_to"), none.alias("references_header"), F.col("o_orderdate").alias("received_at"), F.concat(F.lit("x@d"), F.floor(k / 100).cast("string"), F.lit(".example.jp")).alias("from_email"), F.when(k % 2 == 0, "PROJECT_INTRO").otherwise("PERSON_INTRO").alias("category"))
 
 
 def _choice(k: str, values) -> str:
@@ -64,19 +66,37 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("mail_id", *(F.col(c).cast("int").alias(c) for c in ("project_score", "person_score", "excluded_score", "margin")), "subject_only", extract.category_mismatch(F.col("category"), F.col("project_score"), F.col("person_score")).alias("mismatch"))
 
 
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails of orders with scores, the record that their category gets, the company inferred, whether an entity has them, and whether sender and subject come again."""
+    k = F.col("mail_id")
+    m = project_texts(spark, sf_dir).withColumns({"from_email": F.concat(F.lit("x@d"), F.floor(k / 9).cast("string"), F.lit(".example.jp")), "from_name": F.when(k % 4 == 0, "株式会社デスク")})
+    m = tables.written(m, "mails")
+    quality = extract.with_quality(extract.mail_texts(m)).select("mail_id", "project_score", "person_score", "excluded_score", "margin", "predicted_type", "subject_only", "body_derived", "quality_review", "warnings")
+    projects = extract.extract_projects(m.filter("category = 'PROJECT_INTRO'"), "1998-06-15").select("mail_id", F.size(F.array_distinct(F.concat("required_skills", "preferred_skills", "used_skills"))).alias("n_skills"), "needs_review", "review_reasons")
+    persons = extract.extract_persons(m.filter("category = 'PERSON_INTRO'")).select("mail_id", F.size("skills").alias("n_skills"), "needs_review", "review_reasons", "name_source", "name_confidence", "name_rejected", "role_source")
+    none = F.lit(None).cast("string")
+    found = company.infer_company(m.select("mail_id", "from_email", "from_name", none.alias("label"), none.alias("signature")), e.companies(spark, sf_dir), e.companies(spark, sf_dir).select("company_id", F.col("name").alias("alias")))
+    known = e._entities(spark, sf_dir).select(F.col("source_mail_id").alias("mail_id"), F.lit(True).alias("linked")).filter("mail_id IS NOT NULL").distinct()
+    again = m.groupBy("from_email", "subject").agg(F.count("*").alias("n"))
+    m = m.join(again, ["from_email", "subject"]).select("mail_id", (F.col("n") > 1).alias("same_sender_subject"))
+    m = m.join(quality, "mail_id").join(projects.unionByName(persons, allowMissingColumns=True), "mail_id").join(found.select("mail_id", F.col("source").alias("company_source"), F.col("confidence").alias("company_confidence")), "mail_id")
+    return m.join(known, "mail_id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+
 def quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of scored mails: scores in buckets and flags."""
-    return reports.quality_audit(_scored(spark, sf_dir)).filter("metric IN ('project_score', 'person_score', 'excluded_score', 'margin', 'subject_only', 'skills')")
+    """Counters of audited mails: all maps and the summary."""
+    return reports.quality_audit(_audited(spark, sf_dir))
 
 
 def high_risk_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 mails at high risk (a sample is the feature)."""
-    return reports.high_risk_sample(_scored(spark, sf_dir)).select("mail_id")
+    scored = _scored(spark, sf_dir).withColumn("review_reasons", F.array().cast("array<string>"))
+    return reports.high_risk_sample(scored).select("mail_id")
 
 
 def person_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails that introduce customers: with a name, initials or neither; skills, price, age, station and nationality."""
-    rows = b.table(spark, sf_dir, "customer").join(b.nations(spark, sf_dir), "c_nationkey")
+    rows = b.dealt_out(b.table(spark, sf_dir, "customer")).join(b.nations(spark, sf_dir), "c_nationkey")
     k = F.col("c_custkey")
     who = F.when(k % 3 == 0, "氏名：山田太郎").when(k % 3 == 1, "イニシャル：T.Y")
     lines = [who, F.concat(F.lit("年齢："), (20 + k % 40).cast("string"), F.lit("歳")), F.when(k % 7 != 0, F.concat(F.lit("希望単価："), (40 + k % 50).cast("string"), F.lit("万円"))), F.concat(F.lit("最寄："), b.choice(F.col("n_regionkey"), b.PLACES)), F.when(k % 4 != 3, F.concat(F.lit("スキル："), b.choice(k % 4, PERSON_SKILLS))), F.when(k % 2 == 0, "国籍：日本")]
@@ -97,17 +117,21 @@ def reviewed_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def created_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that a run over the projects' mails adds to each table."""
-    from functools import reduce
-
-    from .mails import project_mails
-
-    m = project_mails(spark, sf_dir)
-    known = m.select("mail_id", F.lit(None).cast("long").alias("entity_id"))
-    prior = m.filter("false").select("subject", "from_email", F.col("mail_id").alias("entity_id"), F.lit(None).cast("timestamp").alias("created_at"))
+    """Every row that a run over the projects' mails adds to the six tables: archived projects are known as entities, subjects of drafts are those of open entities' mails."""
+    m = tables.written(project_mails(spark, sf_dir), "mails")
+    status = b.projects(spark, sf_dir).select(F.col("project_id").alias("mail_id"), "status")
+    states = m.join(status, "mail_id")
+    known = states.select("mail_id", F.when(F.col("status") == "ARCHIVED", F.col("mail_id")).alias("entity_id"))
+    prior = states.filter("status = 'DRAFT'").select("subject", "from_email", F.col("mail_id").alias("entity_id"), F.lit("2023-01-01").cast("timestamp").alias("created_at"))
     plan = dedupe.plan_extraction(m.withColumn("received_at", F.lit("2024-01-01").cast("timestamp")), known, prior)
-    rows = dedupe.created_rows(plan, extract.extract_projects(m, "1998-06-15"), "GMAIL-PRJ-", "2024-01-01")
-    return reduce(DataFrame.unionByName, (r.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, r in rows.items()))
+    rows = dedupe.created_rows(plan, tables.written(extract.extract_projects(m, "1998-06-15"), "records"), "GMAIL-PRJ-", "2024-01-01")
+    cells = {
+        "entities": ["code", "title", "status", "source_mail_id", "created_at"], "conditions": ["unit_min", "unit_max", "upper_min", "upper_max", "start_month", "work_location", "prefecture", "remote_type", "contract", "hours_min", "hours_max"],
+        "skills": ["skill_type", "skill_name"], "roles": ["role", "sort_order", "company_name"], "links": ["mail_id", "link_type"], "results": ["mail_id", "target_type", "result", "confidence"],
+    }
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    each = [r.select(F.lit(name).alias("table"), F.col("target_id" if name == "results" else "entity_id").alias("entity_id"), F.concat_ws("|", *map(text, cells[name])).alias("cells")) for name, r in rows.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 def made_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +315,23 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(spark, streams.mail_counts(rows), "counts", "complete", "day timestamp, category string, n_mails long").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+def late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as mails that land in three runs of one stream: nine of ten, then the rest, most of it late, then one that closes the last day. By day and category: what the stream counted, what came late, and what a recount finds."""
+    k = F.col("event_id")
+    mails = tables.written(b.table(spark, sf_dir, "events").select(F.when(k % 10 != 0, 1).otherwise(2).alias("arrival"), F.col("ts").cast("timestamp").alias("received_at"), F.upper("event_type").alias("category")), "events")
+    end = mails.agg((F.max("received_at") + F.expr("INTERVAL 30 DAYS")).alias("received_at")).select(F.lit(3).alias("arrival"), "received_at", F.lit("END").alias("category"))
+    landing, sink, point = (tables.work_folder(spark, n) for n in ("landing", "counts", "counts-point"))
+    for n, rows in ((1, mails), (2, mails), (3, end)):
+        rows.filter(F.col("arrival") == n).write.mode("append").parquet(landing)
+        stream = streams.mail_counts(spark.readStream.schema(mails.schema).parquet(landing))
+        stream.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination()
+    counted = spark.read.schema("day timestamp, category string, n_mails long").parquet(sink).filter("category != 'END'").groupBy("day", "category").agg(F.sum("n_mails").alias("n_streamed"))
+    of_day = lambda rows, name: rows.groupBy(F.date_trunc("day", "received_at").alias("day"), "category").agg(F.count("*").alias(name))
+    late = of_day(streams.late_mails(mails), "n_late")
+    out = of_day(mails, "n_recounted").join(counted, ["day", "category"], "left").join(late, ["day", "category"], "left").fillna(0, ["n_streamed", "n_late"])
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
 def streamed_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as landed mails, once each, classified in a stream; counted by label afterwards."""
     none = F.lit(None).cast("string")
@@ -330,7 +371,7 @@ def _finished(spark: SparkSession, rows: DataFrame, name: str, mode: str, schema
     return (found.join(last, keys).filter("batch = _last") if mode == "update" else found.join(F.broadcast(last), F.col("batch") == F.col("_last"))).drop("batch", "_last")  # last: one row
 
 
-NAMES = ["ruled_mails", "classification_audit", "quality_scores", "quality_audit", "high_risk_mails", "extracted_persons", "reviewed_persons", "created_rows", "made_contacts", "unlinked_plan", "remediated_persons", "paged_updates", "unclassified_by_hand", "signatures", "event_times", "event_props", "declared_orders", "written_reports", "read_sheets", "table_assessment", "person_duplicates", "import_run_list", "source_record_list", "row_types", "import_records", "import_coverage", "safe_props", "anonymous_events", "person_list", "person_page", "named_persons", "searched_projects", "streamed_counts", "streamed_mails", "streamed_states"]
+NAMES = ["ruled_mails", "classification_audit", "quality_scores", "quality_audit", "high_risk_mails", "extracted_persons", "reviewed_persons", "created_rows", "made_contacts", "unlinked_plan", "remediated_persons", "paged_updates", "unclassified_by_hand", "signatures", "event_times", "event_props", "declared_orders", "written_reports", "read_sheets", "table_assessment", "person_duplicates", "import_run_list", "source_record_list", "row_types", "import_records", "import_coverage", "safe_props", "anonymous_events", "person_list", "person_page", "named_persons", "searched_projects", "streamed_counts", "late_counts", "streamed_mails", "streamed_states"]
 
 
 def queries() -> dict:
@@ -345,6 +386,11 @@ _SIGNALS = {"project": mail_rules.PROJECT_SIGNALS, "person": mail_rules.PERSON_S
 QUALITY = f"""{ORDER_MAILS}, tx AS (SELECT *, lower(subject) AS s, CASE mail_id % 3 WHEN 0 THEN lower('案件名：Java' || chr(10) || '必須スキル：Java、SQL' || chr(10) || '単価：80万円') WHEN 1 THEN '氏名：山田' || chr(10) || 'スキルシート' || chr(10) || '最寄：東京' ELSE lower(subject) END AS b FROM om),
   hs AS (SELECT *, {", ".join(f"{_hits('s', w)} AS s_{k}, {_hits('b', w)} AS b_{k}" for k, w in _SIGNALS.items())} FROM tx),
   sc AS (SELECT *, s_project + 2 * b_project AS project_score, s_person + 2 * b_person AS person_score, s_excluded + 2 * b_excluded AS excluded_score, b_project = 0 AND b_person = 0 AND (s_project > 0 OR s_person > 0) AS subject_only FROM hs)"""
+#: What scores say of a mail.
+_JUDGED = f"""r AS (SELECT *, b <> '' AND b <> s AS has_body, abs(project_score - person_score) AS margin, greatest(project_score, person_score) AS most, least(project_score, person_score) AS low, {_hits("b", mail_rules.PROJECT_CORE)} AS core_project, {_hits("b", mail_rules.PERSON_CORE)} AS core_person, excluded_score >= 2 AS excluded, b_project > 0 OR b_person > 0 AS body_derived FROM sc),
+  f AS (SELECT *, (low >= 3 AND margin <= 1) OR (s_project > s_person AND b_person > b_project AND b_person >= 2) OR (s_person > s_project AND b_project > b_person AND b_project >= 2) AS conflict, most >= 3 OR (subject_only AND most >= 2) AS enough,
+    CASE WHEN project_score > person_score THEN has_body AND (core_project = 0 OR regexp_matches(b, 'ありません|なし|実体がない|別途共有')) ELSE has_body AND core_person = 0 AND person_score < 4 END AS thin, has_body AND b_project = 0 AND b_person = 0 AND (s_project > 0 OR s_person > 0) AS weak FROM r),
+  j AS (SELECT *, NOT excluded AND NOT conflict AND enough AND thin AS bare, CASE WHEN excluded THEN 'excluded' WHEN conflict OR NOT enough OR thin THEN 'other' WHEN project_score > person_score THEN 'project' ELSE 'person' END AS predicted_type FROM f)"""
 _PEOPLE = f"""people AS (SELECT *, {e._letters("person_id")} AS name, person_id // 15 AS company_id, person_id // 20 AS contact_id, (20 + person_id % 45)::INT AS age, CASE person_id % 4 WHEN 0 THEN '韓国' WHEN 1 THEN '日本' ELSE '' END AS nationality FROM persons)"""
 
 
@@ -356,6 +402,14 @@ def _bucket(c: str, bounds: list[int]) -> str:
     return f"{out} ELSE '{bounds[-1] + 1}+' END"
 
 
+#: Metrics of an audit with one key a mail.
+_AUDIT = {
+    **{c: c for c in ("predicted_type", "name_source", "name_confidence")}, **{c: f"{c}::VARCHAR" for c in ("subject_only", "body_derived", "quality_review", "linked", "same_sender_subject")}, "needs_review": "'true'", "role_source": "CASE WHEN NOT project THEN 'fallback_unknown' END",
+    "company_source": "CASE WHEN mail_id % 4 = 0 THEN 'from_name' ELSE 'sender_domain' END", "company_confidence": "CASE WHEN mail_id % 4 = 0 THEN 'MEDIUM' ELSE 'LOW' END", **{c: _bucket(c, [0, 2, 5, 9]) for c in ("project_score", "person_score", "excluded_score", "margin")},
+    "skills": "CASE WHEN n_skills = 0 THEN '0' ELSE '1-3' END", "rejected_name": "CASE WHEN name_confidence = 'LOW' THEN name_source END", "outcome": "CASE WHEN linked OR same_sender_subject OR predicted_type IN ('other', 'excluded') THEN 'would_skip' ELSE 'would_create_for_review' END", "high_risk": "'true'",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     ruled = [[r[i] for r in RULED] for i in range(5)]
     marks = ["-- ", "――", "-----Original Message-----", "差出人:"]
@@ -370,16 +424,28 @@ def oracle_sql() -> dict[str, str]:
         "ruled_mails": f"SELECT o_orderkey AS mail_id, {_choice('o_orderkey % 8', ruled[0])} AS label, {_choice('o_orderkey % 8', ruled[1])} AS category, {_choice('o_orderkey % 8', ruled[2])}::DOUBLE AS confidence, {_choice('o_orderkey % 8', ruled[3])} AS is_excluded, {_choice('o_orderkey % 8', [REASONS.get(i) for i in range(8)])} AS exclude_reason, {_choice('o_orderkey % 8', ruled[4])} AS rules FROM orders",
         "classification_audit": f"WITH {ORDER_MAILS} SELECT lower(CASE WHEN subject = 'Re: 打ち合わせ' THEN '打ち合わせ' ELSE subject END) AS pattern, count(*) AS n_mails, count(DISTINCT from_email) AS n_domains, max(received_at) AS newest FROM om GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
         "quality_scores": f"WITH {QUALITY} SELECT mail_id, project_score, person_score, excluded_score, abs(project_score - person_score) AS margin, subject_only, CASE WHEN category = 'PERSON_INTRO' AND project_score > person_score AND project_score >= 3 THEN 'PERSON_SUBJECT_LOOKS_LIKE_PROJECT' WHEN category = 'PROJECT_INTRO' AND person_score > project_score AND person_score >= 3 THEN 'PROJECT_SUBJECT_LOOKS_LIKE_PERSON' END AS mismatch FROM sc",
-        "quality_audit": f"WITH {QUALITY}, k AS (" + " UNION ALL ".join([*(f"SELECT '{c}' AS metric, {_bucket(v, [0, 2, 5, 9])} AS key FROM sc" for c, v in (("project_score", "project_score"), ("person_score", "person_score"), ("excluded_score", "excluded_score"), ("margin", "abs(project_score - person_score)"))), "SELECT 'subject_only', subject_only::VARCHAR FROM sc", "SELECT 'skills', CASE WHEN contains(s, 'java') OR mail_id % 3 = 0 THEN '1-3' ELSE '0' END FROM sc"]) + ") SELECT metric, key, count(*) AS n FROM k GROUP BY 1, 2",
-        "high_risk_mails": f"""WITH {QUALITY}, r AS (SELECT *, b <> '' AND b <> s AS has_body, abs(project_score - person_score) AS margin, greatest(project_score, person_score) AS most, least(project_score, person_score) AS low, {_hits("b", mail_rules.PROJECT_CORE)} AS core_project, {_hits("b", mail_rules.PERSON_CORE)} AS core_person FROM sc),
-          f AS (SELECT *, (low >= 3 AND margin <= 1) OR (s_project > s_person AND b_person > b_project AND b_person >= 2) OR (s_person > s_project AND b_project > b_person AND b_project >= 2) AS conflict, most >= 3 OR (subject_only AND most >= 2) AS enough,
-            CASE WHEN project_score > person_score THEN has_body AND (core_project = 0 OR regexp_matches(b, 'ありません|なし|実体がない|別途共有')) ELSE has_body AND core_person = 0 AND person_score < 4 END AS bare, has_body AND b_project = 0 AND b_person = 0 AND (s_project > 0 OR s_person > 0) AS weak FROM r)
-          SELECT mail_id FROM f WHERE excluded_score >= 2 OR conflict OR NOT enough OR bare OR subject_only OR weak ORDER BY mail_id LIMIT 20""",
+        "quality_audit": f"""WITH {QUALITY}, {_JUDGED}, {e.ENTITIES},
+          g AS (SELECT *, mail_id % 2 = 0 AS project, mail_id % 3 AS t, mail_id % 8 AS u, mail_id IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL) AS linked, count(*) OVER (PARTITION BY mail_id // 9, subject) > 1 AS same_sender_subject FROM j),
+          w AS (SELECT *, list_filter([CASE WHEN subject_only THEN 'SUBJECT_ONLY_CLASSIFICATION' END, CASE WHEN weak OR bare THEN 'BODY_SIGNAL_WEAK' END, CASE WHEN s_project > s_person AND b_person > b_project THEN 'PERSON_SUBJECT_LOOKS_LIKE_PROJECT' END, CASE WHEN s_person > s_project AND b_project > b_person THEN 'PROJECT_SUBJECT_LOOKS_LIKE_PERSON' END,
+            CASE WHEN conflict THEN 'CLASSIFICATION_SIGNAL_CONFLICT' END, CASE WHEN excluded THEN 'EXCLUDED_PATTERN_MATCHED' END, CASE WHEN excluded AND regexp_matches(s || b, 'メルマガ|ニュースレター') THEN 'NEWSLETTER_LIKELY' END], lambda x: x IS NOT NULL) AS warnings, conflict OR subject_only OR weak OR bare AS quality_review,
+            CASE WHEN t = 0 THEN 2 WHEN u = 0 AND project THEN 1 ELSE 0 END AS n_skills, CASE WHEN NOT project THEN CASE WHEN t = 1 THEN 'body_labeled_field' WHEN u = 1 THEN 'signature_candidate' ELSE 'subject_candidate' END END AS name_source,
+            CASE WHEN NOT project THEN CASE WHEN t = 1 THEN 'HIGH' WHEN u = 5 THEN 'MEDIUM' ELSE 'LOW' END END AS name_confidence FROM g),
+          x AS (SELECT *, list_filter(CASE WHEN project THEN [CASE WHEN t <> 0 AND u <> 0 THEN 'PROJECT_REQUIRED_FIELD_MISSING:単価' END, CASE WHEN t <> 1 THEN 'PROJECT_REQUIRED_FIELD_MISSING:作業場所' END, 'PROJECT_REQUIRED_FIELD_MISSING:開始月', CASE WHEN n_skills = 0 THEN 'PROJECT_REQUIRED_FIELD_MISSING:スキル' END,
+              CASE WHEN len(warnings) > 0 THEN 'PROJECT_CLASSIFICATION_NEEDS_REVIEW' END, CASE WHEN subject_only THEN 'PROJECT_SUBJECT_ONLY_EXTRACTION' END, CASE WHEN NOT body_derived THEN 'PROJECT_BODY_WEAK' END]
+            ELSE list_concat([CASE WHEN name_confidence = 'LOW' THEN 'PERSON_NAME_LOW_CONFIDENCE' END, CASE WHEN name_confidence = 'LOW' AND u = 1 THEN 'PERSON_NAME_REJECTED_COMPANY_OR_SIGNATURE' END, CASE WHEN name_confidence = 'LOW' AND u <> 1 THEN 'PERSON_NAME_FROM_SUBJECT_REJECTED' END, CASE WHEN name_confidence = 'LOW' AND u <> 1 THEN 'PERSON_NAME_REJECTED_SUBJECT_LIKE' END, 'PERSON_REQUIRED_FIELDS_MISSING'], warnings) END, lambda x: x IS NOT NULL) AS reasons FROM w),
+          p AS (SELECT unnest([{", ".join(f"{{'m': '{m}', 'v': {v}}}" for m, v in _AUDIT.items())}]) AS kv FROM x UNION ALL SELECT {{'m': 'warning', 'v': unnest(warnings)}} FROM x UNION ALL SELECT {{'m': 'reason', 'v': unnest(reasons)}} FROM x)
+          SELECT kv.m AS metric, kv.v AS key, count(*) AS n FROM p WHERE kv.v IS NOT NULL GROUP BY 1, 2""",
+        "high_risk_mails": f"WITH {QUALITY}, {_JUDGED} SELECT mail_id FROM j WHERE excluded OR conflict OR NOT enough OR bare OR subject_only OR weak ORDER BY mail_id LIMIT 20",
         "extracted_persons": f"""WITH {people} SELECT mail_id, name, CASE WHEN name IS NOT NULL THEN 'body_labeled_field' ELSE 'subject_candidate' END AS name_source, CASE WHEN name IS NOT NULL THEN 'HIGH' ELSE 'LOW' END AS name_confidence,
           coalesce(name, initials, '氏名未取得（GMAIL-' || substring(mail_id::VARCHAR, 1, 8) || '）') AS display_name, initials, skills, desired, age, nationality, place, missing FROM py""",
         "reviewed_persons": f"""WITH {people}, {e.ENTITIES}, {e.LINKS} SELECT mail_id, 'PERSON' AS target, true AS needs_review, concat_ws(',', nullif(missing, ''), 'manual_classification', CASE WHEN name IS NULL THEN 'PERSON_EXTRACTION_AMBIGUOUS' END) AS missing FROM py
           WHERE mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL) AND mail_id NOT IN (SELECT mail_id FROM links)""",
-        "created_rows": "SELECT t AS table, count(*) * n AS n FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('entities', 1), ('conditions', 1), ('skills', 4), ('roles', 0), ('links', 1), ('results', 1)) v(t, n) GROUP BY t, n",
+        "created_rows": f"""WITH {b.SQL}, ep AS ({EXTRACTED}), c AS (SELECT ep.*, sha256('GMAIL-PRJ-' || mail_id::VARCHAR) AS entity_id FROM ep JOIN projects p ON mail_id = project_id WHERE p.status = 'OPEN')
+          SELECT 'entities' AS table, entity_id, concat_ws('|', 'GMAIL-PRJ-' || substring(mail_id::VARCHAR, 1, 8), title, CASE WHEN missing <> '' THEN 'DRAFT' ELSE 'OPEN' END, mail_id, '2024-01-01 00:00:00') AS cells FROM c
+          UNION ALL SELECT 'conditions', entity_id, concat_ws('|', {", ".join(f"coalesce({x}::VARCHAR, '-')" for x in ("unit_min", "unit_max", "upper_min", "upper_max", "start", "place", "prefecture", "remote", "contract", "hours_min", "hours_max"))}) FROM c
+          UNION ALL SELECT 'skills', entity_id, kind || '|' || skill FROM (SELECT entity_id, 'REQUIRED' AS kind, unnest(string_split(required_skills, ',')) AS skill FROM c UNION ALL SELECT entity_id, 'PREFERRED', unnest(string_split(preferred_skills, ',')) FROM c UNION ALL SELECT entity_id, 'USED_TECHNOLOGY', unnest(string_split(used_skills, ',')) FROM c) WHERE skill <> ''
+          UNION ALL SELECT 'roles', entity_id, 'UPPER|0|' || company FROM c WHERE company IS NOT NULL UNION ALL SELECT 'links', entity_id, mail_id || '|EXTRACTED' FROM c
+          UNION ALL SELECT 'results', entity_id, mail_id || '|PROJECT|{{"title":"' || title || '","review_reasons":[' || array_to_string(list_transform(list_filter(string_split(missing, ','), lambda x: x <> ''), lambda x: '"PROJECT_REQUIRED_FIELD_MISSING:' || x || '"'), ',') || '],"needs_review":' || (missing <> '')::VARCHAR || '}}|' || printf('%.4f', confidence) FROM c""",
         "made_contacts": f"""WITH p AS (SELECT c_custkey // 15 AS company_id, CASE WHEN c_custkey % 2 = 0 THEN {e._letters("c_custkey // 15")} ELSE {e._letters("c_custkey // 5")} END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'P' || (c_custkey // 5)::VARCHAR || '@x.example' END AS email FROM customer),
           c AS (SELECT s_suppkey AS company_id, {_letters_of_supplier()} AS name, 'p' || s_suppkey::VARCHAR || '@x.example' AS email FROM supplier),
           n AS (SELECT *, coalesce(lower(email), name) AS k FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.company_id = p.company_id AND (c.name IN (p.name, coalesce(lower(p.email), p.name)) OR c.email = coalesce(lower(p.email), p.name))))
@@ -430,6 +496,8 @@ def oracle_sql() -> dict[str, str]:
         "named_persons": f"WITH {b.SQL}, {_PEOPLE} SELECT person_id, name FROM people WHERE status = 'AVAILABLE' ORDER BY name, person_id LIMIT 50",
         "searched_projects": f"""WITH {b.SQL} SELECT project_id, unit_max AS price FROM projects WHERE NOT contains(lower(title), '2-high') AND created_at >= '1996-01-01' AND created_at < '2000-01-01' AND unit_max BETWEEN 10 AND 110 AND place = '東京都' AND project_id % 3 < 2 AND project_id % 2 = 0 AND project_id % 7 <> 0 AND project_id % 4 = 0""",
         "streamed_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, upper(event_type) AS category, count(*) AS n_mails FROM events GROUP BY 1, 2",
+        "late_counts": """WITH m AS (SELECT event_id % 10 = 0 AS second, ts, date_trunc('day', ts)::TIMESTAMP AS day, upper(event_type) AS category FROM events), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM m WHERE NOT second),
+          l AS (SELECT day, category, second AND day + INTERVAL 1 DAY <= mark AS late FROM m, w) SELECT day, category, count(*) AS n_recounted, count(*) FILTER (NOT late) AS n_streamed, count(*) FILTER (late) AS n_late FROM l GROUP BY 1, 2""",
         "streamed_mails": f"SELECT {_choice('event_id % 8', ruled[0])} AS label, count(*) AS n, count(*) AS n_mails FROM events GROUP BY 1",
         "streamed_states": states,
     }

@@ -61,6 +61,8 @@ def contact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.concat(F.lit("mail"), F.floor(k / 2).cast("string"), F.lit(".example-corp.com"))
     person = F.concat_ws(" ", letters(k + 1000000), letters(k + 2000000))
     contacts = b.table(spark, sf_dir, "supplier").select(k.alias("contact_id"), letters(k).alias("company"), domain.alias("domain"), F.concat(F.lit("p"), k.cast("string"), F.lit("@"), domain).alias("email"), person.alias("contact"))
+    more = b.table(spark, sf_dir, "supplier").filter(k % 3 == 0).select(k.alias("contact_id"), letters(k).alias("company"), domain.alias("domain"), F.concat(F.lit("q"), k.cast("string"), F.lit("@"), domain).alias("email"), F.concat_ws(" ", letters(k + 2000000), letters(k + 1000000)).alias("contact"))
+    contacts = contacts.unionByName(more)  # every third contact has a second row, of another address and turned name
     j = F.col("c_custkey")
     n = F.floor(j / 15)
     name = F.when(j % 6 == 0, F.concat(F.substring(letters(n), 1, 9), F.lit("z"))).when(j % 8 == 2, F.concat(letters(n), F.lit("japan"))).when(j % 2 == 0, letters(n))
@@ -81,21 +83,20 @@ ENTITIES = """entities AS (SELECT o_orderkey AS entity_id, o_orderkey AS id, CAS
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of small parts stand for links between the mail of the part's number and the order."""
-    lines, parts = b.table(spark, sf_dir, "lineitem"), b.table(spark, sf_dir, "part").filter("p_size <= 10")
-    rows = lines.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).join(b.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("l_partkey").alias("mail_id"), F.col("l_orderkey").alias("entity_id"), F.when(F.col("l_returnflag") == "R", "REVIEW_CANDIDATE").otherwise("EXTRACTED").alias("link_type"), F.col("o_orderdate").alias("created_at"))
+    """Lines stand for links between the order and the mail of three times the part's number."""
+    rows = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select((F.col("l_partkey") * 3).alias("mail_id"), F.col("l_orderkey").alias("entity_id"), F.when(F.col("l_returnflag") == "R", "REVIEW_CANDIDATE").otherwise("EXTRACTED").alias("link_type"), F.col("o_orderdate").alias("created_at"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events stand for extraction results of the mail of their number."""
-    rows = b.table(spark, sf_dir, "events").filter("event_type = 'error'")
-    return rows.select(F.col("event_id").alias("mail_id"), F.col("user_id").alias("entity_id"), F.col("ts").alias("created_at"), F.when(F.col("value") > 50, "PROJECT").otherwise("PERSON").alias("target"))
+    """Events stand for extraction results of the mail of five times their number."""
+    rows = b.table(spark, sf_dir, "events")
+    return rows.select((F.col("event_id") * 5).alias("mail_id"), F.col("user_id").alias("entity_id"), F.col("ts").alias("created_at"), F.when(F.col("value") > 50, "PROJECT").otherwise("PERSON").alias("target"))
 
 
-LINKS = """links AS (SELECT l_partkey AS mail_id, l_orderkey AS entity_id, CASE WHEN l_returnflag = 'R' THEN 'REVIEW_CANDIDATE' ELSE 'EXTRACTED' END AS link_type, o_orderdate AS created_at
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_size <= 10),
-results AS (SELECT event_id AS mail_id, user_id AS entity_id, ts AS created_at, CASE WHEN value > 50 THEN 'PROJECT' ELSE 'PERSON' END AS target FROM events WHERE event_type = 'error')"""
+LINKS = """links AS (SELECT l_partkey * 3 AS mail_id, l_orderkey AS entity_id, CASE WHEN l_returnflag = 'R' THEN 'REVIEW_CANDIDATE' ELSE 'EXTRACTED' END AS link_type, o_orderdate AS created_at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+results AS (SELECT event_id * 5 AS mail_id, user_id AS entity_id, ts AS created_at, CASE WHEN value > 50 THEN 'PROJECT' ELSE 'PERSON' END AS target FROM events)"""
 
 
 def _categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,15 +319,17 @@ def oracle_sql() -> dict[str, str]:
         "sender_companies": f"""WITH {COMPANIES}, {CUSTOMER_MAILS}, m AS (SELECT mail_id, domain, lower(replace(coalesce(from_name, '') || coalesce('x@' || domain, ''), ' ', '')) AS t FROM cmail),
           d AS (SELECT mail_id, min({{'i': company_id, 'n': name}}) AS x FROM m JOIN companies c ON m.domain = c.domain OR m.domain = 'a.' || c.domain GROUP BY 1), n AS (SELECT mail_id, min({{'i': company_id, 'n': name}}) AS x FROM m JOIN companies c ON contains(t, lower(replace(name, ' ', ''))) GROUP BY 1)
           SELECT mail_id, coalesce(d.x, n.x).i AS company_id, coalesce(d.x, n.x).n AS company_name FROM m LEFT JOIN d USING (mail_id) LEFT JOIN n USING (mail_id)""",
-        "contact_candidates": f"""WITH c AS (SELECT s_suppkey AS contact_id, {_letters("s_suppkey")} AS k, 'mail' || (s_suppkey // 2)::VARCHAR || '.example-corp.com' AS domain, 'p' || s_suppkey::VARCHAR || '@mail' || (s_suppkey // 2)::VARCHAR || '.example-corp.com' AS email, {_letters("s_suppkey + 1000000")} AS p, {_letters("s_suppkey + 2000000")} AS q FROM supplier),
+        "contact_candidates": f"""WITH c0 AS (SELECT s_suppkey AS contact_id, {_letters("s_suppkey")} AS k, 'mail' || (s_suppkey // 2)::VARCHAR || '.example-corp.com' AS domain, 'p' || s_suppkey::VARCHAR || '@mail' || (s_suppkey // 2)::VARCHAR || '.example-corp.com' AS email, {_letters("s_suppkey + 1000000")} AS p, {_letters("s_suppkey + 2000000")} AS q FROM supplier),
+          c AS (SELECT * FROM c0 UNION ALL SELECT contact_id, k, domain, 'q' || substring(email, 2), q, p FROM c0 WHERE contact_id % 3 = 0),
           f AS (SELECT *, {_letters("c_custkey // 15")} AS l, {_letters("c_custkey // 15 + 1000000")} AS p0, {_letters("c_custkey // 15 + 2000000")} AS q0 FROM customer),
           e AS (SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 6 = 0 THEN substring(l, 1, 9) || 'z' WHEN c_custkey % 8 = 2 THEN l || 'japan' WHEN c_custkey % 2 = 0 THEN l ELSE '' END AS k, CASE WHEN c_custkey % 3 = 0 THEN 'mail' || (c_custkey // 24)::VARCHAR || '.example-corp.com' END AS domain,
             CASE WHEN c_custkey % 3 = 0 THEN 'p' || (c_custkey // 12)::VARCHAR || '@mail' || (c_custkey // 24)::VARCHAR || '.example-corp.com' END AS email, CASE c_custkey % 5 WHEN 0 THEN q0 WHEN 1 THEN p0 WHEN 2 THEN p0 END AS p, CASE c_custkey % 5 WHEN 0 THEN p0 WHEN 1 THEN q0 WHEN 2 THEN substring(q0, 1, 9) || 'z' END AS q FROM f),
           s AS (SELECT entity_id, contact_id, c.k, e.k = c.k AS x, e.k <> '' AND e.k <> c.k AND (contains(e.k, c.k) OR contains(c.k, e.k) OR 1 - levenshtein(e.k, c.k) / greatest(length(e.k), length(c.k)) >= 0.82) AS v, coalesce(e.email = c.email, false) AS m, coalesce(e.domain = c.domain, false) AS d,
             coalesce(e.p || e.q = c.p || c.q, false) AS y, coalesce(e.p || e.q <> c.p || c.q AND (least(e.p, e.q) || greatest(e.p, e.q) = least(c.p, c.q) || greatest(c.p, c.q) OR 1 - levenshtein(e.p || e.q, c.p || c.q) / 20 >= 0.84), false) AS z FROM e, c),
-          t AS (SELECT *, least(100, 46 * x::INT + 28 * v::INT + 62 * m::INT + 34 * d::INT + 40 * y::INT + 22 * z::INT)::INT AS score, concat_ws(',', CASE WHEN x THEN 'company_name_exact' END, CASE WHEN v THEN 'company_name_variant' END, CASE WHEN m THEN 'contact_email_match' END, CASE WHEN d THEN 'email_domain_match' END,
-            CASE WHEN y THEN 'contact_name_exact' END, CASE WHEN z THEN 'contact_name_variant' END) AS reasons FROM s)
-          SELECT entity_id, contact_id, score, reasons, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, len(string_split(reasons, ',')) DESC, k, contact_id)::INT AS rank FROM t WHERE score > 0) WHERE rank <= 3""",
+          t AS (SELECT *, least(100, 46 * x::INT + 28 * v::INT + 62 * m::INT + 34 * d::INT + 40 * y::INT + 22 * z::INT)::INT AS score FROM s),
+          u AS (SELECT entity_id, contact_id, k, score, bool_or(x) AS x, bool_or(v) AS v, bool_or(m) AS m, bool_or(d) AS d, bool_or(y) AS y, bool_or(z) AS z FROM t WHERE score > 0 GROUP BY entity_id, contact_id, k, score QUALIFY row_number() OVER (PARTITION BY entity_id, contact_id ORDER BY score DESC) = 1),
+          w AS (SELECT *, concat_ws(',', CASE WHEN x THEN 'company_name_exact' END, CASE WHEN v THEN 'company_name_variant' END, CASE WHEN m THEN 'contact_email_match' END, CASE WHEN d THEN 'email_domain_match' END, CASE WHEN y THEN 'contact_name_exact' END, CASE WHEN z THEN 'contact_name_variant' END) AS reasons FROM u)
+          SELECT entity_id, contact_id, score, reasons, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, len(string_split(reasons, ',')) DESC, k, contact_id)::INT AS rank FROM w) WHERE rank <= 3""",
         "duplicate_rows": f"WITH {ENTITIES}, w AS (SELECT *, count(*) OVER (PARTITION BY source_mail_id, entity_type) AS n_rows, row_number() OVER (PARTITION BY source_mail_id, entity_type ORDER BY created_at, id)::INT AS row_no FROM entities WHERE source_mail_id IS NOT NULL) SELECT id, source_mail_id, entity_type, n_rows, row_no, row_no = 1 AS keep FROM w WHERE n_rows > 1",
         "category_mismatches": f"WITH {ENTITIES}, {CATEGORIZED} SELECT entity_id, source_mail_id, CASE WHEN is_excluded THEN 'MAIL_EXCLUDED' ELSE 'CATEGORY_DIFFERS' END AS reason FROM entities JOIN cm ON source_mail_id = mail_id WHERE status <> 'ARCHIVED' AND (is_excluded OR category <> 'PROJECT_INTRO')",
         "unlinked_mails": f"WITH {ENTITIES}, {CATEGORIZED} SELECT mail_id, category FROM cm WHERE category <> 'OTHER' AND NOT is_excluded AND mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL)",

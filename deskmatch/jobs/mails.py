@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..operators import classify, extract, reports
 from ..operators.classify import KeywordRule, StrongRule
 from ..plans import binding as b
+from ..sources import tables
 
 #: Rules for the given texts: words that occur in them.
 STRONG = [StrongRule("project_intro", "PROJECT_INTRO", ("tionble", "erstion"), 0.94), StrongRule("person_intro", "PERSON_INTRO", ("queeaux", "ciónrr"), 0.93)]
@@ -74,18 +75,32 @@ def sender_subject_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sender_subject_groups(mails(spark, sf_dir).withColumn("from_email", F.col("lang")), 20)
 
 
+#: Lines of projects' mails by a project's number.
+REQUIRED = ["Java, AWS", "PHP、Laravel", "C#・SQL", "React/TypeScript", "経験者"]
+PREFERRED = ["Terraform", "Docker", "Google Cloud、Linux"]
+POLICIES = ["外国籍不可", "外国籍：応相談", "外国籍OK", None]
+TIMES = ["1", "２", "三"]
+
+
 def project_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mails that describe the projects of orders."""
-    p = b.projects(spark, sf_dir)
+    """Mails that describe the projects of orders; which lines they have, and in which form, depends on the number."""
+    p = b.projects(spark, sf_dir, spread=True)
+    k = F.col("project_id")
     price = F.when(F.col("unit_min") >= 10, F.concat(F.lit("単価："), F.col("unit_min"), F.lit("〜"), F.col("unit_max"), F.lit("万円")))
     start = F.concat(F.lit("開始："), F.date_format("start_month", "yyyy"), F.lit("年"), F.date_format("start_month", "M"), F.lit("月"))
-    lines = [F.concat(F.lit("案件名："), F.col("title")), price, F.concat(F.lit("勤務地："), F.col("place")), F.lit("必須スキル：Java, AWS"), F.lit("精算：140-180h"), F.lit("面談：2回"), F.concat(F.lit("契約："), F.col("contract")), F.when(F.col("remote_type") == "FULL_REMOTE", "フルリモート").when(F.col("remote_type") == "ONSITE", "常駐"), start]
-    return p.select(F.col("project_id").alias("mail_id"), F.concat(F.lit("Re: "), F.col("title")).alias("subject"), F.concat_ws("\n", *lines).alias("body"), F.lit("desk").alias("from_name"), F.lit("desk@example-corp.com").alias("from_email"))
+    numbered = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    lines = [
+        F.when(k % 7 != 3, F.concat(F.lit("案件名："), F.col("title"))), F.when(k % 5 != 4, numbered("上位会社： 第", k % 1000, "商事様")), F.when(k % 2 == 0, numbered("商流：エンド→元請", k % 3 + 1, "社→弊社")), price, F.concat(F.lit("勤務地："), F.col("place")),
+        F.concat(F.lit("必須スキル："), b.choice(k % 5, REQUIRED)), F.when(k % 4 == 0, F.concat(F.lit("尚可："), b.choice(k % 3, PREFERRED))), numbered("精算：", 120 + k % 3 * 10, "-", 180 + k % 2 * 20, "h"), F.concat(F.lit("面談："), b.choice(k % 3, TIMES), F.lit("回")), F.concat(F.lit("契約："), F.col("contract")),
+        b.choice(k % 4, POLICIES), F.when(k % 6 == 0, numbered("年齢：", 30 + k % 3 * 10, "代まで")), F.when(F.col("remote_type") == "FULL_REMOTE", "フルリモート").when(F.col("remote_type") == "ONSITE", "常駐"), start, F.when(k % 8 == 1, numbered("担当：営業", k % 50)), F.when(k % 8 < 3, numbered("メール：  sales", k % 50, "@partner.example まで")),
+    ]
+    return p.select(k.alias("mail_id"), F.concat(F.lit("Re: "), F.col("title")).alias("subject"), F.concat_ws("\n", *lines).alias("body"), F.lit("desk").alias("from_name"), F.lit("desk@example-corp.com").alias("from_email"))
 
 
 def extracted_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract.extract_projects(project_mails(spark, sf_dir), "1998-06-15")
-    return out.select("mail_id", "title", "unit_min", "unit_max", "place", "prefecture", "start", "hours_min", "hours_max", "interviews", "contract", "remote", F.array_join("required_skills", ",").alias("required_skills"), "contact_email", F.array_join("missing", ",").alias("missing"), F.col("confidence").cast("double").alias("confidence"))
+    plain = ["mail_id", "title", "unit_min", "unit_max", "upper_min", "upper_max", "place", "prefecture", "start", "hours_min", "hours_max", "interviews", "contract", "remote", "chain", "company", "contact", "contact_email", "foreign_policy", "age_condition"]
+    return out.select(*plain, *(F.array_join(c, ",").alias(c) for c in ("required_skills", "preferred_skills", "used_skills", "missing")), F.col("confidence").cast("double").alias("confidence"))
 
 
 def address_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,12 +112,16 @@ def address_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mime_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as leaves of messages: texts in base64url, an attachment that is passed over."""
-    data = F.translate(F.base64(F.encode("text", "utf-8")), "+/", "-_")
-    leaf = F.struct(F.lit("text/plain").alias("mime"), F.when(F.col("turn") == 1, "a.txt").alias("attachment"), F.regexp_replace(data, "\\s", "").alias("data"), "turn")
-    rows = b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", leaf.alias("leaf")))).alias("parts"))
-    body = t.flattened_parts(F.transform("parts", lambda p: p["leaf"]), "text/plain")
-    return rows.select("conv_id", F.length(body).alias("n_chars"), F.sha2(body, 256).alias("body_sha"))
+    """Conversations as nested messages: turns at three levels in turn, of both types, the second an attachment that is passed over."""
+    turn = F.col("turn")
+    data = F.regexp_replace(F.translate(F.base64(F.encode("text", "utf-8")), "+/", "-_"), "\\s", "")
+    leaf = F.struct(F.when(turn % 4 == 3, "text/html").otherwise("text/plain").alias("mimeType"), F.when(turn == 1, "a.txt").alias("filename"), F.struct(data.alias("data")).alias("body"))
+    box = lambda part: F.struct(F.lit("multipart/mixed").alias("mimeType"), F.array(part).alias("parts"))
+    part = F.when(turn % 3 == 0, F.to_json(leaf)).when(turn % 3 == 1, F.to_json(box(leaf))).otherwise(F.to_json(box(box(leaf))))
+    parts = b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
+    message = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['), F.array_join(F.transform("parts", lambda p: p["part"]), ","), F.lit("]}"))
+    out = tables.message_bodies(parts.select("conv_id", message.alias("message")), "conv_id", "message")
+    return out.select("conv_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("body_sha"), F.sha2("html", 256).alias("html_sha"))
 
 
 NAMES = ["address_headers", "mime_bodies", "mails_normalized", "page_text", "redacted_mails", "classified_mails", "classification_summary", "text_search", "mail_stats", "sender_subject_groups", "extracted_projects"]
@@ -112,6 +131,10 @@ def queries() -> dict:
     return {n: globals()[n] for n in NAMES}
 
 
+def _at(place: str, values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({place})::INT + 1]"
+
+
 def _hits(column: str, words) -> str:
     return "(" + " + ".join(f"contains({column}, '{w.lower()}')::INT" for w in words) + ")"
 
@@ -135,6 +158,18 @@ c AS (SELECT *, CASE WHEN reply THEN 'reply' WHEN o IS NOT NULL THEN o.label WHE
   NOT reply AND o IS NULL AND g IS NULL AND z IS NULL AND trim(w) = '' AS needs_review FROM st)"""
 
 
+#: The records of project_mails.
+EXTRACTED = f"""WITH {b.SQL}, m AS (SELECT *, project_id AS k, unit_min >= 10 AS priced, {_at("project_id % 5", ["Java,AWS", "PHP,Laravel", "C#,SQL", "TypeScript,React", ""])} AS req, {_at("project_id % 3", ["Terraform", "", "GCP,Linux"])} AS pre FROM projects),
+  x AS (SELECT *, CASE WHEN priced THEN NULL ELSE '単価' END AS no_price, CASE WHEN start_month IS NULL THEN '開始月' END AS no_start, CASE WHEN req = '' THEN 'スキル' END AS no_skill FROM m)
+  SELECT k AS mail_id, title, CASE WHEN priced THEN unit_min END AS unit_min, CASE WHEN priced THEN unit_max END AS unit_max, CASE WHEN priced THEN unit_min END AS upper_min, CASE WHEN priced THEN unit_max END AS upper_max, place,
+  CASE place WHEN '名古屋市' THEN '愛知県' WHEN '札幌市' THEN NULL ELSE place END AS prefecture, CASE WHEN year(start_month) >= 2000 THEN start_month ELSE make_date(1998, month(start_month), 1) END AS start, (120 + k % 3 * 10)::INT AS hours_min, (180 + k % 2 * 20)::INT AS hours_max, (k % 3 + 1)::INT AS interviews,
+  CASE contract WHEN '準委任' THEN 'SEMI_DELEGATION' WHEN '派遣' THEN 'DISPATCH' WHEN '請負' THEN 'CONTRACT' ELSE 'UNKNOWN' END AS contract,
+  CASE remote_type WHEN 'FULL_REMOTE' THEN 'FULL_REMOTE' WHEN 'ONSITE' THEN 'ONSITE' ELSE 'UNKNOWN' END AS remote, CASE WHEN k % 2 = 0 THEN 'エンド→元請' || (k % 3 + 1)::VARCHAR || '社→弊社' END AS chain, CASE WHEN k % 5 <> 4 THEN '第' || (k % 1000)::VARCHAR || '商事' END AS company,
+  CASE WHEN k % 8 = 1 THEN '営業' || (k % 50)::VARCHAR ELSE 'desk' END AS contact, CASE WHEN k % 8 < 3 THEN 'sales' || (k % 50)::VARCHAR || '@partner.example' ELSE 'desk@example-corp.com' END AS contact_email, {_at("k % 4", ["NOT_ACCEPTABLE", "NEED_CONFIRMATION", "ACCEPTABLE", "UNKNOWN"])} AS foreign_policy,
+  CASE WHEN k % 6 = 0 THEN (30 + k % 3 * 10)::VARCHAR || '代まで' END AS age_condition, req AS required_skills, CASE WHEN k % 4 = 0 THEN pre ELSE '' END AS preferred_skills, req AS used_skills,
+  concat_ws(',', no_price, no_start, no_skill) AS missing, round(0.9 - ((no_price IS NOT NULL)::INT + (no_start IS NOT NULL)::INT + (no_skill IS NOT NULL)::INT) / 6 * 0.4, 4)::DOUBLE AS confidence FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     tidy = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(body, chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), '\\n[ \\t]+', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
     return {
@@ -149,8 +184,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT page_id, sha256(t) AS text_sha, length(t)::INT AS n_chars, CASE WHEN page_id % 3 = 1 THEN sha256('See page ' || page_id::VARCHAR || ' of the list.') ELSE sha256(t) END AS body_sha, CASE WHEN page_id % 3 = 1 THEN 'text/plain' ELSE 'text/html' END AS source,
             regexp_extract(lower(url), '^(?:https?://)?(?:www\\.)?([^/?#:]*)', 1) AS domain FROM p""",
         "address_headers": "SELECT c_custkey AS mail_id, 'a' || c_custkey::VARCHAR || '@x.example;b' || c_custkey::VARCHAR || '@mail.y.example' AS addresses, 'Desk, ' || c_name AS name, 'mail.y.example' AS domain FROM customer",
-        "mime_bodies": f"""WITH j AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE turn <> 1 GROUP BY 1), n AS (SELECT conv_id, {tidy} AS body FROM j)
-          SELECT conv_id, length(body)::INT AS n_chars, sha256(body) AS body_sha FROM n""",
+        "mime_bodies": f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations), j AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 4 <> 3 AND turn <> 1) AS body, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 4 = 3) AS html FROM conversations WHERE text <> '' GROUP BY 1),
+          n AS (SELECT conv_id, {tidy} AS body, html FROM c LEFT JOIN j USING (conv_id)) SELECT conv_id, length(body)::INT AS n_chars, sha256(body) AS body_sha, sha256(html) AS html_sha FROM n""",
         "redacted_mails": f"""WITH {MAILS} SELECT mail_id, sha256(shown) AS shown_sha, length(shown)::INT AS n_chars, CASE WHEN subject = '' THEN '(no subject)' ELSE '[redacted-subject len=' || length(subject)::VARCHAR || ' hash=' || substring(sha256(subject), 1, 12) || ']' END AS subject_mark FROM (SELECT mail_id, subject, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, 'postgres(?:ql)?://\\S+', '[redacted-database-url]', 'gi'), 'Bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi'),
           '(client_secret|refresh_token|access_token|reset_token|resetToken|password|token|secret)=([^&\\s]+)', '\\1=[redacted]', 'gi'), '(DATABASE_URL)\\s*[:=]\\s*[^\\s,;]+', '\\1=[redacted]', 'gi'), '\\s+', ' ', 'g')) AS shown FROM mails)""",
         "classified_mails": f"WITH {CLASSIFIED} SELECT mail_id, label, category, confidence::DOUBLE AS confidence, is_excluded, needs_review FROM c",
@@ -162,11 +197,5 @@ def oracle_sql() -> dict[str, str]:
         "mail_stats": f"""WITH {CLASSIFIED}, k AS (SELECT 'total' AS metric, '' AS key, count(*) AS n FROM c UNION ALL SELECT 'since', '', count(*) FILTER (received_at >= TIMESTAMP '2024-01-01 06:00:00') FROM c
           UNION ALL SELECT 'category', category || ':' || CASE WHEN is_excluded THEN 'excluded' ELSE 'open' END, count(*) FROM c GROUP BY 2) SELECT k.*, a AS first_received, z AS last_received FROM k, (SELECT min(received_at) AS a, max(received_at) AS z FROM c)""",
         "sender_subject_groups": f"WITH {MAILS}, n AS (SELECT lang AS from_email, lower(trim(regexp_replace(regexp_replace(subject, '^\\s*(re|fw|fwd)\\s*:\\s*', '', 'i'), '\\s+', ' ', 'g'))) AS subject_key FROM mails) SELECT from_email, subject_key, count(*) AS n_mails FROM n GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 3 DESC, 1, 2 LIMIT 20",
-        "extracted_projects": f"""WITH {b.SQL}, m AS (SELECT *, unit_min >= 10 AS priced FROM projects)
-          SELECT project_id AS mail_id, title, CASE WHEN priced THEN unit_min END AS unit_min, CASE WHEN priced THEN unit_max END AS unit_max, place,
-          CASE place WHEN '名古屋市' THEN '愛知県' WHEN '札幌市' THEN NULL ELSE place END AS prefecture, CASE WHEN year(start_month) >= 2000 THEN start_month ELSE make_date(1998, month(start_month), 1) END AS start, 140 AS hours_min, 180 AS hours_max, 2 AS interviews,
-          CASE contract WHEN '準委任' THEN 'SEMI_DELEGATION' WHEN '派遣' THEN 'DISPATCH' WHEN '請負' THEN 'CONTRACT' ELSE 'UNKNOWN' END AS contract,
-          CASE remote_type WHEN 'FULL_REMOTE' THEN 'FULL_REMOTE' WHEN 'ONSITE' THEN 'ONSITE' ELSE 'UNKNOWN' END AS remote, 'Java,AWS' AS required_skills, 'desk@example-corp.com' AS contact_email,
-          concat_ws(',', CASE WHEN priced THEN NULL ELSE '単価' END, CASE WHEN start_month IS NULL THEN '開始月' END) AS missing,
-          round(0.9 - ((NOT coalesce(priced, false))::INT + (start_month IS NULL)::INT) / 6 * 0.4, 4)::DOUBLE AS confidence FROM m""",
+        "extracted_projects": EXTRACTED,
     }

@@ -210,7 +210,7 @@ def auto_apply(candidates: DataFrame) -> DataFrame:
 
 
 def contact_candidates(entities: DataFrame, contacts: DataFrame, most: int) -> DataFrame:
-    """Ranked contacts for each entity (entity_id, company, email, contact) among contacts (contact_id, company, domain, email, contact).
+    """Ranked contacts for each entity (entity_id, company, email, contact) among contacts (contact_id, company, domain, email, contact; several rows of a contact are one candidate).
 
     A pair counts if it agrees in an e-mail, a domain or parent, a company key, or a contact key, or if a company name holds the
     other or is close to it. Close and contained names are looked for among distinct names, by rare runs of characters.
@@ -246,9 +246,14 @@ def contact_candidates(entities: DataFrame, contacts: DataFrame, most: int) -> D
         "contact_name_variant": (en != "") & (cn != "") & (en != cn) & (F.arrays_overlap("e_keys", "c_keys") | (similarity(en, cn) >= CLOSE_CONTACT)),
     }
     hit = {k: F.coalesce(t, F.lit(False)) for k, t in tests.items()}
-    scored = both.select("e_id", "c_id", "c_company", F.least(sum((POINTS[k] * t.cast("int") for k, t in hit.items()), F.lit(0)), F.lit(100)).alias("score"), F.concat_ws(",", *(F.when(t, k) for k, t in hit.items())).alias("reasons")).filter("score > 0")
-    order = Window.partitionBy("e_id").orderBy(F.desc("score"), F.desc(F.size(F.split("reasons", ","))), "c_company", "c_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(F.col("e_id").alias("entity_id"), F.col("c_id").alias("contact_id"), "score", "reasons", "rank")
+    bits = sum((t.cast("int") * (1 << n) for n, t in enumerate(hit.values())), F.lit(0))
+    scored = both.select("e_id", "c_id", "c_company", F.least(sum((POINTS[k] * t.cast("int") for k, t in hit.items()), F.lit(0)), F.lit(100)).alias("score"), bits.alias("bits")).filter("score > 0")
+    # A contact's rows of one score unite their reasons; the best score of its rows counts.
+    tied = scored.groupBy("e_id", "c_id", "score").agg(F.bit_or("bits").alias("bits"), F.min("c_company").alias("c_company"))
+    best = tied.groupBy("e_id", "c_id").agg(F.max(F.struct("score", "bits", "c_company")).alias("x")).select("e_id", "c_id", "x.*")
+    best = best.withColumn("reasons", F.concat_ws(",", *(F.when(F.col("bits").bitwiseAND(1 << n) > 0, k) for n, k in enumerate(hit))))
+    order = Window.partitionBy("e_id").orderBy(F.desc("score"), F.desc(F.bit_count("bits")), "c_company", "c_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(F.col("e_id").alias("entity_id"), F.col("c_id").alias("contact_id"), "score", "reasons", "rank")
 
 
 def find_or_create(names: DataFrame, companies: DataFrame) -> DataFrame:

@@ -12,11 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_subject
+from ..sources.tables import written
 
 #: Patterns that no report may show.
 SENSITIVE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"https?://", r"(?i)(bearer\s+[a-z0-9._-]+|(postgres(ql)?|mysql|sqlserver)://|(secret|password|token|api_?key)\s*[:=])", r"[A-Za-z]:\\|/(home|users|var)/", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"]
 
 
+#: Fixed value: codes that put a mail at high risk.
+RISKY_CODES = "LOW_CONFIDENCE|SUBJECT_ONLY|CONFLICT|OVER_EXTRACTION|MISSING|DUPLICATE|EXISTING_ENTITY|REJECTED"
+
+
 def mail_stats(mails: DataFrame, since: str) -> DataFrame:
     """Long table (metric, key, n) of totals and (category, state) counts, with the first and last time received."""
     state = F.concat_ws(":", "category", F.when(F.col("is_excluded"), "excluded").otherwise("open"))
@@ -67,7 +72,7 @@ def counters(rows: DataFrame, **values: Column) -> DataFrame:
 
 
 def is_high_risk(predicted: Column, needs_review: Column, subject_only: Column, codes: Column) -> Column:
-    return needs_review | predicted.isin("other", "excluded") | subject_only | F.exists(codes, lambda c: c.rlike("CONFLICT|AMBIGUOUS|OVER_EXTRACTION"))
+    return needs_review | predicted.isin("other", "excluded") | subject_only | F.exists(codes, lambda c: c.rlike(RISKY_CODES))
 
 
 def confusion_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -157,19 +162,36 @@ def sanitized_json(c: Column) -> Column:
     return clean(c)
 
 
+def scored_risk() -> Column:
+    return is_high_risk(F.col("predicted_type"), F.col("needs_review"), F.col("subject_only"), F.array_union("warnings", F.coalesce("review_reasons", F.array().cast("array<string>"))))
+
+
 def quality_audit(scored: DataFrame) -> DataFrame:
-    """Counter maps of scored mails (predicted_type, project_score, person_score, excluded_score, subject_only, body_derived, quality_review, warnings, n_skills, needs_review) as one long table (metric, key, n), with what a run would create or skip and the mails at high risk."""
-    risk = is_high_risk(F.col("predicted_type"), F.col("needs_review"), F.col("subject_only"), F.col("warnings"))
-    outcome = F.when(F.col("predicted_type").isin("other", "excluded"), "would_skip").when(F.col("needs_review"), "would_create_for_review").otherwise("would_create")
-    scores = {k: score_bucket(F.col(k)) for k in ("project_score", "person_score", "excluded_score")}
-    single = counters(scored, predicted_type=F.col("predicted_type"), **scores, margin=score_bucket(F.col("margin")), skills=skill_bucket(F.col("n_skills")), subject_only=F.col("subject_only"), body_derived=F.col("body_derived"), quality_review=F.col("quality_review"), needs_review=F.col("needs_review"), outcome=outcome, high_risk=risk)
-    warned = scored.select(F.explode("warnings").alias("key")).groupBy("key").agg(F.count("*").alias("n")).select(F.lit("warning").alias("metric"), "key", "n")
-    return single.unionByName(warned)
+    """Counter maps and the summary of scored mails as one long table (metric, key, n), from one pass over the rows.
+
+    Columns: predicted_type, project_score, person_score, excluded_score, margin, n_skills, subject_only, body_derived,
+    quality_review, needs_review, warnings (array), review_reasons (array); for persons' mails name_source, name_confidence,
+    name_rejected, role_source (else null); company_source, company_confidence; linked and same_sender_subject (booleans).
+    """
+    rows = written(scored.select(*AUDIT_COLUMNS), "audit")
+    score = lambda c: score_bucket(F.col(c))
+    skip = F.col("linked") | F.col("same_sender_subject") | F.col("predicted_type").isin("other", "excluded")
+    single = {c: F.col(c) for c in ("predicted_type", "subject_only", "body_derived", "quality_review", "needs_review", "name_source", "name_confidence", "role_source", "company_source", "company_confidence", "linked", "same_sender_subject")}
+    single |= {c: score(c) for c in ("project_score", "person_score", "excluded_score", "margin")} | {"skills": skill_bucket(F.col("n_skills")), "rejected_name": F.when(F.col("name_rejected"), F.col("name_source"))}
+    single |= {"outcome": F.when(skip, "would_skip").when(F.col("needs_review") | F.col("quality_review"), "would_create_for_review").otherwise("would_create"), "high_risk": scored_risk() | F.col("linked") | F.col("same_sender_subject")}
+    pair = lambda metric, key: F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"))
+    many = [F.transform("warnings", lambda x: pair("warning", x)), F.transform("review_reasons", lambda x: pair("reason", x))]
+    found = F.filter(F.concat(F.array(*(pair(m, c) for m, c in single.items())), *many), lambda x: x["key"].isNotNull())
+    return rows.select(F.explode(found).alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"))
+
+
+AUDIT_COLUMNS = ["predicted_type", "project_score", "person_score", "excluded_score", "margin", "n_skills", "subject_only", "body_derived", "quality_review", "needs_review", "warnings", "review_reasons", "name_source", "name_confidence", "name_rejected", "role_source", "company_source", "company_confidence", "linked", "same_sender_subject"]
 
 
 def high_risk_sample(scored: DataFrame, most: int = 20) -> DataFrame:
-    risk = is_high_risk(F.col("predicted_type"), F.col("needs_review"), F.col("subject_only"), F.col("warnings"))
-    return scored.filter(risk).select("mail_id", "predicted_type", F.array_join("warnings", ",").alias("warnings")).orderBy("mail_id").limit(most)
+    """The first mails at high risk. What the test reads is written first: it would be worked out again in each of the filter's terms."""
+    rows = written(scored.select("mail_id", "predicted_type", "needs_review", "subject_only", "warnings", "review_reasons"), "scored")
+    return rows.filter(scored_risk()).select("mail_id", "predicted_type", F.array_join("warnings", ",").alias("warnings")).orderBy("mail_id").limit(most)
 
 
 def short_id(c: Column, length: int = 8) -> Column:

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores, as that many parts: for work on each row that takes far longer than moving it. Larger tables stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def choice(index, values: list[str]):
     """The value at a place counted from 0, or null."""
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
@@ -31,8 +37,9 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
 
 
-def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def projects(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    orders = dealt_out(orders) if spread else orders
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     rows = orders.join(customers, "c_custkey").join(nations(spark, sf_dir), "c_nationkey")
     k, high = F.col("o_orderkey"), F.floor(F.col("o_totalprice") / 4000).cast("int")

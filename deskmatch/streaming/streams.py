@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from ..operators.classify import KeywordRule, StrongRule, classify_mails
 from ..operators.review import ACTIONS, FIRST_STATE
@@ -25,11 +26,19 @@ def merge_each_batch(rows: DataFrame, merge: Callable[[DataFrame, int], None], c
 
 
 def mail_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Mails by day and category; mails later than the watermark are left to the batch job."""
+    """Mails by day and category. In append mode a day is given once the watermark is past it, and mails that come later are dropped: late_mails names them."""
     days = stream.withWatermark("received_at", delay).groupBy(F.window("received_at", "1 day"), "category")
     return days.agg(F.count("*").alias("n_mails")).select(F.col("window.start").alias("day"), "category", "n_mails")
 
 
+def late_mails(landed: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The batch job's part of the counts: the landed mails (received_at, arrival: the number of the run that took them in) that mail_counts has dropped, as their day lay behind the watermark of the runs before."""
+    newest = landed.groupBy("arrival").agg(F.max("received_at").alias("newest"))
+    before = newest.withColumn("mark", F.max("newest").over(Window.orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)) - F.expr(f"INTERVAL {delay}")).select("arrival", "mark")  # a row for each run
+    ends = F.date_trunc("day", "received_at") + F.expr("INTERVAL 1 DAY")
+    return landed.join(F.broadcast(before), "arrival").filter(ends <= F.col("mark")).drop("mark")
+
+
 def next_status(status: str, action: str) -> str:
     sources, to = ACTIONS.get(action, ([], status))
     return to if status in sources else status

@@ -48,6 +48,14 @@ def classification_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.classification_audit(order_mails(spark, sf_dir))
 
 
+def classification_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored categories left, and what the fixed rules would make of them (the senders are a top-k report)."""
+    k = F.col("mail_id")
+    m = order_mails(spark, sf_dir).withColumns({"category": F.when(k % 3 == 0, "OTHER").when(k % 3 == 1, "PROJECT_INTRO").otherwise("NEEDS_REVIEW"), "is_excluded": k % 10 == 0})
+    m = tables.written(m, "mails")
+    return reports.classification_changes(m, classify.classify_mails(m.drop("category", "is_excluded"), mail_rules.WEIGHTED, mail_rules.STRONG))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = extract.with_quality(extract.mail_texts(project_texts(spark, sf_dir)))
     return m.withColumn("n_skills", F.size(extract.skills_in(F.col("_text"), F.lower("_text")))).withColumn("needs_review", F.col("quality_review"))
@@ -371,7 +379,7 @@ def _finished(spark: SparkSession, rows: DataFrame, name: str, mode: str, schema
     return (found.join(last, keys).filter("batch = _last") if mode == "update" else found.join(F.broadcast(last), F.col("batch") == F.col("_last"))).drop("batch", "_last")  # last: one row
 
 
-NAMES = ["ruled_mails", "classification_audit", "quality_scores", "quality_audit", "high_risk_mails", "extracted_persons", "reviewed_persons", "created_rows", "made_contacts", "unlinked_plan", "remediated_persons", "paged_updates", "unclassified_by_hand", "signatures", "event_times", "event_props", "declared_orders", "written_reports", "read_sheets", "table_assessment", "person_duplicates", "import_run_list", "source_record_list", "row_types", "import_records", "import_coverage", "safe_props", "anonymous_events", "person_list", "person_page", "named_persons", "searched_projects", "streamed_counts", "late_counts", "streamed_mails", "streamed_states"]
+NAMES = ["ruled_mails", "classification_audit", "classification_changes", "quality_scores", "quality_audit", "high_risk_mails", "extracted_persons", "reviewed_persons", "created_rows", "made_contacts", "unlinked_plan", "remediated_persons", "paged_updates", "unclassified_by_hand", "signatures", "event_times", "event_props", "declared_orders", "written_reports", "read_sheets", "table_assessment", "person_duplicates", "import_run_list", "source_record_list", "row_types", "import_records", "import_coverage", "safe_props", "anonymous_events", "person_list", "person_page", "named_persons", "searched_projects", "streamed_counts", "late_counts", "streamed_mails", "streamed_states"]
 
 
 def queries() -> dict:
@@ -423,6 +431,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "ruled_mails": f"SELECT o_orderkey AS mail_id, {_choice('o_orderkey % 8', ruled[0])} AS label, {_choice('o_orderkey % 8', ruled[1])} AS category, {_choice('o_orderkey % 8', ruled[2])}::DOUBLE AS confidence, {_choice('o_orderkey % 8', ruled[3])} AS is_excluded, {_choice('o_orderkey % 8', [REASONS.get(i) for i in range(8)])} AS exclude_reason, {_choice('o_orderkey % 8', ruled[4])} AS rules FROM orders",
         "classification_audit": f"WITH {ORDER_MAILS} SELECT lower(CASE WHEN subject = 'Re: 打ち合わせ' THEN '打ち合わせ' ELSE subject END) AS pattern, count(*) AS n_mails, count(DISTINCT from_email) AS n_domains, max(received_at) AS newest FROM om GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+        "classification_changes": f"""WITH m AS (SELECT mail_id, received_at, from_email, CASE mail_id % 3 WHEN 0 THEN 'OTHER' WHEN 1 THEN 'PROJECT_INTRO' ELSE 'NEEDS_REVIEW' END AS category, mail_id % 10 = 0 AS is_excluded, {_choice('mail_id % 8', ruled[1])} AS new FROM (WITH {ORDER_MAILS} SELECT mail_id, received_at, from_email FROM om))
+          SELECT 'category' AS metric, category || ':' || CASE WHEN is_excluded THEN 'excluded' ELSE 'open' END AS key, count(*) AS n, max(received_at) AS newest FROM m GROUP BY 2 UNION ALL SELECT 'change', category || '>' || new, count(*), max(received_at) FROM m WHERE NOT is_excluded GROUP BY 2
+          UNION ALL (SELECT 'sender', from_email, count(*) AS c, max(received_at) FROM m WHERE NOT is_excluded AND category <> 'PROJECT_INTRO' GROUP BY 2 ORDER BY c DESC, from_email LIMIT 30)""",
         "quality_scores": f"WITH {QUALITY} SELECT mail_id, project_score, person_score, excluded_score, abs(project_score - person_score) AS margin, subject_only, CASE WHEN category = 'PERSON_INTRO' AND project_score > person_score AND project_score >= 3 THEN 'PERSON_SUBJECT_LOOKS_LIKE_PROJECT' WHEN category = 'PROJECT_INTRO' AND person_score > project_score AND person_score >= 3 THEN 'PROJECT_SUBJECT_LOOKS_LIKE_PERSON' END AS mismatch FROM sc",
         "quality_audit": f"""WITH {QUALITY}, {_JUDGED}, {e.ENTITIES},
           g AS (SELECT *, mail_id % 2 = 0 AS project, mail_id % 3 AS t, mail_id % 8 AS u, mail_id IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL) AS linked, count(*) OVER (PARTITION BY mail_id // 9, subject) > 1 AS same_sender_subject FROM j),

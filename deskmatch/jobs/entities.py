@@ -91,12 +91,12 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events stand for extraction results of the mail of five times their number."""
     rows = b.table(spark, sf_dir, "events")
-    return rows.select((F.col("event_id") * 5).alias("mail_id"), F.col("user_id").alias("entity_id"), F.col("ts").alias("created_at"), F.when(F.col("value") > 50, "PROJECT").otherwise("PERSON").alias("target"))
+    return rows.select((F.col("event_id") * 5).alias("mail_id"), F.col("user_id").alias("entity_id"), F.col("ts").alias("created_at"), F.when(F.col("value") > 50, "PROJECT").otherwise("PERSON").alias("target"), F.when(F.col("event_type") == "error", "NEEDS_REVIEW").otherwise("AUTO").alias("review_status"))
 
 
 LINKS = """links AS (SELECT l_partkey * 3 AS mail_id, l_orderkey AS entity_id, CASE WHEN l_returnflag = 'R' THEN 'REVIEW_CANDIDATE' ELSE 'EXTRACTED' END AS link_type, o_orderdate AS created_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-results AS (SELECT event_id * 5 AS mail_id, user_id AS entity_id, ts AS created_at, CASE WHEN value > 50 THEN 'PROJECT' ELSE 'PERSON' END AS target FROM events)"""
+results AS (SELECT event_id * 5 AS mail_id, user_id AS entity_id, ts AS created_at, CASE WHEN value > 50 THEN 'PROJECT' ELSE 'PERSON' END AS target, CASE WHEN event_type = 'error' THEN 'NEEDS_REVIEW' ELSE 'AUTO' END AS review_status FROM events)"""
 
 
 def _categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ def import_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imports.import_summary(_assessed(spark, sf_dir))
+    return imports.import_summary(_assessed(spark, sf_dir), "project")
 
 
 def import_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,9 +188,21 @@ def appended_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide rows of all projects with roles from suppliers and results from events."""
     p, k = b.projects(spark, sf_dir), F.col("project_id")
-    roles = p.select("project_id", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(i).alias("sort_order"), ((k * m) % 100).alias("company_id")) for i, (r, m) in enumerate((("END_USER", 3), ("PRIME", 7), ("UPPER", 11)))))).alias("x")).select("project_id", "x.*").filter("(project_id + sort_order) % 4 != 0")
+    parts = (("END_USER", 3), ("PRIME", 7), ("UPPER", 11))
+    each = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(i).alias("sort_order"), ((k * m) % F.col("_n")).alias("company_id")) for i, (r, m) in enumerate(parts)))
+    n = b.table(spark, sf_dir, "supplier").agg(F.count("*").alias("_n"))
+    roles = p.join(F.broadcast(n)).select("project_id", F.explode(each).alias("x")).select("project_id", "x.role", "x.sort_order", "x.company_id", (F.col("x.company_id") * 3).alias("contact_id")).filter("(project_id + sort_order) % 4 != 0")  # n: one row
     results = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("project_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("result_id"), (F.col("event_type") == "error").alias("needs_review"))
-    return lists.project_list(p, b.project_skills(spark, sf_dir).filter("trim(skill_name) != ''"), roles, companies(spark, sf_dir), results)
+    contacts = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("contact_id"), letters(F.col("c_custkey") + 1000000).alias("name"))
+    sent = p.filter(k % 3 != 0).select("project_id", F.concat(F.lit("Re: "), F.col("title")).alias("subject"), F.concat(F.lit("p"), (k % 100).cast("string"), F.lit("@x.example")).alias("from_email"))
+    return lists.project_list(p, b.project_skills(spark, sf_dir).filter("trim(skill_name) != ''"), roles, companies(spark, sf_dir), results, contacts, sent)
+
+
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page in the middle of all projects by falling price: rows of its range alone are sorted (a page is the feature)."""
+    rows = b.projects(spark, sf_dir).select("project_id", F.col("unit_max").alias("price"))
+    page = rows.count() // 40
+    return lists.deep_page(rows, [("price", True), ("project_id", False)], page, 20, most=2000).select("project_id", "price", "page", "pages", "place_no")
 
 
 def project_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +222,7 @@ def quality_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.source_inventory(_categorized(spark, sf_dir), _links(spark, sf_dir), _results(spark, sf_dir), _entities(spark, sf_dir))
+    return reports.source_inventory(_categorized(spark, sf_dir).withColumn("provider", F.when(F.col("mail_id") % 5 == 0, "IMPORT").otherwise("GMAIL")), _links(spark, sf_dir), _results(spark, sf_dir), _entities(spark, sf_dir))
 
 
 def mail_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,8 +252,14 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validated_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as typed-in prices, months and addresses, some of them wrong."""
     k = F.col("p_partkey")
-    rows = b.table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 6 == 0, "x1").when(k % 6 == 1, "").otherwise(F.format_string("%d,000", F.col("p_size"))).alias("price_text"), F.when(k % 7 == 0, "2026-13").otherwise("2026-07").alias("month_text"), F.when(k % 8 == 0, "no mail").when(k % 8 == 1, None).otherwise("a@x.example").alias("email"))
-    return imports.validate_entity_input(rows).select("id", "price_value", "month_value", F.array_join("errors", ",").alias("errors"))
+    text = lambda n, *values: b.choice(k % n, list(values))
+    rows = b.table(spark, sf_dir, "part").select(
+        k.alias("id"), F.when(k % 6 == 0, "x1").when(k % 6 == 1, "").otherwise(F.format_string("%d,000.9", F.col("p_size"))).alias("price_text"), F.when(k % 7 == 0, "2026-13").when(k % 7 == 1, "2026/07").otherwise(" 2026-07").alias("month_text"), text(5, "2026-02-30", "2026-02-28", "soon", " ", "2024-02-29").alias("date_text"),
+        F.when(k % 8 == 0, "no mail").when(k % 8 == 1, None).otherwise("a@x.example").alias("email"), text(4, "03-1234", "a@b", "a@b.example", "").alias("contact_text"), text(3, "Java, AWS、Java", " ／ ", "PHP").alias("list_text"), text(4, "募集中", "open", "", "終了").alias("status_text"),
+        text(6, "フルリモート", "どこでも", "", " ", "HYBRID", "").alias("remote_text"), text(5, "週2日は出社", "在宅可", "本社常駐", "", "基本リモート、月1出社").alias("remote_note"),
+    )
+    out = imports.validate_entity_input(rows, {"募集中": "OPEN", "終了": "CLOSED"})
+    return out.select("id", "price_value", "month_value", "date_value", F.array_join("list_value", "|").alias("list_value"), "status_value", "remote_value", F.array_join("errors", ",").alias("errors"))
 
 
 def import_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +274,10 @@ def import_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unclassified_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists.filter_unclassified(_categorized(spark, sf_dir), _entities(spark, sf_dir), _links(spark, sf_dir)).select("mail_id", "needs_review")
+    k = F.col("mail_id")
+    domain = F.when(k % 4 == 0, F.concat(F.lit("mail"), (k % 60).cast("string"), F.lit(".example-corp.com"))).when(k % 4 == 1, F.lit("other.example"))
+    m = _categorized(spark, sf_dir).withColumns({"from_name": F.when(k % 4 == 2, "Desk").when(k % 4 == 3, " "), "from_email": F.concat(F.lit("x@"), domain)})
+    return lists.filter_unclassified(m, _entities(spark, sf_dir), _links(spark, sf_dir), companies(spark, sf_dir)).select("mail_id", "needs_review", "sender_company", "has_result", "has_trade_ng")
 
 
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +306,7 @@ def first_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return company.first_role(rows)
 
 
-NAMES = ["unclassified_mails", "skip_reasons", "archived_mismatches", "search_history", "first_roles", "validated_inputs", "import_links", "import_runs", "inferred_companies", "sender_companies", "contact_candidates", "resolved_mails", "mail_relations", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
+NAMES = ["unclassified_mails", "skip_reasons", "archived_mismatches", "search_history", "first_roles", "validated_inputs", "import_links", "import_runs", "inferred_companies", "sender_companies", "contact_candidates", "resolved_mails", "mail_relations", "duplicate_rows", "category_mismatches", "unlinked_mails", "extraction_plan", "import_assessment", "import_summary", "import_duplicates", "field_coverage", "merged_mails", "appended_links", "project_list", "project_page", "deep_page", "confusion_metrics", "quality_counters", "source_inventory", "sensitive_documents", "sync_runs", "threads"]
 
 
 def queries() -> dict:
@@ -343,19 +364,26 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN known IS NOT NULL THEN 'ALREADY_EXTRACTED' WHEN same IS NOT NULL THEN 'SAME_SUBJECT_AND_SENDER' WHEN sub IS NOT NULL AND n > 1 THEN 'SAME_IN_BATCH' ELSE 'NEW' END AS reason, coalesce(known, same) AS entity_id,
           CASE WHEN known IS NULL AND same IS NULL AND sub IS NOT NULL AND n > 1 THEN f END AS same_as_mail FROM r""",
         "import_assessment": f"WITH {_SHEET} SELECT row_no, title, coalesce(len(skills), 0)::INT AS n_skills, coverage, warnings, CASE WHEN warnings <> '' OR same_rows > 1 THEN 'would_need_review' ELSE 'would_create' END AS action, same_rows FROM sheeted",
-        "unclassified_mails": f"WITH {ENTITIES}, {LINKS}, {CATEGORIZED} SELECT mail_id, false AS needs_review FROM cm WHERE category = 'OTHER' AND NOT is_excluded AND mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL AND status <> 'ARCHIVED') AND mail_id NOT IN (SELECT mail_id FROM links)",
+        "unclassified_mails": f"""WITH {ENTITIES}, {LINKS}, {COMPANIES}, {CATEGORIZED}, u AS (SELECT mail_id, CASE mail_id % 4 WHEN 0 THEN 'mail' || (mail_id % 60)::VARCHAR || '.example-corp.com' WHEN 1 THEN 'other.example' END AS domain FROM cm WHERE category = 'OTHER' AND NOT is_excluded
+            AND mail_id NOT IN (SELECT source_mail_id FROM entities WHERE source_mail_id IS NOT NULL AND status <> 'ARCHIVED') AND mail_id NOT IN (SELECT mail_id FROM links)),
+          d AS (SELECT domain, min({{'i': company_id, 'n': name, 's': trade_status}}) AS x FROM companies WHERE domain IS NOT NULL GROUP BY 1)
+          SELECT mail_id, false AS needs_review, coalesce(x.n, CASE mail_id % 4 WHEN 2 THEN 'Desk' WHEN 3 THEN ' ' END, u.domain, '未入力') AS sender_company, coalesce(x.s = 'OK', false) AS has_result, coalesce(x.s = 'NG', false) AS has_trade_ng FROM u LEFT JOIN d USING (domain)""",
         "skip_reasons": f"""WITH {ENTITIES}, {LINKS}, {CATEGORIZED} SELECT mail_id, CASE WHEN is_excluded THEN 'MAIL_EXCLUDED' WHEN category = 'OTHER' THEN 'NOT_AN_INTRODUCTION' WHEN mail_id IN (SELECT source_mail_id FROM entities) THEN 'ENTITY_EXISTS'
           WHEN mail_id IN (SELECT mail_id FROM links) THEN 'LINK_EXISTS' WHEN mail_id IN (SELECT mail_id FROM results) THEN 'RESULT_EXISTS' WHEN trim(body) = '' THEN 'BODY_EMPTY' END AS skip_reason FROM cm""",
         "archived_mismatches": f"WITH {ENTITIES}, {CATEGORIZED} SELECT entity_id, CASE WHEN is_excluded OR category <> 'PROJECT_INTRO' THEN 'ARCHIVED' ELSE status END AS status FROM entities LEFT JOIN cm ON source_mail_id = mail_id",
         "search_history": "SELECT * FROM (SELECT event_id AS id, user_id, event_type AS scope, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events) WHERE rank <= 20",
         "first_roles": """WITH r AS (SELECT l_orderkey AS project_id, CASE l_returnflag WHEN 'A' THEN 'PRIME' WHEN 'N' THEN 'END_USER' ELSE 'OTHER' END AS role, l_linenumber AS o, l_suppkey AS company_id FROM lineitem),
           p AS (SELECT *, CASE role WHEN 'PRIME' THEN 1 WHEN 'END_USER' THEN 2 ELSE 3 END AS p FROM r) SELECT project_id, role, company_id FROM p QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY p, o, company_id) = 1""",
-        "validated_inputs": """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 > 1 THEN p_size * 1000 END::BIGINT AS price_value, CASE WHEN p_partkey % 7 <> 0 THEN DATE '2026-07-01' END AS month_value,
-          concat_ws(',', CASE WHEN p_partkey % 6 = 0 THEN 'PRICE' END, CASE WHEN p_partkey % 7 = 0 THEN 'MONTH' END, CASE WHEN p_partkey % 8 = 0 THEN 'EMAIL' END) AS errors FROM part""",
+        "validated_inputs": """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 > 1 THEN p_size * 1000 END::BIGINT AS price_value, CASE WHEN p_partkey % 7 > 1 THEN DATE '2026-07-01' END AS month_value, CASE p_partkey % 5 WHEN 1 THEN DATE '2026-02-28' WHEN 4 THEN DATE '2024-02-29' END AS date_value,
+          ['Java|AWS', '', 'PHP'][(p_partkey % 3)::INT + 1] AS list_value, CASE p_partkey % 4 WHEN 0 THEN 'OPEN' WHEN 3 THEN 'CLOSED' END AS status_value,
+          CASE p_partkey % 6 WHEN 0 THEN 'FULL_REMOTE' WHEN 1 THEN NULL WHEN 4 THEN 'HYBRID' ELSE ['HYBRID', 'REMOTE', 'ONSITE', 'UNKNOWN', 'HYBRID'][(p_partkey % 5)::INT + 1] END AS remote_value,
+          concat_ws(',', CASE WHEN p_partkey % 6 = 0 THEN 'PRICE' END, CASE WHEN p_partkey % 7 < 2 THEN 'MONTH' END, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'DATE' END, CASE WHEN p_partkey % 8 = 0 THEN 'EMAIL' END, CASE WHEN p_partkey % 4 = 1 THEN 'CONTACT' END, CASE WHEN p_partkey % 4 = 1 THEN 'STATUS' END, CASE WHEN p_partkey % 6 = 1 THEN 'REMOTE' END) AS errors FROM part""",
         "import_links": f"WITH {_SHEET} SELECT CASE WHEN same_rows > 1 THEN 'DUPLICATE_OF' WHEN warnings <> '' THEN 'REVIEW_CANDIDATE' ELSE 'CREATED_FROM' END AS link_type, count(*) AS n FROM sheeted GROUP BY 1",
         "import_runs": f"WITH {_SHEET} SELECT 'sheet.csv' AS source, CASE WHEN max((warnings <> '')::INT) = 1 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS status, count(*) AS n_rows FROM sheeted",
         "import_summary": f"""WITH {_SHEET} SELECT 'action' AS metric, CASE WHEN warnings <> '' THEN 'would_need_review' ELSE 'would_create' END AS key, count(*) AS n FROM sheeted GROUP BY 2 UNION ALL
-          SELECT 'warning', unnest(string_split(warnings, ',')) AS key, count(*) FROM sheeted WHERE warnings <> '' GROUP BY 2 UNION ALL SELECT 'duplicate', 'same_source', count(*) FROM sheeted WHERE same_rows > 1""",
+          SELECT 'warning', unnest(string_split(warnings, ',')) AS key, count(*) FROM sheeted WHERE warnings <> '' GROUP BY 2 UNION ALL SELECT 'duplicate', 'same_source', count(*) FROM sheeted WHERE same_rows > 1 HAVING count(*) > 0
+          UNION ALL SELECT 'type', 'project', count(*) FROM sheeted UNION ALL SELECT 'required:title', CASE WHEN title IS NULL THEN 'missing' ELSE 'present' END, count(*) FROM sheeted GROUP BY 2 UNION ALL SELECT 'required:work', CASE WHEN work IS NULL THEN 'missing' ELSE 'present' END, count(*) FROM sheeted GROUP BY 2
+          UNION ALL SELECT 'required:skills', CASE WHEN skills IS NULL THEN 'missing' ELSE 'present' END, count(*) FROM sheeted GROUP BY 2""",
         "import_duplicates": """WITH r AS (SELECT p_partkey AS id, p_name AS t, p_brand AS c, [lower(p_type), string_split(p_name, ' ')[1]] AS k, p_partkey % 40 AS pl, p_size::DOUBLE AS pr FROM part),
           j AS (SELECT a.id, b.id AS existing_id, a.t = b.t AND a.c = b.c AS same, len(list_intersect(a.k, b.k)) >= 2 AS two, a.pl = b.pl AS place, abs(a.pr - b.pr) <= 5 AS near FROM r a JOIN r b ON a.id < b.id)
           SELECT id, existing_id, CASE WHEN same OR (two AND place AND near) THEN 'strong' ELSE 'weak' END AS strength FROM j WHERE same OR (two AND (place OR near))""",
@@ -365,11 +393,15 @@ def oracle_sql() -> dict[str, str]:
           SELECT CASE WHEN n > 1 OR known THEN 'skipped' ELSE 'created' END AS action, count(*) AS n FROM l GROUP BY 1""",
         "project_list": f"""WITH {b.SQL}, {COMPANIES}, k AS (SELECT project_id, coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'REQUIRED'), '') AS required_skills, coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'PREFERRED'), '') AS preferred_skills,
             coalesce(string_agg(DISTINCT skill_name, ',' ORDER BY skill_name) FILTER (skill_type = 'USED_TECHNOLOGY'), '') AS used_skills FROM project_skills WHERE trim(skill_name) <> '' GROUP BY 1),
-          ro AS (SELECT project_id, o, p, (project_id * m) % 100 AS company_id FROM projects, (VALUES (0, 3, 2), (1, 7, 1), (2, 11, 0)) v(o, m, p) WHERE (project_id + o) % 4 <> 0),
-          rn AS (SELECT project_id, arg_min_null(name, p) AS company, coalesce(string_agg(name, '>' ORDER BY o), '') AS chain FROM ro LEFT JOIN companies USING (company_id) GROUP BY 1),
+          ro AS (SELECT project_id, o, p, (project_id * m) % (SELECT count(*) FROM supplier) AS company_id FROM projects, (VALUES (0, 3, 2), (1, 7, 1), (2, 11, 0)) v(o, m, p) WHERE (project_id + o) % 4 <> 0),
+          rj AS (SELECT ro.*, name, trade_status, CASE WHEN c_custkey IS NOT NULL THEN {_letters("c_custkey + 1000000")} END AS contact FROM ro LEFT JOIN companies USING (company_id) LEFT JOIN customer ON c_custkey = company_id * 3),
+          rn AS (SELECT project_id, arg_min({{'n': name, 't': trade_status, 'c': contact}}, p) AS f, coalesce(string_agg(name, '>' ORDER BY o), '') AS chain FROM rj GROUP BY 1),
           re AS (SELECT event_id AS project_id, arg_max(event_type = 'error', {{'a': ts, 'b': event_id}}) AS nr FROM events GROUP BY 1)
-          SELECT project_id, title, status, company, chain, CASE WHEN unit_min IS NULL AND unit_max IS NULL THEN '' WHEN unit_min = unit_max THEN unit_max::VARCHAR || '万円' ELSE coalesce(unit_min::VARCHAR, '') || '〜' || coalesce(unit_max::VARCHAR, '') || '万円' END AS price_text,
-          required_skills, preferred_skills, used_skills, nr IS NOT NULL AS has_result, coalesce(nr, false) AS needs_review FROM projects LEFT JOIN k USING (project_id) LEFT JOIN rn USING (project_id) LEFT JOIN re USING (project_id)""",
+          SELECT project_id, title, status, f.n AS company, f.c AS contact, coalesce(f.t = 'OK', false) AS has_trade_result, coalesce(f.t = 'NG', false) AS has_trade_ng, chain, CASE WHEN unit_min IS NULL AND unit_max IS NULL THEN '' WHEN unit_min = unit_max THEN unit_max::VARCHAR || '万円' ELSE coalesce(unit_min::VARCHAR, '') || '〜' || coalesce(unit_max::VARCHAR, '') || '万円' END AS price_text,
+          coalesce(unit_max, unit_min, 0) AS price_value, required_skills, preferred_skills, used_skills, CASE WHEN project_id % 3 <> 0 THEN 'Re: ' || title END AS mail_subject, CASE WHEN project_id % 3 <> 0 THEN 'p' || (project_id % 100)::VARCHAR || '@x.example' END AS mail_from, nr IS NOT NULL AS has_result, coalesce(nr, false) AS needs_review
+          FROM projects LEFT JOIN k USING (project_id) LEFT JOIN rn USING (project_id) LEFT JOIN re USING (project_id)""",
+        "deep_page": f"""WITH {b.SQL}, n AS (SELECT count(*) AS n FROM projects), w AS (SELECT project_id, unit_max AS price, row_number() OVER (ORDER BY unit_max DESC, project_id) AS place_no FROM projects)
+          SELECT project_id, price, greatest(1, n // 40)::INT AS page, greatest(1, (n + 19) // 20)::INT AS pages, place_no FROM w, n WHERE place_no > (greatest(1, n // 40) - 1) * 20 AND place_no <= greatest(1, n // 40) * 20""",
         "project_page": f"""WITH {b.SQL}, f AS (SELECT project_id, unit_max AS price FROM projects WHERE contains(lower(title), 'urgent') AND (start_month IS NULL OR strftime(start_month, '%Y-%m') >= '1997-01') AND unit_max >= 40 AND is_focus AND status = 'OPEN')
           SELECT project_id, price, 2 AS page, (SELECT greatest(1, ceil(count(*) / 20))::INT FROM f) AS pages, row_number() OVER (ORDER BY price DESC, project_id)::INT AS place_no FROM f ORDER BY price DESC, project_id LIMIT 20 OFFSET 20""",
         "confusion_metrics": """WITH l AS (SELECT quality::VARCHAR AS t, toxic::VARCHAR AS p FROM labels), n AS (SELECT DISTINCT label FROM (SELECT t AS label FROM l UNION ALL SELECT p FROM l)),
@@ -380,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'skills' AS metric, CASE WHEN n <= 0 THEN '0' WHEN n <= 3 THEN '1-3' WHEN n <= 6 THEN '4-6' WHEN n <= 10 THEN '7-10' WHEN n <= 15 THEN '11-15' ELSE '16+' END AS key, count(*) AS n FROM n GROUP BY 2 UNION ALL
           SELECT 'score', CASE WHEN n <= 0 THEN '0' WHEN n <= 2 THEN '1-2' WHEN n <= 5 THEN '3-5' WHEN n <= 9 THEN '6-9' ELSE '10+' END, count(*) FROM n GROUP BY 2""",
         "source_inventory": f"""WITH {ENTITIES}, {LINKS}, {CATEGORIZED}
-          SELECT 'mail_category' AS metric, category AS key, count(*) AS n FROM cm GROUP BY 2 UNION ALL SELECT 'mail_excluded', is_excluded::VARCHAR, count(*) FROM cm GROUP BY 2 UNION ALL SELECT 'link_type', link_type, count(*) FROM links GROUP BY 2 UNION ALL SELECT 'result_target', target, count(*) FROM results GROUP BY 2
+          SELECT 'mail_category' AS metric, category AS key, count(*) AS n FROM cm GROUP BY 2 UNION ALL SELECT 'mail_excluded', is_excluded::VARCHAR, count(*) FROM cm GROUP BY 2 UNION ALL SELECT 'link_type', link_type, count(*) FROM links GROUP BY 2 UNION ALL SELECT 'result_target', target, count(*) FROM results GROUP BY 2 UNION ALL SELECT 'result_review', review_status, count(*) FROM results GROUP BY 2 UNION ALL SELECT 'mail_provider', CASE WHEN mail_id % 5 = 0 THEN 'IMPORT' ELSE 'GMAIL' END, count(*) FROM cm GROUP BY 2
           UNION ALL SELECT 'entity_type', entity_type || ':' || status, count(*) FROM entities GROUP BY 2 UNION ALL SELECT 'entity_source', CASE WHEN source_mail_id IS NULL THEN 'without_mail' ELSE 'with_mail' END, count(*) FROM entities GROUP BY 2 UNION ALL SELECT 'mail_derived', entity_type, count(*) FROM entities WHERE starts_with(code, 'GMAIL-') GROUP BY 2
           UNION ALL SELECT 'mails_with_links', '', count(*) FROM cm WHERE mail_id IN (SELECT mail_id FROM links) UNION ALL SELECT 'mails_with_results', '', count(*) FROM cm WHERE mail_id IN (SELECT mail_id FROM results) UNION ALL SELECT 'mails_with_entities', '', count(*) FROM cm WHERE mail_id IN (SELECT source_mail_id FROM entities)
           UNION ALL SELECT 'orphan_links', '', count(*) FROM links WHERE mail_id NOT IN (SELECT mail_id FROM cm) UNION ALL SELECT 'orphan_results', '', count(*) FROM results WHERE mail_id NOT IN (SELECT mail_id FROM cm)""",

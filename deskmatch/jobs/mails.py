@@ -67,7 +67,10 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mail_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.mail_stats(classify.classify_mails(mails(spark, sf_dir), RULES, STRONG), "2024-01-01 06:00:00")
+    """Counts of classified mails; lines stand for links of mails to entities."""
+    line = b.table(spark, sf_dir, "lineitem")
+    links = line.select(F.when(F.col("l_orderkey") % 2 == 0, "PROJECT").otherwise("PERSON").alias("entity_type"), F.when(F.col("l_returnflag") == "R", "REVIEW_CANDIDATE").otherwise("EXTRACTED").alias("link_type"))
+    return reports.mail_stats(classify.classify_mails(mails(spark, sf_dir), RULES, STRONG), "2024-01-01 06:00:00", links)
 
 
 def sender_subject_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +198,8 @@ def oracle_sql() -> dict[str, str]:
           regexp_matches(h, '(^|[^a-z0-9])sql([^a-z0-9]|$)') OR len(list_filter(regexp_extract_all(h, '[a-z0-9][a-z0-9.+#-]*'), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g') IN ('mysql', 'postgresql', 'mssql', 'plsql', 'tsql', 'sqlserver'))) > 0 AS has_sql FROM h)
           SELECT * FROM r WHERE has_ed OR has_tion OR has_sql""",
         "mail_stats": f"""WITH {CLASSIFIED}, k AS (SELECT 'total' AS metric, '' AS key, count(*) AS n FROM c UNION ALL SELECT 'since', '', count(*) FILTER (received_at >= TIMESTAMP '2024-01-01 06:00:00') FROM c
-          UNION ALL SELECT 'category', category || ':' || CASE WHEN is_excluded THEN 'excluded' ELSE 'open' END, count(*) FROM c GROUP BY 2) SELECT k.*, a AS first_received, z AS last_received FROM k, (SELECT min(received_at) AS a, max(received_at) AS z FROM c)""",
+          UNION ALL SELECT 'category', category || ':' || CASE WHEN is_excluded THEN 'excluded' ELSE 'open' END, count(*) FROM c GROUP BY 2
+          UNION ALL SELECT 'link', CASE WHEN l_orderkey % 2 = 0 THEN 'PROJECT' ELSE 'PERSON' END || ':' || CASE WHEN l_returnflag = 'R' THEN 'REVIEW_CANDIDATE' ELSE 'EXTRACTED' END, count(*) FROM lineitem GROUP BY 2) SELECT k.*, a AS first_received, z AS last_received FROM k, (SELECT min(received_at) AS a, max(received_at) AS z FROM c)""",
         "sender_subject_groups": f"WITH {MAILS}, n AS (SELECT lang AS from_email, lower(trim(regexp_replace(regexp_replace(subject, '^\\s*(re|fw|fwd)\\s*:\\s*', '', 'i'), '\\s+', ' ', 'g'))) AS subject_key FROM mails) SELECT from_email, subject_key, count(*) AS n_mails FROM n GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 3 DESC, 1, 2 LIMIT 20",
         "extracted_projects": EXTRACTED,
     }

@@ -301,9 +301,12 @@ def coverage_summary(assessed: DataFrame) -> DataFrame:
     return assessed.groupBy("source").agg(F.count("*").alias("n_rows"), F.round(F.avg("coverage"), 4).alias("average_coverage"), F.count_if(weak).alias("n_weak"), F.count_if(F.size("warnings") == 0).alias("n_clean"))
 
 
-def import_summary(assessed: DataFrame) -> DataFrame:
-    """Long table (metric, key, n): actions, warnings, duplicates."""
-    found = F.concat(F.array(F.struct(F.lit("action").alias("metric"), F.col("action").alias("key"))), F.transform("warnings", lambda w: F.struct(F.lit("warning").alias("metric"), w.alias("key"))), F.when(F.col("same_rows") > 1, F.array(F.struct(F.lit("duplicate").alias("metric"), F.lit("same_source").alias("key")))).otherwise(F.array().cast("array<struct<metric:string,key:string>>")))
+def import_summary(assessed: DataFrame, kind: str) -> DataFrame:
+    """Long table (metric, key, n): types, actions, warnings, duplicates, and for each required field the rows that have it or lack it."""
+    pair = lambda metric, key: F.struct(F.lit(metric).alias("metric"), key.alias("key"))
+    state = lambda f: F.when(F.col(f).isNotNull(), "present").otherwise("missing")
+    single = [pair("type", F.lit(kind)), pair("action", F.col("action")), *(pair(f"required:{f}", state(f)) for f in REQUIRED[kind]), F.when(F.col("same_rows") > 1, pair("duplicate", F.lit("same_source")))]
+    found = F.concat(F.array_compact(F.array(*single)), F.transform("warnings", lambda w: pair("warning", w)))
     return assessed.select(F.explode(found).alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"))
 
 
@@ -335,12 +338,51 @@ def run_status(assessed: DataFrame) -> DataFrame:
     return assessed.groupBy("source").agg(F.when(bad, "PARTIAL").otherwise("SUCCEEDED").alias("status"), F.count("*").alias("n_rows"))
 
 
-def validate_entity_input(rows: DataFrame) -> DataFrame:
-    """Adds parsed price, month and e-mail of texts price_text, month_text, email, and an array of errors."""
-    price = F.regexp_replace("price_text", ",", "").try_cast("double")
-    month = r"^(\d{4})[-/](\d{1,2})"
-    ok_month = F.col("month_text").rlike(month) & F.regexp_extract("month_text", month, 2).try_cast("int").between(1, 12)
-    ok_mail = F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+\z")
-    given = lambda c: filled(trimmed(F.col(c))).isNotNull()
-    tests = [(given("price_text") & price.isNull(), "PRICE"), (given("month_text") & ~ok_month, "MONTH"), (given("email") & ~ok_mail, "EMAIL")]
-    return rows.withColumns({"price_value": price.cast("long"), "month_value": F.when(ok_month, F.make_date(F.regexp_extract("month_text", month, 1).cast("int"), F.regexp_extract("month_text", month, 2).cast("int"), F.lit(1))), "errors": F.array_compact(F.array(*(F.when(t, c) for t, c in tests)))})
+#: What may be chosen for remote work, and patterns that tell it from a text, in order.
+REMOTE_CHOICES = {"未確認": "UNKNOWN", "常駐": "ONSITE", "リモート併用": "HYBRID", "一部リモート": "HYBRID", "リモート": "REMOTE", "フルリモート": "FULL_REMOTE", "UNKNOWN": "UNKNOWN", "ONSITE": "ONSITE", "HYBRID": "HYBRID", "REMOTE": "REMOTE", "FULL_REMOTE": "FULL_REMOTE"}
+REMOTE_TEXTS = [("フルリモート|フルリモ|完全リモート", "FULL_REMOTE"), ("リモート併用|一部リモート|ハイブリッド|基本リモート.*出社|出社.*リモート|週[1-5].*出社", "HYBRID"), ("リモート|在宅", "REMOTE"), ("常駐|オンサイト|出社", "ONSITE")]
+
+
+def chosen(c: Column, options: dict[str, str]) -> Column:
+    """The option that a trimmed text names, or null."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in options.items() for x in pair)), c)
+
+
+def validate_entity_input(rows: DataFrame, statuses: dict[str, str]) -> DataFrame:
+    """Parsed values of the texts that rows have, with an array of errors (codes in this order).
+
+    price_text: price_value (commas aside, cut to a whole number), PRICE; month_text (YYYY-MM): month_value, MONTH; date_text
+    (YYYY-MM-DD): date_value, DATE; email: EMAIL; contact_text, an address if it has an @: CONTACT; list_text: list_value, its
+    distinct items; status_text: status_value, one of statuses, STATUS; remote_text: remote_value, a choice, or, if blank,
+    what remote_note says, REMOTE. Blank texts are null and no error.
+    """
+    text = lambda c: filled(trimmed(F.col(c)))
+    values, tests = {}, []
+
+    def field(name: str, value: Column | None, code: str, wrong: Column) -> None:
+        if value is not None:
+            values[name] = value
+        tests.append((wrong, code))
+
+    if "price_text" in rows.columns:
+        price = F.regexp_replace(text("price_text"), ",", "").try_cast("double")
+        field("price_value", price.cast("long"), "PRICE", text("price_text").isNotNull() & (price.isNull() | F.isnan(price) | (F.abs(price) == float("inf"))))
+    for name, form, more in (("month", "^\\d{4}-\\d{2}\\z", "-01"), ("date", "^\\d{4}-\\d{2}-\\d{2}\\z", "")):
+        if f"{name}_text" in rows.columns:
+            day = F.when(text(f"{name}_text").rlike(form), F.concat(text(f"{name}_text"), F.lit(more)).try_cast("date"))
+            field(f"{name}_value", day, name.upper(), text(f"{name}_text").isNotNull() & day.isNull())
+    address = r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"
+    if "email" in rows.columns:
+        field("email", None, "EMAIL", text("email").isNotNull() & ~text("email").rlike(address))
+    if "contact_text" in rows.columns:
+        field("contact_text", None, "CONTACT", F.contains(text("contact_text"), F.lit("@")) & ~text("contact_text").rlike(address))
+    if "list_text" in rows.columns:
+        items = F.transform(F.split(F.coalesce("list_text", F.lit("")), "[\\n,、/／]+"), trimmed)
+        values["list_value"] = F.array_distinct(F.filter(items, lambda x: x != ""))
+    if "status_text" in rows.columns:
+        field("status_value", chosen(text("status_text"), statuses), "STATUS", text("status_text").isNotNull() & chosen(text("status_text"), statuses).isNull())
+    if "remote_text" in rows.columns:
+        said = F.coalesce(text("remote_note") if "remote_note" in rows.columns else F.lit(None).cast("string"), F.lit(""))
+        inferred = F.coalesce(*(F.when(said.rlike(f"(?i){p}"), v) for p, v in REMOTE_TEXTS), F.lit("UNKNOWN"))
+        field("remote_value", F.when(text("remote_text").isNull(), inferred).otherwise(chosen(text("remote_text"), REMOTE_CHOICES)), "REMOTE", text("remote_text").isNotNull() & chosen(text("remote_text"), REMOTE_CHOICES).isNull())
+    return rows.withColumns({**values, "errors": F.array_compact(F.array(*(F.when(t, c) for t, c in tests)))})

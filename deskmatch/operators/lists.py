@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import matches_term
+from ..functions.text import email_domain, filled, matches_term
+from .company import sender_company
 
 
 def search_text(*columns: str):
@@ -76,11 +77,70 @@ def filter_persons(rows: DataFrame, text: str = "", exclude: str = "", ids: str
     return out
 
 
-def filter_unclassified(mails: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
-    """Mails left to a person: three categories, not excluded, without an active entity or link."""
+def filter_unclassified(mails: DataFrame, entities: DataFrame, links: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """Mails left to a person: three categories, not excluded, without an active entity or link.
+
+    companies (company_id, name, domain, trade_status): adds the sender's company (or name, or domain) and its trade flags, for mails with from_name and from_email.
+    """
     out = mails.filter("category IN ('OTHER', 'NEEDS_REVIEW', 'NORMAL_CONTACT') AND NOT is_excluded")
     active = entities.filter("status != 'ARCHIVED'").select(F.col("source_mail_id").alias("mail_id")).distinct()
-    return out.join(active, "mail_id", "left_anti").join(links.select("mail_id").distinct(), "mail_id", "left_anti").withColumn("needs_review", F.col("category") == "NEEDS_REVIEW")
+    out = out.join(active, "mail_id", "left_anti").join(links.select("mail_id").distinct(), "mail_id", "left_anti").withColumn("needs_review", F.col("category") == "NEEDS_REVIEW")
+    if companies is None:
+        return out
+    found = sender_company(out, companies).join(companies.select("company_id", "trade_status"), "company_id", "left").select("mail_id", "company_name", F.coalesce("trade_status", F.lit("UNKNOWN")).alias("_status"))
+    out = out.join(found, "mail_id", "left")
+    sender = F.coalesce("company_name", filled(F.col("from_name")), email_domain(F.col("from_email")), F.lit("未入力"))
+    return out.withColumns({"sender_company": sender, "has_result": F.col("_status") == "OK", "has_trade_ng": F.col("_status").isin("NG", "SUSPENDED")}).drop("_status")
+
+
+def _before(order: list[tuple[str, bool]], values: tuple) -> Column:
+    """Does a row stand before the values in an order of (column, descending)? Nulls are first, or last in a descending column."""
+    out = F.lit(False)
+    for (column, descending), value in reversed(list(zip(order, values))):
+        x = F.col(column)
+        if value is None:
+            less, same = (x.isNotNull() if descending else F.lit(False)), x.isNull()
+        else:
+            less, same = (F.coalesce(x > value, F.lit(False)) if descending else (x < value) | x.isNull()), F.coalesce(x == value, F.lit(False))
+        out = less | (same & out)
+    return out
+
+
+def deep_page(rows: DataFrame, order: list[tuple[str, bool]], page: int, size: int, cuts: int = 64, most: int = 100_000) -> DataFrame:
+    """A page of rows in an order of (column, descending) with its number, of how many pages, and each row's place.
+
+    The order has to tell all rows apart. Instead of sorting what comes before the page, rows are counted in ranges between
+    cuts drawn from them, and the range that the page begins in is cut again, until it has at most so many rows; only these
+    and what fills the page from the next ones are sorted. Each pass over the rows gives a count for each range.
+    """
+    names = [c for c, _ in order]
+    by = [F.desc(c) if d else F.asc(c) for c, d in order]
+    total, found, first = rows.count(), rows, 0
+    pages = max(1, -(-total // size))
+    page = min(max(1, page), pages)
+    start, held = (page - 1) * size, total
+    while held > most:
+        drawn = found.select(*names).orderBy(F.xxhash64(*names)).limit(cuts).collect()  # the cuts
+        edges = [tuple(r) for r in found.sparkSession.createDataFrame(drawn, found.select(*names).schema).orderBy(*by).collect()]
+        at = sum((F.when(_before(order, e), 0).otherwise(1) for e in edges), F.lit(0))
+        counts = dict(found.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect())
+        before = first
+        k = 0
+        while before + counts.get(k, 0) <= start and k < len(edges):
+            before, k = before + counts.get(k, 0), k + 1
+        end = k  # the page may go on in the next ranges
+        taken = counts.get(k, 0)
+        while before + taken < min(start + size, total) and end < len(edges):
+            end += 1
+            taken += counts.get(end, 0)
+        if taken == held:
+            break
+        lower = ~_before(order, edges[k - 1]) if k else F.lit(True)
+        upper = _before(order, edges[end]) if end < len(edges) else F.lit(True)
+        found, first, held = found.filter(lower & upper), before, taken
+    out = found.orderBy(*by).offset(start - first).limit(size)
+    place = F.row_number().over(Window.orderBy(*by)) + start
+    return out.withColumns({"page": F.lit(page), "pages": F.lit(pages), "place_no": place.cast("long")})
 
 
 def sorted_rows(rows: DataFrame, sort: str, name: str, price: str, key: str) -> DataFrame:
@@ -99,17 +159,25 @@ def paginate(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return found.withColumns({"page": F.lit(page), "pages": F.lit(pages), "place_no": place})
 
 
-def project_list(projects: DataFrame, skills: DataFrame, roles: DataFrame, companies: DataFrame, results: DataFrame) -> DataFrame:
-    """One wide row a project: skills by type, first role's company, chain of roles, price text, whether a result is there. Children are reduced to one row before joins."""
+def project_list(projects: DataFrame, skills: DataFrame, roles: DataFrame, companies: DataFrame, results: DataFrame, contacts: DataFrame, mails: DataFrame) -> DataFrame:
+    """One wide row a project: skills by type, first role's company, its trade flags and contact, chain of roles, price as text and value, its mail, whether a result is there. Children are reduced to one row before joins.
+
+    roles: project_id, role, sort_order, company_id, contact_id; companies: company_id, name, trade_status; contacts: contact_id, name; mails: project_id, subject, from_email.
+    """
     of = lambda t: F.array_join(F.array_sort(F.collect_set(F.when(F.col("skill_type") == t, F.col("skill_name")))), ",")
     skill_rows = skills.groupBy("project_id").agg(of("REQUIRED").alias("required_skills"), of("PREFERRED").alias("preferred_skills"), of("USED_TECHNOLOGY").alias("used_skills"))
-    named = roles.join(companies.select("company_id", "name"), "company_id", "left")
+    named = roles.join(companies.select("company_id", "name", "trade_status"), "company_id", "left").join(contacts.select("contact_id", F.col("name").alias("contact")), "contact_id", "left")
     place = F.when(F.col("role") == "UPPER", 0).when(F.col("role") == "PRIME", 1).when(F.col("role") == "END_USER", 2).otherwise(3)
-    role_rows = named.groupBy("project_id").agg(F.min_by("name", F.struct(place, "sort_order")).alias("company"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "name"))), lambda x: x["name"]), ">").alias("chain"))
+    first = F.min_by(F.struct("name", "trade_status", "contact"), F.struct(place, "sort_order"))
+    role_rows = named.groupBy("project_id").agg(first.alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "name"))), lambda x: x["name"]), ">").alias("chain"))
     newest = results.groupBy("project_id").agg(F.max_by("needs_review", F.struct("created_at", "result_id")).alias("needs_review"))
     price = F.when(F.col("unit_min").isNull() & F.col("unit_max").isNull(), "").when(F.col("unit_min") == F.col("unit_max"), F.concat("unit_max", F.lit("万円"))).otherwise(F.concat(F.coalesce(F.col("unit_min").cast("string"), F.lit("")), F.lit("〜"), F.coalesce(F.col("unit_max").cast("string"), F.lit("")), F.lit("万円")))
-    out = projects.drop("needs_review").join(skill_rows, "project_id", "left").join(role_rows, "project_id", "left").join(newest, "project_id", "left")
-    return out.select("project_id", "title", "status", "company", "chain", price.alias("price_text"), "required_skills", "preferred_skills", "used_skills", F.col("needs_review").isNotNull().alias("has_result"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
+    out = projects.drop("needs_review").join(skill_rows, "project_id", "left").join(role_rows, "project_id", "left").join(newest, "project_id", "left").join(mails.select("project_id", "subject", "from_email"), "project_id", "left")
+    status = F.coalesce("_first.trade_status", F.lit("UNKNOWN"))
+    return out.select(
+        "project_id", "title", "status", F.col("_first.name").alias("company"), F.col("_first.contact").alias("contact"), (status == "OK").alias("has_trade_result"), status.isin("NG", "SUSPENDED").alias("has_trade_ng"), "chain", price.alias("price_text"), F.coalesce("unit_max", "unit_min", F.lit(0)).alias("price_value"),
+        "required_skills", "preferred_skills", "used_skills", F.col("subject").alias("mail_subject"), F.col("from_email").alias("mail_from"), F.col("needs_review").isNotNull().alias("has_result"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"),
+    )
 
 
 def person_list(persons: DataFrame, skills: DataFrame, companies: DataFrame, contacts: DataFrame, results: DataFrame) -> DataFrame:

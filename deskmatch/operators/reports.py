@@ -22,12 +22,15 @@ SENSITIVE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"https?://", r"
 RISKY_CODES = "LOW_CONFIDENCE|SUBJECT_ONLY|CONFLICT|OVER_EXTRACTION|MISSING|DUPLICATE|EXISTING_ENTITY|REJECTED"
 
 
-def mail_stats(mails: DataFrame, since: str) -> DataFrame:
-    """Long table (metric, key, n) of totals and (category, state) counts, with the first and last time received."""
+def mail_stats(mails: DataFrame, since: str, links: DataFrame | None = None) -> DataFrame:
+    """Long table (metric, key, n) of totals, (category, state) counts and, if given, links of mails to entities by type (entity_type, link_type), with the first and last time received."""
     state = F.concat_ws(":", "category", F.when(F.col("is_excluded"), "excluded").otherwise("open"))
     kind = lambda metric, key, one: F.struct(F.lit(metric).alias("metric"), key.alias("key"), F.coalesce(one, F.lit(0)).cast("long").alias("one"))
     kinds = F.array(kind("total", F.lit(""), F.lit(1)), kind("since", F.lit(""), (F.col("received_at") >= F.to_timestamp(F.lit(since))).cast("int")), kind("category", state, F.lit(1)))
     counts = mails.select(F.explode(kinds).alias("k")).groupBy("k.metric", "k.key").agg(F.sum("k.one").alias("n"))
+    if links is not None:
+        linked = links.groupBy(F.concat_ws(":", "entity_type", "link_type").alias("key")).agg(F.count("*").alias("n"))
+        counts = counts.unionByName(linked.select(F.lit("link").alias("metric"), "key", "n"))
     span = mails.agg(F.min("received_at").alias("first_received"), F.max("received_at").alias("last_received"))
     return counts.join(F.broadcast(span))  # span: one row
 
@@ -48,6 +51,24 @@ def classification_audit(mails: DataFrame, most: int = 50) -> DataFrame:
     return mails.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n_mails"), F.count_distinct(domain).alias("n_domains"), F.max("received_at").alias("newest")).orderBy(F.desc("n_mails"), "pattern").limit(most)
 
 
+#: Categories of mails that are left to a person.
+LEFT_OVER = ["OTHER", "NEEDS_REVIEW", "NORMAL_CONTACT"]
+
+
+def classification_changes(mails: DataFrame, again: DataFrame, senders: int = 30) -> DataFrame:
+    """Long table (metric, key, n, newest) of what a classification left and what another run would do.
+
+    mails: mail_id, category, is_excluded, from_email, received_at; again: mail_id, category of a new run. Metrics: category (with
+    its state), change (old>new, of mails not excluded), and sender (the senders with most mails left to a person).
+    """
+    both = mails.join(again.select("mail_id", F.col("category").alias("_new")), "mail_id", "left")
+    row = lambda metric, key: F.struct(F.lit(metric).alias("metric"), key.alias("key"))
+    kinds = [row("category", F.concat_ws(":", "category", F.when(F.col("is_excluded"), "excluded").otherwise("open"))), F.when(~F.col("is_excluded"), row("change", F.concat_ws(">", "category", F.coalesce("_new", F.lit("none")))))]
+    counts = both.select("received_at", F.explode(F.array_compact(F.array(*kinds))).alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"), F.max("received_at").alias("newest"))
+    left = mails.filter(F.col("category").isin(LEFT_OVER) & ~F.col("is_excluded")).groupBy(F.lit("sender").alias("metric"), F.lower("from_email").alias("key")).agg(F.count("*").alias("n"), F.max("received_at").alias("newest"))
+    return counts.unionByName(left.orderBy(F.desc("n"), "key").limit(senders))
+
+
 def bucket(score: Column, bounds: list[int]) -> Column:
     """Label of the range a count falls in, e.g. bounds 0, 2, 5, 9: 0, 1-2, 3-5, 6-9, 10+."""
     out, low = F.lit(f"{bounds[-1] + 1}+"), None
@@ -90,7 +111,7 @@ def confusion_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def source_inventory(mails: DataFrame, links: DataFrame, results: DataFrame, entities: DataFrame) -> DataFrame:
-    """Counts by kind: mails by category and exclusion, links by type, results by target, entities by type and state, with and without a mail and made from mails; mails with links, results, entities; links and results without a mail."""
+    """Counts by kind: mails by category, provider and exclusion, links by type, results by target and review status, entities by type and state, with and without a mail and made from mails; mails with links, results, entities; links and results without a mail."""
     of = lambda rows, metric, key: rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "key", "n")
     one = lambda rows, metric: rows.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), F.lit("").alias("key"), "n")
     ids = mails.select("mail_id")
@@ -98,7 +119,7 @@ def source_inventory(mails: DataFrame, links: DataFrame, results: DataFrame, ent
     with_ = lambda rows: ids.join(rows.select("mail_id").distinct(), "mail_id", "left_semi")
     orphans = lambda rows: rows.join(ids, "mail_id", "left_anti")
     counts = [
-        of(mails, "mail_category", F.col("category")), of(mails, "mail_excluded", F.col("is_excluded").cast("string")), of(links, "link_type", F.col("link_type")), of(results, "result_target", F.col("target")),
+        of(mails, "mail_category", F.col("category")), of(mails, "mail_provider", F.col("provider")), of(results, "result_review", F.col("review_status")), of(mails, "mail_excluded", F.col("is_excluded").cast("string")), of(links, "link_type", F.col("link_type")), of(results, "result_target", F.col("target")),
         of(entities, "entity_type", F.concat_ws(":", "entity_type", "status")), of(entities, "entity_source", F.when(F.col("source_mail_id").isNull(), "without_mail").otherwise("with_mail")), of(entities.filter(F.col("code").startswith("GMAIL-")), "mail_derived", F.col("entity_type")),
         one(with_(links), "mails_with_links"), one(with_(results), "mails_with_results"), one(with_(sources), "mails_with_entities"), one(orphans(links), "orphan_links"), one(orphans(results), "orphan_results"),
     ]

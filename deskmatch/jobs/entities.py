@@ -37,7 +37,7 @@ def customer_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.when(k % 5 == 0, F.concat(F.lit("a.mail"), F.floor(k / 25).cast("string"), F.lit(".example-corp.com"))).when(k % 5 == 1, "gmail.com").when(k % 5 == 2, F.concat(F.lit("big-desk"), (k % 10).cast("string"), F.lit(".example.jp")))
     name = F.when(k % 5 == 3, F.concat(letters(F.floor(k / 15)), F.lit(" desk"))).when(k % 10 == 4, F.concat(letters(k + 5000000), F.lit(" Systems | Taro Yamada")))
     signature = F.when(k % 10 == 9, F.concat(F.lit("Taro\n"), letters(k + 6000000), F.lit(" Holdings\ntel 03-1234-5678")))
-    return b.table(spark, sf_dir, "customer").select(k.alias("mail_id"), F.concat(F.lit("x@"), domain).alias("from_email"), name.alias("from_name"), F.when(k % 5 == 3, F.concat(letters(F.floor(k / 15)), F.lit(" KK"))).alias("label"), signature.alias("signature"))
+    return b.dealt_out(b.table(spark, sf_dir, "customer")).select(k.alias("mail_id"), F.concat(F.lit("x@"), domain).alias("from_email"), name.alias("from_name"), F.when(k % 5 == 3, F.concat(letters(F.floor(k / 15)), F.lit(" KK"))).alias("label"), signature.alias("signature"))
 
 
 CUSTOMER_MAILS = f"""cmail AS (SELECT c_custkey AS mail_id, CASE c_custkey % 5 WHEN 0 THEN 'a.mail' || (c_custkey // 25)::VARCHAR || '.example-corp.com' WHEN 1 THEN 'gmail.com' WHEN 2 THEN 'big-desk' || (c_custkey % 10)::VARCHAR || '.example.jp' END AS domain,
@@ -68,7 +68,7 @@ def contact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(j % 6 == 0, F.concat(F.substring(letters(n), 1, 9), F.lit("z"))).when(j % 8 == 2, F.concat(letters(n), F.lit("japan"))).when(j % 2 == 0, letters(n))
     mail = F.when(j % 3 == 0, F.concat(F.lit("p"), F.floor(j / 12).cast("string"), F.lit("@mail"), F.floor(j / 24).cast("string"), F.lit(".example-corp.com")))
     who = F.when(j % 5 == 0, F.concat_ws(" ", letters(n + 2000000), letters(n + 1000000))).when(j % 5 == 1, F.concat_ws(" ", letters(n + 1000000), letters(n + 2000000))).when(j % 5 == 2, F.concat_ws(" ", letters(n + 1000000), F.concat(F.substring(letters(n + 2000000), 1, 9), F.lit("z"))))
-    return company.contact_candidates(b.table(spark, sf_dir, "customer").select(j.alias("entity_id"), name.alias("company"), mail.alias("email"), who.alias("contact")), contacts, 3)
+    return company.contact_candidates(b.dealt_out(b.table(spark, sf_dir, "customer")).select(j.alias("entity_id"), name.alias("company"), mail.alias("email"), who.alias("contact")), contacts, 3)
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import EMAIL, email_domain, filled, replaced, trimmed
+from ..sources.tables import dealt_out, written
 from .matching import plain
 
 #: Free-mail domains, legal words of company names, and points.
@@ -99,33 +100,79 @@ def rarest(names: DataFrame, runs: DataFrame, counts: DataFrame, most: Column) -
 
 
 def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """text and name: distinct texts that hold a name. Both meet by the name's rarest run of four characters, or by the whole of a shorter name."""
+    """text and name: distinct texts that hold a name. Both meet by the name's rarest run of eight characters (of four, if it is shorter), or by the whole of a name below four; a name of which no text has some run is in none."""
     texts, names = texts.select(F.col(texts.columns[0]).alias("text")).distinct(), names.select(F.col(names.columns[0]).alias("name")).distinct()
     met = []
-    for n in (1, 2, 3, 4):
-        own = names.filter((F.length("name") == n) if n < 4 else (F.length("name") >= n))
+    for n, below in ((1, 2), (2, 3), (3, 4), (4, 8), (8, None)):
+        own = names.filter((F.length("name") >= n) & (F.lit(True) if below is None else F.length("name") < below))
         held = texts.filter(F.length("text") >= n).select("text", F.explode(grams(F.col("text"), n)).alias("g"))
-        if n == 4:
-            runs = own.select("name", F.explode(grams(F.col("name"), n)).alias("g"))
-            own = rarest(own, runs, held.groupBy("g").agg(F.count("*").alias("n")), F.lit(1))
+        if n >= 4:
+            runs = own.withColumn("runs", grams(F.col("name"), n)).select("name", F.size("runs").alias("of"), F.explode("runs").alias("g"))
+            counts = held.groupBy("g").agg(F.count("*").alias("n"))
+            best = runs.join(counts.hint("merge"), "g").groupBy("name", "of").agg(F.count("*").alias("known"), F.min(F.struct("n", "g")).alias("x"))
+            own = best.filter(F.col("known") == F.col("of")).select("name", "x.g")
         else:
             own = own.withColumn("g", F.col("name"))
-        met.append(held.join(own, "g").filter(F.contains("text", "name")).select("text", "name"))
+        met.append(held.join(own.hint("merge"), "g").filter(F.contains("text", "name")).select("text", "name"))
     return reduce(DataFrame.unionByName, met)
 
 
+def without_one(c: Column) -> Column:
+    """The text and what is left of it without one of its characters."""
+    return F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
+
+
+def shortened(c: Column, most: Column) -> Column:
+    """Hashes of the text and of what is left of it without up to most (0 to 2) characters. Two texts of that many edits have one in common."""
+    one, two = without_one(c), F.flatten(F.transform(without_one(c), without_one))
+    left = F.when(most <= 0, F.array(c)).when(most == 1, one).otherwise(two)
+    return F.array_distinct(F.transform(left, lambda x: F.xxhash64(x)))
+
+
+#: Most edits for which names meet whole, and for which they meet by halves.
+WHOLE, HALVES = 2, 5
+
+
+def edit_keys(names: DataFrame, least: float, splits: bool) -> DataFrame:
+    """name and k: keys of which two names have one in common if they differ in edits that least allows, HALVES at most.
+
+    Names of up to WHOLE edits meet without as many characters. With more, one of two halves has half of the edits; the names of
+    one side (splits) are cut in the middle, those of the other wherever the middle of a close name may lie.
+    """
+    size = F.length("name")
+    edits = lambda n: F.floor(n * ((1 - least) / least) + 1e-9).cast("int")
+    k = F.least(edits(size), F.lit(HALVES))
+    whole = F.when((edits(size) > 0) & (edits(F.greatest(size - WHOLE, F.lit(0))) <= WHOLE), F.transform(shortened(F.col("name"), F.least(k, F.lit(WHOLE))), lambda x: F.struct(F.lit("whole").alias("part"), x.alias("h"))))
+    spare = (k / 2).cast("int")
+
+    def ends(part: str) -> Column:
+        middle = (lambda n: F.floor(n / 2)) if part == "first" else (lambda n: n - F.floor(n / 2))
+        piece = lambda n: F.substring(F.col("name"), F.lit(1) if part == "first" else (size - n + 1).cast("int"), n.cast("int"))
+        sizes = F.array(middle(size)) if splits else F.sequence(F.greatest(middle(size - k) - spare, F.lit(0)), F.least(middle(size + k) + spare, size))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(shortened(piece(n), spare), lambda x: F.struct(F.lit(part).alias("part"), x.alias("h")))))
+
+    halves = F.when((edits(size) > WHOLE) & (edits(F.greatest(size - HALVES, F.lit(0))) <= HALVES), F.concat(ends("first"), ends("last")))
+    none = F.array().cast("array<struct<part:string,h:bigint>>")
+    keys = F.array_distinct(F.concat(F.coalesce(whole, none), F.coalesce(halves, none)))
+    return names.select("name", F.explode(keys).alias("k"))
+
+
 def close_names(left: DataFrame, right: DataFrame, least: float, shortest: int = 1) -> DataFrame:
     """a and b: different names whose edit similarity is at least a value.
 
-    Such names differ in k edits at most, and an edit changes two runs of two characters, so they share one of the 2 k + 1 rarest runs of each.
+    Names that differ in HALVES edits at most meet by edit_keys. Of longer names, which differ in k, an edit changes two runs of two
+    characters, so they share one of the 2 k + 1 rarest runs of each.
     """
-    left, right = (df.select(F.col(df.columns[0]).alias("name")).filter(F.length("name") >= shortest).distinct() for df in (left, right))
+    left, right = (dealt_out(df.select(F.col(df.columns[0]).alias("name")).filter(F.length("name") >= shortest).distinct(), 2_000) for df in (left, right))
+    fits = (F.col("a") != F.col("b")) & (F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b")) - 1e-9)
+    keyed = [edit_keys(df, least, splits).withColumnRenamed("name", c) for df, splits, c in ((left, True, "a"), (right, False, "b"))]
+    met = keyed[0].join(keyed[1].hint("merge"), "k").filter(fits).select("a", "b")
+    edits = F.floor(F.length("name") * ((1 - least) / least) + 1e-9)
+    left, right = left.filter(edits > HALVES), right.filter(edits > HALVES)
     runs = [df.select("name", F.explode(numbered_grams(F.col("name"), 2)).alias("g")) for df in (left, right)]
     counts = runs[0].unionByName(runs[1]).groupBy("g").agg(F.count("*").alias("n"))
-    edits = F.floor(F.length("name") * ((1 - least) / least) + 1e-9)
     a, b = (rarest(df, r, counts, (2 * edits + 1).cast("int")).select(F.col("name").alias(c), "g") for df, r, c in ((left, runs[0], "a"), (right, runs[1], "b")))
-    fits = (F.col("a") != F.col("b")) & (F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b")) - 1e-9)
-    return a.join(b, "g").filter(fits).select("a", "b").distinct().filter(similarity(F.col("a"), F.col("b")) >= least)
+    return met.unionByName(a.join(b, "g").filter(fits).select("a", "b")).distinct().filter(similarity(F.col("a"), F.col("b")) >= least)
 
 
 def company_name(c: Column) -> Column:
@@ -158,7 +205,7 @@ def by_sender_domain(rows: DataFrame, companies: DataFrame, generic: list[str])
     known = companies.filter("domain IS NOT NULL").select(F.lower(F.trim("domain")).alias("_d"), F.struct("company_id", "name").alias("_c"))
     first = known.groupBy("_d").agg(F.min("_c").alias("_c"))
     senders = rows.filter(~F.col("_domain").isin(generic)).select("mail_id", F.explode(parent_domains(F.col("_domain"))).alias("_d"))
-    return senders.join(first, "_d").groupBy("mail_id").agg(F.min("_c").alias("_by_domain"))
+    return senders.join(first.hint("merge"), "_d").groupBy("mail_id").agg(F.min("_c").alias("_by_domain"))
 
 
 def sender_company(mails: DataFrame, companies: DataFrame) -> DataFrame:
@@ -167,8 +214,8 @@ def sender_company(mails: DataFrame, companies: DataFrame) -> DataFrame:
     named = companies.select("company_id", "name", compact_company_key(F.col("name")).alias("_key")).filter("_key != ''")
     held = contained(base.select("_text").filter("_text != ''"), named.select("_key"))
     first = named.groupBy("_key").agg(F.min(F.struct("company_id", "name")).alias("_c"))
-    by_name = held.join(first, held["name"] == first["_key"]).groupBy(F.col("text").alias("_text")).agg(F.min("_c").alias("_by_name"))
-    out = base.join(by_sender_domain(base, companies, []), "mail_id", "left").join(by_name, "_text", "left")
+    by_name = held.join(first.hint("merge"), held["name"] == first["_key"]).groupBy(F.col("text").alias("_text")).agg(F.min("_c").alias("_by_name"))
+    out = base.join(by_sender_domain(base, companies, []).hint("merge"), "mail_id", "left").join(by_name.hint("merge"), "_text", "left")
     return out.select("mail_id", F.coalesce("_by_domain", "_by_name").alias("c")).select("mail_id", "c.company_id", F.col("c.name").alias("company_name"))
 
 
@@ -186,8 +233,8 @@ def infer_company(mails: DataFrame, companies: DataFrame, aliases: DataFrame) ->
     first = named.groupBy("_key").agg(F.min(F.struct("company_id", "name")).alias("_c"))
     held = contained(base.select("_text").filter("_text != ''"), named.select("_key"))
     pick = F.struct(F.length("_key").alias("n"), (-F.col("_c.company_id")).alias("o"), F.col("_c.company_id").alias("company_id"), F.col("_c.name").alias("name"))
-    by_alias = held.join(first, held["name"] == first["_key"]).groupBy(F.col("text").alias("_text")).agg(F.max(pick).alias("_by_alias"))
-    out = base.join(by_sender_domain(base, companies, WEAK_DOMAINS), "mail_id", "left").join(by_alias, "_text", "left")
+    by_alias = held.join(first.hint("merge"), held["name"] == first["_key"]).groupBy(F.col("text").alias("_text")).agg(F.max(pick).alias("_by_alias"))
+    out = base.join(by_sender_domain(base, companies, WEAK_DOMAINS).hint("merge"), "mail_id", "left").join(by_alias.hint("merge"), "_text", "left")
     labels = F.split("_domain", "\\.")
     root = F.element_at(labels, F.when(F.col("_domain").rlike(r"(^|\.)(co|ne|or|ac|go|ed|gr)\.jp$") & (F.size(labels) > 2), -3).when(F.size(labels) > 1, -2).otherwise(-1))
     own = F.when((F.length(root) > 2) & ~root.rlike("^(mail|smtp|mx|email|corp|co|ne|or|ac|go)$"), F.initcap(F.regexp_replace(root, "[-_]+", " ")))
@@ -216,7 +263,7 @@ def contact_candidates(entities: DataFrame, contacts: DataFrame, most: int) -> D
     other or is close to it. Close and contained names are looked for among distinct names, by rare runs of characters.
     """
     side = lambda rows, p: rows.select(F.col(rows.columns[0]).alias(f"{p}id"), company_key(F.col("company")).alias(f"{p}company"), F.lower(F.regexp_extract("email", f"({EMAIL})", 1)).alias(f"{p}email"), contact_key(F.col("contact")).alias(f"{p}contact"), contact_keys(F.col("contact")).alias(f"{p}keys"), F.coalesce(F.lower("domain") if "domain" in rows.columns else F.lit(None), email_domain(F.col("email"))).alias(f"{p}domain"))
-    e, c = side(entities, "e_"), side(contacts, "c_")
+    e, c = written(side(entities, "e_"), "entities"), written(side(contacts, "c_"), "contacts")
     block = lambda rows, p, key: rows.select(F.col(f"{p}id"), key.alias("k")).filter("k IS NOT NULL AND k != ''").distinct()
     pairs = []
     for ek, ck in (

@@ -33,6 +33,32 @@ def test_close_names_are_those_of_all_pairs(spark, least, shortest):
     assert {tuple(r) for r in company.close_names(table(left), table(right), least, shortest).collect()} == want and len(want) > 10
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnop"])
+def test_close_names_of_all_lengths_are_those_of_all_pairs(spark, letters):
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    base = [text(n) for n in range(1, 46, 2) for _ in range(2)]
+
+    def edited(name):
+        for _ in range(rnd.randint(1, 7)):
+            at = rnd.randint(0, len(name))
+            name = name[:at] + text(rnd.randint(0, 1)) + name[at + rnd.randint(0, 1) :]
+        return name
+
+    left, right = set(base), {edited(b) for b in base for _ in range(3)} - {""}
+    table = lambda rows: spark.createDataFrame([(x,) for x in sorted(rows)], "name string")
+    want = {(a, b) for a in left for b in right if a != b and 5 * abs(len(a) - len(b)) <= len(a) and 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.84}
+    assert {tuple(r) for r in company.close_names(table(left), table(right), 0.84).collect()} == want and len(want) > 20
+
+
+def test_names_do_not_meet_by_short_runs(spark):
+    """Names of random letters meet by keys that hardly any two strangers share, so the pairs to be tested grow with the names."""
+    rnd = random.Random(8)
+    table = lambda n: spark.createDataFrame([("".join(rnd.choice("abcdefghijklmnop") for _ in range(20)),) for _ in range(n)], "name string")
+    keys = [company.edit_keys(table(2000), company.CLOSE_CONTACT, splits) for splits in (True, False)]
+    assert keys[0].join(keys[1], "k").count() < 2000
+
+
 def test_contained_names_are_those_of_all_pairs(spark):
     texts, found = {*names(100, 3)}, {*names(60, 4), "a", "ab", "abc", "abca"}
     table = lambda rows: spark.createDataFrame([(x,) for x in sorted(rows)], "name string")

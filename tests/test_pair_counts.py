@@ -6,7 +6,7 @@ import math
 import random
 import re
 
-from deskmatch.operators import pair_counts
+from deskmatch.operators import matching, pair_counts
 
 
 def words(text):
@@ -88,3 +88,24 @@ def test_sides_without_rows_or_skills(spark):
     assert pair_counts.pair_histogram(*none).count() == 0
     bare = pair_counts.pair_histogram(frames[0], none[1], frames[2], none[3])
     assert {(r.p_bare, r.q_bare, r.required) for r in bare.collect()} == {(1, 1, 0)}
+
+
+def test_best_matches_and_first_page_are_those_of_all_candidates(spark):
+    frames, _, _ = tables(spark, 3, 120, 110)
+    every = matching.match_candidates(*frames, 46).cache()
+    for most in (3,):
+        want = matching.top_matches(every, most, "project_id").select("project_id", "person_id", "score", "band", "rank")
+        got = matching.best_matches(*frames, 46, most).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+    for state in ("match",):
+        pages = [matching.match_review(every, "review_first", 2, 5, rate_state=state), matching.review_first_page(*frames, 46, 2, 5, state)]
+        got, want = ([tuple(r) for r in page.select("project_id", "person_id", "score", "attention").collect()] for page in pages)
+        assert got == want and len(want) > 0
+
+
+def test_rows_of_a_frequent_word_keep_it(spark):
+    rows = spark.createDataFrame([(i, ["common", f"own{i}", "other"]) for i in range(20)], "id long, words array<string>")
+    others = spark.createDataFrame([(["common", "other", "own3"],)], "theirs array<string>")
+    for frequent in (5, 100):
+        got = {r.id: r.words for r in matching.shared_words(rows, "id", "words", others, "theirs", frequent).collect()}
+        assert got == {i: ["common", "other", *["own3"][: i == 3]] for i in range(20)}

@@ -71,3 +71,9 @@ def test_rows_of_one_contact_are_one_candidate(spark):
     points = {"company_name_exact": 46, "contact_email_match": 62}
     got = company.contact_candidates(entities, spark.createDataFrame(tie, "contact_id long, company string, domain string, email string, contact string"), 5).collect()
     assert [(r.contact_id, r.score) for r in got] == [(7, max(points["company_name_exact"], points["contact_email_match"] + 34))]
+
+
+def test_rows_are_dealt_out_by_their_number(spark):
+    rows = spark.range(1000).coalesce(1)
+    assert tables.dealt_out(rows, 50).rdd.getNumPartitions() == 20
+    assert tables.dealt_out(rows, like=rows.limit(5)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -12,9 +12,9 @@ A table's key has 20 bits, so of n distinct sets n / 2**20 meet by chance; they
 by NEAR further bits, and by all bits of the fingerprints: a pair of any bucket is a candidate if it passes both. For over a billion distinct sets take wider parts, and more of them.
 
 Documents of one set are one node, so exact copies never meet. In a third of the buckets, all first meet one
-member; what then still lies in different groups of any bucket is compared within the bucket, where only links
-leave the task. A bucket of more than BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out as pairs of blocks of
-that size.
+member (a node at most MEMBERS different ones); what then still lies in different groups of any bucket is compared within the bucket, where only links
+leave the task; buckets of one group are left out. A bucket of more than BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out as pairs of blocks of that size; its largest
+group meets the others alone. Fingerprints and sets come to a node once, not to each of its buckets.
 
 Defined cases: null texts are empty; texts of fewer words than a shingle are one shingle; texts without
 words are copies of each other; documents with a null id stay and link nothing; rows of one id with
@@ -48,6 +48,8 @@ MOST_NEAR, MOST_DIFFERING = 38, 133
 HELD, BLOCK_ROWS, BLOCK_HASHES = 20_000, 2_000, 4_000_000
 #: One of so many buckets (by their hash) takes part in the first meeting; all take part in the second.
 FIRST = 3
+#: Members (of all its buckets there) that a node meets in the first meeting, those of the smallest keys.
+MEMBERS = 4
 WORDS = -(-(BITS + NEAR) // 64)
 #: Words of a fingerprint before those of NEAR.
 TABLE_WORDS = WORDS - NEAR // 64
@@ -169,7 +171,7 @@ def partnered(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, key, n, fp: what the tables' buckets hold that may have a partner there, of nodes (key, n, fp)."""
+    """bucket, key, one: what the tables' buckets hold that may have a partner there, of nodes (key, n, fp), and the key of one member of the bucket."""
     names = ["bucket", "key", "n", "near_a", "near_b"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +182,19 @@ def buckets(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lists, batch.column("key"), batch.column("n").cast(pa.int64()), *(pa.array(prints[:, TABLE_WORDS + k].astype("<u8").view(np.int64)) for k in range(2))], names=["buckets", *names[1:]])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = None, None  # rows of the bucket that may go on; the bucket that is being passed on
-        some = lambda rows: pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=names)
+        held, large, first = None, None, None  # rows of the bucket that may go on; the bucket that is being passed on, and its first key
+
+        def some(rows: np.ndarray, one: np.ndarray | None = None) -> pa.RecordBatch:
+            if one is None:
+                starts = np.concatenate([[True], np.diff(rows[0]) != 0])[: rows.shape[1]]
+                one = rows[1][np.flatnonzero(starts)][np.cumsum(starts) - 1]
+            return pa.RecordBatch.from_arrays([pa.array(r) for r in (rows[0], rows[1], one)], names=["bucket", "key", "one"])
+
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy() for c in names])
             if large is not None:
                 go = int(np.searchsorted(rows[0], large, "right"))
-                yield some(rows[:, :go])
+                yield some(rows[:, :go], np.full(go, first))
                 rows = rows[:, go:]
                 if not rows.shape[1]:
                     continue
@@ -196,27 +204,27 @@ def buckets(nodes: DataFrame) -> DataFrame:
             yield some(rows[:, : bounds[-1]][:, partnered(rows, bounds)])  # all buckets but the last, which may go on
             held = rows[:, bounds[-1] :]
             if held.shape[1] > HELD:
-                large = held[0, 0]
+                large, first = held[0, 0], held[1, 0]
                 yield some(held)
                 held = None
         if held is not None:
             yield some(held[:, partnered(held, np.array([0, held.shape[1]]))])
 
     lists = nodes.select("key", "n", "fp").mapInArrow(keyed, "buckets array<long>, key long, n long, near_a long, near_b long")
-    rows = lists.select(F.explode("buckets").alias("bucket"), *names[1:]).repartition("bucket").sortWithinPartitions("bucket")
-    met = rows.mapInArrow(shared, "bucket long, key long, n long, near_a long, near_b long").select("bucket", "key")
-    return cut(met.join(nodes.select("key", "n", "fp"), "key").select("bucket", "key", "n", "fp"), "buckets")
+    rows = lists.select(F.explode("buckets").alias("bucket"), *names[1:]).repartition("bucket").sortWithinPartitions("bucket", "key")
+    return cut(rows.mapInArrow(shared, "bucket long, key long, one long"), "buckets")
 
 
-def first_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: each member of a bucket with one of its members, in one of FIRST buckets, where sizes and fingerprints allow for similar sets."""
+def first_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: each node with up to MEMBERS of those that stand for its buckets, in one of FIRST buckets, where sizes and fingerprints allow for similar sets."""
     over, under = SIMILAR
-    rows = rows.filter(F.pmod("bucket", F.lit(FIRST)) == 0)
-    one = rows.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "fp"), F.xxhash64("key")).alias("one")).select("bucket", "one.*").toDF("bucket", "other", "m", "other_fp")
+    ones = rows.filter((F.pmod("bucket", F.lit(FIRST)) == 0) & (F.col("one") < F.col("key"))).groupBy("key").agg(F.array_sort(F.collect_set("one")).alias("ones"))  # at most one for each table
+    met = ones.select(F.explode(F.slice("ones", 1, MEMBERS)).alias("a"), F.col("key").alias("b"))
+    left, right = (nodes.select(F.col("key").alias(k), F.col("n").alias(n), F.col("fp").alias(fp)) for k, n, fp in (("a", "n", "fp"), ("b", "m", "other_fp")))
     differing = F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     most = lambda counts, n: F.aggregate(counts, F.lit(0), lambda s, x: s + x) <= n
-    fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("key") != F.col("other")) & most(differing, MOST_DIFFERING) & most(F.slice(differing, TABLE_WORDS + 1, NEAR // 64), MOST_NEAR)
-    return rows.join(one, "bucket").filter(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & most(differing, MOST_DIFFERING) & most(F.slice(differing, TABLE_WORDS + 1, NEAR // 64), MOST_NEAR)
+    return met.join(left, "a").join(right, "b").filter(fits).select("a", "b")
 
 
 def partners(groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -305,16 +313,27 @@ def with_partner(live: DataFrame) -> DataFrame:
     return sorted_parts(live.select(*names)).mapInArrow(run, schema)
 
 
+def dealt(large: DataFrame) -> DataFrame:
+    """The rows of large parts in parts made of two blocks each: blocks of a part's largest group with those of the others, and those of the others with each other."""
+    counts = large.groupBy("part", "group").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = counts.groupBy("part").agg(F.max(F.struct("c", "group", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c * 2 / BLOCK_ROWS, s * 2 / BLOCK_HASHES, F.lit(1))).cast("int")
+    sizes = most.select("part", F.col("main.group").alias("main"), blocks(F.col("main.c"), F.col("main.s")).alias("of_main"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("of_rest"))
+    is_main = F.col("group") == F.col("main")
+    own = large.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("key"), F.when(is_main, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    block = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    rest = F.concat(to(F.col("of_main"), lambda x: block("main", x, F.col("own"))), to(F.col("of_rest"), lambda x: block("rest", F.least("own", x), F.greatest("own", x))))
+    each = F.when(is_main, to(F.col("of_rest"), lambda y: block("main", F.col("own"), y))).otherwise(rest)
+    return own.withColumn("block", F.explode(each)).withColumn("part", F.xxhash64("part", "block")).select(large.columns)
+
+
 def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links between groups within each bucket (part, key, group, n, fp). Only sets that by their fingerprints may have a partner are fetched."""
+    """a, b: links between groups within each bucket (part, key, group, n, fp). Only sets that by their fingerprints may have a partner are fetched, once for each key."""
     found = cut(with_partner(live), "met")
     met, large = found.filter("NOT large").drop("large"), found.filter("large").drop("large")
     if not large.isEmpty():
-        blocks = large.groupBy("part").agg(F.ceil(F.greatest(F.count("*") * 2 / BLOCK_ROWS, F.sum("n") * 2 / BLOCK_HASHES)).cast("int").alias("blocks"))
-        own = large.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("part", F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))).select(large.columns)
-        met = met.unionByName(cut(with_partner(dealt), "met").drop("large"))
+        met = met.unionByName(cut(with_partner(dealt(large)), "met").drop("large"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, *known in whole_parts(batches, bounded=False):
@@ -322,15 +341,25 @@ def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return sorted_parts(met.join(sets.select("key", "hashes"), "key").select("part", "key", "group", "n", "fp", "hashes")).mapInArrow(run, "a long, b long")
+    own = met.groupBy("key").agg(*(F.first(c).alias(c) for c in ("group", "n", "fp")), F.collect_list("part").alias("parts"))
+    rows = own.join(sets.select("key", "hashes"), "key").withColumn("part", F.explode("parts"))
+    return sorted_parts(rows.select("part", "key", "group", "n", "fp", "hashes")).mapInArrow(run, "a long, b long")
+
+
+def of_several_groups(rows: DataFrame, group: DataFrame, nodes: DataFrame) -> DataFrame:
+    """part (the bucket), key, group, n, fp: the rows (bucket, key) of buckets whose members are of more than one group (node, component)."""
+    own = rows.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most one for each table
+    grouped = own.join(group, own["key"] == group["node"], "left").select("key", F.coalesce("component", "key").alias("group"), F.explode("buckets").alias("bucket"))
+    grouped = cut(grouped, "grouped")
+    several = grouped.groupBy("bucket").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least != most").select("bucket")
+    left = grouped.join(several, "bucket", "left_semi").groupBy("key", "group").agg(F.collect_list("bucket").alias("buckets"))
+    return left.join(nodes.select("key", "n", "fp"), "key").select(F.explode("buckets").alias("part"), "key", "group", "n", "fp")
 
 
-def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def links(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: pairs of similar keys whose components are those of all similar pairs that share a bucket."""
-    found = cut(similar(cut(first_pairs(rows), "pairs"), sets), "links")
-    group = components(found)
-    live = rows.join(group, rows["key"] == group["node"], "left").select(F.col("bucket").alias("part"), "key", F.coalesce("component", "key").alias("group"), "n", "fp")
-    return found.unionByName(cut(bucket_links(live, sets), "links"))
+    found = cut(similar(cut(first_pairs(rows, nodes), "pairs"), sets), "links")
+    return found.unionByName(cut(bucket_links(of_several_groups(rows, components(found), nodes), sets), "links"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -340,7 +369,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     nodes = cut(found.filter("fp is not null").groupBy("key").agg(F.min_by(F.struct("n", "fp"), F.struct("id", "sha")).alias("sketch"), F.min(F.struct("id", "sha")).alias("row")).select("key", "sketch.*", "row"), "nodes")
     rows = buckets(nodes)
     sets = cut(sets_of(docs, nodes.join(rows.select("key").distinct(), "key", "left_semi"), words, id_column, text_column), "sets")
-    group = components(links(rows, sets))
+    group = components(links(rows, nodes, sets))
     of = cut(ids.join(group, ids["key"] == group["node"], "left").select("key", "least", F.coalesce("component", "key").alias("group")), "groups")
     least = of.join(of.groupBy("group").agg(F.min("least").alias("first")), "group").select("key", "first")
     gone = found.filter("id is not null").join(least, "key").filter("id != first").select("id", "sha").distinct()

@@ -403,6 +403,55 @@ def test_large_buckets_of_near_copies(spark, edge, monkeypatch, held, small, blo
     test_near_copies_are_those_of_the_similarity(spark, edge)
 
 
+def joined_rows(df):
+    """Rows that each join of the plan made; df was collected before."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return out
+
+
+def test_joins_of_near_copies_make_few_rows_a_node(spark, monkeypatch):
+    rnd = random.Random(5)
+    base, rows = [f"w{rnd.randrange(10**6)}" for _ in range(120)], []
+    for i in range(200):  # one large group of near copies, which share most of their buckets
+        rows.append((i, " ".join([*base, f"x{i}"])))
+    made, cut = [], near_copies.cut
+
+    def watched(df, name):
+        df.collect()
+        made.extend((name, n) for n in joined_rows(df))
+        return cut(df, name)
+
+    monkeypatch.setattr(near_copies, "cut", watched)
+    assert [r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert len(made) > 3 and max(n for _, n in made) <= near_copies.MEMBERS * len(rows), made
+
+
+def test_the_largest_group_of_a_bucket_is_dealt_to_the_others_alone(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 20)
+    rows = [(1, k, 0 if k < 400 else k, 5, [0]) for k in range(403)] + [(2, k, k % 7, 5, [0]) for k in range(90)]
+    live = spark.createDataFrame(rows, "part long, key long, group long, n int, fp array<long>")
+    parts = {}
+    for r in near_copies.dealt(live).collect():
+        parts.setdefault(r.part, []).append((r.key, r.group))
+    first = [p for p in parts.values() if any(k >= 400 for k, _ in p)]
+    assert sum(map(len, first)) <= 403 + 3 * 41
+    met = {frozenset((a, b)) for p in parts.values() for a, g in p for b, h in p if g != h}
+    want = {frozenset((a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+    assert want <= met
+
+
 def test_near_copies_of_an_empty_table(none):
     assert near_copies.one_of_each(none).collect() == []
 

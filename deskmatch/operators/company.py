@@ -229,7 +229,7 @@ def infer_company(mails: DataFrame, companies: DataFrame, aliases: DataFrame) ->
     body = F.col("body") if "body" in mails.columns else F.lit(None).cast("string")
     base = mails.withColumns({"_domain": email_domain(F.col("from_email")), "_signature": signature_part(F.col("signature"), body)})
     base = base.withColumn("_text", company_sign_key(F.concat_ws(" ", "label", "from_name", "_signature")))
-    named = aliases.select("company_id", company_sign_key(F.col("alias")).alias("_key")).filter(F.length("_key") >= 3).join(companies.select("company_id", "name"), "company_id")
+    named = aliases.select("company_id", company_sign_key(F.col("alias")).alias("_key")).filter(F.length("_key") >= 3).join(companies.select("company_id", "name").hint("merge"), "company_id")
     first = named.groupBy("_key").agg(F.min(F.struct("company_id", "name")).alias("_c"))
     held = contained(base.select("_text").filter("_text != ''"), named.select("_key"))
     pick = F.struct(F.length("_key").alias("n"), (-F.col("_c.company_id")).alias("o"), F.col("_c.company_id").alias("company_id"), F.col("_c.name").alias("name"))

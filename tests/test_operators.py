@@ -123,3 +123,11 @@ def test_mail_stream_drops_repeats(spark):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.external_id, r.label) for r in seen) == [(1, "project_intro"), (2, "other")]
+
+
+def test_no_table_is_sent_to_the_driver_to_infer_companies(spark):
+    mails = spark.createDataFrame([(1, "x@a.example", "Acme desk", None, None)], "mail_id long, from_email string, from_name string, label string, signature string")
+    companies = spark.createDataFrame([(7, "Acme", "acme.example")], "company_id long, name string, domain string")
+    out = company.infer_company(mails, companies, companies.limit(1).select("company_id", F.col("name").alias("alias")))
+    assert [(r.company_id, r.source) for r in out.collect()] == [(7, "known_alias")]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

@@ -11,8 +11,9 @@ the tests), one above it with more. Each candidate pair is then held against the
 A table's key has 20 bits, so of n distinct sets n / 2**20 meet by chance; they are told apart within the bucket
 by NEAR further bits, and by all bits of the fingerprints: a pair of any bucket is a candidate if it passes both. For over a billion distinct sets take wider parts, and more of them.
 
-Documents of one set are one node, so exact copies never meet. In a third of the buckets, all first meet one
-member (a node at most MEMBERS different ones); what then still lies in different groups of any bucket is compared within the bucket, where only links
+Documents of one set are one node, so exact copies never meet. A pair of similar fingerprints shares many buckets; it counts only
+in the first of them, and rows without a pair that counts leave their bucket (buckets of more than ONCE_ROWS rows pass whole). All first meet the
+nearest partners of their buckets (a node at most MEMBERS); what then still lies in different groups of any bucket is compared within the bucket, where only links
 leave the task; buckets of one group are left out. A bucket of more than BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out as pairs of blocks of that size; its largest
 group meets the others alone. Fingerprints and sets come to a node once, not to each of its buckets.
 
@@ -46,9 +47,9 @@ PARTS = BITS // PART
 MOST_NEAR, MOST_DIFFERING = 38, 133
 #: Rows of a bucket that a task holds while it looks for partners; sets and hashes of a block.
 HELD, BLOCK_ROWS, BLOCK_HASHES = 20_000, 2_000, 4_000_000
-#: One of so many buckets (by their hash) takes part in the first meeting; all take part in the second.
-FIRST = 3
-#: Members (of all its buckets there) that a node meets in the first meeting, those of the smallest keys.
+#: Rows of a bucket in which each pair is counted once before the first meeting; what passes of larger ones is held to that later.
+ONCE_ROWS = 1_000
+#: Members (of all its buckets) that a node meets in the first meeting, those of the fewest differing bits.
 MEMBERS = 4
 WORDS = -(-(BITS + NEAR) // 64)
 #: Words of a fingerprint before those of NEAR.
@@ -171,7 +172,7 @@ def partnered(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, key, one: what the tables' buckets hold that may have a partner there, of nodes (key, n, fp), and the key of one member of the bucket."""
+    """bucket, key: what the tables' buckets hold that may have a partner there, of nodes (key, n, fp)."""
     names = ["bucket", "key", "n", "near_a", "near_b"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +183,14 @@ def buckets(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lists, batch.column("key"), batch.column("n").cast(pa.int64()), *(pa.array(prints[:, TABLE_WORDS + k].astype("<u8").view(np.int64)) for k in range(2))], names=["buckets", *names[1:]])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large, first = None, None, None  # rows of the bucket that may go on; the bucket that is being passed on, and its first key
-
-        def some(rows: np.ndarray, one: np.ndarray | None = None) -> pa.RecordBatch:
-            if one is None:
-                starts = np.concatenate([[True], np.diff(rows[0]) != 0])[: rows.shape[1]]
-                one = rows[1][np.flatnonzero(starts)][np.cumsum(starts) - 1]
-            return pa.RecordBatch.from_arrays([pa.array(r) for r in (rows[0], rows[1], one)], names=["bucket", "key", "one"])
+        held, large = None, None  # rows of the bucket that may go on; the bucket that is being passed on
+        some = lambda rows: pa.RecordBatch.from_arrays([pa.array(r) for r in rows[:2]], names=["bucket", "key"])
 
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy() for c in names])
             if large is not None:
                 go = int(np.searchsorted(rows[0], large, "right"))
-                yield some(rows[:, :go], np.full(go, first))
+                yield some(rows[:, :go])
                 rows = rows[:, go:]
                 if not rows.shape[1]:
                     continue
@@ -204,7 +200,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
             yield some(rows[:, : bounds[-1]][:, partnered(rows, bounds)])  # all buckets but the last, which may go on
             held = rows[:, bounds[-1] :]
             if held.shape[1] > HELD:
-                large, first = held[0, 0], held[1, 0]
+                large = held[0, 0]
                 yield some(held)
                 held = None
         if held is not None:
@@ -212,14 +208,21 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
     lists = nodes.select("key", "n", "fp").mapInArrow(keyed, "buckets array<long>, key long, n long, near_a long, near_b long")
     rows = lists.select(F.explode("buckets").alias("bucket"), *names[1:]).repartition("bucket").sortWithinPartitions("bucket", "key")
-    return cut(rows.mapInArrow(shared, "bucket long, key long, one long"), "buckets")
+    return cut(rows.mapInArrow(shared, "bucket long, key long"), "buckets")
+
+
+def met_once(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """bucket, key, one, bits: the rows (bucket, key) that have a partner whom they meet in no earlier table, the nearest one's key and its differing bits; of buckets of over ONCE_ROWS rows all rows, and the key of one of them."""
+    own = rows.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most one for each table
+    live = own.join(nodes.select("key", "n", "fp"), "key").select(F.explode("buckets").alias("part"), "key", F.col("key").alias("group"), "n", "fp")
+    return cut(with_partner(live, most=ONCE_ROWS).select(F.col("part").alias("bucket"), "key", "one", "bits"), "once")
 
 
 def first_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: each node with up to MEMBERS of those that stand for its buckets, in one of FIRST buckets, where sizes and fingerprints allow for similar sets."""
+    """a, b: each node with up to MEMBERS of the nearest partners in its buckets, where sizes and fingerprints allow for similar sets."""
     over, under = SIMILAR
-    ones = rows.filter((F.pmod("bucket", F.lit(FIRST)) == 0) & (F.col("one") < F.col("key"))).groupBy("key").agg(F.array_sort(F.collect_set("one")).alias("ones"))  # at most one for each table
-    met = ones.select(F.explode(F.slice("ones", 1, MEMBERS)).alias("a"), F.col("key").alias("b"))
+    ones = rows.filter(F.col("one") != F.col("key")).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("bits", "one"))).alias("ones"))  # at most one for each table
+    met = ones.select(F.explode(F.slice("ones.one", 1, MEMBERS)).alias("a"), F.col("key").alias("b"))
     left, right = (nodes.select(F.col("key").alias(k), F.col("n").alias(n), F.col("fp").alias(fp)) for k, n, fp in (("a", "n", "fp"), ("b", "m", "other_fp")))
     differing = F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     most = lambda counts, n: F.aggregate(counts, F.lit(0), lambda s, x: s + x) <= n
@@ -256,8 +259,8 @@ def linked_sets(keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints:
     return out
 
 
-def whole_parts(batches: Iterator[pa.RecordBatch], bounded: bool = True) -> Iterator[tuple]:
-    """Rows of each part (rows sorted by part), with group, n and fp as arrays; bounded: of a part that grows too large its rows in pieces, after a None."""
+def whole_parts(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple]:
+    """Rows of each part (rows sorted by part), with group, n and fp as arrays; of a part of more rows than most, or twice BLOCK_HASHES hashes, its rows in pieces, after a None."""
     held: list[pa.RecordBatch] = []
     at, size, hashes, large = None, 0, 0, False
 
@@ -265,7 +268,7 @@ def whole_parts(batches: Iterator[pa.RecordBatch], bounded: bool = True) -> Iter
         rows = pa.Table.from_batches(held).combine_chunks()
         if large:
             return None, rows
-        prints = np.array(rows.column("fp").to_pylist(), np.int64).view(np.uint64)
+        prints = rows.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
         return rows, rows.column("group").to_numpy(), rows.column("n").to_numpy(), prints
 
     for batch in batches:
@@ -279,7 +282,7 @@ def whole_parts(batches: Iterator[pa.RecordBatch], bounded: bool = True) -> Iter
             held.append(batch.slice(a, b - a))
             size += b - a
             hashes += int(held[-1].column("n").to_numpy().sum())
-            if bounded and (size > 2 * BLOCK_ROWS or (hashes > 2 * BLOCK_HASHES and size > 2)):
+            if most and (size > most or (hashes > 2 * BLOCK_HASHES and size > 2)):
                 large = True
                 yield close()
                 held = []
@@ -288,27 +291,46 @@ def whole_parts(batches: Iterator[pa.RecordBatch], bounded: bool = True) -> Iter
 
 
 def sorted_parts(rows: DataFrame) -> DataFrame:
-    return rows.repartition("part").sortWithinPartitions("part")
+    return rows.repartition("part").sortWithinPartitions("part", "key")
 
 
-def with_partner(live: DataFrame) -> DataFrame:
-    """Rows (part, key, group, n, fp) that have a partner in their part; of parts too large for a task all rows, marked."""
-    schema = T.StructType([*live.schema.fields, T.StructField("large", T.BooleanType())])
-    names = live.columns
+def with_partner(live: DataFrame, once: bool = True, most: int | None = None) -> DataFrame:
+    """Rows (part, key, group, n, fp) that have a partner of another group in their part, and the nearest partner's key and differing bits (one, bits); of parts of more rows than most (default: twice BLOCK_ROWS) all rows, marked large, and the first one's key. once: parts are buckets, and pairs that share an earlier table don't count."""
+    schema = T.StructType([*live.schema.fields, T.StructField("one", T.LongType()), T.StructField("bits", T.LongType()), T.StructField("large", T.BooleanType())])
+    most, names = most or 2 * BLOCK_ROWS, live.columns
 
-    def marked(rows: pa.Table, large: bool) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = table_keys(batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), len(TABLES))], names=[*names, "tables"])
+
+    def marked(rows: pa.Table, one: np.ndarray, bits: np.ndarray, large: bool) -> Iterator[pa.RecordBatch]:
+        rows = rows.select(names).append_column("one", pa.array(one)).append_column("bits", pa.array(bits))
         yield from rows.append_column("large", pa.array(np.full(len(rows), large))).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, *known in whole_parts(batches):
+        at, first = None, 0
+        for rows, *known in whole_parts(keyed(batches) if once else batches, most):
             if rows is None:
-                yield from marked(known[0], True)
+                part, key = known[0].column("part")[0].as_py(), known[0].column("key")[0].as_py()
+                at, first = part, first if part == at else key
+                yield from marked(known[0], *(np.full(len(known[0]), x) for x in (first, MOST_DIFFERING)), True)
             elif (known[0] != known[0][0]).any():
-                keep = np.zeros(len(rows), bool)
-                for i, at in partners(*known):
-                    keep[at] = True
-                    keep[i] |= bool(len(at))
-                yield from marked(rows.filter(pa.array(keep)), False)
+                keys, one, bits, prints = rows.column("key").to_numpy(), np.zeros(len(rows), np.int64), np.full(len(rows), BITS + NEAR), known[2]
+                if once:
+                    tables = rows.column("tables").combine_chunks().flatten().to_numpy().reshape(-1, len(TABLES))
+                    before = tables[:, : int(np.flatnonzero(tables[0] == rows.column("part")[0].as_py())[0])]
+                for i, partner in partners(*known):
+                    if once and len(partner):
+                        partner = partner[~(before[partner] == before[i]).any(axis=1)]
+                    if len(partner):
+                        differing = np.bitwise_count(prints[partner] ^ prints[i]).sum(axis=1, dtype=np.int64)
+                        nearer, best = differing < bits[partner], int(differing.argmin())
+                        one[partner[nearer]], bits[partner[nearer]] = i, differing[nearer]
+                        if differing[best] < bits[i]:
+                            one[i], bits[i] = partner[best], differing[best]
+                keep = bits < BITS + NEAR
+                yield from marked(rows.filter(pa.array(keep)), keys[one[keep]], bits[keep], False)
 
     return sorted_parts(live.select(*names)).mapInArrow(run, schema)
 
@@ -330,13 +352,13 @@ def dealt(large: DataFrame) -> DataFrame:
 
 def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links between groups within each bucket (part, key, group, n, fp). Only sets that by their fingerprints may have a partner are fetched, once for each key."""
-    found = cut(with_partner(live), "met")
+    found = cut(with_partner(live).drop("one", "bits"), "met")
     met, large = found.filter("NOT large").drop("large"), found.filter("large").drop("large")
     if not large.isEmpty():
-        met = met.unionByName(cut(with_partner(dealt(large)), "met").drop("large"))
+        met = met.unionByName(cut(with_partner(dealt(large), once=False).drop("one", "bits"), "met").drop("large"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, *known in whole_parts(batches, bounded=False):
+        for rows, *known in whole_parts(batches):
             found = linked_sets(rows.column("key").to_numpy(), *known, [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
@@ -367,7 +389,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     found = cut(sketches(docs, words, id_column, text_column), "sketches")
     ids = found.filter("id is not null").groupBy("key").agg(F.min("id").alias("least"))
     nodes = cut(found.filter("fp is not null").groupBy("key").agg(F.min_by(F.struct("n", "fp"), F.struct("id", "sha")).alias("sketch"), F.min(F.struct("id", "sha")).alias("row")).select("key", "sketch.*", "row"), "nodes")
-    rows = buckets(nodes)
+    rows = met_once(buckets(nodes), nodes)
     sets = cut(sets_of(docs, nodes.join(rows.select("key").distinct(), "key", "left_semi"), words, id_column, text_column), "sets")
     group = components(links(rows, nodes, sets))
     of = cut(ids.join(group, ids["key"] == group["node"], "left").select("key", "least", F.coalesce("component", "key").alias("group")), "groups")

@@ -438,6 +438,38 @@ def test_joins_of_near_copies_make_few_rows_a_node(spark, monkeypatch):
     assert len(made) > 3 and max(n for _, n in made) <= near_copies.MEMBERS * len(rows), made
 
 
+def test_a_pair_of_near_copies_counts_in_one_bucket_alone(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join([*base, f"x{i}"]) for i in range(100)]
+    for i in range(20):  # close by their fingerprints and below the similarity
+        other = list(base)
+        for at in (5, 25, 45):
+            other[at] = f"y{i}"
+        texts.append(" ".join(other))
+    grouped, semi = near_copies.of_several_groups, []
+
+    def watched(*given):
+        semi.append(grouped(*given).count())
+        return grouped(*given)
+
+    monkeypatch.setattr(near_copies, "of_several_groups", watched)
+    got = near_copies.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    label = brute_near_copies([brute_shingles(t) for t in texts])
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(label)) and 0 < semi[0] < 30 * len(texts), semi
+
+
+def brute_near_copies(sets):
+    """The smallest place of each set's group."""
+    label = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 5 * len(x & y) >= 4 * len(x | y) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if g == old else g for g in label]
+    return label
+
+
 def test_the_largest_group_of_a_bucket_is_dealt_to_the_others_alone(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK_ROWS", 20)
     rows = [(1, k, 0 if k < 400 else k, 5, [0]) for k in range(403)] + [(2, k, k % 7, 5, [0]) for k in range(90)]

@@ -16,16 +16,30 @@ from ..functions import rules
 BASE = ["project_count", "recruiting_count", "person_count", "demand_supply_gap", "project_median_price", "person_median_price", "focus_project_count", "quality_issue_count"]
 
 
+def formed(rows: DataFrame, columns: list[str], forms: dict[str, Column]) -> DataFrame:
+    """rows with forms (of these columns alone), which take far longer than a join: worked out once for each distinct value and joined back."""
+    known = rows.select(*columns).distinct().select(*(F.col(c).alias(f"_of_{c}") for c in columns), *(f.alias(name) for name, f in forms.items()))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns]
+    return rows.join(known, same, "left").drop(*(f"_of_{c}" for c in columns))
+
+
 def market_projects(projects: DataFrame) -> DataFrame:
     """project_id and the normal forms that all aggregates use."""
     price = m.project_price(F.col("upper_max"), F.lit(None).cast("int"), F.col("unit_max"), F.col("unit_min"))
-    return projects.withColumn("price", price).select(
+    forms = {
+        "_region": m.region(F.col("place")),
+        "_style": m.work_style(F.col("remote_type"), F.concat_ws(" ", F.coalesce("style_text", F.lit("")), F.coalesce("place", F.lit("")))),
+        "_month": m.month_key(F.col("start_month")),
+        "_contract": m.contract_type(F.col("contract")),
+    }
+    rows = formed(projects.withColumn("price", price), ["place", "remote_type", "style_text", "start_month", "contract"], forms)
+    return rows.select(
         "project_id", "price", "is_focus", "created_at", "status",
         m.price_band(F.col("price")).alias("price_band"),
-        m.region(F.col("place")).alias("region"),
-        m.work_style(F.col("remote_type"), F.concat_ws(" ", F.coalesce("style_text", F.lit("")), F.coalesce("place", F.lit("")))).alias("work_style"),
-        m.month_key(F.col("start_month")).alias("start_month"),
-        m.contract_type(F.col("contract")).alias("contract_type"),
+        F.col("_region").alias("region"),
+        F.col("_style").alias("work_style"),
+        F.col("_month").alias("start_month"),
+        F.col("_contract").alias("contract_type"),
         m.head_count(F.col("recruiting")).alias("heads"),
         m.quality_count(F.col("issues"), F.col("needs_review")).alias("quality"),
     )
@@ -44,13 +58,18 @@ def market_persons(persons: DataFrame) -> DataFrame:
 
 def unique_skills(skills: DataFrame, id_column: str) -> DataFrame:
     """Distinct id, skill and type; unknown skills are left out."""
-    kind = m.skill_type(F.col("skill_type")) if "skill_type" in skills.columns else F.lit("OTHER")
-    named = skills.select(id_column, m.skill_name(F.col("skill_name")).alias("skill"), kind.alias("skill_type"))
+    typed = "skill_type" in skills.columns
+    kind = m.skill_type(F.col("skill_type")) if typed else F.lit("OTHER")
+    named = formed(skills, ["skill_name", "skill_type"] if typed else ["skill_name"], {"skill": m.skill_name(F.col("skill_name")), "_kind": kind})
+    named = named.select(id_column, "skill", F.col("_kind").alias("skill_type"))
     return named.filter(F.col("skill") != rules.UNKNOWN).distinct()
 
 
-def demand(rows: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("project_count"), F.sum("heads").alias("recruiting_count"), F.median("price").alias("project_median_price"), F.sum(F.col("is_focus").cast("long")).alias("focus_project_count"), F.sum("quality").alias("project_quality"), *more)
+def demand(rows: DataFrame, *keys: str, more: dict[str, str] | None = None) -> DataFrame:
+    """Rows are added up by (keys, price) first, so that the exact median takes counts of prices; more: names of further sums, and their columns."""
+    sums = {"recruiting_count": F.col("heads"), "focus_project_count": F.col("is_focus").cast("long"), "project_quality": F.col("quality"), **{name: F.col(c) for name, c in (more or {}).items()}}
+    priced = rows.groupBy(*keys, "price").agg(F.count("*").alias("project_count"), *(F.sum(c).alias(name) for name, c in sums.items()))
+    return priced.groupBy(*keys).agg(F.expr("percentile(price, 0.5, project_count)").alias("project_median_price"), *(F.sum(name).alias(name) for name in ("project_count", *sums)))
 
 
 def supply(rows: DataFrame, *keys: str) -> DataFrame:
@@ -75,8 +94,8 @@ def skill_market(projects: DataFrame, project_skills: DataFrame, persons: DataFr
     typed = unique_skills(project_skills, "project_id")
     kinds = [F.max((F.col("skill_type") == t).cast("int")).alias(t) for t in rules.SKILL_TYPES]
     used = typed.groupBy("project_id", "skill").agg(*kinds)
-    counts = [F.sum(t).alias(name) for t, name in zip(rules.SKILL_TYPES, ("required_project_count", "preferred_project_count", "used_project_count"))]
-    wanted = demand(used.join(market_projects(projects), "project_id"), "skill", more=tuple(counts))
+    counts = dict(zip(("required_project_count", "preferred_project_count", "used_project_count"), rules.SKILL_TYPES))
+    wanted = demand(used.join(market_projects(projects), "project_id"), "skill", more=counts)
     offered = supply(unique_skills(person_skills, "person_id").select("person_id", "skill").distinct().join(market_persons(persons), "person_id"), "skill")
     out = base_metrics(wanted.join(offered, "skill", "full"))
     return out.select("skill", *BASE, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("required_project_count", "preferred_project_count", "used_project_count")))
@@ -102,11 +121,12 @@ CELL = ["skill", "price_band", "region", "work_style"]
 def market_cells(projects: DataFrame, project_skills: DataFrame, persons: DataFrame, person_skills: DataFrame, as_of: str) -> DataFrame:
     """One row a (skill, band, region, style, start month, contract): demand, the supply that is free by then, and the sales priority.
 
-    Supply is added up by (four keys, month) first, with a histogram of prices; each wanted month of a cell then takes the
-    months up to it: a popular cell costs a row for each two months and price, not for each pair of rows.
+    Supply is added up by (four keys, month, price) first; each wanted month of a cell then takes the running sum up to
+    it: a popular cell costs a row for each month and price, not for each pair of rows or months.
     """
-    wanted = demand(unique_skills(project_skills, "project_id").select("project_id", "skill").distinct().join(market_projects(projects), "project_id"), *CELL, "start_month", "contract_type")
-    offered = unique_skills(person_skills, "person_id").select("person_id", "skill").distinct().join(market_persons(persons), "person_id")
+    named = lambda skills, key: unique_skills(skills.select(key, "skill_name"), key).select(key, "skill")  # noqa: E731  of one type, so that one distinct is enough
+    wanted = demand(named(project_skills, "project_id").join(market_projects(projects), "project_id"), *CELL, "start_month", "contract_type")
+    offered = named(person_skills, "person_id").join(market_persons(persons), "person_id")
     out = wanted.join(cell_supply(offered, wanted), [*CELL, "start_month"], "left")
     return priority(base_metrics(out), as_of).select(*CELL, "start_month", "contract_type", *BASE, "score", "reasons")
 
@@ -114,14 +134,18 @@ def market_cells(projects: DataFrame, project_skills: DataFrame, persons: DataFr
 def cell_supply(offered: DataFrame, wanted: DataFrame) -> DataFrame:
     """Supply of each (four keys, start month) of wanted: persons free by then, or with an unknown month, or all if the month is unknown.
 
-    Persons are counted by (four keys, month, price); prices within one band are few. Each wanted month
-    takes the counts of the months up to it, and the median is that of the prices weighted by counts.
+    Persons are counted by (four keys, month, price); prices within one band are few. Each wanted month takes the running
+    sum of a price's counts up to it (unknown months of persons come before all months, those of cells after all), and the
+    median is that of the prices weighted by counts.
     """
-    months = offered.groupBy(*CELL, "start_month", "price").agg(F.count("*").alias("n"), F.sum("quality").alias("q"))
-    cells = wanted.select(*CELL, F.col("start_month").alias("cell_month")).distinct()
-    fits = (F.col("start_month") == rules.UNKNOWN) | (F.col("cell_month") == rules.UNKNOWN) | (F.col("start_month") <= F.col("cell_month"))
-    free = months.join(cells, CELL).filter(fits).groupBy(*CELL, "cell_month", "price").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
-    return free.groupBy(*CELL, F.col("cell_month").alias("start_month")).agg(F.sum("n").alias("person_count"), F.sum("q").alias("person_quality"), F.expr("percentile(price, 0.5, n)").alias("person_median_price"))
+    order = lambda unknown: F.when(F.col("start_month") == rules.UNKNOWN, unknown).otherwise(F.concat(F.lit("m"), "start_month"))
+    months = offered.groupBy(*CELL, "start_month", "price").agg(F.count("*").alias("n"), F.sum("quality").alias("q")).withColumns({"at": order("a"), "is_cell": F.lit(0)})
+    cells = wanted.select(*CELL, "start_month").distinct().withColumns({"at": order("z"), "is_cell": F.lit(1)})
+    prices = months.select(*CELL, "price").distinct()
+    rows = months.unionByName(cells.join(prices, CELL).withColumns({"n": F.lit(0).cast("long"), "q": F.lit(0).cast("long")}))
+    until = Window.partitionBy(*CELL, "price").orderBy("at", "is_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = rows.select(*CELL, "start_month", "price", "is_cell", F.sum("n").over(until).alias("n"), F.sum("q").over(until).alias("q")).filter("is_cell = 1 AND n > 0")
+    return free.groupBy(*CELL, "start_month").agg(F.sum("n").alias("person_count"), F.sum("q").alias("person_quality"), F.expr("percentile(price, 0.5, n)").alias("person_median_price"))
 
 
 def priority(metrics: DataFrame, as_of: str) -> DataFrame:

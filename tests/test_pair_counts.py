@@ -109,3 +109,27 @@ def test_rows_of_a_frequent_word_keep_it(spark):
     for frequent in (5, 100):
         got = {r.id: r.words for r in matching.shared_words(rows, "id", "words", others, "theirs", frequent).collect()}
         assert got == {i: ["common", "other", *["own3"][: i == 3]] for i in range(20)}
+
+
+def test_supply_of_a_popular_cell_joins_no_two_months(spark):
+    from deskmatch.operators import market
+
+    months = [f"{y}-{n:02d}" for y in range(2020, 2024) for n in range(1, 11)] + ["unknown"]
+    at = ("java", "b", "r", "s")
+    people = [(*at, month, 50 + i % 3 if i % 7 else None, 1) for i, month in enumerate(months * 2)]
+    offered = spark.createDataFrame(people, "skill string, price_band string, region string, work_style string, start_month string, price int, quality long")
+    wanted = spark.createDataFrame([(*at, month) for month in [*months, "2019-01"]], "skill string, price_band string, region string, work_style string, start_month string")
+    out = market.cell_supply(offered, wanted)
+    got = {r.start_month: (r.person_count, r.person_quality, r.person_median_price) for r in out.collect()}
+    for cell in [*months, "2019-01"]:
+        free = [p for p in people if "unknown" in (p[4], cell) or p[4] <= cell]
+        prices = sorted(p[5] for p in free if p[5] is not None)
+        median = (prices[(len(prices) - 1) // 2] + prices[len(prices) // 2]) / 2 if prices else None
+        assert got[cell] == (len(free), len(free), median)
+    todo, made = [out._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(k) for k in range(node.children().size())]
+    assert made and max(made) <= 4 * (len(months) + 1), made  # months and prices

@@ -403,6 +403,11 @@ def test_large_buckets_of_near_copies(spark, edge, monkeypatch, held, small, blo
     test_near_copies_are_those_of_the_similarity(spark, edge)
 
 
+def test_large_buckets_pass_whole_before_the_first_meeting(spark, edge, monkeypatch):
+    monkeypatch.setattr(near_copies, "ONCE_ROWS", 3)
+    test_near_copies_are_those_of_the_similarity(spark, edge)
+
+
 def joined_rows(df):
     """Rows that each join of the plan made; df was collected before."""
     todo, out = [df._jdf.queryExecution().executedPlan()], []

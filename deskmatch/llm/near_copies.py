@@ -11,11 +11,12 @@ the tests), one above it with more. Each candidate pair is then held against the
 A table's key has 20 bits, so of n distinct sets n / 2**20 meet by chance; they are told apart within the bucket
 by NEAR further bits, and by all bits of the fingerprints: a pair of any bucket is a candidate if it passes both. For over a billion distinct sets take wider parts, and more of them.
 
-Documents of one set are one node, so exact copies never meet. A pair of similar fingerprints shares many buckets; it counts only
-in the first of them, and rows without a pair that counts leave their bucket (buckets of more than ONCE_ROWS rows pass whole). All first meet the
-nearest partners of their buckets (a node at most MEMBERS); what then still lies in different groups of any bucket is compared within the bucket, where only links
-leave the task; buckets of one group are left out. A bucket of more than BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out as pairs of blocks of that size; its largest
-group meets the others alone. Fingerprints and sets come to a node once, not to each of its buckets.
+Documents of one set are one node, so exact copies never meet. The nodes of one in EARLY buckets meet their nearest partners first (a node at most
+MEMBERS), which joins large groups. What then lies in different groups of any bucket forms clusters; a cluster's nodes are dealt out once, as pairs of
+blocks of CLUSTER_ROWS / 2, not once for each shared bucket: the largest group meets the others alone, and only nodes with a partner by size and fingerprint go on to
+the comparison of sets, where only links leave the task. A cluster for which that takes more than DEAR times the rows of its buckets of several groups is compared within
+those buckets; there a pair counts only in the first bucket that it shares, and a bucket of more than twice BLOCK_ROWS sets or BLOCK_HASHES hashes is dealt out likewise. So
+clusters take at most DEAR times the rows of the buckets, of which a node has one for each table at most. Fingerprints and sets come to a node once, not to each of its buckets.
 
 Defined cases: null texts are empty; texts of fewer words than a shingle are one shingle; texts without
 words are copies of each other; documents with a null id stay and link nothing; rows of one id with
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +48,10 @@ PARTS = BITS // PART
 MOST_NEAR, MOST_DIFFERING = 38, 133
 #: Rows of a bucket that a task holds while it looks for partners; sets and hashes of a block.
 HELD, BLOCK_ROWS, BLOCK_HASHES = 20_000, 2_000, 4_000_000
-#: Rows of a bucket in which each pair is counted once before the first meeting; what passes of larger ones is held to that later.
+#: Rows of a bucket whose nearest partners are found in the first meeting; larger ones meet one of theirs.
 ONCE_ROWS = 1_000
+#: One in so many buckets is in the first meeting; rows of a part that a cluster's nodes are dealt to; a cluster that takes so many times the rows of its buckets meets in them instead.
+EARLY, CLUSTER_ROWS, DEAR = 8, 400, 2
 #: Members (of all its buckets) that a node meets in the first meeting, those of the fewest differing bits.
 MEMBERS = 4
 WORDS = -(-(BITS + NEAR) // 64)
@@ -211,11 +214,12 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(shared, "bucket long, key long"), "buckets")
 
 
-def met_once(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """bucket, key, one, bits: the rows (bucket, key) that have a partner whom they meet in no earlier table, the nearest one's key and its differing bits; of buckets of over ONCE_ROWS rows all rows, and the key of one of them."""
-    own = rows.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most one for each table
+def met_early(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """bucket, key, one, bits: of one in EARLY buckets the rows (bucket, key) that have a partner, the nearest one's key and its differing bits; of buckets of over ONCE_ROWS rows all rows, and the key of one of them."""
+    early = rows.filter(F.pmod(F.xxhash64("bucket"), F.lit(EARLY)) == 0)
+    own = early.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most one for each table
     live = own.join(nodes.select("key", "n", "fp"), "key").select(F.explode("buckets").alias("part"), "key", F.col("key").alias("group"), "n", "fp")
-    return cut(with_partner(live, most=ONCE_ROWS).select(F.col("part").alias("bucket"), "key", "one", "bits"), "once")
+    return cut(with_partner(live, once=False, most=ONCE_ROWS).select(F.col("part").alias("bucket"), "key", "one", "bits"), "early")
 
 
 def first_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -335,27 +339,28 @@ def with_partner(live: DataFrame, once: bool = True, most: int | None = None) ->
     return sorted_parts(live.select(*names)).mapInArrow(run, schema)
 
 
-def dealt(large: DataFrame) -> DataFrame:
-    """The rows of large parts in parts made of two blocks each: blocks of a part's largest group with those of the others, and those of the others with each other."""
+def blocks(c: Column, s: Column, most: int) -> Column:
+    """Blocks of half of most rows and of half of BLOCK_HASHES hashes that c rows of s hashes make."""
+    return F.ceil(F.greatest(c * 2 / most, s * 2 / BLOCK_HASHES, F.lit(1))).cast("int")
+
+
+def dealt(large: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of large parts in parts of at most so many rows (default: BLOCK_ROWS) made of two blocks each: blocks of a part's largest group with those of the others, and those of the others with each other."""
+    each = most or BLOCK_ROWS
     counts = large.groupBy("part", "group").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     most = counts.groupBy("part").agg(F.max(F.struct("c", "group", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-    blocks = lambda c, s: F.ceil(F.greatest(c * 2 / BLOCK_ROWS, s * 2 / BLOCK_HASHES, F.lit(1))).cast("int")
-    sizes = most.select("part", F.col("main.group").alias("main"), blocks(F.col("main.c"), F.col("main.s")).alias("of_main"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("of_rest"))
+    sizes = most.select("part", F.col("main.group").alias("main"), blocks(F.col("main.c"), F.col("main.s"), each).alias("of_main"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s"), each).alias("of_rest"))
     is_main = F.col("group") == F.col("main")
     own = large.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("key"), F.when(is_main, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
     to = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
     block = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
     rest = F.concat(to(F.col("of_main"), lambda x: block("main", x, F.col("own"))), to(F.col("of_rest"), lambda x: block("rest", F.least("own", x), F.greatest("own", x))))
-    each = F.when(is_main, to(F.col("of_rest"), lambda y: block("main", F.col("own"), y))).otherwise(rest)
-    return own.withColumn("block", F.explode(each)).withColumn("part", F.xxhash64("part", "block")).select(large.columns)
+    to_blocks = F.when(is_main, to(F.col("of_rest"), lambda y: block("main", F.col("own"), y))).otherwise(rest)
+    return own.withColumn("block", F.explode(to_blocks)).withColumn("part", F.xxhash64("part", "block")).select(large.columns)
 
 
-def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links between groups within each bucket (part, key, group, n, fp). Only sets that by their fingerprints may have a partner are fetched, once for each key."""
-    found = cut(with_partner(live).drop("one", "bits"), "met")
-    met, large = found.filter("NOT large").drop("large"), found.filter("large").drop("large")
-    if not large.isEmpty():
-        met = met.unionByName(cut(with_partner(dealt(large), once=False).drop("one", "bits"), "met").drop("large"))
+def links_within(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between groups within each part of met (part, key, group, n, fp); sets are fetched once for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, *known in whole_parts(batches):
@@ -368,20 +373,55 @@ def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
     return sorted_parts(rows.select("part", "key", "group", "n", "fp", "hashes")).mapInArrow(run, "a long, b long")
 
 
+def bucket_links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between groups within each bucket (part, key, group, n, fp). Only sets that by their fingerprints may have a partner are fetched."""
+    found = cut(with_partner(live).drop("one", "bits"), "met")
+    met, large = found.filter("NOT large").drop("large"), found.filter("large").drop("large")
+    if not large.isEmpty():
+        met = met.unionByName(cut(with_partner(dealt(large), once=False).drop("one", "bits"), "met").drop("large"))
+    return links_within(met, sets)
+
+
 def of_several_groups(rows: DataFrame, group: DataFrame, nodes: DataFrame) -> DataFrame:
-    """part (the bucket), key, group, n, fp: the rows (bucket, key) of buckets whose members are of more than one group (node, component)."""
+    """part (the cluster), key, group, n, fp, dear: the nodes of clusters, which are groups (node, component) that buckets (bucket, key) join; dear: dealing the cluster out takes more rows than its buckets have."""
     own = rows.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most one for each table
     grouped = own.join(group, own["key"] == group["node"], "left").select("key", F.coalesce("component", "key").alias("group"), F.explode("buckets").alias("bucket"))
     grouped = cut(grouped, "grouped")
+    held = cut(grouped.groupBy("bucket", "group").agg(F.count("*").alias("c")), "held")
+    several = held.groupBy("bucket").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.sum("c").alias("c")).filter("least != most")
+    met = held.select("bucket", "group").join(several.select("bucket", "least"), "bucket").filter("group != least")
+    edges = cut(met.select(F.col("least").alias("a"), F.col("group").alias("b")).distinct(), "joined")
+    top = components(edges)
+    of = edges.select(F.explode(F.array("a", "b")).alias("group")).distinct()
+    of = cut(of.join(top, of["group"] == top["node"], "left").select("group", F.coalesce("component", "group").alias("part")), "clusters")
+    members = cut(grouped.select("key", "group").distinct().join(of, "group").join(nodes.select("key", "n", "fp"), "key").select("part", "key", "group", "n", "fp"), "members")
+    sizes = members.groupBy("part", "group").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = sizes.groupBy("part").agg(F.max(F.struct("c", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    rest, rest_s = F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")
+    of_main, of_rest = blocks(F.col("main.c"), F.col("main.s"), CLUSTER_ROWS), blocks(rest, rest_s, CLUSTER_ROWS)
+    sizes = sizes.select("part", (F.col("main.c") * of_rest + rest * (of_main + of_rest)).alias("dealt_rows"))
+    in_buckets = several.join(of, several["least"] == of["group"]).groupBy("part").agg(F.sum(several["c"]).alias("bucket_rows"))
+    dear = sizes.join(in_buckets, "part").filter(F.col("dealt_rows") > DEAR * F.col("bucket_rows")).select("part", F.lit(True).alias("dear"))
+    return members.join(dear, "part", "left").withColumn("dear", F.coalesce("dear", F.lit(False)))
+
+
+def in_buckets(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """part (the bucket), key, group, n, fp: the members' rows (bucket, key) in buckets that hold more than one group."""
+    own = rows.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))
+    grouped = cut(own.join(members.select("key", "group"), "key").select("key", "group", F.explode("buckets").alias("bucket")), "grouped")
     several = grouped.groupBy("bucket").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least != most").select("bucket")
-    left = grouped.join(several, "bucket", "left_semi").groupBy("key", "group").agg(F.collect_list("bucket").alias("buckets"))
-    return left.join(nodes.select("key", "n", "fp"), "key").select(F.explode("buckets").alias("part"), "key", "group", "n", "fp")
+    left = grouped.join(several, "bucket", "left_semi").groupBy("key").agg(F.collect_list("bucket").alias("buckets"))
+    return left.join(members.select("key", "group", "n", "fp"), "key").select(F.explode("buckets").alias("part"), "key", "group", "n", "fp")
 
 
 def links(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: pairs of similar keys whose components are those of all similar pairs that share a bucket."""
-    found = cut(similar(cut(first_pairs(rows, nodes), "pairs"), sets), "links")
-    return found.unionByName(cut(bucket_links(of_several_groups(rows, components(found), nodes), sets), "links"))
+    found = cut(similar(cut(first_pairs(met_early(rows, nodes), nodes), "pairs"), sets), "links")
+    live = cut(of_several_groups(rows, components(found), nodes), "live")
+    dear = live.filter("dear").drop("dear")
+    met = cut(with_partner(dealt(live.filter("NOT dear").drop("dear"), CLUSTER_ROWS), once=False).drop("one", "bits", "large"), "met")
+    found = found.unionByName(cut(links_within(met, sets), "links"))
+    return found if dear.isEmpty() else found.unionByName(cut(bucket_links(in_buckets(rows, dear), sets), "links"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -389,7 +429,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     found = cut(sketches(docs, words, id_column, text_column), "sketches")
     ids = found.filter("id is not null").groupBy("key").agg(F.min("id").alias("least"))
     nodes = cut(found.filter("fp is not null").groupBy("key").agg(F.min_by(F.struct("n", "fp"), F.struct("id", "sha")).alias("sketch"), F.min(F.struct("id", "sha")).alias("row")).select("key", "sketch.*", "row"), "nodes")
-    rows = met_once(buckets(nodes), nodes)
+    rows = buckets(nodes)
     sets = cut(sets_of(docs, nodes.join(rows.select("key").distinct(), "key", "left_semi"), words, id_column, text_column), "sets")
     group = components(links(rows, nodes, sets))
     of = cut(ids.join(group, ids["key"] == group["node"], "left").select("key", "least", F.coalesce("component", "key").alias("group")), "groups")

@@ -464,6 +464,41 @@ def test_a_pair_of_near_copies_counts_in_one_bucket_alone(spark, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(label)) and 0 < semi[0] < 30 * len(texts), semi
 
 
+def close_strangers():
+    """A group of near copies, and texts close to it by their fingerprints that are below the similarity."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join([*base, f"x{i}"]) for i in range(100)]
+    for i in range(20):
+        other = list(base)
+        for at in (5, 25, 45):
+            other[at] = f"y{i}"
+        texts.append(" ".join(other))
+    return texts
+
+
+def test_a_cluster_of_near_copies_is_dealt_out_once(spark, monkeypatch):
+    texts, made, with_partner = close_strangers(), [], near_copies.with_partner
+
+    def watched(*given, **more):
+        made.append(with_partner(*given, **more).count())
+        return with_partner(*given, **more)
+
+    monkeypatch.setattr(near_copies, "with_partner", watched)
+    got = near_copies.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_near_copies([brute_shingles(t) for t in texts])))
+    assert sum(made) < 25 * len(texts), made
+
+
+@pytest.mark.parametrize(("dear", "rows"), [(0, 400), (2, 4)])
+def test_clusters_meet_in_their_buckets_or_in_many_blocks(spark, monkeypatch, dear, rows):
+    monkeypatch.setattr(near_copies, "DEAR", dear)
+    monkeypatch.setattr(near_copies, "CLUSTER_ROWS", rows)
+    texts = close_strangers()
+    got = near_copies.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_near_copies([brute_shingles(t) for t in texts])))
+
+
 def brute_near_copies(sets):
     """The smallest place of each set's group."""
     label = list(range(len(sets)))

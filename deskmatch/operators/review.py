@@ -34,19 +34,41 @@ def initial_status(given: Column, warnings: Column, band: Column, attention: Col
     return F.when(given.isin("SUGGESTED", "NEEDS_REVIEW"), given).when((warnings > 0) | (band == "REVIEW") | (attention == "NEEDS_REVIEW"), "NEEDS_REVIEW").otherwise("SUGGESTED")
 
 
-def save_suggestions(candidates: DataFrame, saved: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
-    """New suggestions, and their CREATED events; a key, or a pair of the same version and snapshot, that is saved already or comes twice is passed over, so that a second run adds nothing."""
+#: What identifies a suggestion, and what a snapshot fixes of it.
+PAIR, CODES = ["project_id", "person_id", "version", "snapshot"], ["score", "band", "warnings"]
+
+
+def new_suggestions(candidates: DataFrame, saved: DataFrame, version: str, once: bool = False) -> DataFrame:
+    """Candidates that are not among the saved ones, with suggestion_key, version, snapshot, status and the fields of their CREATED event.
+
+    saved has suggestion_key, or PAIR, or both. once: each pair comes once among the candidates, so none is dropped as a repeat. If saved also has CODES,
+    pairs are moved and compared only where a saved suggestion has the same codes, as others have another snapshot; there are at most as many codes as scores, bands and warnings.
+    """
     snapshot = snapshot_hash("score", "band", "reasons", "warnings")
     n_warnings = F.size(F.filter(F.split("warnings", ","), lambda w: w != ""))
     keyed = candidates.withColumns({"version": F.lit(version), "snapshot": snapshot, "status": initial_status(F.lit(None).cast("string"), n_warnings, F.col("band"), F.lit(""))})
-    keyed = keyed.withColumn("suggestion_key", suggestion_key(*map(F.col, ("project_id", "person_id", "version", "snapshot"))))
-    fresh = keyed.dropDuplicates(["suggestion_key"]).join(saved.select("suggestion_key"), "suggestion_key", "left_anti")
-    pair = ["project_id", "person_id", "version", "snapshot"]
-    if set(pair) <= {*saved.columns}:
-        fresh = fresh.join(saved.select(*pair), pair, "left_anti")
-    fresh = fresh.select("suggestion_key", "project_id", "person_id", "version", "snapshot", "score", "band", "warnings", "status")
-    events = fresh.select("suggestion_key", F.lit("CREATED").alias("action"), F.lit(None).cast("string").alias("from_status"), F.col("status").alias("to_status"))
-    return fresh, events
+    keyed = keyed.withColumn("suggestion_key", suggestion_key(*map(F.col, PAIR)))
+    by_key, by_pair = "suggestion_key" in saved.columns, {*PAIR} <= {*saved.columns}
+    apart = None
+    if once and by_pair and {*CODES} <= {*saved.columns}:
+        codes = saved.select(*(F.col(c).alias(f"saved_{c}") for c in CODES)).distinct()
+        least, most = saved.agg(F.min("score"), F.max("score")).first()
+        same = [F.col(c).eqNullSafe(F.col(f"saved_{c}")) for c in CODES]
+        apart = keyed.join(F.broadcast(codes), same, "left_anti")
+        keyed = keyed.filter(F.col("score").isNull() | F.col("score").between(least, most)).join(F.broadcast(codes), same, "left_semi")
+    fresh = keyed if once else keyed.dropDuplicates(["suggestion_key"])
+    if by_key:
+        fresh = fresh.join(saved.select("suggestion_key"), "suggestion_key", "left_anti")
+    if by_pair:
+        fresh = fresh.join(saved.select(*PAIR), PAIR, "left_anti").select(*keyed.columns)
+    fresh = fresh.select(*keyed.columns) if apart is None else apart.unionByName(fresh.select(*keyed.columns))
+    return fresh.withColumns({"action": F.lit("CREATED"), "from_status": F.lit(None).cast("string"), "to_status": F.col("status")})
+
+
+def save_suggestions(candidates: DataFrame, saved: DataFrame, version: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """New suggestions, and their CREATED events; a key, or a pair of the same version and snapshot, that is saved already or comes twice is passed over, so that a second run adds nothing. once: as in new_suggestions."""
+    fresh = new_suggestions(candidates, saved, version, once)
+    return fresh.select("suggestion_key", *PAIR, *CODES, "status"), fresh.select("suggestion_key", "action", "from_status", "to_status")
 
 
 def next_state(state: Column, action: Column) -> Column:

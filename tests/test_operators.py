@@ -131,3 +131,31 @@ def test_no_table_is_sent_to_the_driver_to_infer_companies(spark):
     out = company.infer_company(mails, companies, companies.limit(1).select("company_id", F.col("name").alias("alias")))
     assert [(r.company_id, r.source) for r in out.collect()] == [(7, "known_alias")]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def moved_rows(df):
+    """Rows that the shuffles of the plan wrote; df was collected before."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if node.nodeName() == "Exchange":
+                out += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return out
+
+
+def test_only_suggestions_with_saved_codes_are_moved(spark):
+    rows = [(i, i % 7, 90 if i < 10 else 60, "HIGH" if i < 10 else "MEDIUM", "x", "") for i in range(1000)] + [(5000, 1, None, None, None, None), (5001, 1, 90, "HIGH", "other", "")]
+    found = spark.createDataFrame(rows, "project_id long, person_id long, score int, band string, reasons string, warnings string")
+    none = found.select(F.lit("x").alias("suggestion_key")).filter("false")
+    saved = review.save_suggestions(found.filter("project_id < 9 OR project_id = 5000"), none, "v1", True)[0].drop("suggestion_key")
+    got = review.save_suggestions(found, saved, "v1", True)[0]
+    want = review.save_suggestions(found, review.save_suggestions(found.filter("project_id < 9 OR project_id = 5000"), none, "v1")[0], "v1")[0]
+    assert sorted(r.suggestion_key for r in got.collect()) == sorted(r.suggestion_key for r in want.collect())
+    assert len(got.collect()) == 1002 - 10
+    assert moved_rows(got) < 200

@@ -153,24 +153,24 @@ def db_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = N
 
     Both sides: id, title, company, skill_list, place, price_value; texts and skills meet in their token form, skills of one
     character don't count. Two skills must agree, so rows are joined by (two skills, place) and by (two skills, price range):
-    what meets by place is a duplicate, what meets by price is one in about two of three cases.
+    what meets by place is a duplicate, what meets by price is one in about two of three cases. Each pair is found in one of the
+    three joins alone, so that pairs are not moved again.
     """
     side = lambda df, p: df.select(F.col("id").alias(f"{p}id"), *(token(F.col(c)).alias(f"{p}{c}") for c in ("title", "company", "place")), F.array_sort(F.array_distinct(F.filter(token_list(F.col("skill_list")), lambda s: F.length(s) >= 2))).alias(f"{p}skills"), F.col("price_value").alias(f"{p}price"))
     r, e = side(rows, "r_"), side(existing, "e_")
     test = F.lit(True) if which is None else which
-    same = r.join(e, (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "") & test).select("r_id", "e_id")
-    paired = lambda df, p, *more: df.select(f"{p}id", F.explode(skill_pairs(F.col(f"{p}skills"))).alias("k"), *more)
-    meet = lambda x, y: x.join(y, ["k", "b"]).filter(test)
-    place = meet(paired(r.filter("r_place != ''"), "r_", F.col("r_place").alias("b")), paired(e, "e_", F.col("e_place").alias("b"))).select("r_id", "e_id")
-    cell = F.floor(F.col("r_price") / PRICE_SLACK).cast("long")
-    cells = paired(r.filter("r_price IS NOT NULL"), "r_", "r_price", F.array(cell - 1, cell, cell + 1).alias("cells")).withColumn("b", F.explode("cells")).drop("cells")
-    near = meet(cells, paired(e, "e_", "e_price", F.floor(F.col("e_price") / PRICE_SLACK).cast("long").alias("b"))).filter(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK).select("r_id", "e_id")
-    pairs = same.unionByName(place).unionByName(near).distinct().join(r, "r_id").join(e, "e_id")
-    common = F.size(F.array_intersect("r_skills", "e_skills")) >= 2
     title = (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "")
-    at, priced = (F.col("r_place") == F.col("e_place")) & (F.col("r_place") != ""), F.coalesce(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK, F.lit(False))
-    strength = F.when(title | (common & at & priced), "strong").when(common & (at | priced), "weak")
-    return pairs.withColumn("strength", strength).select(F.col("r_id").alias("id"), F.col("e_id").alias("existing_id"), "strength")
+    other = ~F.coalesce(title, F.lit(False))
+    at, priced = F.coalesce((F.col("r_place") == F.col("e_place")) & (F.col("r_place") != ""), F.lit(False)), F.coalesce(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK, F.lit(False))
+    first = F.col("k") == F.concat_ws(" ", F.slice(F.array_intersect("r_skills", "e_skills"), 1, 2))  # a pair of rows counts by its first two common skills alone
+    paired = lambda df, p, b: df.select("*", b.alias("b"), F.explode(skill_pairs(F.col(f"{p}skills"))).alias("k"))
+    found = lambda pairs, strength: pairs.filter(test).select(F.col("r_id").alias("id"), F.col("e_id").alias("existing_id"), strength.alias("strength"))
+    same = found(r.join(e, title), F.lit("strong"))
+    place = found(paired(r.filter("r_place != ''"), "r_", F.col("r_place")).join(paired(e, "e_", F.col("e_place")), ["k", "b"]).filter(first & other), F.when(priced, "strong").otherwise("weak"))
+    cell = F.floor(F.col("r_price") / PRICE_SLACK).cast("long")
+    cells = paired(r.filter("r_price IS NOT NULL"), "r_", F.array(cell - 1, cell, cell + 1)).withColumn("b", F.explode("b"))
+    near = found(cells.join(paired(e, "e_", F.floor(F.col("e_price") / PRICE_SLACK).cast("long")), ["k", "b"]).filter(first & other & ~at & priced), F.lit("weak"))
+    return same.unionByName(place).unionByName(near)
 
 
 def db_person_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = None) -> DataFrame:

@@ -58,3 +58,11 @@ def test_duplicates_equal_those_of_all_pairs(spark):
     people = df.withColumnsRenamed({"title": "identity", "company": "owner", "place": "available"})
     assert {(r.id, r.existing_id): r.strength for r in imports.db_person_duplicates(people, people, F.col("r_id") < F.col("e_id")).collect()} == want
     assert imports.db_duplicates(df.filter("false"), df).count() == 0
+
+
+def test_pairs_of_duplicates_are_not_moved(spark):
+    rows = [(i, f"t{i}", "x", ["Java", "AWS", "SQL"], "p", 5.0) for i in range(60)] + [(7, "t7", "x", ["Java", "AWS"], "q", 5.0)]
+    df = spark.createDataFrame(rows, "id long, title string, company string, skill_list array<string>, place string, price_value double")
+    got = imports.db_duplicates(df, df, F.col("r_id") < F.col("e_id"))
+    assert len(got.collect()) == 60 * 59 // 2 + 59 and {r.strength for r in got.collect()} == {"strong", "weak"}
+    assert not [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Aggregate" in line]

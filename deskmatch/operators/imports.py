@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import filled, trimmed
+from ..sources.tables import dealt_out, written
 from .matching import plain
 
 #: Headers of each field, in order (a later one wins), and limits.
@@ -54,6 +56,8 @@ READ = {"date": r"^\d{4}[-/]\d{1,2}([-/]\d{1,2})?\z|^\d{4}年\d{1,2}月(\d{1,2}
 TOKEN_SIGNS = r"[\s\uFEFF_\-ー・･/／|:：()（）［］\[\]【】「」『』,，.．]"
 REQUIRED = {"project": ["title", "work", "skills"], "person": ["name", "skills"]}
 MOST_SKILLS, LEAST_COVERAGE, PRICE_SLACK = 15, 0.5, 5
+#: Rows of the existing side for each part of a join of duplicates.
+JOINED_ROWS = 2_000
 
 
 def token_text(text: str) -> str:
@@ -156,20 +160,34 @@ def db_duplicates(rows: DataFrame, existing: DataFrame, which: Column | None = N
     what meets by place is a duplicate, what meets by price is one in about two of three cases. Each pair is found in one of the
     three joins alone, so that pairs are not moved again.
     """
-    side = lambda df, p: df.select(F.col("id").alias(f"{p}id"), *(token(F.col(c)).alias(f"{p}{c}") for c in ("title", "company", "place")), F.array_sort(F.array_distinct(F.filter(token_list(F.col("skill_list")), lambda s: F.length(s) >= 2))).alias(f"{p}skills"), F.col("price_value").alias(f"{p}price"))
-    r, e = side(rows, "r_"), side(existing, "e_")
+    def side(df: DataFrame, p: str) -> DataFrame:
+        """Token forms, and of texts their hashes too: two rows are told apart by a number, and texts are compared only where hashes agree."""
+        title, company, place = (token(F.col(c)) for c in ("title", "company", "place"))
+        out = df.select("id", F.when((title != "") & (company != ""), F.concat_ws("\n", title, company)).alias("named"), place.alias("place"), F.array_sort(F.array_distinct(F.filter(token_list(F.col("skill_list")), lambda s: F.length(s) >= 2))).alias("skills"), F.col("price_value").alias("price"))
+        out = out.withColumns({"named_hash": F.xxhash64("named"), "place_hash": F.xxhash64("place"), "n_skills": F.size("skills")})
+        return out.select(*(F.col(c).alias(p + c) for c in out.columns))
+
+    r, e = (written(side(dealt_out(df), p), f"{p}side") for df, p in ((rows, "r_"), (existing, "e_")))
+    parts = max(-(-e.count() // JOINED_ROWS), e.sparkSession.sparkContext.defaultParallelism)
     test = F.lit(True) if which is None else which
-    title = (F.col("r_title") == F.col("e_title")) & (F.col("r_company") == F.col("e_company")) & (F.col("r_title") != "") & (F.col("r_company") != "")
-    other = ~F.coalesce(title, F.lit(False))
-    at, priced = F.coalesce((F.col("r_place") == F.col("e_place")) & (F.col("r_place") != ""), F.lit(False)), F.coalesce(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK, F.lit(False))
-    first = F.col("k") == F.concat_ws(" ", F.slice(F.array_intersect("r_skills", "e_skills"), 1, 2))  # a pair of rows counts by its first two common skills alone
+    alike = lambda c: F.coalesce((F.col(f"r_{c}_hash") == F.col(f"e_{c}_hash")) & (F.col(f"r_{c}") == F.col(f"e_{c}")), F.lit(False))
+    at, priced = alike("place") & (F.col("r_place") != ""), F.coalesce(F.abs(F.col("r_price") - F.col("e_price")) <= PRICE_SLACK, F.lit(False))
+    # A pair of rows counts by its first two common skills alone; rows of two skills have no others.
+    first = (F.col("r_n_skills") == 2) | (F.col("e_n_skills") == 2) | (F.col("k") == F.concat_ws(" ", F.slice(F.array_intersect("r_skills", "e_skills"), 1, 2)))
     paired = lambda df, p, b: df.select("*", b.alias("b"), F.explode(skill_pairs(F.col(f"{p}skills"))).alias("k"))
     found = lambda pairs, strength: pairs.filter(test).select(F.col("r_id").alias("id"), F.col("e_id").alias("existing_id"), strength.alias("strength"))
-    same = found(r.join(e, title), F.lit("strong"))
-    place = found(paired(r.filter("r_place != ''"), "r_", F.col("r_place")).join(paired(e, "e_", F.col("e_place")), ["k", "b"]).filter(first & other), F.when(priced, "strong").otherwise("weak"))
+
+    def met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        """left and right joined. Far more rows come out than go in, so neither side is broadcast, and parts are many whatever the bytes that go in."""
+        left, right = (side.filter(reduce(lambda a, c: a & c, (F.col(k).isNotNull() for k in keys))).repartition(parts, *keys) for side in (left, right))
+        return left.join(right.hint("merge"), list(keys))
+
+    same = found(met(r.withColumn("b", F.col("r_named")), e.withColumn("b", F.col("e_named")), "b"), F.lit("strong"))
+    other = ~alike("named")
+    place = found(met(paired(r.filter("r_place != ''"), "r_", F.col("r_place")), paired(e, "e_", F.col("e_place")), "k", "b").filter(other & first), F.when(priced, "strong").otherwise("weak"))
     cell = F.floor(F.col("r_price") / PRICE_SLACK).cast("long")
     cells = paired(r.filter("r_price IS NOT NULL"), "r_", F.array(cell - 1, cell, cell + 1)).withColumn("b", F.explode("b"))
-    near = found(cells.join(paired(e, "e_", F.floor(F.col("e_price") / PRICE_SLACK).cast("long")), ["k", "b"]).filter(first & other & ~at & priced), F.lit("weak"))
+    near = found(met(cells, paired(e, "e_", F.floor(F.col("e_price") / PRICE_SLACK).cast("long")), "k", "b").filter(priced & ~at & other & first), F.lit("weak"))
     return same.unionByName(place).unionByName(near)
 
 

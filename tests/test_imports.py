@@ -66,3 +66,13 @@ def test_pairs_of_duplicates_are_not_moved(spark):
     got = imports.db_duplicates(df, df, F.col("r_id") < F.col("e_id"))
     assert len(got.collect()) == 60 * 59 // 2 + 59 and {r.strength for r in got.collect()} == {"strong", "weak"}
     assert not [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Aggregate" in line]
+
+
+def test_sides_of_duplicates_are_dealt_out_and_not_broadcast(spark):
+    """A side is small beside the pairs that it makes, so its bytes must not choose how many tasks make them."""
+    rows = [(i, f"t{i % 9}", "x", ["Java", "AWS", *["SQL"] * (i % 2)], f"p{i % 3}", float(i % 5)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, title string, company string, skill_list array<string>, place string, price_value double")
+    got = imports.db_duplicates(df, df, F.col("r_id") < F.col("e_id"))
+    assert len({(r.id, r.existing_id) for r in got.collect()}) == got.count() == 90 * 89 // 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,16 +40,17 @@ def initial_status(given: Column, warnings: Column, band: Column, attention: Col
 PAIR, CODES = ["project_id", "person_id", "version", "snapshot"], ["score", "band", "warnings"]
 
 
-def new_suggestions(candidates: DataFrame, saved: DataFrame, version: str, once: bool = False) -> DataFrame:
+def new_suggestions(candidates: DataFrame, saved: DataFrame, version: str, once: bool = False, of_score: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Candidates that are not among the saved ones, with suggestion_key, version, snapshot, status and the fields of their CREATED event.
 
     saved has suggestion_key, or PAIR, or both. once: each pair comes once among the candidates, so none is dropped as a repeat. If saved also has CODES,
     pairs are moved and compared only where a saved suggestion has the same codes, as others have another snapshot; there are at most as many codes as scores, bands and warnings.
+    of_score: makes the candidates of at least a score (not null), where that costs less than to make all of them once more. Saved suggestions have few bytes on disk for each row, so they are never broadcast.
     """
     snapshot = snapshot_hash("score", "band", "reasons", "warnings")
     n_warnings = F.size(F.filter(F.split("warnings", ","), lambda w: w != ""))
-    keyed = candidates.withColumns({"version": F.lit(version), "snapshot": snapshot, "status": initial_status(F.lit(None).cast("string"), n_warnings, F.col("band"), F.lit(""))})
-    keyed = keyed.withColumn("suggestion_key", suggestion_key(*map(F.col, PAIR)))
+    with_keys = lambda rows: rows.withColumns({"version": F.lit(version), "snapshot": snapshot, "status": initial_status(F.lit(None).cast("string"), n_warnings, F.col("band"), F.lit(""))}).withColumn("suggestion_key", suggestion_key(*map(F.col, PAIR)))
+    keyed = with_keys(candidates)
     by_key, by_pair = "suggestion_key" in saved.columns, {*PAIR} <= {*saved.columns}
     apart = None
     if once and by_pair and {*CODES} <= {*saved.columns}:
@@ -55,12 +58,14 @@ def new_suggestions(candidates: DataFrame, saved: DataFrame, version: str, once:
         least, most = saved.agg(F.min("score"), F.max("score")).first()
         same = [F.col(c).eqNullSafe(F.col(f"saved_{c}")) for c in CODES]
         apart = keyed.join(F.broadcast(codes), same, "left_anti")
+        if of_score is not None and least is not None:
+            keyed = with_keys(of_score(least)).select(*keyed.columns)
         keyed = keyed.filter(F.col("score").isNull() | F.col("score").between(least, most)).join(F.broadcast(codes), same, "left_semi")
     fresh = keyed if once else keyed.dropDuplicates(["suggestion_key"])
     if by_key:
-        fresh = fresh.join(saved.select("suggestion_key"), "suggestion_key", "left_anti")
+        fresh = fresh.join(saved.select("suggestion_key").hint("merge"), "suggestion_key", "left_anti")
     if by_pair:
-        fresh = fresh.join(saved.select(*PAIR), PAIR, "left_anti").select(*keyed.columns)
+        fresh = fresh.join(saved.select(*PAIR).hint("merge"), PAIR, "left_anti").select(*keyed.columns)
     fresh = fresh.select(*keyed.columns) if apart is None else apart.unionByName(fresh.select(*keyed.columns))
     return fresh.withColumns({"action": F.lit("CREATED"), "from_status": F.lit(None).cast("string"), "to_status": F.col("status")})
 

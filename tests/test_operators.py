@@ -159,3 +159,15 @@ def test_only_suggestions_with_saved_codes_are_moved(spark):
     assert sorted(r.suggestion_key for r in got.collect()) == sorted(r.suggestion_key for r in want.collect())
     assert len(got.collect()) == 1002 - 10
     assert moved_rows(got) < 200
+
+
+def test_saved_suggestions_are_not_broadcast_and_only_their_scores_made_again(spark):
+    rows = [(i, i % 7, 60 + i % 20, "MEDIUM", "x", "") for i in range(200)]
+    found = spark.createDataFrame(rows, "project_id long, person_id long, score int, band string, reasons string, warnings string")
+    none = found.select(F.lit("x").alias("suggestion_key")).filter("false")
+    saved = tables.written(review.save_suggestions(found.filter("score >= 77"), none, "v1", True)[0].drop("suggestion_key"), "saved")
+    asked = []
+    got = review.new_suggestions(found, saved, "v1", True, lambda least: asked.append(least) or found.filter(F.col("score") >= least))
+    assert sorted(r.project_id for r in got.collect()) == [i for i in range(200) if i % 20 < 17] and asked == [77]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [project_id" in plan and "BroadcastHashJoin [project_id" not in plan

@@ -6,6 +6,9 @@ import math
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from deskmatch.operators import matching, pair_counts
 
 
@@ -133,3 +136,38 @@ def test_supply_of_a_popular_cell_joins_no_two_months(spark):
             made.append(node.metrics().apply("numOutputRows").value())
         todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(k) for k in range(node.children().size())]
     assert made and max(made) <= 4 * (len(months) + 1), made  # months and prices
+
+
+@pytest.mark.parametrize("review_first", [False, True])
+@pytest.mark.parametrize("rate_only", [None, "match"])
+def test_best_of_a_group_are_those_of_all(review_first, rate_only):
+    rnd = random.Random(11)
+    people = [{"person_id": i, "class_points": rnd.choice([-8, 0, 10, 20]), "q_blank": rnd.randrange(2), "q_rate": rnd.choice([None, *range(30, 60)]), "q_month": rnd.choice([None, *range(100, 106)])} for i in rnd.sample(range(1000), 400)]
+    wants = [{"want": f"w{i}", "p_min": rnd.choice([None, 40, 50]), "p_max": rnd.choice([None, 35, 45, 60]), "p_month": rnd.choice([None, *range(98, 106)]), "p_missing": 0, "cap": rnd.choice([45, 41]), "least": rnd.choice([0, 30, 44])} for i in range(150)]
+    for w in wants:
+        w["p_missing"] = (w["p_min"] is None and w["p_max"] is None) + (w["p_month"] is None)
+    expected = set()
+    for w in wants:
+        rows = []
+        for q in people:
+            low, high, rate = w["p_min"], w["p_max"], q["q_rate"]
+            state = "unknown" if rate is None or (low is None and high is None) else "mismatch" if (high is not None and rate > high) or (low is not None and rate < math.floor(low * 0.75)) else "match"
+            date = 3 if None in (w["p_month"], q["q_month"]) else 10 if q["q_month"] <= w["p_month"] + 1 else 0
+            lacking = w["p_missing"] + q["q_blank"] + (rate is None) + (q["q_month"] is None) >= 3
+            points = min(q["class_points"] + {"match": 15, "unknown": 4, "mismatch": 0}[state] + date - 8 * lacking, w["cap"])
+            if points >= w["least"] and rate_only in (None, state):
+                rows.append((-(lacking and review_first), -points, q["person_id"], lacking))
+        expected |= {(w["want"], i, -points, bool(lacking)) for _, points, i, lacking in sorted(rows)[:3]}
+    ints = lambda rows, *names: pa.table({n: pa.array([r[n] for r in rows], pa.int64()) for n in names})
+    left = ints(wants, "p_min", "p_max", "p_month", "p_missing", "cap", "least").append_column("want", pa.array([w["want"] for w in wants]))
+    got = matching._best_of_group(left, ints(people, "person_id", "class_points", "q_blank", "q_rate", "q_month"), 3, rate_only, review_first)
+    assert {tuple(r.values()) for r in got.to_pylist()} == expected and len(expected) == got.num_rows > 100
+
+
+def test_projects_stand_once_for_each_set_and_not_for_each_cell_of_persons(spark):
+    frames, _, _ = tables(spark, 4, 60, 90)
+    met, people = matching.candidate_classes(*frames, 46)
+    assert met.count() == met.select("project_id", "q_key").distinct().count() > 20
+    assert people.count() == people.select("pk", "person_id").distinct().count()
+    got = matching.class_pairs(met, people, 60)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, matching.match_candidates(*frames, 60).collect()))

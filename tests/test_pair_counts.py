@@ -171,3 +171,12 @@ def test_projects_stand_once_for_each_set_and_not_for_each_cell_of_persons(spark
     assert people.count() == people.select("pk", "person_id").distinct().count()
     got = matching.class_pairs(met, people, 60)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, matching.match_candidates(*frames, 60).collect()))
+
+
+def test_a_page_makes_its_classes_once(spark, monkeypatch):
+    frames, _, _ = tables(spark, 5, 60, 60)
+    made = []
+    monkeypatch.setattr(matching, "candidate_classes", lambda *a, f=matching.candidate_classes: made.append(1) or f(*a))
+    want = matching.match_review(matching.match_candidates(*frames, 46), "review_first", 1, 7, rate_state="match").collect()
+    del made[:]
+    assert matching.review_first_page(*frames, 46, 1, 7, "match").collect() == want and made == [1]
